@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from tidewright.session import table
 
-from . import exact_dedup, simhash, url_filter
+from . import exact_dedup, simhash, substring_dedup, url_filter
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +32,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op10_url_filter": op10_url_filter,
