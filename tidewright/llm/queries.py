@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.session import table
 
-from . import exact_dedup, simhash, substring_dedup, url_filter
+from . import ann, exact_dedup, simhash, substring_dedup, url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -35,10 +39,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents),
+        starts AS (
+            SELECT doc_id, unnest(range(1, len(words) - 48)) AS p, words FROM d WHERE len(words) >= 50),
+        windows AS (SELECT doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS win FROM starts),
+        least AS (SELECT win, min(doc_id) AS lo FROM windows GROUP BY win),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p
+            FROM windows JOIN least USING (win) WHERE lo < doc_id),
+        lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+        out AS (
+            SELECT d.doc_id, d.words, coalesce(l.ps, []) AS ps FROM d LEFT JOIN lists l ON d.doc_id = l.doc_id)
+        SELECT doc_id, len(words) AS n_words, len(ps) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(words, lambda w, i: NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
+        FROM out
+    """,
     "op3_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
