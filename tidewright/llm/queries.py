@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.session import table
 
-from . import ann, exact_dedup, simhash, substring_dedup, url_filter
+from . import ann, exact_dedup, quality, simhash, substring_dedup, url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, threshold=0.3).select("doc_id", (quality.fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4, seed=42)
     return found.select("doc_id", "fingerprint", "component_id")
@@ -38,6 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op10_url_filter": op10_url_filter,
