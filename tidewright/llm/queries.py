@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewright.session import table
 
-from . import ann, bpe, exact_dedup, quality, simhash, substring_dedup, url_filter
+from . import ann, bpe, exact_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
+from .wordcodes import Vocabulary
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +19,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = Vocabulary("words", public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), words, end_id=1, capacity=2048)
+    pieces = packing.with_crc(packed.pieces.select("part", "piece", "doc_id", "start", "length", "doc_tokens", "ids")).drop("ids")
+    return pieces.join(packed.placements, ["part", "piece"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = Vocabulary("bytes", public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = sstable.write(table(spark, sf_dir, "documents"), tokens, end_id=0)
+    return sstable.with_crc(sstable.read(manifest)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -40,22 +54,30 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), bpe.Vocabulary("tiktoken", path, public_tokenizers.PATTERN))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), Vocabulary("tiktoken", path, public_tokenizers.PATTERN))
     listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return bpe.decode(encoded, path).select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = Vocabulary("bytes", public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokens, end_id=50256)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_shards": op4_token_shards,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
 }
 
