@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the corpus contracts: space and U+0009 to U+000D. Fixed value.
 WHITE = " \t\n\x0b\x0c\r"
-#: The same as a regular expression class, and its complement. Fixed values.
-WHITE_CLASS, WORD_CLASS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: The same as a regular expression class. Fixed value.
+WHITE_CLASS = r"[\x20\x09-\x0D]"
 
-_scratch: list[str] = []
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; `release` deletes what lies there."""
+    """A new path in the shared folder, noted by whoever is `recording`."""
     path = f"{shared_dir(spark)}/tidewright-{uuid.uuid4().hex}/{name}"
-    _scratch.append(path)
+    for known in _scratch:
+        known.append(path)
     return path
 
 
+@contextlib.contextmanager
+def recording(paths: list[str]) -> Iterator[list[str]]:
+    """Adds to `paths` the scratch paths that are made meanwhile, so that they can be released later."""
+    _scratch.append(paths)
+    try:
+        yield paths
+    finally:
+        _scratch.pop()
+
+
 def stage_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back, which cuts its lineage.
 
@@ -51,18 +64,14 @@ def stage_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this process's scratch tables. Call it once results that read them are written elsewhere."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables. Call it once results that read them are written elsewhere."""
     jvm = spark.sparkContext._jvm
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop().rsplit("/", 1)[0])
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop().rsplit("/", 1)[0])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
-
-def words_column(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; empty for a null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE_CLASS + "+"), lambda w: w != "")

@@ -17,6 +17,7 @@ Contract of `pack_documents`: every id of every row lies in exactly one piece.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,16 @@ from .wordcodes import Vocabulary, encode, unpack
 from .wordcodes import pack as pack_ids
 
 
+def with_crc(rows: DataFrame, id_col: str = "ids") -> DataFrame:
+    """Adds ids_crc32: crc32 of packed ids as little-endian unsigned 32-bit numbers."""
+
+    @F.pandas_udf("long")
+    def crc(ids):
+        return ids.map(lambda x: zlib.crc32(unpack(x).astype("<u4").tobytes()))
+
+    return rows.withColumn("ids_crc32", crc(id_col))
+
+
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """The multiset of available lengths whose sum is the largest up to `room`: counts by length."""
     items = []
@@ -96,6 +107,11 @@ class Packed:
     def __init__(self, pieces: DataFrame, placements: DataFrame, plan: Plan, capacity: int):
         self.pieces, self.placements, self.plan, self.capacity = pieces, placements, plan, capacity
 
+    def placed(self) -> DataFrame:
+        """The pieces in their sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+        rows = with_crc(self.pieces.select("part", "piece", "doc_id", "start", "length", "doc_tokens", "ids")).drop("ids")
+        return rows.join(self.placements, ["part", "piece"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
     def sequences(self, pad_id: int = 0) -> DataFrame:
         """sequence_id, filled, ids (array): pieces in order, padded to the capacity unless the length is a power of two."""
         capacity = self.capacity
@@ -162,14 +178,3 @@ def pack_documents(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 1, cap
     placements = ranked.select("part", "piece", "length", "rank", "base").mapInArrow(run, "part long, piece long, sequence_id long, offset long")
     return Packed(pieces, placements, plan, capacity)
 
-
-def with_crc(rows: DataFrame, id_col: str = "ids") -> DataFrame:
-    """Adds ids_crc32: crc32 of packed ids as little-endian unsigned 32-bit numbers."""
-
-    @F.pandas_udf("long")
-    def crc(ids):
-        import zlib
-
-        return ids.map(lambda x: zlib.crc32(unpack(x).astype("<u4").tobytes()))
-
-    return rows.withColumn("ids_crc32", crc(id_col))

@@ -158,3 +158,15 @@ def score(docs: DataFrame, model: LatentVotes, id_col: str = "doc_id", text_col:
 
     found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return found.select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: LatentVotes, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` that score `threshold` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        parts = [shared.value.score(term_counts(pa.array(texts.iloc[a : a + 256], pa.large_string()))) for a in range(0, len(texts), 256)]
+        return pd.Series(np.concatenate(parts) if parts else [])
+
+    return docs.where(scored(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= threshold)

@@ -21,9 +21,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = Vocabulary("words", public_tokenizers.path("word_bpe_49k.json"))
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), words, end_id=1, capacity=2048)
-    pieces = packing.with_crc(packed.pieces.select("part", "piece", "doc_id", "start", "length", "doc_tokens", "ids")).drop("ids")
-    return pieces.join(packed.placements, ["part", "piece"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), words, end_id=1, capacity=2048).placed()
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +66,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

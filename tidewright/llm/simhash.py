@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import stage_table, text_or_empty
 from .textarrays import chunks, text_bytes, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -71,16 +71,16 @@ def majority_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), one row per input row."""
+    """doc_id, text_key, fp (the 64 bits as a signed long), one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 1 << 20):
             data, offsets = text_bytes(b.column("text"))
             fp = majority_bits(*shingle_hashes(data, offsets, shingle, seed))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fp.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def block_pairs(bits: int) -> list[tuple[int, int]]:
@@ -183,11 +183,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable over links)."""
+    """doc_id, text_key, fp, fingerprint (16 hexadecimal digits), root, component_id (smallest doc_id reachable over links)."""
     rows = stage_table(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     found = components(links(distinct.select("fp"), bits))
     of = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = of.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 4) -> DataFrame:
+    """The rows of `docs` that have the smallest id of their component (one, if several have it), with all their columns."""
+    found = near_duplicates(docs, id_col, text_col, shingle, bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    stay = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    marked = docs.withColumn("_text_key", F.xxhash64(text_or_empty(text_col)))
+    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["_id"]) & (marked["_text_key"] == stay["_key"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_text_key"]).drop("_text_key")

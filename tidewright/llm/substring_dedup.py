@@ -30,14 +30,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import stage_table, text_or_empty
 from .textarrays import chunks, mixed, sliding_min, span_hashes, text_bytes, word_hashes, word_spans
 
 _CHUNK = 2 << 20
+_MARKS = pa.list_(pa.struct([("start", pa.int32()), ("bits", pa.int64())]))
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,45 +144,67 @@ def covered(words: int, start: np.ndarray, bits: np.ndarray, window: int) -> np.
     return np.cumsum(deep[:-1]) > 0
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(doc_id, text_key, marks): the marks of each document that loses words."""
+    if not 8 <= window <= 80:
+        raise ValueError("a run's windows are one long of bits: window must be 8 to 80 words")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return marks(rows, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
+
+
+def cut_texts(texts: pa.Array, listed: pa.ListArray, window: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words and removed words of each text, and the kept words joined by one space."""
+    data, offsets = text_bytes(texts)
+    start, end, owner = word_spans(data, offsets)
+    rows = len(offsets) - 1
+    begin = np.searchsorted(owner, np.arange(rows + 1))
+    gone = np.zeros(len(start), bool)
+    edges, flat = listed.offsets.to_numpy(), listed.flatten()
+    first = edges[0] if len(edges) else 0
+    at, bits = flat.field("start").to_numpy(), flat.field("bits").to_numpy()
+    for r in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        own = slice(edges[r] - first, edges[r + 1] - first)
+        gone[begin[r] : begin[r + 1]] = covered(begin[r + 1] - begin[r], at[own].astype(np.int64), bits[own], window)
+    kept = ~gone
+    s, e, o = start[kept], end[kept], owner[kept]
+    last = np.append(o[1:] != o[:-1], True) if len(o) else np.zeros(0, bool)
+    length = e - s + 1 - last  # each kept word and the space after it; the last of a text has none
+    source = np.repeat(s - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    out = data[np.minimum(source, max(0, len(data) - 1))].copy()
+    out[(np.cumsum(length) - 1)[~last]] = 32
+    size = np.append(0, np.cumsum(np.bincount(o, length, rows).astype(np.int64)))
+    text = pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(size), pa.py_buffer(out)])
+    n = np.diff(begin)
+    return n, n - np.bincount(o, minlength=rows), text.cast(pa.string())
+
+
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """doc_id, text_key, n_words, n_removed, kept_text (kept words joined by one space), one row per input row.
 
     A word goes if a window of `window` words around it also starts in a document of smaller id.
     """
-    if not 8 <= window <= 80:
-        raise ValueError("a run's windows are one long of bits: window must be 8 to 80 words")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    marked = marks(rows, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", _CHUNK):
-            data, offsets = text_bytes(b.column("text"))
-            start, end, owner = word_spans(data, offsets)
-            begin = np.searchsorted(owner, np.arange(len(offsets)))
-            gone = np.zeros(len(start), bool)
-            listed = b.column("marks")
-            edges, flat = listed.offsets.to_numpy(), listed.flatten()
-            first = edges[0] if len(edges) else 0
-            at, bits = flat.field("start").to_numpy(), flat.field("bits").to_numpy()
-            has = listed.is_valid().to_numpy(zero_copy_only=False)
-            for r in np.flatnonzero(has).tolist():
-                own = slice(edges[r] - first, edges[r + 1] - first)
-                gone[begin[r] : begin[r + 1]] = covered(begin[r + 1] - begin[r], at[own].astype(np.int64), bits[own], window)
-            kept = ~gone
-            s, e, o = start[kept], end[kept], owner[kept]
-            n_kept = np.bincount(o, minlength=b.num_rows)
-            length = e - s + 1  # each kept word and the space after it; the last of a text has none
-            last = np.append(o[1:] != o[:-1], True) if len(o) else np.zeros(0, bool)
-            length -= last
-            source = np.repeat(s - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            out = data[np.minimum(source, max(0, len(data) - 1))].copy()
-            out[(np.cumsum(length) - 1)[~last]] = 32
-            size = np.bincount(o, length, b.num_rows).astype(np.int64)
-            text = pa.Array.from_buffers(pa.large_string(), b.num_rows, [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(out)])
-            n = np.diff(begin)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n.astype(np.int64)), pa.array((n - n_kept).astype(np.int64)), text.cast(pa.string())], names=["doc_id", "text_key", "n_words", "n_removed", "kept_text"])
-
-    joined = rows.join(marked, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "marks")
+            n, removed, text = cut_texts(b.column("text"), b.column("marks"), window)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n), pa.array(removed), text], names=["doc_id", "text_key", "n_words", "n_removed", "kept_text"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    joined = rows.join(_marked(docs, id_col, text_col, window), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "marks")
+    kind = rows.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(cut, f"doc_id {kind}, text_key long, n_words long, n_removed long, kept_text string")
+
+
+def strip_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """All rows and columns of `docs`; a text that loses words becomes its kept words joined by one space."""
+    found = _marked(docs, id_col, text_col, window).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("marks").alias("_marks"))
+    keyed = docs.withColumn("_text_key", F.xxhash64(text_or_empty(text_col)))
+    joined = keyed.join(found, (keyed[id_col] == found["_id"]) & (keyed["_text_key"] == found["_key"]), "left").drop("_id", "_key", "_text_key")
+
+    @F.pandas_udf("string")
+    def cut(rows: pd.DataFrame) -> pd.Series:
+        parts = pa.Table.from_pandas(rows, preserve_index=False, schema=pa.schema([("text", pa.large_string()), ("marks", _MARKS)])).combine_chunks().to_batches()
+        return pd.Series([x for p in parts for x in cut_texts(p.column(0), p.column(1), window)[2].to_pylist()], dtype=object)
+
+    changed = F.when(F.col("_marks").isNull(), F.col(text_col)).otherwise(cut(F.struct(F.col(text_col).alias("text"), F.col("_marks").alias("marks"))))
+    return joined.withColumn(text_col, changed).drop("_marks")
