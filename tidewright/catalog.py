@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidewright.plans import event_queries
 
-from pyspark.sql import DataFrame, SparkSession
+_GROUPS = (event_queries,)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
+ORACLE_SQL = {name: sql for group in _GROUPS for name, sql in group.ORACLE_SQL.items()}
