@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.plans import event_queries
+from tidewright.plans import event_queries, table_queries
 
-_GROUPS = (event_queries,)
+_GROUPS = (event_queries, table_queries)
 
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 ORACLE_SQL = {name: sql for group in _GROUPS for name, sql in group.ORACLE_SQL.items()}
