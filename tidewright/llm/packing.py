@@ -1,11 +1,11 @@
 """Packing documents into sequences by minimum bin slack over the histogram of lengths.
 
 1. Documents become ids (`wordcodes`). Those over the capacity are cut into full pieces and a remainder. Pieces are written
-   to the shared folder with their rank among the pieces of equal length of their task.
+   to the shared folder with their rank among the pieces of equal length of their block.
 2. The plan is made from the histogram of lengths, `capacity` numbers at most whatever the corpus. For the longest length
    left, a subset-sum over bitsets finds which lengths left fill the rest of a sequence closest to capacity; how many of
    each comes from walking the bitsets back. The pattern is used as often as its lengths last.
-3. A piece's rank among all pieces of its length (ranks of its task plus the pieces of tasks before) says which use of which
+3. A piece's rank among all pieces of its length (ranks of its block plus the pieces of blocks before) says which use of which
    pattern takes it. The plan is broadcast: patterns are bounded by the capacity, since each use up to exhaustion leaves
    a length with fewer pieces than a pattern takes of it (`Plan.entries` is checked against `max_entries`).
 
@@ -18,7 +18,7 @@ Contract of `pack_documents`: every id of every row lies in exactly one piece.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,42 +130,47 @@ class Packed:
         return grouped.select("sequence_id", "p").mapInArrow(run, "sequence_id long, filled long, ids array<int>")
 
 
-def cut_pieces(encoded: DataFrame, capacity: int) -> DataFrame:
-    """Pieces of at most `capacity` ids, with `rank` among the pieces of equal length of their task (`part`)."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+_PIECE = "part long, piece long, start long, length long, rank long, doc_tokens long, ids binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, piece, ranks = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            row, start, length, rank, total, ids = [], [], [], [], [], []
-            for r, blob in enumerate(b.column("ids").to_pylist()):
-                own = unpack(blob)
-                for a in range(0, len(own), capacity):
-                    n = min(capacity, len(own) - a)
-                    row.append(r)
-                    start.append(a)
-                    length.append(n)
-                    rank.append(int(ranks[n]))
-                    ranks[n] += 1
-                    total.append(len(own))
-                    ids.append(blob if n == len(own) else pack_ids(own[a : a + n], blob[8]))
-            numbers = np.arange(piece, piece + len(row))
-            piece += len(row)
-            long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [long(np.full(len(row), part)), long(numbers), b.column("doc_id").take(long(row)), long(start), long(length), long(rank), long(total), pa.array(ids, pa.binary())],
-                names=["part", "piece", "doc_id", "start", "length", "rank", "doc_tokens", "ids"],
-            )
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"part long, piece long, doc_id {kind}, start long, length long, rank long, doc_tokens long, ids binary")
+
+def cut_pieces(capacity: int) -> Callable[[pa.Array, list[np.ndarray]], pa.Table]:
+    """Documents of a block as pieces of at most `capacity` ids, with `rank` among the block's pieces of equal length.
+
+    A block is known by its `part`: the task's partition and a number within it.
+    """
+    made: dict[int, int] = {}
+
+    def finish(doc_ids: pa.Array, documents: list[np.ndarray]) -> pa.Table:
+        task = TaskContext.get()
+        number = made.get(task.taskAttemptId(), 0)
+        made.clear()
+        made[task.taskAttemptId()] = number + 1
+        ranks = np.zeros(capacity + 1, np.int64)
+        row, start, length, rank, total, ids = [], [], [], [], [], []
+        for r, own in enumerate(documents):
+            for a in range(0, len(own), capacity):
+                part = own[a : a + capacity]
+                n = len(part)
+                row.append(r)
+                start.append(a)
+                length.append(n)
+                rank.append(int(ranks[n]))
+                ranks[n] += 1
+                total.append(len(own))
+                ids.append(pack_ids(part, 2 if part.max() < 65536 else 4))
+        long = lambda x: pa.array(x, pa.int64())
+        part = np.full(len(row), task.partitionId() << 20 | number)
+        return pa.table({"doc_id": doc_ids.take(long(row)), "part": long(part), "piece": long(np.arange(len(row))), "start": long(start), "length": long(length), "rank": long(rank), "doc_tokens": long(total), "ids": pa.array(ids, pa.binary())})
+
+    return finish
 
 
 def pack_documents(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> Packed:
-    pieces = stage_table(cut_pieces(encode(docs, vocabulary, id_col, text_col, end_id), capacity), "pieces")
+    pieces = stage_table(encode(docs, vocabulary, id_col, text_col, end_id, finish=cut_pieces(capacity), columns=_PIECE), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     plan = Plan(histogram, capacity)
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
     ranked = pieces.select("part", "piece", "length", "rank").join(bases, ["part", "length"])
     shared = docs.sparkSession.sparkContext.broadcast(plan)

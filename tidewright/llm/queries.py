@@ -52,9 +52,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), Vocabulary("tiktoken", path, public_tokenizers.PATTERN))
-    listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return bpe.decode(encoded, path).select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(table(spark, sf_dir, "documents"), Vocabulary("tiktoken", path, public_tokenizers.PATTERN), path)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

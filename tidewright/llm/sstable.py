@@ -28,7 +28,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import xxhash
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, stage_table
-from .wordcodes import Vocabulary, encode, unpack
+from .wordcodes import Vocabulary, encode, packed_rows, unpack
 
 _MAGIC = b"TWSST001"
 _PROBES, _BITS_A_KEY = 7, 10
@@ -191,12 +190,13 @@ def write(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str | No
     folder = folder or scratch_path(spark, "sst")
     bounds = shard_bounds(docs, id_col, docs_a_shard)
 
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(-(1 << 63)).astype("int64").to_numpy(), side="left")).astype("int32")
+    def sharded(ids: pa.Array, tokens: list[np.ndarray]) -> pa.Table:
+        own = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
+        return packed_rows(ids, tokens).append_column("shard", pa.array(own, pa.int32()))
 
-    encoded = encode(docs.withColumn(id_col, F.col(id_col).cast("long")).select(id_col, text_col), vocabulary, id_col, text_col, end_id)
-    dealt = encoded.withColumn("shard", shard_of("doc_id")).repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+    source = docs.withColumn(id_col, F.col(id_col).cast("long")).select(id_col, text_col)
+    encoded = encode(source, vocabulary, id_col, text_col, end_id, finish=sharded, columns="n_tokens long, ids binary, shard int")
+    dealt = encoded.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pyarrow.fs.FileSystem.from_uri(folder)

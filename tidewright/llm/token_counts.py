@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, stage_table
-from .textarrays import chunks, text_bytes
-from .wordcodes import Vocabulary, WordTable, cut_words, distinct_words, gather
+from .textarrays import chunks
+from .wordcodes import Vocabulary, WordTable, gather, words_of
 
 _CHUNK, _CACHE_WORDS = 16 << 20, 400_000
 
@@ -47,8 +47,7 @@ def write_flat(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str
             path = f"tokens-{uuid.uuid4().hex}.bin"
             if len(words.known) > _CACHE_WORDS:
                 words = WordTable(encode)
-            data, edges, count = cut_words(*text_bytes(b.column("text")), vocabulary.kind == "words")
-            number, distinct = distinct_words(data, edges)
+            number, distinct, count = words_of(b.column("text"), vocabulary.kind == "words")
             flat, length = words.ids_of(distinct.to_pylist())
             start = np.cumsum(length) - length
             own = length[number]

@@ -1,8 +1,8 @@
 """Encoding documents by a global shuffle of distinct words: each distinct word is encoded once.
 
 1. Blocks of documents (`block_bytes` of text) are cut into words such that no pre-token of the encoder crosses a cut.
-   A block keeps its distinct words and, for every position, the number of the word there; both are written, packed, to
-   the shared folder. (Exploding positions to rows would move each of them three times at forty bytes.)
+   For every position a block keeps the number of the word there, packed in a file in the shared folder, and sends out its
+   distinct words. (Exploding positions to rows would move each of them three times at forty bytes.)
 2. The words of all blocks shuffle by hash into buckets. A bucket streams past one table of the words seen so far there;
    new words are encoded, and the ids of a block's words go back to the block.
 3. Blocks meet their words' ids and put them together by position.
@@ -18,16 +18,19 @@ Contract of `encode`: one row per input row, in no order.
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import scratch_path, stage_table
 from .textarrays import chunks, text_bytes
 
 _WHITE = np.zeros(256, bool)
@@ -109,10 +112,11 @@ def _wide_white_end(data: np.ndarray) -> np.ndarray:
     return end
 
 
-def distinct_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The number of the word at each position, and the distinct words, most frequent first."""
-    words = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = words.dictionary_encode()
+def distinct_words(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, pa.Array]:
+    """The number of the word at each position, and the distinct words, most frequent first, of (bytes, edges) parts."""
+    arrays = [pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]) for data, edges in parts]
+    coded = pa.chunked_array(arrays, pa.binary()).dictionary_encode().combine_chunks()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
     number, known = coded.indices.to_numpy(), coded.dictionary
     order = np.argsort(-np.bincount(number, minlength=len(known)), kind="stable")
     rank = np.empty(len(known), np.int32)
@@ -120,6 +124,20 @@ def distinct_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, pa.
     return rank[number], known.take(pa.array(order))
 
 
+def words_of(texts: pa.Array, drop_white: bool, part_bytes: int = 2 << 20) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Word numbers and distinct words of all texts, and the number of words of each; cut in parts, to hold less at once."""
+    data, offsets = text_bytes(texts)
+    parts, counts, row = [], [], 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + part_bytes, side="right")) - 1)
+        own, edges, count = cut_words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], drop_white)
+        parts.append((own, edges))
+        counts.append(count)
+        row = end
+    number, words = distinct_words(parts)
+    return number, words, np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """flat[s : s + n] of each pair, one after another."""
     return flat[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
@@ -144,18 +162,30 @@ def _planes(values: np.ndarray) -> int:
     return max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
 
 
+def _join(*blobs: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in blobs)
+
+
+def _split(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def _pack_words(words: pa.Array) -> bytes:
-    edges = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    edges = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
     lengths = pack(np.diff(edges), _planes(np.diff(edges)))
     text = words.buffers()[2].slice(int(edges[0]), int(edges[-1] - edges[0])).to_pybytes() if len(words) and edges[-1] > edges[0] else b""
-    return len(lengths).to_bytes(8, "little") + lengths + len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+    return _join(lengths, len(text).to_bytes(8, "little"), pa.compress(text, codec="zstd", asbytes=True))
 
 
 def _unpack_words(blob: bytes) -> list[bytes]:
-    n = int.from_bytes(blob[:8], "little")
-    edges = np.append(0, np.cumsum(unpack(blob[8 : 8 + n]).astype(np.int64)))
-    size = int.from_bytes(blob[8 + n : 16 + n], "little")
-    text = pa.decompress(blob[16 + n :], size, codec="zstd", asbytes=True) if size else b""
+    lengths, size, packed = _split(blob)
+    edges = np.append(0, np.cumsum(unpack(lengths).astype(np.int64)))
+    text = pa.decompress(packed, int.from_bytes(size, "little"), codec="zstd", asbytes=True)
     return [text[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
@@ -182,41 +212,54 @@ class WordTable:
         return gather(self.flat, self.start[at], self.length[at]), self.length[at]
 
 
-def _blocks(docs: DataFrame, drop_white: bool, buckets: int, block_bytes: int) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"kind int, block long, bucket int, payload binary, doc_ids array<{kind}>, counts array<int>"
+_BLOCKS = "block long, bucket int, path string, payload binary"
+
+
+def _blocks(docs: DataFrame, drop_white: bool, buckets: int, block_bytes: int, folder: str) -> DataFrame:
+    """(block, bucket, path, payload): the distinct words of each block by bucket; what the block keeps is in the file `path`.
+
+    The file holds document ids, words of each, word numbers by position and the order in which the words went out. Its
+    name belongs to one attempt of a task, and the rows, once written, name the attempt that succeeded.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
+        files, base = pyarrow.fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        block = TaskContext.get().partitionId() << 32
         for b in chunks(batches, "text", block_bytes):
-            data, edges, count = cut_words(*text_bytes(b.column("text")), drop_white)
-            number, words = distinct_words(data, edges)
-            hashed = np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.int64, len(words)) % buckets
-            order = np.argsort(hashed, kind="stable")
-            parts = np.searchsorted(hashed[order], np.arange(buckets + 1))
-            ids = b.column("doc_id")
-            rows = [{"kind": 0, "block": base + made, "bucket": -1, "payload": pack(number, _planes(number))}]
-            for k in range(buckets):
-                if parts[k] < parts[k + 1]:
-                    own = order[parts[k] : parts[k + 1]]
-                    listed = pack(own, _planes(own))
-                    blob = len(listed).to_bytes(8, "little") + listed + _pack_words(words.take(pa.array(own)))
-                    rows.append({"kind": 1, "block": base + made, "bucket": k, "payload": blob})
-            made += 1
-            n = len(rows)
-            columns = [pa.array([r[c] for r in rows], t) for c, t in (("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()))]
-            ends = pa.array([0, *[len(ids)] * n], pa.int32())
-            mask = pa.array([False] + [True] * (n - 1))
-            columns.append(pa.ListArray.from_arrays(ends, ids, mask=mask))
-            columns.append(pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)), mask=mask))
-            for a in range(0, n, 512):
-                yield pa.RecordBatch.from_arrays(columns, names=["kind", "block", "bucket", "payload", "doc_ids", "counts"]).slice(a, 512)
-
-    return docs.mapInArrow(run, schema)
+            number, words, count = words_of(b.column("text"), drop_white)
+            hashed = np.fromiter((zlib.crc32(w) % buckets for w in words.to_pylist()), np.int32, len(words))
+            # Words go out in order of bucket and bytes, which packs well; the block keeps that order of its numbers.
+            order = pc.sort_indices(pa.table({"b": hashed, "w": words}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
+            words, parts = words.take(pa.array(order)), np.searchsorted(hashed[order], np.arange(buckets + 1))
+            name = f"block-{uuid.uuid4().hex}"
+            with files.open_output_stream(f"{base}/{name}") as sink:
+                sink.write(_join(_table_bytes(pa.table({"doc_id": b.column("doc_id"), "words": pa.array(count, pa.int64())})), pack(number, _planes(number)), pack(order, _planes(order))))
+            used = [k for k in range(buckets) if parts[k] < parts[k + 1]] or [0]
+            payload = [_pack_words(words.slice(int(parts[k]), int(parts[k + 1] - parts[k]))) for k in used]
+            columns = [pa.array([block] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([f"{folder}/{name}"] * len(used)), pa.array(payload, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "path", "payload"])
+            block += 1
+
+    return docs.mapInArrow(run, _BLOCKS)
+
+
+def _table_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _read_block(path: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    files, name = pyarrow.fs.FileSystem.from_uri(path)
+    with files.open_input_file(name) as source:
+        table, number, order = _split(source.read())
+    return pa.ipc.open_stream(table).read_all(), unpack(number), unpack(order)
 
 
 def _encode_buckets(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(block, payload): the numbers of a block's words and their ids, a row for each block and bucket."""
+    """(block, bucket, path, payload): the ids of a block's words, a row for each block and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table, bucket = vocabulary.encoder(), None, None
@@ -225,54 +268,46 @@ def _encode_buckets(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for own, blob in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist()):
                 if own != bucket:
                     table, bucket = WordTable(encode), own
-                n = int.from_bytes(blob[:8], "little")
-                flat, length = table.ids_of(_unpack_words(blob[8 + n :]))
-                sizes, ids = pack(length, _planes(length)), pack(flat, _planes(flat))
-                out.append(b"".join(len(x).to_bytes(8, "little") + x for x in (blob[8 : 8 + n], sizes, ids)))
-            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], names=["block", "payload"])
+                flat, length = table.ids_of(_unpack_words(blob))
+                out.append(_join(pack(length, _planes(length)), pack(flat, _planes(flat))))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), b.column("path"), pa.array(out, pa.binary())], names=["block", "bucket", "path", "payload"])
 
-    return words.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, payload binary")
+    return words.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _BLOCKS)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, block_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, n_tokens, ids (packed numbers: `unpack`), one row per input row; `end_id` is added to each document."""
+def packed_rows(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.Table:
+    """doc_id, n_tokens, ids (packed numbers: `unpack`), a row for each document."""
+    packed = [pack(x, 2 if len(x) and x.max() < 65536 else _planes(x)) for x in ids]
+    return pa.table({"doc_id": doc_ids, "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(packed, pa.binary())})
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, block_bytes: int = 32 << 20, finish: Callable[[pa.Array, list[np.ndarray]], pa.Table] = packed_rows, columns: str = "n_tokens long, ids binary") -> DataFrame:
+    """doc_id, n_tokens, ids (packed), one row per input row; `end_id` is added to each document.
+
+    `finish` makes other rows of a block's document ids and their token ids, in the task that put them together; `columns`
+    are its columns after doc_id. One Python process then serves a task, where a second step behind would take another.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     buckets = min(4096, max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    blocks = stage_table(_blocks(rows, vocabulary.kind == "words", buckets, block_bytes), "blocks", "kind")
-    coded = _encode_buckets(blocks.where("kind = 1").select("block", "bucket", "payload"), vocabulary)
-
-    def assemble(key, sequence: pa.Table, ids: pa.Table) -> pa.Table:
-        sizes, starts, parts, total = None, None, [], 0
-        unpacked = []
-        for blob in ids.column("payload").to_pylist():
-            fields, at = [], 0
-            for _ in range(3):
-                n = int.from_bytes(blob[at : at + 8], "little")
-                fields.append(unpack(blob[at + 8 : at + 8 + n]))
-                at += 8 + n
-            unpacked.append(fields)
-        words = sum(len(f[0]) for f in unpacked)
-        sizes, starts = np.zeros(words, np.int64), np.zeros(words, np.int64)
-        for number, length, flat in unpacked:
-            length = length.astype(np.int64)
-            sizes[number], starts[number] = length, total + np.cumsum(length) - length
-            parts.append(flat)
-            total += len(flat)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        row = sequence.slice(0, 1)
-        number = unpack(row.column("payload")[0].as_py())
-        doc_ids = row.column("doc_ids").combine_chunks().flatten()
-        edges = np.append(0, np.cumsum(row.column("counts").combine_chunks().flatten().to_numpy()))
-        n_tokens, packed = [], []
+    folder = scratch_path(docs.sparkSession, "sequences")
+    blocks = stage_table(_blocks(rows, vocabulary.kind == "words", buckets, block_bytes, folder), "blocks")
+    coded = _encode_buckets(blocks, vocabulary)
+
+    def assemble(key, ids):
+        by_bucket = sorted(zip(ids.column("bucket").to_pylist(), ids.column("payload").to_pylist()))
+        fields = [[unpack(x) for x in _split(blob)] for _, blob in by_bucket]
+        length = np.concatenate([f[0] for f in fields]).astype(np.int64)
+        flat = np.concatenate([f[1] for f in fields])
+        kept, number, order = _read_block(ids.column("path")[0].as_py())
+        sizes, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        sizes[order], starts[order] = length, np.cumsum(length) - length
+        edges = np.append(0, np.cumsum(kept.column("words").to_numpy()))
+        out = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             own = number[a:b]
             got = gather(flat, starts[own], sizes[own])
-            if end_id is not None:
-                got = np.append(got, np.uint32(end_id))
-            n_tokens.append(len(got))
-            packed.append(pack(got, 2 if len(got) and got.max() < 65536 else _planes(got)))
-        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(packed, pa.binary())})
-
-    sequences = blocks.where("kind = 0").select("block", "payload", "doc_ids", "counts")
-    return sequences.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, n_tokens long, ids binary")
+            out.append(got if end_id is None else np.append(got, np.uint32(end_id)))
+        return finish(kept.column("doc_id").combine_chunks(), out)
+
+    return coded.groupBy("block").applyInArrow(assemble, f"doc_id {kind}, {columns}")
