@@ -28,7 +28,13 @@ def strip_fences(raw: Column) -> Column:
 
 
 def variant(text: Column) -> Column:
-    return F.try_parse_json(text)
+    """The whole text as VARIANT, null where it isn't one JSON value.
+
+    Spark's parser stops after the first value. Within brackets and within an object it can't, and no text fits both but a
+    single value.
+    """
+    in_list, in_object = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
+    return F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.k", "variant"))
 
 
 def kind(value: Column) -> Column:

@@ -78,7 +78,7 @@ def nearest_interval(points: DataFrame, spans: DataFrame, at: str, span: tuple[s
     b, a = distance("_before"), distance("_after")
     best = F.when(F.col("_after").isNull() | (b <= a), F.col("_before")).otherwise(F.col("_after"))
     found = found.withColumns({"_best": F.when(F.col("_before").isNull(), F.col("_after")).otherwise(best)})
-    return found.select(*[F.col("_point")[c].alias(c) for c in points.columns], *[F.col("_best")[c].alias(c) for c in values], F.greatest(F.col("_best")[start] - F.col("_t"), F.col("_t") - F.col("_best")[end], F.lit(0.0)).alias("distance"))
+    return found.select(*[F.col("_point")[c].alias(c) for c in points.columns], *[F.col("_best")[c].alias(c) for c in values], F.when(F.col("_best").isNotNull(), F.greatest(F.col("_best")[start] - F.col("_t"), F.col("_t") - F.col("_best")[end], F.lit(0.0))).alias("distance"))
 
 
 def containment_join(children: DataFrame, parents: DataFrame, child_span: tuple[str, str], parent_span: tuple[str, str], on: Sequence[str], child_id: str, prefer: Sequence[Column], width: float) -> DataFrame:
