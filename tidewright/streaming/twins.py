@@ -55,13 +55,13 @@ def carry_forward(events: DataFrame, key: str, at: str, value: str) -> DataFrame
         seen, last = state.get if state.exists else (0, None)
         for rows in batches:
             out = []
-            for t, v in sorted(zip(rows[at], rows[value])):
+            for t, v in sorted(zip(rows[at], rows["_value"])):
                 out.append((names[0], t, seen, last))
                 seen, last = seen + 1, float(v)
             yield pd.DataFrame(out, columns=[key, at, "seen_before", "last_before"])
         state.update((seen, last))
 
-    return events.select(key, at, value).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {at} {kinds[at]}, seen_before long, last_before double", "seen long, last double", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, at, F.col(value).alias("_value")).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {at} {kinds[at]}, seen_before long, last_before double", "seen long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def boundary_scan(events: DataFrame, key: str, at: str, kind: str, starts: Sequence[str], ends: Sequence[str], skip_sec: float = 180.0, least_sec: float = 300.0) -> DataFrame:
