@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import answers, numbers, text
@@ -195,23 +195,31 @@ def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", numbers.certainty(raw).alias("certainty"), numbers.protocol_seconds(raw).alias("seconds"), numbers.nearest_bucket(raw).cast("bigint").alias("bucket"), numbers.percent(F.col("event_id") % 7, F.col("event_id") % 3).alias("percent"))
 
 
+def _money(name: str, digits: int = 12) -> Column:
+    """A price as a decimal, so that sums don't depend on the order of rows."""
+    return F.col(name).cast(f"decimal({digits},2)")
+
+
+def _net() -> Column:
+    return _money("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - _money("l_discount", 4))
+
+
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02'")
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n_lines"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum(_net()).cast("double").alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n_lines"))
 
 
 def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-way join with both filters at the scans; revenue by market segment and year."""
     c, o, li = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     j = c.select("c_custkey", "c_mktsegment").join(o.where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("c_custkey") == F.col("o_custkey")).join(li.select("l_orderkey", "l_extendedprice", "l_discount"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return j.groupBy("c_mktsegment", F.year("o_orderdate").cast("bigint").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n_lines"))
+    return j.groupBy("c_mktsegment", F.year("o_orderdate").cast("bigint").alias("year")).agg(F.sum(_net()).cast("double").alias("revenue"), F.count("*").alias("n_lines"))
 
 
 def nation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
-    return j.rollup("r_name", "n_name").agg(F.count("*").alias("n_customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return j.rollup("r_name", "n_name").agg(F.count("*").alias("n_customers"), F.sum(_money("c_acctbal")).cast("double").alias("balance"))
 
 
 def cube_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +228,7 @@ def cube_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    o = table(spark, sf_dir, "orders").withColumns({"rn": F.row_number().over(w), "prior_price": F.lag("o_totalprice").over(w), "total": F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2), "quart": F.ntile(4).over(w)})
+    o = table(spark, sf_dir, "orders").withColumns({"rn": F.row_number().over(w), "prior_price": F.lag("o_totalprice").over(w), "total": F.sum(_money("o_totalprice")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double"), "quart": F.ntile(4).over(w)})
     return o.where("rn <= 3").select("o_orderkey", "o_custkey", F.col("rn").cast("bigint").alias("rn"), "prior_price", "total", F.col("quart").cast("bigint").alias("quart"))
 
 
@@ -351,13 +359,13 @@ ORACLE_SQL = {
         SELECT o_orderkey, code FROM b WHERE code IS NOT NULL""",
     "number_words": """SELECT event_id, CAST([0.85, 0.35, 0.7, 1.0, 0.0, 0.5, 0.6, 0.5, 0.5, 0.5][event_id % 10 + 1] AS DOUBLE) AS certainty, CAST([0.0, 0.0, 0.7, 7.0, -1.0, 0.0, 0.0, 17.0, 90.0, 0.0][event_id % 10 + 1] AS DOUBLE) AS seconds,
         CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 50][event_id % 10 + 1] AS BIGINT) AS bucket, CASE WHEN event_id % 3 = 0 THEN '0.00%' ELSE printf('%.2f%%', (event_id % 7) / (event_id % 3) * 100.0) END AS percent FROM events""",
-    "pricing_summary": """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n_lines
+    "pricing_summary": """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n_lines
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
-    "segment_revenue": """SELECT c_mktsegment, year(o_orderdate) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_lines
+    "segment_revenue": """SELECT c_mktsegment, year(o_orderdate) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue, count(*) AS n_lines
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' GROUP BY ALL""",
-    "nation_rollup": "SELECT r_name, n_name, count(*) AS n_customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
+    "nation_rollup": "SELECT r_name, n_name, count(*) AS n_customers, CAST(sum(CAST(c_acctbal AS DECIMAL(12,2))) AS DOUBLE) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "cube_status": "SELECT o_orderstatus, o_orderpriority, count(*) AS n_orders, grouping(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
-    "order_ranks": """WITH w AS (SELECT o_orderkey, o_custkey, row_number() OVER w AS rn, lag(o_totalprice) OVER w AS prior_price, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS total, ntile(4) OVER w AS quart
+    "order_ranks": """WITH w AS (SELECT o_orderkey, o_custkey, row_number() OVER w AS rn, lag(o_totalprice) OVER w AS prior_price, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total, ntile(4) OVER w AS quart
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) SELECT * FROM w WHERE rn <= 3""",
     "customers_without_orders": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "priority_sets": """WITH u AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), l AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW'),
