@@ -24,7 +24,9 @@ def slice_rows(df: DataFrame, order: Sequence[str], skip: int = 0, stride: int =
 
 def with_position(df: DataFrame, order: Sequence[str], out: str = "_pos") -> DataFrame:
     """Adds the position of each row in a total order, from 0."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # A given number of partitions isn't coalesced at run time, so both uses below see the same partition numbers.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
     bases = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
