@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, text_key, fp (the 64 bits as a signed long), one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 1 << 20):
+        for b in chunks(batches, "text", 1 << 19):
             data, offsets = text_bytes(b.column("text"))
             fp = majority_bits(*shingle_hashes(data, offsets, shingle, seed))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fp.view(np.int64))], names=["doc_id", "text_key", "fp"])

@@ -30,16 +30,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table, text_or_empty
 from .textarrays import chunks, mixed, sliding_min, span_hashes, text_bytes, word_hashes, word_spans
 
-_CHUNK = 2 << 20
-_MARKS = pa.list_(pa.struct([("start", pa.int32()), ("bits", pa.int64())]))
+_CHUNK = 1 << 19
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,11 +199,15 @@ def strip_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _marked(docs, id_col, text_col, window).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("marks").alias("_marks"))
     keyed = docs.withColumn("_text_key", F.xxhash64(text_or_empty(text_col)))
     joined = keyed.join(found, (keyed[id_col] == found["_id"]) & (keyed["_text_key"] == found["_key"]), "left").drop("_id", "_key", "_text_key")
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def cut(rows: pd.DataFrame) -> pd.Series:
-        parts = pa.Table.from_pandas(rows, preserve_index=False, schema=pa.schema([("text", pa.large_string()), ("marks", _MARKS)])).combine_chunks().to_batches()
-        return pd.Series([x for p in parts for x in cut_texts(p.column(0), p.column(1), window)[2].to_pylist()], dtype=object)
-
-    changed = F.when(F.col("_marks").isNull(), F.col(text_col)).otherwise(cut(F.struct(F.col(text_col).alias("text"), F.col("_marks").alias("marks"))))
-    return joined.withColumn(text_col, changed).drop("_marks")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, text_col, _CHUNK):
+            listed, columns = b.column("_marks"), b.columns[:-1]
+            loses = listed.is_valid()
+            if listed.null_count < b.num_rows:
+                kept = cut_texts(columns[place].filter(loses), listed.filter(loses), window)[2]
+                columns[place] = pc.replace_with_mask(columns[place], loses, kept.cast(columns[place].type))
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return joined.mapInArrow(cut, docs.schema)

@@ -33,8 +33,8 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of `column`, joined or cut as needed."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of `column` and at most `rows` rows, joined or cut as needed."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -42,7 +42,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         _, offsets = text_bytes(batch.column(column))
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + limit - size, side="right")) - 1
-            end = min(batch.num_rows, max(end, start + (not held)))
+            end = min(batch.num_rows, max(end, start + (not held)), start + rows - sum(len(h) for h in held))
             if end > start:
                 held.append(batch.slice(start, end - start))
                 size += int(offsets[end] - offsets[start])

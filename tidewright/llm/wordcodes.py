@@ -226,7 +226,7 @@ def _blocks(docs: DataFrame, drop_white: bool, buckets: int, block_bytes: int, f
         files, base = pyarrow.fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
         block = TaskContext.get().partitionId() << 32
-        for b in chunks(batches, "text", block_bytes):
+        for b in chunks(batches, "text", block_bytes, 1 << 20):
             number, words, count = words_of(b.column("text"), drop_white)
             hashed = np.fromiter((zlib.crc32(w) % buckets for w in words.to_pylist()), np.int32, len(words))
             # Words go out in order of bucket and bytes, which packs well; the block keeps that order of its numbers.
