@@ -32,6 +32,13 @@ def test_quality_edges(spark, odd_docs, odd_rows, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == sum(r.predicted for r in got)
 
 
+def test_terms_of_a_text_do_not_depend_on_its_neighbours(odd_rows):
+    texts = [t for _, t in odd_rows]
+    together = quality.term_counts(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert (quality.term_counts(pa.array([t], pa.string()))[0] == together[i]).all()
+
+
 def test_quality_votes_match_a_plain_loop():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["aa", "bb", "cc dd", "E!!", "ff.", "|"], 12)) for _ in range(80)]

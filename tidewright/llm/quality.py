@@ -7,7 +7,7 @@ Each text's vector is compared with every labelled vector, block by block, exact
 similar vote with weights that grow with similarity.
 
 Broadcast: the labelled vectors and the projection. Both are bounded by `sample_rows`, `TERMS` and `dims` whatever the
-corpus: 3,000 x 64 and 3,072 x 64 numbers of 4 bytes, 2 MB.
+corpus: 3,000 x 64 and 3,072 x 64 numbers of 8 bytes, 3 MB.
 
 Contract of `score`: one row per input row.
 * null and empty texts have no terms, are like no labelled text, and score the labelled set's mean label.
@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from .textarrays import chunks, gram_buckets, text_bytes, word_hashes, word_span
 
 GRAMS, PATTERNS = 2560, 512
 TERMS = GRAMS + PATTERNS
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def _kinds() -> np.ndarray:
@@ -68,7 +67,8 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     shape = (np.minimum(marks, 3) * 4 + np.minimum(capitals, 3)) * 5 + last  # up to 80
     for base, value in ((0, shape), (80, 16 * (first == 1) + length), (112, same + 2 * same2), (116, np.minimum(marks, 7))):
         out[:, GRAMS : GRAMS + 256] += np.bincount(owner * 256 + base + value, minlength=n * 256).reshape(n, 256).astype(np.float32)
-    pair = np.append(0, shape[:-1]) * 31 + shape
+    follows = np.append(False, owner[1:] == owner[:-1])  # the word before is of the same text
+    pair = np.where(follows, np.append(0, shape[:-1]), 0) * 31 + shape
     hashed = 256 + (pair * 2654435761 >> 7) % 256
     out[:, GRAMS + 256 :] += np.bincount(owner * 256 + hashed - 256, minlength=n * 256).reshape(n, 256).astype(np.float32)
     return out
@@ -91,7 +91,7 @@ class LatentVotes:
         for _ in range(2):
             basis, _ = np.linalg.qr(x @ (x.T @ np.linalg.qr(basis)[0]))
         _, _, vt = np.linalg.svd(basis.T @ x, full_matrices=False)
-        self.space = np.ascontiguousarray(vt[:dims].T)
+        self.space = np.ascontiguousarray(vt[:dims].T, np.float64)
         self.vectors = self._unit(x @ self.space)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
@@ -110,11 +110,12 @@ class LatentVotes:
         k = min(self.neighbours, len(self.labels))
         for a in range(0, len(has), block):
             rows = has[a : a + block]
-            cosine = self._unit(self._weighted(counts[rows]) @ self.space) @ self.vectors.T
+            # Rounded, so that a text's neighbours don't depend on the texts beside it in a batch.
+            cosine = np.round(self._unit(self._weighted(counts[rows]) @ self.space) @ self.vectors.T, 9)
             best = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             near = np.take_along_axis(cosine, best, axis=1).astype(float)
             weight = np.exp(self.sharpness * (near - near.max(axis=1, keepdims=True)))
-            out[rows] = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+            out[rows] = np.round((weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1), 9)
         return np.clip(out, 0, 1)
 
 
@@ -153,7 +154,7 @@ def score(docs: DataFrame, model: LatentVotes, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", _CHUNK):
-            values = np.concatenate([shared.value.score(term_counts(part.column("text"))) for part in (b.slice(a, 512) for a in range(0, b.num_rows, 512))])
+            values = shared.value.score(term_counts(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values)], names=["doc_id", "score"])
 
     found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -164,9 +165,8 @@ def keep_good(docs: DataFrame, model: LatentVotes, text_col: str = "text", thres
     """The rows of `docs` that score `threshold` or more, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        parts = [shared.value.score(term_counts(pa.array(texts.iloc[a : a + 256], pa.large_string()))) for a in range(0, len(texts), 256)]
-        return pd.Series(np.concatenate(parts) if parts else [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, text_col, _CHUNK):
+            yield b.filter(pa.array(shared.value.score(term_counts(b.column(text_col))) >= threshold))
 
-    return docs.where(scored(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= threshold)
+    return docs.mapInArrow(run, docs.schema)
