@@ -8,7 +8,7 @@ Anchors are thinned without loss: of the short windows within a long one, the on
 long windows hold equal short ones, so they choose the same. Neighbouring long windows mostly share their choice; such a
 row of windows is a *run*, known by its anchor and a hash of all its words.
 
-1. `_runs` gives a row for each run, about one for twenty words. Nothing else of the text is shuffled.
+1. `_runs` gives a row for each distinct run of a document, about one for twenty words. Nothing else of the text is shuffled.
 2. Anchors in two or more documents survive (partial aggregates). Their runs are written to the shared folder.
 3. A run that begins whole in a smaller document is settled. Where an anchor has several runs - the edges of a repeat - each
    distinct run is extended to its full windows, once, from the smallest document that holds it.
@@ -79,13 +79,19 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
             codes, owner, begin = _words(b.column("text"))
             anchor, whole, first, count = runs_of(codes, owner, window)
             row = owner[first]
-            ids = pa.array(row)
+            # A text that repeats itself has the same run many times over: one row with all its places.
+            order = np.lexsort((first, whole, row))
+            row, whole, anchor, first, count = row[order], whole[order], anchor[order], first[order], count[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (whole[1:] != whole[:-1]))[: len(row)]
+            one = np.flatnonzero(new)
+            starts = pa.ListArray.from_arrays(pa.array(np.append(one, len(row)).astype(np.int32)), pa.array((first - begin[row]).astype(np.int32)))
+            ids = pa.array(row[one])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(ids), b.column("text_key").take(ids), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first - begin[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["doc_id", "text_key", "anchor", "run", "start", "n"],
+                [b.column("doc_id").take(ids), b.column("text_key").take(ids), pa.array(anchor[one].view(np.int64)), pa.array(whole[one].view(np.int64)), starts, pa.array(count[one].astype(np.int32))],
+                names=["doc_id", "text_key", "anchor", "run", "starts", "n"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, anchor long, run long, start int, n int")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, anchor long, run long, starts array<int>, n int")
 
 
 def _windows(firsts: DataFrame, docs: DataFrame, window: int) -> DataFrame:
@@ -115,14 +121,14 @@ def _windows(firsts: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 
 
 def marks(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_key, start, bits): bit k says that the window at word start + k goes. docs: doc_id, text_key, text."""
+    """(doc_id, text_key, starts, bits): bit k says that the windows at words start + k go. docs: doc_id, text_key, text."""
     every = _runs(docs, window).where("doc_id is not null")
     ends = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("run").alias("r1"), F.max("run").alias("r2"))
     repeated = ends.where("lo < hi").select("anchor", (F.col("r1") != F.col("r2")).alias("several"))
     found = stage_table(every.join(repeated, "anchor"), "repeated_anchors")
     least = found.groupBy("anchor", "run").agg(F.min("doc_id").alias("lo"), F.first("several").alias("several"))
     firsts = found.where("several").join(least.where("several").select("anchor", "run", F.col("lo").alias("doc_id")), ["anchor", "run", "doc_id"], "left_semi")
-    firsts = firsts.groupBy("anchor", "run", "doc_id").agg(F.min(F.struct("text_key", "start", "n")).alias("at")).select("anchor", "run", "doc_id", "at.*")
+    firsts = firsts.groupBy("anchor", "run", "doc_id").agg(F.min(F.struct("text_key", F.get("starts", 0).alias("start"), "n")).alias("at")).select("anchor", "run", "doc_id", "at.*")
     windows = stage_table(_windows(firsts, docs, window), "windows")
     smallest = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"))
     late = windows.join(smallest, ["anchor", "win"]).where("lo < doc_id")
@@ -130,7 +136,7 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
     settled = least.join(late, ["anchor", "run"], "left")
     bits = F.when(F.col("lo") < F.col("doc_id"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.coalesce("late_bits", F.lit(0).cast("bigint")))
     out = found.join(settled.select("anchor", "run", "lo", "late_bits"), ["anchor", "run"])
-    return out.select("doc_id", "text_key", "start", bits.alias("bits")).where("bits <> 0")
+    return out.select("doc_id", "text_key", "starts", bits.alias("bits")).where("bits <> 0")
 
 
 def covered(words: int, start: np.ndarray, bits: np.ndarray, window: int) -> np.ndarray:
@@ -148,7 +154,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     if not 8 <= window <= 80:
         raise ValueError("a run's windows are one long of bits: window must be 8 to 80 words")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return marks(rows, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
+    return marks(rows, window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("starts", "bits")).alias("marks"))
 
 
 def cut_texts(texts: pa.Array, listed: pa.ListArray, window: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -160,10 +166,12 @@ def cut_texts(texts: pa.Array, listed: pa.ListArray, window: int) -> tuple[np.nd
     gone = np.zeros(len(start), bool)
     edges, flat = listed.offsets.to_numpy(), listed.flatten()
     first = edges[0] if len(edges) else 0
-    at, bits = flat.field("start").to_numpy(), flat.field("bits").to_numpy()
+    places = flat.field("starts")
+    at, ends = places.flatten().to_numpy().astype(np.int64), np.append(0, np.cumsum(np.diff(places.offsets.to_numpy())))
+    bits = np.repeat(flat.field("bits").to_numpy(), np.diff(ends))
     for r in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)).tolist():
-        own = slice(edges[r] - first, edges[r + 1] - first)
-        gone[begin[r] : begin[r + 1]] = covered(begin[r + 1] - begin[r], at[own].astype(np.int64), bits[own], window)
+        own = slice(ends[edges[r] - first], ends[edges[r + 1] - first])
+        gone[begin[r] : begin[r + 1]] = covered(begin[r + 1] - begin[r], at[own], bits[own], window)
     kept = ~gone
     s, e, o = start[kept], end[kept], owner[kept]
     last = np.append(o[1:] != o[:-1], True) if len(o) else np.zeros(0, bool)
