@@ -43,7 +43,7 @@ def write_flat(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str
         files.create_dir(base, recursive=True)
         encode = vocabulary.encoder()
         words = WordTable(encode)
-        for b in chunks(batches, "text", _CHUNK):
+        for b in chunks(batches, "text", _CHUNK, 1 << 20):
             path = f"tokens-{uuid.uuid4().hex}.bin"
             if len(words.known) > _CACHE_WORDS:
                 words = WordTable(encode)
@@ -103,4 +103,5 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, end_id: int, id_col: s
     """doc_id and n_tokens (with the end id) of each row: token files written, then counted by the scan."""
     order = write_flat(docs, vocabulary, end_id, None, id_col, text_col, width)
     counted = scan(order.select("path", "bytes").distinct(), end_id, width)
-    return order.join(counted.where("closed"), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # Paths repeat and pack well, so the order table's files look small enough to broadcast while its rows aren't.
+    return order.join(counted.where("closed").hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")
