@@ -75,11 +75,17 @@ class MergeIndex:
         return self.level.where("group_size > 1").select("digest")
 
 
-def verified_groups(index: MergeIndex, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Groups of hits after comparison of their whole texts: digest, check, keep, group_size."""
+def verified_groups(index: MergeIndex, docs: DataFrame, id_col: str, text_col: str, salts: int = 32) -> DataFrame:
+    """Groups of hits after comparison of their whole texts: digest, check, keep, group_size.
+
+    Rows of one digest are dealt by their id to `salts` tasks, each of which compares and folds its share; what the shares
+    leave, a row for each task and text, is compared again as a whole.
+    """
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"), F.char_length(text_or_empty(text_col)).alias("n_points"))
-    texts = texts.withColumn("digest", F.sha2("norm", 256)).join(index.hits(), "digest", "left_semi")
-    whole = texts.groupBy("digest", "norm").agg(_keeper(), F.count("*").alias("group_size"))
+    texts = texts.withColumns({"digest": F.sha2("norm", 256), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")})
+    wanted = index.hits().select("digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    shares = texts.join(wanted, ["digest", "salt"], "left_semi").groupBy("digest", "salt", "norm").agg(_keeper(), F.count("*").alias("n"))
+    whole = shares.groupBy("digest", "norm").agg(F.min("keep").alias("keep"), F.sum("n").alias("group_size"))
     groups = whole.select("digest", F.xxhash64("norm").alias("check"), "keep", "group_size")
     once = groups.groupBy("digest", "check").agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"), F.count("*").alias("n_texts"))
     alone = F.when(F.col("n_texts") > 1, F.raise_error(F.lit("two texts share both hashes; take a longer digest"))).otherwise(F.col("group_size"))
