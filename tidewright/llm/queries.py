@@ -20,7 +20,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = Vocabulary("words", public_tokenizers.path("word_bpe_49k.json"))
+    words = Vocabulary("words", public_tokenizers.path("word_bpe_49k.json"), added=True)
     return packing.pack_documents(table(spark, sf_dir, "documents"), words, end_id=1, capacity=2048).placed()
 
 
@@ -30,7 +30,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = Vocabulary("bytes", public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = Vocabulary("bytes", public_tokenizers.path("byte_bpe_50k.json"), added=True)
     manifest = sstable.write(table(spark, sf_dir, "documents"), tokens, end_id=0)
     return sstable.with_crc(sstable.read(manifest)).select("doc_id", "start", "n_tokens", "ids_crc32")
 

@@ -18,9 +18,10 @@ Contract of `encode`: one row per input row, in no order.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,23 @@ class Vocabulary:
 
     kind "tiktoken": ranks of a byte-level BPE and its split pattern. kind "bytes": a tokenizers file of byte-level BPE.
     kind "words": a tokenizers file that drops white space and lower-cases. The file is read where tasks run.
+    With `added`, strings of added tokens in a text are those tokens, as the library has it by default; without, they are
+    ordinary text.
     """
 
-    def __init__(self, kind: str, path: str, pattern: str = ""):
-        self.kind, self.path, self.pattern = kind, path, pattern
+    def __init__(self, kind: str, path: str, pattern: str = "", added: bool = False):
+        self.kind, self.path, self.pattern, self.added = kind, path, pattern, added
+
+    def whole(self) -> list[bytes]:
+        """The strings that stay whole as words of their own."""
+        if not self.added:
+            return []
+        from tokenizers import Tokenizer
+
+        tokens = Tokenizer.from_file(self.path).get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens):
+            raise ValueError("added tokens that take in white space or are normalized can't be cut out as words")
+        return [t.content.encode() for t in tokens]
 
     def encoder(self) -> Callable[[list[str]], list[list[int]]]:
         if self.kind == "tiktoken":
@@ -67,40 +81,63 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer.encode_special_tokens = not self.added
         return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def cut_words(data: np.ndarray, offsets: np.ndarray, drop_white: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(data: np.ndarray, offsets: np.ndarray, whole: Sequence[bytes]) -> list[tuple[int, int]]:
+    """Where texts hold these strings: leftmost first, the longest at one place, never across two texts."""
+    joined = data.tobytes()
+    if not any(w in joined for w in whole):
+        return []
+    found = re.compile(b"|".join(re.escape(w) for w in sorted(whole, key=len, reverse=True)))
+    return [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in found.finditer(joined, a, b)]
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray, drop_white: bool, whole: Sequence[bytes] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, word edges (one more than words) and number of words of each text.
 
     A word is a run of white space and what follows up to the next; marks after a letter begin a word of their own. The
     patterns of both kinds of vocabulary begin a match there in any case. With `drop_white`, white space is left out and
-    capitals before an ASCII byte are lower-cased, which such vocabularies do themselves.
+    capitals before an ASCII byte are lower-cased, which such vocabularies do themselves. Strings of `whole` are words of
+    their own, and what follows one begins a word.
     """
     if not len(data):
         return data, np.zeros(1, np.int64), np.zeros(len(offsets) - 1, np.int64)
     white = _WHITE[data]
     edge = np.zeros(len(data), bool)
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+    spans = _spans(data, offsets, whole)
     if drop_white:
         edge[1:] = ~white[1:] & (white[:-1] | (_LETTER[data[:-1]] & _MARK[data[1:]]))
         edge[begins] = ~white[begins]
+        _hold(edge, spans, ~white)
         kept = ~white
         place = np.cumsum(kept) - kept
         capital = (data >= 65) & (data <= 90)
         capital[:-1] &= data[1:] < 128
+        for a, b in spans:
+            capital[a:b] = False
         edges = np.append(place[edge], int(kept.sum()))
         data = (data + np.where(capital, 32, 0).astype(np.uint8))[kept]
     else:
         edge[1:] = (white[1:] & ~white[:-1] & ~_wide_white_end(data)[:-1]) | (_LETTER[data[:-1]] & _MARK[data[1:]])
         edge[begins] = True
+        _hold(edge, spans, np.ones(len(data), bool))
         edges = np.append(np.flatnonzero(edge), len(data))
     # In either case a text's words are those whose edges lie among its bytes.
     count = np.add.reduceat(np.append(edge, False).astype(np.int64), np.minimum(offsets[:-1], len(edge)))
     return data, edges, np.where(offsets[:-1] < offsets[1:], count, 0)
 
 
+def _hold(edge: np.ndarray, spans: list[tuple[int, int]], may_begin: np.ndarray) -> None:
+    """Makes each span one word, and lets a word begin behind it where one may."""
+    for a, b in spans:
+        edge[a], edge[a + 1 : b] = True, False
+        if b < len(edge):
+            edge[b] = may_begin[b]
+
+
 def _wide_white_end(data: np.ndarray) -> np.ndarray:
     """Where a byte ends white space beyond ASCII, or a control character that some libraries count as white space."""
     end = (data >= 0x1C) & (data <= 0x1F)
@@ -124,13 +161,13 @@ def distinct_words(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
     return rank[number], known.take(pa.array(order))
 
 
-def words_of(texts: pa.Array, drop_white: bool, part_bytes: int = 2 << 20) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def words_of(texts: pa.Array, drop_white: bool, part_bytes: int = 2 << 20, whole: Sequence[bytes] = ()) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Word numbers and distinct words of all texts, and the number of words of each; cut in parts, to hold less at once."""
     data, offsets = text_bytes(texts)
     parts, counts, row = [], [], 0
     while row < len(texts):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + part_bytes, side="right")) - 1)
-        own, edges, count = cut_words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], drop_white)
+        own, edges, count = cut_words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], drop_white, whole)
         parts.append((own, edges))
         counts.append(count)
         row = end
@@ -215,7 +252,7 @@ class WordTable:
 _BLOCKS = "block long, bucket int, path string, payload binary"
 
 
-def _blocks(docs: DataFrame, drop_white: bool, buckets: int, block_bytes: int, folder: str) -> DataFrame:
+def _blocks(docs: DataFrame, vocabulary: Vocabulary, buckets: int, block_bytes: int, folder: str) -> DataFrame:
     """(block, bucket, path, payload): the distinct words of each block by bucket; what the block keeps is in the file `path`.
 
     The file holds document ids, words of each, word numbers by position and the order in which the words went out. Its
@@ -225,9 +262,10 @@ def _blocks(docs: DataFrame, drop_white: bool, buckets: int, block_bytes: int, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pyarrow.fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
+        drop_white, whole = vocabulary.kind == "words", vocabulary.whole()
         block = TaskContext.get().partitionId() << 32
         for b in chunks(batches, "text", block_bytes, 1 << 20):
-            number, words, count = words_of(b.column("text"), drop_white)
+            number, words, count = words_of(b.column("text"), drop_white, whole=whole)
             hashed = np.fromiter((zlib.crc32(w) % buckets for w in words.to_pylist()), np.int32, len(words))
             # Words go out in order of bucket and bytes, which packs well; the block keeps that order of its numbers.
             order = pc.sort_indices(pa.table({"b": hashed, "w": words}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
@@ -291,7 +329,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     kind = rows.schema["doc_id"].dataType.simpleString()
     buckets = min(4096, max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     folder = scratch_path(docs.sparkSession, "sequences")
-    blocks = stage_table(_blocks(rows, vocabulary.kind == "words", buckets, block_bytes, folder), "blocks")
+    blocks = stage_table(_blocks(rows, vocabulary, buckets, block_bytes, folder), "blocks")
     coded = _encode_buckets(blocks, vocabulary)
 
     def assemble(key, ids):
