@@ -31,8 +31,10 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def odd_docs(spark, odd_rows):
     """The same rows among columns whose names clash with those that operators use inside."""
-    extra = [(i, t, "x", 7, i, "fp", 1.5) for i, t in odd_rows]
-    return spark.createDataFrame(extra, "doc_id long, text string, digest string, n int, block long, keep string, score double").repartition(3)
+    names = ("digest", "_digest", "text_key", "_text_key", "marks", "_marks", "_id", "_key", "marked_id", "marked_key", "points", "_points", "keep", "kept", "stay_id", "fp", "root", "anchor", "run", "norm", "salt")
+    extra = [(i, t, *("x" for _ in names), 7, i, 1.5) for i, t in odd_rows]
+    schema = "doc_id long, text string, " + "".join(f"{c} string, " for c in names) + "n int, block long, score double"
+    return spark.createDataFrame(extra, schema).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -68,6 +68,31 @@ def test_runs_cover_each_window_once(codes, window):
     assert not len(count) or count.max() < 64
 
 
+def thue_morse(flip):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
+
+
+def test_windows_that_only_a_weak_hash_calls_equal(spark):
+    """Words, and sequences of words, whose polynomial hashes modulo 2**64 agree, differ in one place or in order alone."""
+    start = [f"w{i}" for i in range(49)]
+    long = [" ".join([*start, thue_morse(k)]) for k in (0, 1)]
+    orders = [" ".join(["x", "y"][(i.bit_count() + k) % 2] for i in range(64)) for k in (0, 1)]
+    rows = list(enumerate([*long, *orders]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated(docs, window=50).collect()} == {d: gone for d, _, gone, _ in brute_substring(rows, 50)} == dict.fromkeys(range(4), 0)
+
+
+def test_levels_double():
+    assert substring_dedup.levels(50) == [13, 26, 50] and substring_dedup.levels(12) == [3, 6, 12] and substring_dedup.levels(80) == [20, 40, 80]
+
+
+@pytest.mark.parametrize("window", [50, 12])
+def test_substring_of_the_given_tables(spark, sf, window):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = substring_dedup.remove_repeated(spark.read.parquet(f"{sf}/documents.parquet"), window=window).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_substring(rows, window)
+
+
 def test_exact_matches_brute_force(odd_docs, odd_rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = defaultdict(list)

@@ -75,3 +75,13 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """These names, with underscores before where `columns` has them already; Spark's names know no case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

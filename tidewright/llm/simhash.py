@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table, text_or_empty
-from .textarrays import chunks, text_bytes, word_spans
+from .textarrays import chunks, spaced_words, text_bytes, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,26 +38,16 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, seed: int)
     start, end, owner = word_spans(data, offsets)
     texts = len(offsets) - 1
     words = np.bincount(owner, minlength=texts)
-    length = end - start
-    at = np.zeros(len(start) + 1, np.int64)  # where each word begins once one space parts all words
-    np.cumsum(length + 1, out=at[1:])
-    joined = np.full(int(at[-1]), 32, np.uint8)
-    inside = np.repeat(at[:-1] - start, length) + (source := _ranges(start, length))
-    joined[inside] = _LOWER[data[source]]
+    joined, at = spaced_words(_LOWER[data], start, end)
     first_word = np.cumsum(words) - words
     count = np.where(words > 0, np.maximum(words - size + 1, 1), 0)
     first = np.repeat(first_word - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     last = np.minimum(first + size, np.repeat(first_word + words, count)) - 1
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(view[a:b], seed) for a, b in zip(at[first].tolist(), (at[last] + length[last]).tolist())), np.uint64, len(first))
+    hashes = np.fromiter((digest(view[a:b], seed) for a, b in zip(at[first].tolist(), (at[last + 1] - 1).tolist())), np.uint64, len(first))
     return hashes, count
 
 
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0], start[0]+1, ..., of length[0] numbers, then the same of each next pair."""
-    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-
-
 def majority_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
     """For each text, the bits set in more than half of its hashes, as an unsigned number."""
     out = np.zeros(len(count), np.uint64)

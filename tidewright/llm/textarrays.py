@@ -1,4 +1,4 @@
-"""Array arithmetic over the bytes of a whole batch of texts: words, hashes and hashed n-grams without a loop per word.
+"""Array arithmetic over the bytes of a whole batch of texts: words, hashes and hashed n-grams, nearly without loops per word.
 
 Every function takes plain numpy arrays of one Arrow batch, so memory is bounded by the batch. `chunks` cuts batches to
 a bounded number of bytes; a text longer than that forms a chunk of its own.
@@ -10,13 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-_BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: dict[int, np.ndarray] = {}
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEPS = 8  # 8-byte steps by which words are hashed together; the rest of longer words goes through XXH3
 
 
 def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,16 +60,6 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return table.to_batches()[0]
 
 
-def powers(base: int, size: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64; kept between calls."""
-    known = _powers.get(base)
-    if known is None or len(known) < size:
-        known = np.full(max(size, 1 << 16), base, np.uint64)
-        known[0] = 1
-        known = _powers[base] = np.multiply.accumulate(known)
-    return known[:size]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole value."""
     h = h ^ (h >> np.uint64(31))
@@ -80,11 +69,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of codes[start:end] for each span, from one running sum."""
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * powers(_BASE, len(codes)), out=total[1:])
-    return mixed((total[end] - total[start]) * powers(_INVERSE, len(codes) + 1)[start])
+def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two neighbours from theirs. Mixing comes before and after the sum, so no algebraic identity of sums or products carries over."""
+    return mixed(mixed(left) * np.uint64(0x9E3779B97F4A7C15) + right)
+
+
+def window_hashes(codes: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size, a 64-bit hash of the codes of every window of that many neighbours: doubled lengths, two of which overlap to the size."""
+    tables, have = [codes], 1
+    while 2 * have <= max(sizes):
+        tables.append(joined_hash(tables[-1][: len(tables[-1]) - have], tables[-1][have:]) if len(tables[-1]) > have else codes[:0])
+        have *= 2
+    out = []
+    for size in sizes:
+        half = tables[size.bit_length() - 1]
+        rest = size - (1 << size.bit_length() - 1)
+        out.append(joined_hash(half[: len(half) - rest], half[rest:]) if rest and len(half) > rest else half[: len(half) * (not rest)])
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +103,47 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE_CODES[data], start, end)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word: 8 bytes a step, mixed after each."""
+    length = end - start
+    out = mixed(length.astype(np.uint64) + np.uint64(seed << 32))
+    if not len(start):
+        return out
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    for step in range(_STEPS):
+        left = length - 8 * step
+        own = slice(None) if not step else np.flatnonzero(left > 0)
+        if step and not len(own):
+            break
+        value = np.ascontiguousarray(eight[start[own] + 8 * step]).view("<u8").ravel() & _LOW_BYTES[np.minimum(left[own], 8)]
+        out[own] = joined_hash(out[own], value)
+    view = memoryview(np.ascontiguousarray(data))
+    for w in np.flatnonzero(length > 8 * _STEPS).tolist():
+        out[w] ^= np.uint64(xxhash.xxh3_64_intdigest(view[start[w] : end[w]], seed))
+    return out
+
+
+def spaced_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with one space after each, and where each word begins there (one place more than words)."""
+    length = end - start
+    at = np.append(0, np.cumsum(length + 1))
+    out = np.full(int(at[-1]), 32, np.uint8)
+    source = ranges(start, length)
+    out[np.repeat(at[:-1] - start, length) + source] = data[source]
+    return out, at
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ..., of length[0] numbers, then the same of each next pair."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def span_digests(spaced: np.ndarray, at: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of XXH3-128 over the bytes of `words` words from word `first`, joined by one space."""
+    view, digest = memoryview(spaced), xxhash.xxh3_128_digest
+    whole = b"".join([digest(view[a : b - 1]) for a, b in zip(at[first].tolist(), at[first + words].tolist())])
+    halves = np.frombuffer(whole, "<i8").reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
