@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewright.llm import exact_dedup, simhash, substring_dedup
 
@@ -93,12 +94,13 @@ def test_substring_of_the_given_tables(spark, sf, window):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_substring(rows, window)
 
 
-def test_exact_matches_brute_force(odd_docs, odd_rows):
+@pytest.mark.parametrize("filter_bytes", [32 << 20, 0])
+def test_exact_matches_brute_force(odd_docs, odd_rows, filter_bytes):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = defaultdict(list)
     for d, t in odd_rows:
         groups[norm(t)].append((-len(t or ""), d is None, d or 0, d))
-    got = exact_dedup.dedup(odd_docs).collect()
+    got = exact_dedup.dedup(odd_docs, filter_bytes=filter_bytes).collect()
     want, kept_groups = Counter(), set()
     for d, t in odd_rows:
         own = groups[norm(t)]
@@ -111,11 +113,25 @@ def test_exact_matches_brute_force(odd_docs, odd_rows):
     assert len(kept_groups) == len(groups)
 
 
-def test_exact_keep_one(odd_docs, no_docs):
-    kept = exact_dedup.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert kept.count() == exact_dedup.dedup(odd_docs).where("kept").count()
-    assert exact_dedup.dedup(no_docs).count() == 0
+@pytest.mark.parametrize("filter_bytes", [32 << 20, 0])
+def test_exact_keep_one(odd_docs, no_docs, filter_bytes):
+    kept = exact_dedup.keep_one(odd_docs, filter_bytes=filter_bytes)
+    assert kept.columns == odd_docs.columns and kept.schema == odd_docs.schema
+    want = exact_dedup.dedup(odd_docs).where("kept").select("doc_id", "n_points")
+    got = kept.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"))
+    assert Counter(got.collect()) == Counter(want.collect())
+    assert exact_dedup.dedup(no_docs).count() == 0 and exact_dedup.keep_one(no_docs).count() == 0
+
+
+def test_filter_of_hits_moves_few_others(spark):
+    rows = [(i, f"text {i}") for i in range(4000)] + [(4000 + i, f"text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.MergeIndex(spark)
+    index.flush(docs)
+    index.compact()
+    marked = index.filtered(docs.withColumn("d", exact_dedup.digest_of()), "d", "maybe").where("maybe").select("doc_id").collect()
+    ids = {r.doc_id for r in marked}
+    assert ids >= {*range(200), *range(4000, 4200)} and len(ids) < 400 + 4000 // 8
 
 
 def test_exact_index_merges_runs(spark, odd_docs):
