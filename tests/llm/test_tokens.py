@@ -11,9 +11,10 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewright.llm import bpe, packing, sstable, token_counts
+from tidewright.llm import bpe, packing, queries, sstable, token_counts
 from tidewright.llm.textarrays import text_bytes
 from tidewright.llm.wordcodes import Vocabulary, cut_words, pack, unpack
 
@@ -73,8 +74,8 @@ def test_bpe_round_trip(odd_docs, odd_rows, no_docs, tik):
 
 def test_shards(spark, odd_docs, odd_rows, no_docs):
     v = Vocabulary("bytes", BYTES)
-    manifest = sstable.write(odd_docs, v, end_id=0, docs_a_shard=15)
-    assert manifest.count() > 2
+    manifest = sstable.write(odd_docs, v, end_id=0, range_bytes=4_000, shard_bytes=3_000)
+    assert manifest.count() > 5
     got = sorted(sstable.read(manifest).collect(), key=lambda r: r.start)
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((d, tuple(BYTES_OF(t or "")) + (0,)) for d, t in odd_rows)
     assert [r.start for r in got] == np.append(0, np.cumsum([r.n_tokens for r in got]))[:-1].tolist()
@@ -97,6 +98,34 @@ def test_shards(spark, odd_docs, odd_rows, no_docs):
     assert sstable.read(sstable.write(no_docs, v, end_id=0)).count() == 0
 
 
+def test_an_id_that_fills_ranges_is_dealt_out(spark):
+    rows = [(i, f"few words {i}") for i in range(50)] + [(7, f"{'many words ' * 20}{i}") for i in range(300)] + [(None, "none")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bounds = sstable.range_bounds(docs, "doc_id", "text", 4000)
+    assert (bounds == 7).sum() > 3 and (np.diff(bounds) >= 0).all()
+    manifest = sstable.write(docs, Vocabulary("bytes", BYTES), end_id=0, range_bytes=4000)
+    files = [sstable.open_shard(r.path) for r in manifest.orderBy("shard").collect()]
+    assert sum(f.entries for f in files) == len(rows) and max(f.entries for f in files) < 150
+    assert sum(len(f.get(7)) for f in files) == 301
+    got = sorted(sstable.read(manifest).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    assert [r.start for r in got] == np.append(0, np.cumsum([r.n_tokens for r in got]))[:-1].tolist()
+
+
+def test_files_are_read_by_many_tasks(spark, odd_docs):
+    """A task for each file or block, though rows that name them are small and adaptive execution is on."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    tasks = lambda df: df.withColumn("t", F.spark_partition_id()).select("t").distinct().count()
+    manifest = sstable.write(odd_docs, Vocabulary("bytes", BYTES), end_id=0, range_bytes=2_000)
+    assert manifest.count() > 5 and tasks(sstable.read(manifest)) > manifest.count() // 3
+    order = token_counts.write_flat(odd_docs, Vocabulary("bytes", BYTES), 50256)
+    blocks = order.select(F.ceil(F.col("bytes") / 2000).alias("n")).distinct().agg(F.sum("n")).first()[0]
+    assert blocks > 20 and tasks(token_counts.scan(order.select("path", "bytes").distinct(), 50256, block_tokens=1000).where("ordinal >= 0")) >= 1
+    read = token_counts.blocks_of(order.select("path", "bytes").distinct(), 2, 1000)
+    assert tasks(read) > blocks // 3
+
+
 def test_shard_of_many_blocks(tmp_path):
     sink = pyarrow.fs.LocalFileSystem().open_output_stream(str(tmp_path / "x.sst"))
     writer = sstable.ShardWriter(sink, block_bytes=200)
@@ -140,6 +169,24 @@ def test_scan_stitches_blocks(spark, tmp_path, block):
     assert sorted((r.path, r.ordinal, r.start, r.n_tokens, r.closed) for r in got) == sorted(want)
 
 
+def test_packing_of_the_given_table(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    tokenizer = Tokenizer.from_file(WORDS)
+    want, total = Counter(), 0
+    for d, t in docs:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        total += len(ids)
+        for a in range(0, len(ids), 2048):
+            want[(d, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()), len(ids))] += 1
+    rows = queries.op2_packing(spark, sf).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == by.get(r.sequence_id, 0)
+        by[r.sequence_id] = r.offset + r.length
+    assert max(by.values()) <= 2048 and len(by) * 2048 < 1.03 * total + 2048
+
+
 def test_packing(odd_docs, odd_rows, no_docs):
     v = Vocabulary("words", WORDS)
     packed = packing.pack_documents(odd_docs, v, end_id=1, capacity=256)

@@ -85,3 +85,12 @@ def fresh(columns: list[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def spread(df: DataFrame, items: int, *columns: str, most: int = 20_000) -> DataFrame:
+    """`df` dealt by `columns` to a task for each of `items` things, `most` at most.
+
+    Rows that stand for much work, such as a path to be read, are small themselves; without a number adaptive execution
+    would put all of them into one task.
+    """
+    return df.repartition(max(1, min(items, most)), *columns)

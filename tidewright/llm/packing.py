@@ -31,16 +31,6 @@ from .wordcodes import Vocabulary, encode, unpack
 from .wordcodes import pack as pack_ids
 
 
-def with_crc(rows: DataFrame, id_col: str = "ids") -> DataFrame:
-    """Adds ids_crc32: crc32 of packed ids as little-endian unsigned 32-bit numbers."""
-
-    @F.pandas_udf("long")
-    def crc(ids):
-        return ids.map(lambda x: zlib.crc32(unpack(x).astype("<u4").tobytes()))
-
-    return rows.withColumn("ids_crc32", crc(id_col))
-
-
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """The multiset of available lengths whose sum is the largest up to `room`: counts by length."""
     items = []
@@ -102,14 +92,14 @@ class Plan:
 
 
 class Packed:
-    """pieces: part, piece, doc_id, start, length, doc_tokens, ids (packed). placements: part, piece, sequence_id, offset."""
+    """pieces: part, piece, doc_id, start, length, doc_tokens, ids_crc32, ids (packed). placements: part, piece, sequence_id, offset."""
 
     def __init__(self, pieces: DataFrame, placements: DataFrame, plan: Plan, capacity: int):
         self.pieces, self.placements, self.plan, self.capacity = pieces, placements, plan, capacity
 
     def placed(self) -> DataFrame:
         """The pieces in their sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-        rows = with_crc(self.pieces.select("part", "piece", "doc_id", "start", "length", "doc_tokens", "ids")).drop("ids")
+        rows = self.pieces.select("part", "piece", "doc_id", "start", "length", "doc_tokens", "ids_crc32")
         return rows.join(self.placements, ["part", "piece"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def sequences(self, pad_id: int = 0) -> DataFrame:
@@ -130,7 +120,7 @@ class Packed:
         return grouped.select("sequence_id", "p").mapInArrow(run, "sequence_id long, filled long, ids array<int>")
 
 
-_PIECE = "part long, piece long, start long, length long, rank long, doc_tokens long, ids binary"
+_PIECE = "part long, piece long, start long, length long, rank long, doc_tokens long, ids_crc32 long, ids binary"
 
 
 def cut_pieces(capacity: int) -> Callable[[pa.Array, list[np.ndarray]], pa.Table]:
@@ -146,7 +136,7 @@ def cut_pieces(capacity: int) -> Callable[[pa.Array, list[np.ndarray]], pa.Table
         made.clear()
         made[task.taskAttemptId()] = number + 1
         ranks = np.zeros(capacity + 1, np.int64)
-        row, start, length, rank, total, ids = [], [], [], [], [], []
+        row, start, length, rank, total, crc, ids = [], [], [], [], [], [], []
         for r, own in enumerate(documents):
             for a in range(0, len(own), capacity):
                 part = own[a : a + capacity]
@@ -157,10 +147,11 @@ def cut_pieces(capacity: int) -> Callable[[pa.Array, list[np.ndarray]], pa.Table
                 rank.append(int(ranks[n]))
                 ranks[n] += 1
                 total.append(len(own))
+                crc.append(zlib.crc32(part.astype("<u4").tobytes()))
                 ids.append(pack_ids(part, 2 if part.max() < 65536 else 4))
         long = lambda x: pa.array(x, pa.int64())
         part = np.full(len(row), task.partitionId() << 20 | number)
-        return pa.table({"doc_id": doc_ids.take(long(row)), "part": long(part), "piece": long(np.arange(len(row))), "start": long(start), "length": long(length), "rank": long(rank), "doc_tokens": long(total), "ids": pa.array(ids, pa.binary())})
+        return pa.table({"doc_id": doc_ids.take(long(row)), "part": long(part), "piece": long(np.arange(len(row))), "start": long(start), "length": long(length), "rank": long(rank), "doc_tokens": long(total), "ids_crc32": long(crc), "ids": pa.array(ids, pa.binary())})
 
     return finish
 

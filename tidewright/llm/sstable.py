@@ -1,6 +1,6 @@
 """Token ids in sorted-string-table shards, looked up by binary search.
 
-A shard holds the documents of one range of ids, in ascending order:
+A shard holds documents of one range of ids, in ascending order; shards of a range follow each other:
 
     data blocks    entries (shared, unshared, value lengths as varints; unshared key bytes; value), about `block_bytes`
                    each; the first key of a block is whole, later ones share a prefix with the key before
@@ -16,7 +16,8 @@ system; the manifest, a Parquet table, lists those of the attempts that succeede
 file that no manifest names.
 
 Contract of `write`/`read`: one entry per input row.
-* null text counts as empty and has the end id alone; rows of equal id each have an entry, ordered by their ids' bytes.
+* null text counts as empty and has the end id alone; rows of equal id each have an entry, ordered by a hash of their ids.
+* a text of any length is one entry; it may exceed a block and the size at which a shard ends.
 * an empty table gives an empty manifest and an empty result; other columns are ignored; ids must be integers.
 """
 
@@ -34,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stage_table
+from .common import scratch_path, spread, stage_table, text_or_empty
 from .wordcodes import Vocabulary, encode, packed_rows, unpack
 
 _MAGIC = b"TWSST001"
 _PROBES, _BITS_A_KEY = 7, 10
+_NULL = -(1 << 63)  # where null ids stand among bounds
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -172,37 +174,52 @@ def open_shard(path: str) -> Shard:
     return Shard(files.open_input_file(name))
 
 
-def shard_bounds(docs: DataFrame, id_col: str, docs_a_shard: int) -> np.ndarray:
-    """Largest ids of all shards but the last, from about 32 ids a shard chosen by hash; they steer sizes alone."""
-    ids = docs.select(F.col(id_col).cast("long").alias("i")).where("i is not null")
-    rows = ids.count()
-    shards = max(1, -(-rows // docs_a_shard))
-    if shards == 1:
+def range_bounds(docs: DataFrame, id_col: str, text_col: str, range_bytes: int, most: int = 1 << 14, a_range: int = 8) -> np.ndarray:
+    """Largest ids of all ranges but the last, ranges having about `range_bytes` of text; an id that fills several is there as often.
+
+    Text sizes of about `a_range` rows a range, chosen by hash, come to the driver: 131,072 rows at the default limits,
+    whatever the corpus. They steer sizes alone.
+    """
+    size = F.octet_length(text_or_empty(text_col)) + 1
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("i"), size.alias("n"), F.xxhash64(id_col, text_col).alias("h"))
+    total = rows.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    ranges = min(most, -(-(total["n"] or 0) // range_bytes))
+    if ranges < 2:
         return np.zeros(0, np.int64)
-    stride = max(1, rows // (32 * shards))
-    sample = sorted(r["i"] for r in ids.where(F.pmod(F.xxhash64("i"), F.lit(stride)) == 0).collect())
-    return np.unique(np.array([sample[len(sample) * k // shards] for k in range(1, shards)], np.int64))
+    stride = max(1, total["rows"] // (a_range * ranges))
+    sample = np.array(sorted((r["i"], r["n"]) for r in rows.where(F.pmod("h", F.lit(stride)) == 0).select("i", "n").collect()), np.int64).reshape(-1, 2)
+    before = np.cumsum(sample[:, 1])
+    return sample[np.searchsorted(before, before[-1:] * np.arange(1, ranges) // ranges), 0] if len(sample) else np.zeros(0, np.int64)
+
+
+def ranges_of(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The range of each row by its id; rows of an id that fills several are dealt out by hash, in ascending order."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    return low + ((hashes >> 31) * np.maximum(high - low, 1) >> 32)
+
 
+def write(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20, shard_bytes: int = 64 << 20) -> DataFrame:
+    """Write all documents' ids as shards; the manifest: shard, path, entries, tokens, start (ids of all shards before).
 
-def write(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", docs_a_shard: int = 8192) -> DataFrame:
-    """Write all documents' ids as shards; the manifest: shard, path, entries, tokens, start (ids of all shards before)."""
+    Ranges of ids are dealt to tasks by their bytes of text; a task begins another shard when one holds `shard_bytes`.
+    """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "sst")
-    bounds = shard_bounds(docs, id_col, docs_a_shard)
+    bounds = range_bounds(docs, id_col, text_col, range_bytes)
 
-    def sharded(ids: pa.Array, tokens: list[np.ndarray]) -> pa.Table:
-        own = np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
-        return packed_rows(ids, tokens).append_column("shard", pa.array(own, pa.int32()))
+    def ranged(ids: pa.Array, tokens: list[np.ndarray]) -> pa.Table:
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(t.tobytes()) >> 1 for t in tokens), np.int64, len(tokens))
+        own = ranges_of(bounds, ids.fill_null(_NULL).to_numpy(zero_copy_only=False), hashes)
+        return packed_rows(ids, tokens).append_column("range", pa.array(own, pa.int32())).append_column("hash", pa.array(hashes))
 
-    source = docs.withColumn(id_col, F.col(id_col).cast("long")).select(id_col, text_col)
-    encoded = encode(source, vocabulary, id_col, text_col, end_id, finish=sharded, columns="n_tokens long, ids binary, shard int")
-    dealt = encoded.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    encoded = encode(source, vocabulary, "doc_id", "text", end_id, finish=ranged, columns="n_tokens long, ids binary, range int, hash long")
+    dealt = spread(encoded, len(bounds) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "hash", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pyarrow.fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        shard = writer = sink = path = None
-        made = []
+        shard, writer, sink, path, made = None, None, None, None, []
 
         def close():
             writer.close()
@@ -210,19 +227,21 @@ def write(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str | No
             made.append({"shard": shard, "path": f"{folder}/{path}", "entries": writer.entries, "tokens": writer.tokens})
 
         for b in batches:
-            for own, doc_id, n, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "ids"))):
-                if own != shard:
+            for own, doc_id, n, ids in zip(*(b.column(c).to_pylist() for c in ("range", "doc_id", "n_tokens", "ids"))):
+                first = own << 32
+                if writer is None or shard < first or writer.at >= shard_bytes:
                     if writer:
                         close()
-                    shard, path = own, f"shard-{own:08d}-{uuid.uuid4().hex}.sst"
+                    shard = first if shard is None or shard < first else shard + 1
+                    path = f"shard-{shard:016x}-{uuid.uuid4().hex}.sst"
                     sink = files.open_output_stream(f"{base}/{path}")
                     writer = ShardWriter(sink)
                 writer.add(key_of(doc_id), ids, n)
         if writer:
             close()
-        yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64())]))
 
-    manifest = stage_table(dealt.mapInArrow(run, "shard int, path string, entries long, tokens long"), "manifest")
+    manifest = stage_table(dealt.mapInArrow(run, "shard long, path string, entries long, tokens long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 
@@ -245,7 +264,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 if doc_ids:
                     yield _rows(doc_ids, starts, lists)
 
-    shards = manifest.select("path", "start").repartition("path")
+    shards = spread(manifest.select("path", "start"), manifest.count(), "path")
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
 
 

@@ -23,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stage_table
+from .common import scratch_path, spread, stage_table
 from .textarrays import chunks
 from .wordcodes import Vocabulary, WordTable, gather, words_of
 
@@ -67,10 +67,15 @@ def write_flat(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str
     return stage_table(rows.mapInArrow(run, f"path string, bytes long, ordinal long, doc_id {kind}"), "order")
 
 
-def scan(files: DataFrame, end_id: int, width: int = 2, block_tokens: int = 1 << 20) -> DataFrame:
-    """path, ordinal, start (token of the file), n_tokens (with the end id), closed, for files (path, bytes)."""
+def blocks_of(files: DataFrame, width: int, block_tokens: int) -> DataFrame:
+    """(path, tokens, first): the blocks of files (path, bytes), each for a task of its own."""
     tokens = F.floor(F.col("bytes") / width).cast("long")
     blocks = files.where(tokens > 0).select("path", tokens.alias("tokens"), F.explode(F.sequence(F.lit(0).cast("long"), tokens - 1, F.lit(block_tokens).cast("long"))).alias("first"))
+    return spread(blocks, blocks.count(), "path", "first")
+
+
+def scan(files: DataFrame, end_id: int, width: int = 2, block_tokens: int = 1 << 20) -> DataFrame:
+    """path, ordinal, start (token of the file), n_tokens (with the end id), closed, for files (path, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,7 +87,7 @@ def scan(files: DataFrame, end_id: int, width: int = 2, block_tokens: int = 1 <<
                 one = lambda x, t: pa.array([x], t)
                 yield pa.RecordBatch.from_arrays([one(path, pa.string()), one(total, pa.int64()), one(first, pa.int64()), one(ends, pa.list_(pa.int64()))], names=["path", "tokens", "first", "ends"])
 
-    found = blocks.repartition("path", "first").mapInArrow(run, "path string, tokens long, first long, ends array<bigint>")
+    found = blocks_of(files, width, block_tokens).mapInArrow(run, "path string, tokens long, first long, ends array<bigint>")
     before = Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
     stitched = found.withColumns({
@@ -102,6 +107,6 @@ def scan(files: DataFrame, end_id: int, width: int = 2, block_tokens: int = 1 <<
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
     """doc_id and n_tokens (with the end id) of each row: token files written, then counted by the scan."""
     order = write_flat(docs, vocabulary, end_id, None, id_col, text_col, width)
-    counted = scan(order.select("path", "bytes").distinct(), end_id, width)
+    counted = scan(stage_table(order.select("path", "bytes").distinct(), "files"), end_id, width)
     # Paths repeat and pack well, so the order table's files look small enough to broadcast while its rows aren't.
     return order.join(counted.where("closed").hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stage_table
+from .common import scratch_path, spread, stage_table
 from .textarrays import chunks, text_bytes
 
 _WHITE = np.zeros(256, bool)
@@ -296,7 +296,7 @@ def _read_block(path: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return pa.ipc.open_stream(table).read_all(), unpack(number), unpack(order)
 
 
-def _encode_buckets(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def _encode_buckets(words: DataFrame, vocabulary: Vocabulary, buckets: int) -> DataFrame:
     """(block, bucket, path, payload): the ids of a block's words, a row for each block and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +310,7 @@ def _encode_buckets(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 out.append(_join(pack(length, _planes(length)), pack(flat, _planes(flat))))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), b.column("path"), pa.array(out, pa.binary())], names=["block", "bucket", "path", "payload"])
 
-    return words.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _BLOCKS)
+    return spread(words, buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _BLOCKS)
 
 
 def packed_rows(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.Table:
@@ -330,7 +330,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     buckets = min(4096, max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     folder = scratch_path(docs.sparkSession, "sequences")
     blocks = stage_table(_blocks(rows, vocabulary, buckets, block_bytes, folder), "blocks")
-    coded = _encode_buckets(blocks, vocabulary)
+    coded = _encode_buckets(blocks, vocabulary, buckets)
 
     def assemble(key, ids):
         by_bucket = sorted(zip(ids.column("bucket").to_pylist(), ids.column("payload").to_pylist()))
@@ -348,4 +348,4 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             out.append(got if end_id is None else np.append(got, np.uint32(end_id)))
         return finish(kept.column("doc_id").combine_chunks(), out)
 
-    return coded.groupBy("block").applyInArrow(assemble, f"doc_id {kind}, {columns}")
+    return spread(coded, blocks.select("block").distinct().count(), "block").groupBy("block").applyInArrow(assemble, f"doc_id {kind}, {columns}")
