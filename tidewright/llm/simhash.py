@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, text_or_empty
+from .common import fresh, stage_table, text_or_empty
 from .textarrays import chunks, spaced_words, text_bytes, word_spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -183,11 +183,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that have the smallest id of their root in `found` (doc_id, text_key, root), one for each root.
+
+    Of rows repeated with equal id and text, one stays; only such rows are grouped after the join.
+    """
+    key, stay_id, stay_key, copies, whole = fresh(docs.columns, "text_key", "stay_id", "stay_key", "copies", "whole_row")
+    counted = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n")).alias("first")
+    stay = counted.groupBy("root").agg(best).select(F.col("first.doc_id").alias(stay_id), F.col("first.text_key").alias(stay_key), F.col("first.n").alias(copies))
+    stay = stage_table(stay, "stay")
+    hit = F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(key) == F.col(stay_key))
+    kept = docs.withColumn(key, F.xxhash64(text_or_empty(text_col))).join(stay, hit)
+    once = kept.where(F.col(copies) == 1).select(*docs.columns)
+    own = F.first(F.struct(*[F.col(c) for c in docs.columns])).alias(whole)
+    repeated = kept.where(F.col(copies) > 1).groupBy(stay_id, stay_key).agg(own).select(f"{whole}.*")
+    return once.unionByName(repeated)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 4) -> DataFrame:
     """The rows of `docs` that have the smallest id of their component (one, if several have it), with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, shingle, bits)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    stay = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    marked = docs.withColumn("_text_key", F.xxhash64(text_or_empty(text_col)))
-    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["_id"]) & (marked["_text_key"] == stay["_key"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle, bits), id_col, text_col)
