@@ -146,6 +146,68 @@ def test_url_model_tells_unseen_hosts():
         url_filter.train(pd.DataFrame({"host": ["a"] * 10_001, "path": [""] * 10_001, "label": [0] * 10_001}))
 
 
+def plain_bucket(gram, half):
+    h = len(gram)
+    for c in gram:
+        h = h * 0x01000193 % 2**32 ^ c
+    h ^= h >> 15
+    h = h * 0x2C1B3C6D % 2**32
+    h ^= h >> 13
+    return half * 2**14 + h % 2**14
+
+
+def plain_features(host, path):
+    found = {}
+    for half, text in enumerate((host, path)):
+        framed = f"^{text}$".encode() if text else b""
+        for n in (2, 3, 4, 5):
+            for i in range(len(framed) - n + 1):
+                b = plain_bucket(framed[i : i + n], half)
+                found[b] = found.get(b, 0) + 1
+    norm = max(1.0, math.sqrt(sum(v * v for v in found.values())))
+    return {b: v / norm for b, v in found.items()}
+
+
+def test_url_model_matches_a_plain_loop():
+    """Features, fit and probabilities against loops over characters and labels."""
+    table = url_filter.labelled_urls("1 win-casino.example/slots\n0 library.example/books\n0 é.example/a/b\n1 pills.example/\n")
+    weights = url_filter.train(table, rounds=40)
+    rows = [plain_features(h, p) for h, p in zip(table.host, table.path)]
+    w, bias, m, v = {}, 0.0, {}, {}
+    names = sorted({b for r in rows for b in r})
+    w = dict.fromkeys([*names, "bias"], 0.0)
+    m, v = dict(w), dict(w)
+    rows_with_bias = [{**r, "bias": 1.0} for r in rows]
+    for t in range(1, 41):
+        g = dict.fromkeys(w, 0.0)
+        for r, y in zip(rows_with_bias, table.label):
+            p = 1 / (1 + math.exp(-sum(w[b] * x for b, x in r.items())))
+            for b, x in r.items():
+                g[b] += (p - y) * x / len(rows)
+        for b in w:
+            g[b] += 1e-3 * w[b]
+            m[b], v[b] = 0.9 * m[b] + 0.1 * g[b], 0.999 * v[b] + 0.001 * g[b] ** 2
+            w[b] -= 0.1 * (m[b] / (1 - 0.9**t)) / (math.sqrt(v[b] / (1 - 0.999**t)) + 1e-8)
+    hosts, paths = ["win-casino.example", "books.example", "", "new.example"], ["/slots", "/", "", "/pills/" + "x" * 300]
+    want = [1 / (1 + math.exp(-(sum(w.get(b, 0.0) * x for b, x in plain_features(h, p).items()) + w["bias"]))) for h, p in zip(hosts, paths)]
+    assert url_filter.probability(weights, pa.array(hosts), pa.array(paths)) == pytest.approx(want, abs=1e-6)
+
+
+def test_url_table_may_be_given(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/x"), (2, "http://b.example/y")], "page_id long, url string")
+    table = spark.createDataFrame([("a.example", "/x", 1), ("b.example", "/y", 0)], "host string, path string, label int")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, labelled=table).collect()} == {1: "block", 2: "allow"}
+
+
+def test_fit_does_not_depend_on_repeats(spark, odd_docs, odd_rows):
+    """Rows repeated under a labelled id, however many, neither push others out of the sample nor train more than once."""
+    some = spark.createDataFrame([(d, i % 2) for i, (d, _) in enumerate(odd_rows) if d is not None and d < 30], "doc_id long, quality int")
+    once = quality.fit(odd_docs, some, sample_rows=10)
+    hot = odd_docs.unionByName(odd_docs.where("doc_id < 30").crossJoin(spark.range(50)).drop("id"))
+    again = quality.fit(hot, some, sample_rows=10)
+    assert np.array_equal(once.vectors, again.vectors) and np.array_equal(once.labels, again.labels)
+
+
 def test_fold(spark):
     df = spark.createDataFrame([(i,) for i in (0, 7, -3, 123456789)], "doc_id long")
     assert [r[0] for r in df.select(quality.fold()).collect()] == [zlib.crc32(str(i).encode()) % 5 for i in (0, 7, -3, 123456789)]

@@ -32,13 +32,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = Vocabulary("bytes", public_tokenizers.path("byte_bpe_50k.json"), added=True)
     manifest = sstable.write(table(spark, sf_dir, "documents"), tokens, end_id=0)
-    return sstable.with_crc(sstable.read(manifest)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return sstable.digests(manifest)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, threshold=0.3).select("doc_id", (quality.fold() == 0).alias("held_out"), "score", "predicted")
+    return quality.score(docs, model, threshold=0.3).select("doc_id", F.coalesce(quality.fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,8 +246,8 @@ def write(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str | No
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids before it in all shards), n_tokens, ids (array of int) from the files of a manifest."""
+def _scanned(manifest: DataFrame, last: str, finish: Callable[[list[np.ndarray]], pa.Array], held_tokens: int = 1 << 19) -> DataFrame:
+    """doc_id, start (ids before it in all shards), n_tokens and what `finish` makes of the ids, from the files of a manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,31 +256,32 @@ def read(manifest: DataFrame) -> DataFrame:
                 for doc_id, ids in open_shard(path).scan():
                     doc_ids.append(doc_id)
                     starts.append(start)
-                    lists.append(ids.astype(np.int32))
+                    lists.append(ids)
                     start, held = start + len(ids), held + len(ids)
-                    if held > 1 << 20:
-                        yield _rows(doc_ids, starts, lists)
+                    if held > held_tokens:
+                        yield rows(doc_ids, starts, lists)
                         doc_ids, starts, lists, held = [], [], [], 0
                 if doc_ids:
-                    yield _rows(doc_ids, starts, lists)
+                    yield rows(doc_ids, starts, lists)
+
+    def rows(doc_ids: list, starts: list, lists: list) -> pa.RecordBatch:
+        long = lambda x: pa.array(x, pa.int64())
+        return pa.RecordBatch.from_arrays([long(doc_ids), long(starts), long([len(x) for x in lists]), finish(lists)], names=["doc_id", "start", "n_tokens", last.split()[0]])
 
     shards = spread(manifest.select("path", "start"), manifest.count(), "path")
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return shards.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
-def _rows(doc_ids: list, starts: list, lists: list) -> pa.RecordBatch:
-    size = [len(x) for x in lists]
-    ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate(lists)))
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(size, pa.int64()), ids], names=["doc_id", "start", "n_tokens", "ids"])
+def read(manifest: DataFrame) -> DataFrame:
+    """doc_id, start (ids before it in all shards), n_tokens, ids (array of int) from the files of a manifest."""
 
+    def arrays(lists: list[np.ndarray]) -> pa.Array:
+        edges = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(lists).astype(np.int32)))
 
-def with_crc(rows: DataFrame) -> DataFrame:
-    """Adds ids_crc32: crc32 of an array of ids as little-endian unsigned 32-bit numbers."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    return _scanned(manifest, "ids array<int>", arrays)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crcs = [zlib.crc32(v.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for v in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+def digests(manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers) from the files of a manifest."""
+    return _scanned(manifest, "ids_crc32 long", lambda lists: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in lists], pa.int64()))
