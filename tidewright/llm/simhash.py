@@ -12,6 +12,7 @@
 Contract of `near_duplicates`: one row per input row.
 * null text counts as empty; no words: fingerprint zero, linked like any other; fewer words than a shingle: one shingle.
 * a null id links like any other but is never the smallest of a component, unless all ids there are null.
+* texts of any length are hashed whole; a long text is a batch of its own.
 * repeated rows and equal ids each give a row; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -150,15 +151,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of an edge reaches; nodes without edges don't occur.
 
     Alternates large-star and small-star steps: all that a node knows is linked to the least of it. Neighbour lists are
-    never gathered, only their minimum, which has partial aggregates; a hub's rows are split by adaptive skew joins.
+    never gathered, only their minimum, which has partial aggregates.
     """
     now = stage_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Minima are written before they meet the edges: both sides of the join are then plain shuffles, and a hub's can be split.
+        low = stage_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage_table(large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large")
+        least = stage_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct()
         after = stage_table(small, "edges")
         # Settled when every node has one edge and no node is both above and below another: all point at roots.
@@ -178,8 +180,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     found = components(links(distinct.select("fp"), bits))
     of = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, "root").select("fp", "root", "component_id")
+    of = stage_table(of, "roots")
+    least = stage_table(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    named = stage_table(of.join(least, "root").select("fp", "root", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
