@@ -47,6 +47,11 @@ def test_ladders(spark):
     assert one(spark, ["不是我", "投他", "hm"], text.reaction_action(F.lit(None).cast("string"), V)) == ["defend", "accuse", "respond"]
 
 
+def test_overclaim_denials_lie_wholly_within_eight_characters(spark):
+    values = ["dead body; cannot xxxx killer", "dead body, not confirm killer", "dead body cannot killer", "body 无法确认杀手", "dead 不能说是凶手", "dead cannot  killer"]
+    assert one(spark, values, text.death_overclaim(V)) == [True, True, False, False, False, False]
+
+
 def test_overclaims(spark):
     values = ["尸体旁的凶手是他", "有尸体，无法确认凶手", "凶手", "dead body, the Killer", "body; cannot name role", None]
     assert one(spark, values, text.death_overclaim(V)) == [True, False, False, True, False, False]

@@ -56,8 +56,8 @@ def test_lookup_overlay_remap(spark):
     assert {(r.id, r.text, r.fixed) for r in patched.collect()} == {("a", "new", 1), ("b", "keep", 2)}
     moved = joins.remap(spark.createDataFrame([("g1", "g1_A"), ("g9", "g9_A")], "g string, p string"), spark.createDataFrame([("g1", "h1")], "g string, n string"), "g", "n", "p")
     assert [(r.g, r.p) for r in moved.collect()] == [("h1", "h1_A")]
-    with pytest.raises(ValueError):
-        joins.grid(rows, spark.range(10_001))
+    for most in (10_000, 3):  # broadcast whole, or in blocks
+        assert sorted((r.id, r.n) for r in joins.grid(rows.select("id"), spark.range(10).withColumnRenamed("id", "n"), most=most).collect()) == [(i, n) for i in "ab" for n in range(10)]
 
 
 def test_subtract_and_tiles(spark):
@@ -143,7 +143,55 @@ def plain_smooth(labels, least):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["x", "y", "unknown"]), max_size=14), st.integers(1, 4))
 def test_smoothing(labels, least):
-    assert folds.smoothed(labels, least) == plain_smooth(labels, least)
+    rows = SMOOTH.setdefault(least, [])
+    rows.append(labels)
+
+
+SMOOTH: dict = {}
+
+
+def test_smoothing_closed_form(spark):
+    """All sequences that were drawn, one key each, against the rule spelled out."""
+    rng = random.Random(4)
+    for least in (1, 2, 3, 4):
+        cases = [c for c in SMOOTH.get(least, []) if c] + [[rng.choice(["x", "y", "z", "unknown"]) for _ in range(rng.randrange(1, 20))] for _ in range(150)]
+        df = spark.createDataFrame([(k, i, x) for k, c in enumerate(cases) for i, x in enumerate(c)], "k int, i int, x string")
+        got = {}
+        for r in folds.smooth_runs(df, ["k"], "i", "x", least).orderBy("k", "i").collect():
+            got.setdefault(r.k, []).append(r.smoothed)
+        assert got == {k: plain_smooth(c, least) for k, c in enumerate(cases)}
+
+
+def test_folds_do_not_depend_on_batches(spark):
+    """Keys that batches and blocks of time cut give what they give whole."""
+    rng = random.Random(9)
+    rows = [(i, "k" if rng.random() < 0.8 else None, float(rng.randrange(4000))) for i in range(700)]
+    rows = [(i, k, s, s + rng.randrange(0, 90)) for i, k, s in rows]
+    df = spark.createDataFrame(rows, "i int, k string, s double, e double").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+        assert {r.i: r.kept_id for r in folds.merge_events(df, ["k"], "s", "e", "i", ["s", "i"]).collect()} == plain_merge(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_affine_fit_is_the_plain_fit(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(5):
+        for i in range(40):
+            x = rng.uniform(0, 3000)
+            rows.append((k, x, 1.01 * x + 7 + rng.uniform(-1.5, 1.5) if rng.random() < 0.7 else rng.uniform(0, 3000), 100 * k + i))
+    df = spark.createDataFrame(rows, "k int, x double, y double, i int").repartition(4)
+    hashes = {r.i: r.h for r in df.select("i", F.xxhash64("i").alias("h")).collect()}
+    got = {r.k: r for r in folds.affine_fit(df, "k", "x", "y", "i").collect()}
+    for k in range(5):
+        own = [r for r in rows if r[0] == k]
+        ranks = folds.draw_order(np.array([hashes[r[3]] for r in own]), 200, 0)
+        pairs = [tuple(np.argsort(ranks[:, t], kind="stable")[:2]) for t in range(200)]
+        want = folds.inlier_fit([r[1] for r in own], [r[2] for r in own], pairs)
+        assert want and {c: pytest.approx(got[k][c]) for c in want} == want
 
 
 def test_matching_and_leftovers(spark):

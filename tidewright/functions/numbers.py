@@ -133,3 +133,8 @@ def repair_timed_events(df: DataFrame, local_start: str, local_end: str, phase_s
     r = lambda c: F.when(F.col("ok"), F.round(c, 3))
     out = out.withColumns({"abs_start": r("_cs"), "abs_end": r("_ce"), "clipped": F.col("reason") == "clipped_to_phase"})
     return out.drop("_local", "_abs", "_s", "_e", "_lo", "_hi", "_point", "_cs", "_ce")
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays in double precision, in the order of their places."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)

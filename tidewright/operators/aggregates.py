@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,17 @@ def summed(reports: Sequence[DataFrame], key: str, value: str) -> DataFrame:
 def segment_assembly(clips: DataFrame, key: Sequence[str], member: str, fields: Sequence[str]) -> DataFrame:
     """Clips of equal window gathered into segments, members sorted by name (as many as a roster has)."""
     return clips.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(member, *fields))).alias("members"), F.count("*").alias("member_count"))
+
+
+def least_squares(df: DataFrame, key: Sequence[str], x: str, y: str) -> DataFrame:
+    """y = scale * x + offset of each key: n, scale, offset, the median residual and the one at index 0.95 * n.
+
+    Rows meet their key's fit again for the residuals, which are ranked in a sorted stream, not gathered.
+    """
+    fit = df.groupBy(*key).agg(F.regr_slope(y, x).alias("scale"), F.regr_intercept(y, x).alias("offset"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
+    left = df.select(*key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(fit, list(key))
+    left = left.withColumn("_r", F.abs(F.col(y) - (F.col("scale") * F.col(x) + F.col("offset"))))
+    left = left.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("_r")) - 1)
+    middle = (F.col("_i") == F.floor((F.col("n") - 1) / 2)) | (F.col("_i") == F.floor(F.col("n") / 2))
+    late = F.col("_i") == F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    return left.groupBy(*key, "n", "scale", "offset").agg(F.avg(F.when(middle, F.col("_r"))).alias("median_residual"), F.max(F.when(late, F.col("_r"))).alias("p95_residual"))

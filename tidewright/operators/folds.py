@@ -1,9 +1,8 @@
 """Order-dependent folds: first match wins, and what is matched changes as rows join it.
 
-No relational rewrite exists for these in general, but each fold decomposes by a key outside of which nothing can match, so
-it runs in pandas over keys that Spark shuffles and sorts. Rows of one key that are further apart than
-any match reaches are cut into separate groups first (`gap_groups`), which bounds a group by the density of its key rather
-than by its length.
+No relational rewrite exists for these in general, but each fold decomposes by a key outside of which nothing can match.
+Keys are first cut wherever no match can reach across (`gap_groups`), from one summary row for each key and ten minutes.
+Groups then stream through sorted partitions: a task holds one batch and the fold's open state (`_stream`), never a group.
 """
 
 from __future__ import annotations
@@ -16,140 +15,164 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import first_per
 
-def gap_groups(df: DataFrame, key: Sequence[str], start: str, end: str, reach: float, order: Sequence[str]) -> DataFrame:
-    """`_group` numbers per key: a row that starts more than `reach` after all before it ended begins a new group."""
-    w = Window.partitionBy(*key).orderBy(start, *order)
-    ended = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.coalesce((F.col(start) > ended + reach).cast("int"), F.lit(0))
-    return df.withColumn("_cut", cut).withColumn("_group", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
+def gap_groups(df: DataFrame, key: Sequence[str], start: str, end: str, reach: float, width: float = 600.0) -> DataFrame:
+    """`_group` numbers per key: rows of different groups are more than `reach` apart.
 
-def merge_assignments(start: np.ndarray, end: np.ndarray, edge_sec: float = 3.0, iou: float = 0.5) -> np.ndarray:
-    """For each interval, in order, the first kept interval it merges into, else itself; kept ones grow as they take others.
-
-    Two merge if their overlap is more than `iou` of their hull, or both ends lie within `edge_sec`.
+    Cuts lie where a block of `width` seconds begins more than `reach` after all before it ended. They come from the least
+    start and largest end of each block, so no task sees a key's rows; a gap within a block isn't cut, which costs nothing
+    but size.
     """
-    lo, hi, kept, out = [], [], [], np.empty(len(start), np.int64)
-    for i, (s, e) in enumerate(zip(start.tolist(), end.tolist())):
-        for k, at in enumerate(kept):
-            hull = max(hi[k], e) - min(lo[k], s)
-            near = abs(lo[k] - s) <= edge_sec and abs(hi[k] - e) <= edge_sec
-            if near or (hull > 0 and (min(hi[k], e) - max(lo[k], s)) / hull > iou):
-                lo[k], hi[k], out[i] = min(lo[k], s), max(hi[k], e), at
-                break
-        else:
-            lo.append(s)
-            hi.append(e)
-            kept.append(i)
-            out[i] = i
-    return out
+    width = max(width, reach)
+    blocked = df.withColumn("_block", F.floor(F.col(start) / width))
+    blocks = blocked.groupBy(*key, "_block").agg(F.min(start).alias("_lo"), F.max(end).alias("_hi"))
+    w = Window.partitionBy(*key).orderBy("_block")
+    ended = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce((F.col("_lo") > ended + reach).cast("int"), F.lit(0))
+    groups = blocks.withColumn("_cut", cut).withColumn("_group", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"g.{k}")) for k in [*key, "_block"]]
+    on = same[0]
+    for one in same[1:]:
+        on = on & one
+    return blocked.alias("b").join(groups.alias("g"), on).select("b.*", "g._group").drop("_block")
+
+
+def _stream(df: DataFrame, key: Sequence[str], names: Sequence[str], order: Sequence[str], schema: str, fold: Callable[[], object]) -> DataFrame:
+    """Rows of each key in order through a fold of their own: `feed(rows)` gives rows at once, or null.
+
+    Sorted partitions stream past, many keys to a batch; a key that a batch cuts goes on in the next with the same fold.
+    """
+    keys = list(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            parts = rows[keys]
+            new = ((parts != parts.shift()) & ~(parts.isna() & parts.shift().isna())).any(axis=1).to_numpy()
+            new[0] = False
+            edges = [0, *np.flatnonzero(new).tolist(), len(rows)]
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                own = tuple(None if pd.isna(v) else v for v in parts.iloc[a])
+                if state is None or own != held:
+                    held, state = own, fold()
+                found = state.feed(rows.iloc[a:b])
+                if found is not None and len(found):
+                    out.append(found)
+            if out:
+                yield pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
 
+    return df.select(*names).repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
-def _assign(df: DataFrame, key: Sequence[str], columns: Sequence[str], order: Sequence[str], row_id: str, fold: Callable[..., np.ndarray]) -> DataFrame:
-    """(row_id, kept_id): the row that each row joined, from a fold over each key's columns in order.
 
-    Keys stream past in sorted partitions, many to a batch, so that small keys cost no call into Spark each; a key that a
-    batch cuts is carried into the next one.
-    """
+class _Assign:
+    """Rows in order to the row that each joins: `row_id`, `kept_id`."""
+
+    def __init__(self, row_id: str, columns: Sequence[str], step: Callable[..., list]):
+        self.row_id, self.columns, self.step = row_id, columns, step
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows[self.row_id].to_numpy()
+        kept = self.step(ids.tolist(), *(rows[c].to_numpy(float).tolist() for c in self.columns))
+        return pd.DataFrame({self.row_id: ids, "kept_id": kept})
+
+
+def _assign(df: DataFrame, key: Sequence[str], columns: Sequence[str], order: Sequence[str], row_id: str, step: Callable[[], Callable[..., list]]) -> DataFrame:
     kind = dict(df.dtypes)[row_id]
     names = list(dict.fromkeys([*key, *order, *columns, row_id]))
+    return _stream(df, key, names, order, f"{row_id} {kind}, kept_id {kind}", lambda: _Assign(row_id, columns, step()))
 
-    def folded(rows: pd.DataFrame) -> pd.DataFrame:
-        new = (rows[list(key)] != rows[list(key)].shift()).any(axis=1).to_numpy()
-        new[0] = True
-        edges = [*np.flatnonzero(new).tolist(), len(rows)]
-        values, ids = [rows[c].to_numpy(float) for c in columns], rows[row_id].to_numpy()
-        kept = np.concatenate([a + fold(*(v[a:b] for v in values)) for a, b in zip(edges, edges[1:])])
-        return pd.DataFrame({row_id: ids, "kept_id": ids[kept]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            last = (rows[list(key)] == rows[list(key)].iloc[-1]).all(axis=1).to_numpy()
-            cut = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
-            held = rows.iloc[cut:].reset_index(drop=True)
-            if cut:
-                yield folded(rows.iloc[:cut].reset_index(drop=True))
-        if held is not None and len(held):
-            yield folded(held)
+class Merge:
+    """The first kept interval that each interval merges into, else itself; kept ones grow as they take others.
+
+    Two merge if their overlap is more than `iou` of their hull, or both ends lie within `edge_sec`. Rows come in order of
+    start, so a kept interval that has ended, and began more than `edge_sec` ago, can't match again and is let go.
+    """
+
+    def __init__(self, edge_sec: float = 3.0, iou: float = 0.5):
+        self.edge_sec, self.iou = edge_sec, iou
+        self.live: list[list] = []  # low, high, id
+
+    def __call__(self, ids: list, start: list[float], end: list[float]) -> list:
+        out, edge, iou = [], self.edge_sec, self.iou
+        for one, s, e in zip(ids, start, end):
+            if self.live and any(x[1] <= s and x[0] < s - edge for x in self.live):
+                self.live = [x for x in self.live if x[1] > s or x[0] >= s - edge]
+            for x in self.live:
+                lo, hi, _ = x
+                hull = max(hi, e) - min(lo, s)
+                if (abs(lo - s) <= edge and abs(hi - e) <= edge) or (hull > 0 and (min(hi, e) - max(lo, s)) / hull > iou):
+                    x[0], x[1] = min(lo, s), max(hi, e)
+                    out.append(x[2])
+                    break
+            else:
+                self.live.append([s, e, one])
+                out.append(one)
+        return out
+
 
-    ordered = df.select(*names).repartition(*key).sortWithinPartitions(*key, *order)
-    return ordered.mapInPandas(run, f"{row_id} {kind}, kept_id {kind}")
+def merge_assignments(start: np.ndarray, end: np.ndarray, edge_sec: float = 3.0, iou: float = 0.5) -> np.ndarray:
+    """`Merge` over one sequence of intervals in order of start: the position that each joins."""
+    return np.array(Merge(edge_sec, iou)(list(range(len(start))), np.asarray(start, float).tolist(), np.asarray(end, float).tolist()), np.int64)
 
 
 def merge_events(df: DataFrame, key: Sequence[str], start: str, end: str, row_id: str, order: Sequence[str], edge_sec: float = 3.0, iou: float = 0.5) -> DataFrame:
-    """(row_id, kept_id) of events with equal keys that overlap or lie close, first match wins."""
+    """(row_id, kept_id) of events with equal keys that overlap or lie close, first match wins; `order` begins with `start`."""
     # An interval overlaps a kept one by more than half the hull only if they meet; the other rule reaches `edge_sec`.
-    grouped = gap_groups(df, key, start, end, edge_sec, order)
-    return _assign(grouped, [*key, "_group"], [start, end], order, row_id, lambda s, e: merge_assignments(s, e, edge_sec, iou))
+    grouped = gap_groups(df, key, start, end, edge_sec)
+    return _assign(grouped, [*key, "_group"], [start, end], order, row_id, lambda: Merge(edge_sec, iou))
 
 
-def claim_assignments(start: np.ndarray, within: float = 3.0) -> np.ndarray:
-    """Claims of one key in order of start: each joins the first kept claim that starts within `within` seconds before it."""
-    out, first = np.empty(len(start), np.int64), 0
-    for i, s in enumerate(start.tolist()):
-        if i == 0 or s - start[first] > within:
-            first = i
-        out[i] = first
-    return out
+class FromFirst:
+    """Each row joins the open group if its first row began within `within` seconds; else it opens the next group."""
 
+    def __init__(self, within: float):
+        self.within, self.first, self.id = within, None, None
 
-def merge_claims(df: DataFrame, key: Sequence[str], start: str, row_id: str, order: Sequence[str], within: float = 3.0) -> DataFrame:
-    grouped = gap_groups(df, key, start, start, within, order)
-    return _assign(grouped, [*key, "_group"], [start], order, row_id, lambda s: claim_assignments(s, within))
+    def __call__(self, ids: list, start: list[float]) -> list:
+        out = []
+        for one, s in zip(ids, start):
+            if self.first is None or s - self.first > self.within:
+                self.first, self.id = s, one
+            out.append(self.id)
+        return out
 
 
-def anchor_assignments(start: np.ndarray, tolerance: float) -> np.ndarray:
-    """Each row joins the newest group whose FIRST row lies within the tolerance; since rows come in order, one group is open."""
-    return claim_assignments(start, tolerance)
+def merge_claims(df: DataFrame, key: Sequence[str], start: str, row_id: str, order: Sequence[str], within: float = 3.0) -> DataFrame:
+    """(row_id, kept_id): a claim joins the first kept claim of its key that starts within `within` seconds before it."""
+    return _assign(gap_groups(df, key, start, start, within), [*key, "_group"], [start], order, row_id, lambda: FromFirst(within))
 
 
 def fuse_by_anchor(df: DataFrame, key: Sequence[str], start: str, row_id: str, order: Sequence[str], tolerance: float = 1.5) -> DataFrame:
     """(row_id, kept_id): groups measured from their first row, not their last."""
-    grouped = gap_groups(df, key, start, start, tolerance, order)
-    return _assign(grouped, [*key, "_group"], [start], order, row_id, lambda s: anchor_assignments(s, tolerance))
-
-
-def smoothed(labels: list[str], least: int) -> list[str]:
-    """The first run shorter than `least` takes the label that both neighbours share, else the one before, else the one
-    after; then from the start again, until no run changes. Runs labelled "unknown" stay."""
-    runs: list[list] = []
-    for label in labels:
-        if runs and runs[-1][0] == label:
-            runs[-1][1] += 1
-        else:
-            runs.append([label, 1])
-    at = 0
-    while at < len(runs):
-        label, size = runs[at]
-        before, after = runs[at - 1][0] if at else None, runs[at + 1][0] if at + 1 < len(runs) else None
-        fill = before or after
-        if size >= least or label == "unknown" or not fill:
-            at += 1
-            continue
-        runs[at][0] = fill
-        for k in (at + 1, at):  # equal neighbours join
-            if 0 < k < len(runs) and runs[k][0] == runs[k - 1][0]:
-                runs[k - 1][1] += runs[k][1]
-                del runs[k]
-        at = 0
-    return [label for label, size in runs for _ in range(size)]
+    return merge_claims(df, key, start, row_id, order, tolerance)
 
 
 def smooth_runs(df: DataFrame, key: Sequence[str], order: str, label: str, least: int) -> DataFrame:
-    """`label` smoothed per key, in a column `smoothed`."""
-    kinds = dict(df.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        return rows.assign(smoothed=smoothed(rows[label].tolist(), least))
+    """`label` smoothed per key, in a column `smoothed`: the first run shorter than `least` takes the label before it, else the
+    one after, then from the start again until no run changes; runs labelled "unknown" stay.
 
-    names = [*key, order, label]
-    return df.select(*names).groupBy(*key).applyInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", smoothed string")
+    What comes of that has a closed form. A long or unknown run keeps its label and hands it to the short runs behind it.
+    The short runs at the head grow together until they are long or meet an unknown run, and take the label they end with.
+    """
+    w = Window.partitionBy(*key).orderBy(order)
+    change = F.coalesce((~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("int"), F.lit(1))
+    rows = df.select(*key, order, label).withColumn("_new", change).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    runs = rows.groupBy(*key, "_run").agg(F.count("*").alias("_n"), F.first(label).alias("_label"))
+    along = Window.partitionBy(*key).orderBy("_run").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*key)
+    runs = runs.withColumn("_settled", (F.sum("_n").over(along) >= least) | (F.col("_label") == "unknown"))
+    runs = runs.withColumn("_head", F.coalesce(F.min(F.when(F.col("_settled"), F.col("_run"))).over(whole), F.max("_run").over(whole)))
+    keeps = (F.col("_run") >= F.col("_head")) & ((F.col("_run") == F.col("_head")) | (F.col("_n") >= least) | (F.col("_label") == "unknown"))
+    own = F.when(keeps, F.col("_label"))
+    head = F.max(F.when(F.col("_run") == F.col("_head"), F.col("_label"))).over(whole)
+    runs = runs.withColumn("smoothed", F.when(F.col("_run") < F.col("_head"), head).otherwise(F.last(own, ignorenulls=True).over(along)))
+    return rows.join(runs.select(*key, "_run", "smoothed"), [*key, "_run"]).drop("_run")
 
 
 def match_to_anchor(clips: DataFrame, anchor: DataFrame, player: str, label: str, duration: str, idx: str, tolerance: float = 15.0) -> DataFrame:
@@ -203,12 +226,12 @@ def timeline(groups: DataFrame, anchored: str, idx: str) -> DataFrame:
     return groups.crossJoin(F.broadcast(top)).withColumn("timeline_index", F.when(F.col(anchored), F.col(idx)).otherwise(F.col("_top") + rank)).drop("_top")
 
 
-def ransac(x: Sequence[float], y: Sequence[float], threshold: float = 2.0, rounds: int = 200, seed: int = 0, scales=(0.95, 1.05)) -> dict | None:
-    """y = scale * x + offset by random pairs and a least-squares fit of the largest set of inliers; null under three."""
-    x, y, draw = np.asarray(x, float), np.asarray(y, float), random.Random(seed)
+def inlier_fit(x: np.ndarray, y: np.ndarray, pairs: Sequence[tuple[int, int]], threshold: float = 2.0, scales=(0.95, 1.05)) -> dict | None:
+    """y = scale * x + offset: the least-squares fit of the inliers of the first line with the most, of lines through pairs of
+    points; null under three inliers. One sequence at a time; `affine_fit` does the same in aggregates."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
     best = np.zeros(len(x), bool)
-    for _ in range(rounds if len(x) >= 3 else 0):
-        i, j = draw.sample(range(len(x)), 2)
+    for i, j in pairs if len(x) >= 3 else ():
         if abs(x[j] - x[i]) < 1e-9:
             continue
         scale = (y[j] - y[i]) / (x[j] - x[i])
@@ -225,15 +248,69 @@ def ransac(x: Sequence[float], y: Sequence[float], threshold: float = 2.0, round
     return {"scale": scale, "offset": offset, "anchor_count": len(x), "inlier_count": int(best.sum()), "median_residual_sec": float(np.median(left)), "p95_residual_sec": float(left[min(len(left) - 1, int(0.95 * len(left)))])}
 
 
-def affine_fit(df: DataFrame, key: str, x: str, y: str, order: str, **options) -> DataFrame:
-    """A RANSAC fit for each key; keys without a fit are dropped."""
+def ransac(x: Sequence[float], y: Sequence[float], threshold: float = 2.0, rounds: int = 200, seed: int = 0, scales=(0.95, 1.05)) -> dict | None:
+    """`inlier_fit` over seeded random pairs."""
+    draw = random.Random(seed)
+    return inlier_fit(x, y, [tuple(draw.sample(range(len(x)), 2)) for _ in range(rounds if len(x) >= 3 else 0)], threshold, scales)
+
+
+def draw_order(hashes: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """A row of `rounds` ranks for each hash: the two rows of least rank in a round are that round's pair."""
+    salt = (np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15)
+    h = hashes.astype(np.int64).view(np.uint64)[:, None] ^ salt[None, :]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D) >> np.uint64(1)
+
+
+def _by_key(batch: pd.DataFrame, key: str) -> Iterator[tuple[object, pd.DataFrame]]:
+    yield from batch.groupby(key, sort=False)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        fit = ransac(rows[x], rows[y], **options)
-        return pd.DataFrame([{key: rows[key].iloc[0], **fit}] if fit else [], columns=[key, "scale", "offset", "anchor_count", "inlier_count", "median_residual_sec", "p95_residual_sec"])
 
-    return df.select(key, x, y, order).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, scale double, offset double, anchor_count long, inlier_count long, median_residual_sec double, p95_residual_sec double")
+def affine_fit(df: DataFrame, key: str, x: str, y: str, order: str, threshold: float = 2.0, rounds: int = 200, seed: int = 0, scales=(0.95, 1.05)) -> DataFrame:
+    """A RANSAC fit for each key; keys without a fit are dropped.
+
+    Pairs are drawn by hash, lines are counted and the fit is made in partial aggregates: tasks hold a batch and `rounds`
+    numbers for each of its keys, and no task sees all rows of a key. Rows with null x or y take no part.
+    """
+    kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.xxhash64(order).alias("h")).where("k is not null and x is not null and y is not null")
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, own in _by_key(batch, "k"):
+                ranks = draw_order(own["h"].to_numpy(), rounds, seed)
+                two = np.argsort(ranks, axis=0, kind="stable")[:2]
+                n = len(two)
+                at = two.T.ravel()
+                yield pd.DataFrame({"k": k, "round": np.repeat(np.arange(rounds), n), "rank": np.take_along_axis(ranks, two, axis=0).T.ravel().astype(np.int64), "x": own["x"].to_numpy()[at], "y": own["y"].to_numpy()[at]})
+
+    drawn = rows.mapInPandas(least, f"k {kind}, round int, rank long, x double, y double")
+    first = first_per(drawn, ["k", "round"], ["rank"], 2)
+    pair = first.groupBy("k", "round").agg(F.min_by(F.struct("x", "y"), "rank").alias("a"), F.max_by(F.struct("x", "y"), "rank").alias("b"), F.count("*").alias("n")).where("n = 2")
+    slope = (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))
+    lines = pair.where(F.abs(F.col("b.x") - F.col("a.x")) >= 1e-9).withColumn("slope", slope).where(F.col("slope").between(*scales))
+    lines = lines.withColumn("cut", F.col("a.y") - F.col("slope") * F.col("a.x")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("round", "slope", "cut"))).alias("lines"))  # `rounds` at most
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, own in _by_key(batch, "k"):
+                known = own["lines"].iloc[0]
+                number, slopes, cuts = (np.array([r[f] for r in known]) for f in ("round", "slope", "cut"))
+                near = np.abs(own["y"].to_numpy()[:, None] - (slopes * own["x"].to_numpy()[:, None] + cuts)) <= threshold
+                yield pd.DataFrame({"k": k, "round": number, "slope": slopes, "cut": cuts, "n": near.sum(axis=0), "rows": len(own)})
+
+    counted = rows.join(lines, "k").select("k", "x", "y", "lines").mapInPandas(votes, f"k {kind}, round int, slope double, cut double, n long, rows long")
+    total = counted.groupBy("k", "round").agg(F.first("slope").alias("slope"), F.first("cut").alias("cut"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    best = total.groupBy("k").agg(F.max_by(F.struct("slope", "cut", "rows"), F.struct("n", -F.col("round"))).alias("l"), F.max("n").alias("n")).where("n >= 3")
+    near = rows.join(best.select("k", "l"), "k").where(F.abs(F.col("y") - (F.col("l.slope") * F.col("x") + F.col("l.cut"))) <= threshold)
+    fit = near.groupBy("k").agg(F.regr_slope("y", "x").alias("scale"), F.regr_intercept("y", "x").alias("offset"), F.count("*").alias("inlier_count"), F.first("l.rows").alias("anchor_count"), F.var_pop("x").alias("spread"))
+    fit = fit.where(F.col("spread") * F.col("inlier_count") > 1e-9)
+    left = near.join(fit.select("k", "scale", "offset", "inlier_count"), "k").select("k", "inlier_count", F.abs(F.col("y") - (F.col("scale") * F.col("x") + F.col("offset"))).alias("r"))
+    ranked = left.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("r")) - 1)
+    half = (F.col("i") == F.floor((F.col("inlier_count") - 1) / 2)) | (F.col("i") == F.floor(F.col("inlier_count") / 2))
+    late = F.col("i") == F.least(F.col("inlier_count") - 1, F.floor(F.col("inlier_count") * 0.95))
+    stats = ranked.groupBy("k").agg(F.avg(F.when(half, F.col("r"))).alias("median_residual_sec"), F.max(F.when(late, F.col("r"))).alias("p95_residual_sec"))
+    return fit.join(stats, "k").select(F.col("k").alias(key), "scale", "offset", "anchor_count", "inlier_count", "median_residual_sec", "p95_residual_sec")
 
 
 def collision_safe(ids: list[str], suffixes: list[str]) -> list[str]:
@@ -250,35 +327,32 @@ def collision_safe(ids: list[str], suffixes: list[str]) -> list[str]:
 
 
 def select_distinct_capped(df: DataFrame, key: Sequence[str], order: Sequence[str], cap_key: Sequence[str], cap: int, limit: int) -> DataFrame:
-    """In order: rows whose key hasn't been taken, at most `cap` for each cap key, `limit` in all.
+    """In order: the first row of each key, at most `cap` of them for each cap key, `limit` in all. Keys hold the cap key's columns."""
+    return first_per(first_per(df, key, order), cap_key, order, cap).orderBy(*order).limit(limit)
 
-    A key's first row can be passed over for its cap and a later one taken, so this is a fold. Keys hold the cap key's
-    columns, so the fold runs for each cap key apart, and the limit follows over the survivors.
-    """
-    schema = df.schema
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        return rows.drop_duplicates(list(key), keep="first").head(cap)
+class _Scan:
+    """A start opens an episode, an end at least `least_sec` later closes it, and nothing is looked at for `skip_sec` after that."""
 
-    picked = df.groupBy(*cap_key).applyInPandas(run, schema)
-    return picked.orderBy(*order).limit(limit)
+    def __init__(self, key: str, at: str, kind: str, starts: Sequence[str], ends: Sequence[str], skip_sec: float, least_sec: float):
+        self.key, self.at, self.kind, self.starts, self.ends, self.skip_sec, self.least_sec = key, at, kind, set(starts), set(ends), skip_sec, least_sec
+        self.opened, self.ready, self.episodes = None, float("-inf"), 0
 
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out, who = [], rows[self.key].iloc[0]
+        for t, what in zip(rows[self.at].tolist(), rows[self.kind].tolist()):
+            if t < self.ready:
+                continue
+            if self.opened is None and what in self.starts:
+                self.opened = t
+            elif self.opened is not None and what in self.ends and t - self.opened >= self.least_sec:
+                out.append((who, self.episodes, self.opened, t))
+                self.opened, self.ready, self.episodes = None, t + self.skip_sec, self.episodes + 1
+        return pd.DataFrame(out, columns=[self.key, "episode", "start_sec", "end_sec"])
 
-def boundary_scan(df: DataFrame, key: str, at: str, kind: str, starts: Sequence[str], ends: Sequence[str], skip_sec: float = 180.0, least_sec: float = 300.0) -> DataFrame:
-    """A two-state scan for each key: a start opens an episode, an end at least `least_sec` later closes it, and nothing is
-    looked at for `skip_sec` after that: (key, episode, start_sec, end_sec)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out, opened, ready = rows.sort_values([at, kind], kind="stable"), [], None, float("-inf")
-        for t, what in zip(rows[at], rows[kind]):
-            if t < ready:
-                continue
-            if opened is None and what in starts:
-                opened = t
-            elif opened is not None and what in ends and t - opened >= least_sec:
-                out.append((rows[key].iloc[0], len(out), opened, t))
-                opened, ready = None, t + skip_sec
-        return pd.DataFrame(out, columns=[key, "episode", "start_sec", "end_sec"])
-
-    return df.select(key, at, kind).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, episode long, start_sec double, end_sec double")
+def boundary_scan(df: DataFrame, key: str, at: str, kind: str, starts: Sequence[str], ends: Sequence[str], skip_sec: float = 180.0, least_sec: float = 300.0) -> DataFrame:
+    """A two-state scan for each key (`_Scan`): key, episode, start_sec, end_sec. Rows of equal time go by their kind."""
+    schema = f"{key} {dict(df.dtypes)[key]}, episode long, start_sec double, end_sec double"
+    rows = df.withColumn(at, F.col(at).cast("double"))
+    return _stream(rows, [key], [key, at, kind], [at, kind], schema, lambda: _Scan(key, at, kind, starts, ends, skip_sec, least_sec))

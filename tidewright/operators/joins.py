@@ -172,11 +172,19 @@ def remap(rows: DataFrame, ids: DataFrame, key: str, new_key: str, child: str |
     return out.withColumn(key, F.col("_new")).drop("_new")
 
 
-def grid(*tables: DataFrame) -> DataFrame:
-    """Every combination of small dimension tables with one large table (the first); each is checked to be small."""
+def grid(*tables: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every combination of one large table (the first) with dimension tables. One of `most` rows or fewer is broadcast;
+    a longer one is cut into numbered blocks of that size, which are broadcast one after another."""
     out = tables[0]
     for t in tables[1:]:
-        if t.limit(10_001).count() > 10_000:
-            raise ValueError("a grid's dimensions hold at most 10,000 rows; the large table goes first")
-        out = out.crossJoin(F.broadcast(t))
+        if t.limit(most + 1).count() <= most:
+            out = out.crossJoin(F.broadcast(t))
+            continue
+        rows = t.count()
+        dealt = t.withColumn("_deal", F.pmod(F.xxhash64(*t.columns), F.lit(-(-2 * rows // most))))
+        parts = [out.crossJoin(F.broadcast(dealt.where(F.col("_deal") == i).drop("_deal"))) for i in range(-(-2 * rows // most))]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        out = whole
     return out

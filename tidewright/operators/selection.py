@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.scratch import staged
+
 from .joins import first_per
 
 
@@ -24,12 +26,12 @@ def slice_rows(df: DataFrame, order: Sequence[str], skip: int = 0, stride: int =
 
 def with_position(df: DataFrame, order: Sequence[str], out: str = "_pos") -> DataFrame:
     """Adds the position of each row in a total order, from 0."""
-    # A given number of partitions isn't coalesced at run time, so both uses below see the same partition numbers.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    # Bounds of ranges come from a sample, which differs between evaluations: ranks and sizes must see one and the same.
+    local = staged(ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1), "positions")
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row a range
     return local.join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.col("_rank")).drop("_part", "_rank", "_base")
 
 

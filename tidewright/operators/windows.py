@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import range_join
+from .selection import with_position
 
 
 def chain_clusters(df: DataFrame, key: Sequence[str], at: str, gap: float, order: Sequence[str] = ()) -> DataFrame:
@@ -26,7 +27,7 @@ def consensus(df: DataFrame, kind: str, at: str, player: str, evidence: str, pub
     groups = rows.groupBy(kind, "cluster").agg(
         F.min(at).alias("_first"), F.percentile(at, F.lit(0.5)).alias("abs_sec"), F.array_sort(F.collect_set(player)).alias("source_povs"), F.array_sort(F.collect_set(F.col(evidence).cast("string"))).alias("evidence_ids"), F.bool_or("_public").alias("public_ui")
     )
-    numbered = groups.withColumn("index", F.row_number().over(Window.orderBy("_first", kind)) - 1)  # clusters of one session
+    numbered = with_position(groups, ["_first", kind], "index")
     return numbered.where((F.size("source_povs") >= least) | F.col("public_ui")).drop("_first", "cluster")
 
 

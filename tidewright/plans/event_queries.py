@@ -1,7 +1,7 @@
 """Queries over the `events` table as intervals on a session clock, each with a DuckDB twin.
 
-An event lasts 30 + event_id % 90 seconds from its time; its user is the player whose view it comes from; the roster is
-the six smallest user ids.
+An event lasts 30 + event_id % 90 seconds from its time; its user is the player whose view it comes from. Six neighbouring
+users play in one game, so games follow from users and every event belongs to one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import numbers
-from tidewright.operators import folds, joins, selection, windows
+from tidewright.operators import aggregates, folds, joins, selection, windows
+from tidewright.plans import ledger, trajectory
 from tidewright.session import table
 
 _START = datetime.datetime(2024, 1, 1)
@@ -22,7 +23,7 @@ EV = """ev AS (
            CAST(floor(epoch(ts) - 1704067200) AS DOUBLE) AS s,
            CAST(floor(epoch(ts) - 1704067200) AS DOUBLE) + 30 + event_id % 90 AS e
     FROM events)"""
-ROSTER = "roster AS (SELECT user_id AS player_id FROM events GROUP BY user_id ORDER BY user_id LIMIT 6)"
+GAMES = "gv AS (SELECT *, user_id // 6 AS game_id FROM ev), roster AS (SELECT DISTINCT game_id, user_id AS player_id FROM gv)"
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,24 +33,45 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("e", F.col("s") + 30 + F.col("event_id") % 90)
 
 
-def roster(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("player_id")).distinct().orderBy("player_id").limit(n)
+def games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`spans` with game_id."""
+    return spans(spark, sf_dir).withColumn("game_id", F.floor(F.col("user_id") / 6))
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spans(spark, sf_dir)
-    public = F.col("event_type") == "signup"
-    own = F.col("user_id") == F.col("player_id")
-    sure = F.round(F.least(F.col("value") / 100, F.lit(1.0)), 6)
-    return joins.grid(ev, roster(spark, sf_dir)).select(
-        "event_id", "player_id", "e", "k",
-        F.when(own, "direct_visual").when(public, "public_ui").otherwise("not_visible").alias("visibility"),
-        F.when(own, sure).when(public, F.least(sure, F.lit(0.8))).otherwise(0.75).alias("confidence"),
+def roster(ev: DataFrame) -> DataFrame:
+    return ev.select("game_id", F.col("user_id").alias("player_id")).distinct()
+
+
+def ledger_tables(ev: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, claims and players of the ledger, made of the events table: errors are claims, all else are world events.
+
+    Every third event has a second viewer; signups happen in meetings; a tenth has public evidence. Half of the claims are
+    heard by the whole table. What claims say turns on `k`.
+    """
+    me, next_ = F.col("user_id"), F.col("game_id") * 6 + (F.col("user_id") + 1) % 6
+    sure = F.round(F.least(F.col("value") / 100, F.lit(1.0)), 6).alias("certainty")
+    none = F.array().cast("array<string>")
+    span = [F.col("s").alias("abs_start_sec"), F.col("e").alias("abs_end_sec"), sure]
+    events = ev.where("event_type <> 'error'").select(
+        "game_id", F.format_string("ge_%08d", "event_id").alias("world_event_id"), *span, F.when(F.col("k") % 3 == 0, F.array(me, next_)).otherwise(F.array(me)).alias("source_povs"),
+        F.when(F.col("event_type") == "signup", "meeting").otherwise("gameplay").alias("phase_type"), F.when(F.col("k") % 10 == 0, F.array(F.lit("board"))).otherwise(none).alias("public_evidence"),
+        F.array(me).alias("actors"), F.concat(F.lit("room"), F.col("k") % 7).alias("location"), F.concat(F.when(F.col("k") % 5 == 0, "杀 ").otherwise(""), F.col("event_type")).alias("description"),
+    )
+    table_of_six = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("game_id") * 6 + i)
+    said = F.when(F.col("k") % 4 == 0, "我没有杀人").when(F.col("k") % 4 == 1, F.concat(F.lit("seen in room"), F.col("k") % 7)).when(F.col("k") % 4 == 2, "投票").otherwise("...")
+    claims = ev.where("event_type = 'error'").select(
+        "game_id", F.format_string("claim_%08d", "event_id").alias("claim_id"), *span, me.alias("speaker"), F.when(F.col("k") % 2 == 0, table_of_six).otherwise(F.array(me)).alias("heard_by"),
+        said.alias("content"), said.alias("normalized_content"), F.array(next_).alias("target_entities"),
     )
+    return events, claims, roster(ev)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.visibility_edges(*ledger_tables(games(spark, sf_dir)))
 
 
 def visibility_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).select("event_id", "player_id", "visibility", "confidence")
+    return _edges(spark, sf_dir).select("edge_id", "event_id", "player_id", "visibility", "confidence", F.size("evidence_ids").cast("bigint").alias("n_evidence"))
 
 
 def visibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,16 +79,10 @@ def visibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_event_range_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spans(spark, sf_dir)
-    claims = ev.where("event_type = 'error'").select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("speaker"), F.col("k").alias("ck"), F.col("s").alias("cs"), F.col("e").alias("ce"))
-    facts = ev.where("event_type <> 'error'").select("event_id", "user_id", "k", "s", "e")
-    met = joins.range_join(claims, facts, ("cs", "ce"), ("s", "e"), 480.0, before=180, after=180)
-    near = met.where((F.col("speaker") == F.col("user_id")) | (F.col("ck") % 10 == F.col("k") % 10))
-    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy("s", "event_id"))
-    top = near.withColumn("rn", rank).where("rn <= 4")
-    truth = F.when(F.bool_or(F.col("speaker") == F.col("user_id")), "supported").otherwise("unverified")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_id"))), lambda x: x["event_id"].cast("string")), ",")
-    return top.groupBy("claim_id").agg(ids.alias("world_event_ids"), truth.alias("truth_status"))
+    events, claims, players = ledger_tables(games(spark, sf_dir))
+    links = ledger.claim_truth_links(claims, events, ledger.visibility_edges(events, claims, players), players, within=1800.0)
+    aware = F.array_join(F.transform(F.array_sort(F.map_entries("local_awareness_by_player")), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"])), ",")
+    return links.select("claim_id", F.array_join("world_event_ids", ",").alias("world_event_ids"), "truth_status_global", "confidence", "needs_human_review", aware.alias("awareness"))
 
 
 def asof_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +113,11 @@ def band_join_reaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = ev.where("event_type = 'view'").select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("speaker"), F.col("e").alias("claim_end"))
     reply = ev.where("event_type = 'purchase'").select("event_id", "user_id", F.col("s").alias("reply_start"))
     met = joins.band_join(said, reply, "claim_end", "reply_start", 5, 300).where("speaker <> user_id")
-    return met.select("claim_id", F.col("event_id").alias("reply_id"), "gap").orderBy("gap", "claim_id", "reply_id").limit(200)
+    return met.select("claim_id", F.col("event_id").alias("reply_id"), "gap")
 
 
 def chain_cluster_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spans(spark, sf_dir).where("user_id < 40")
+    ev = spans(spark, sf_dir)
     found = windows.consensus(ev, "event_type", "s", "user_id", "event_id", tolerance=900, least=2)
     return found.select("event_type", F.col("abs_sec").alias("abs_sec"), F.size("source_povs").cast("bigint").alias("n_users"), F.col("index").cast("bigint").alias("boundary_index"), F.size("evidence_ids").cast("bigint").alias("n_events"))
 
@@ -127,27 +143,36 @@ def episode_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phase_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spans(spark, sf_dir).where("event_id % 7 = 0")
+    ev = spans(spark, sf_dir)
     cut = F.array(F.struct((F.col("s") + 20).alias("start"), (F.col("s") + 35).alias("end")), F.struct((F.col("s") + 60).alias("start"), (F.col("s") + 61).alias("end")))
     found = windows.phase_chunks(ev, "s", "e", cut, 15.0)
     return found.select("event_id", "start_sec", "end_sec")
 
 
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spans(spark, sf_dir).where("event_id % 5 = 0").withColumn("stop", F.col("s") + 40 + F.col("event_id") % 300)
+    ev = spans(spark, sf_dir).withColumn("stop", F.col("s") + 40 + F.col("event_id") % 300)
     found = windows.sliding(ev, "s", "stop", 90.0, 10.0)
     return found.select("event_id", F.col("window").cast("bigint").alias("window_no"), "start_sec", "end_sec")
 
 
+def trajectory_nodes(ev: DataFrame) -> DataFrame:
+    """Trajectory nodes made of the events table: errors are heard, by a neighbour too where k % 3 = 0; signups are public."""
+    none, audio = F.array().cast("array<bigint>"), F.col("event_type") == "error"
+    return ev.select(
+        F.col("game_id").alias("episode_id"), F.format_string("n%08d", "event_id").alias("trajectory_node_id"), F.col("s").alias("abs_start_sec"), F.col("e").alias("abs_end_sec"), F.array("user_id").alias("source_povs"),
+        (F.col("event_type") == "signup").alias("public_ui"), (F.col("k") % 5 == 0).alias("global_fact"), F.when(audio, "audio").otherwise("visual").alias("modality"), F.lit(None).cast("string").alias("utterance"),
+        F.when(audio & (F.col("k") % 3 == 0), F.array(F.col("game_id") * 6 + (F.col("user_id") + 1) % 6)).otherwise(none).alias("heard_by"), (F.col("k") % 2 == 0).alias("audio_admissible"), F.array(F.format_string("ev%d", F.col("event_id") % 50)).alias("evidence_asset_ids"),
+    )
+
+
 def cutoff_information_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = spans(spark, sf_dir).where("event_id < 300")
-    asks = joins.grid(nodes.where("event_id % 50 = 0").select(F.col("e").alias("cutoff")), roster(spark, sf_dir))
-    pairs = joins.grid(asks, nodes.select("event_id", "user_id", "event_type", "s"))
-    after, public, own = F.col("s") > F.col("cutoff"), F.col("event_type") == "signup", F.col("user_id") == F.col("player_id")
-    access = F.when(after, "post_cutoff").when(public, "public_ui").when(own, "direct_visual").otherwise("unknown")
-    known = access.isin("public_ui", "direct_visual")
-    ids = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(F.when(c, F.col("event_id")))), lambda x: x.cast("string")), ",")
-    return pairs.groupBy("player_id", "cutoff").agg(ids(known).alias("known_facts"), F.count_if(~known).alias("n_forbidden"), F.count_if(access == "public_ui").alias("n_public"))
+    """What each player of a game can know at the end of its last event of each day."""
+    ev = games(spark, sf_dir)
+    cutoffs = ev.groupBy("game_id", F.floor(F.col("s") / 86400)).agg(F.max("e").alias("cutoff_abs_sec")).select(F.col("game_id").alias("episode_id"), "cutoff_abs_sec")
+    players = roster(ev).withColumnRenamed("game_id", "episode_id")
+    found = trajectory.information_states(trajectory_nodes(ev), players, cutoffs)
+    n = lambda c: F.size(c).cast("bigint")
+    return found.select("information_state_id", "player_id", "cutoff_abs_sec", F.array_join("known_facts", ",").alias("known_facts"), n("private_observations").alias("n_private"), n("public_history").alias("n_public"), n("heard_claims").alias("n_heard"), n("forbidden_events").alias("n_forbidden"), n("available_evidence_ids").alias("n_evidence"))
 
 
 def last_n_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +195,9 @@ def previous_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_vote_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spans(spark, sf_dir).where("user_id < 20").withColumns({"game": F.lit(1).cast("bigint"), "e": F.col("e") + 1800, "w": (F.col("k") % 8) / 8})
-    found = windows.vote_ticks(ev, ["game"], "event_type", F.col("w"), ("s", "e"), 3600.0, ["s", "event_id"])
-    return found.select(F.col("tick").cast("bigint").alias("tick"), "event_type", "share")
+    ev = games(spark, sf_dir).withColumns({"e": F.col("e") + 1800, "w": (F.col("k") % 8) / 8})
+    found = windows.vote_ticks(ev, ["game_id"], "event_type", F.col("w"), ("s", "e"), 3600.0, ["s", "event_id"])
+    return found.select("game_id", F.col("tick").cast("bigint").alias("tick"), "event_type", "share")
 
 
 def next_within_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +219,7 @@ def first_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spans(spark, sf_dir).where("event_id % 40 = 0")
+    ev = spans(spark, sf_dir)
     each = ev.select("event_id", F.explode(windows.sample_times(F.col("s"), F.col("e"), F.lit(0.125))).alias("at"))
     return each.groupBy("event_id").agg(F.count("*").alias("n_samples"), F.max("at").alias("last_at"), F.sum("at").alias("sum_at"))
 
@@ -210,10 +235,8 @@ def timed_event_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def affine_fit_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spans(spark, sf_dir).withColumn("raw", F.col("s") * 1.001 + 5 + F.col("k") % 3)
-    fit = ev.groupBy("user_id").agg(F.regr_slope("raw", "s").alias("scale"), F.regr_intercept("raw", "s").alias("offset"), F.count("*").alias("n"))
-    left = ev.join(fit, "user_id").withColumn("res", F.abs(F.col("raw") - (F.col("scale") * F.col("s") + F.col("offset"))))
-    sorted_ = F.array_sort(F.collect_list("res"))
-    return left.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max("scale"), 6).alias("scale"), F.round(F.percentile("res", F.lit(0.5)), 4).alias("median_residual"), F.round(F.get(sorted_, F.least(F.count("*") - 1, F.floor(F.count("*") * 0.95)).cast("int")), 4).alias("p95_residual"))
+    fit = aggregates.least_squares(ev, ["user_id"], "s", "raw")
+    return fit.select("user_id", "n", F.round("scale", 6).alias("scale"), F.round("median_residual", 4).alias("median_residual"), F.round("p95_residual", 4).alias("p95_residual"))
 
 
 def stratified_quota_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +256,7 @@ def latest_attempt_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.index_gaps(spans(spark, sf_dir).where("user_id < 30").select("user_id", "k").distinct(), ["user_id"], "k").select("user_id", "k")
+    return selection.index_gaps(spans(spark, sf_dir).select("user_id", "k").distinct(), ["user_id"], "k").select("user_id", "k")
 
 
 def sliced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,24 +310,62 @@ QUERIES = {f.__name__: f for f in (
     eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, smooth_runs, boundary_scan, affine_fit_ransac,
 )}
 
-_EDGES = f"""WITH {EV}, {ROSTER}, edges AS (
-    SELECT event_id, player_id, e, k,
-           CASE WHEN user_id = player_id THEN 'direct_visual' WHEN event_type = 'signup' THEN 'public_ui' ELSE 'not_visible' END AS visibility,
-           CASE WHEN user_id = player_id THEN round(least(value / 100, 1.0), 6)
-                WHEN event_type = 'signup' THEN least(round(least(value / 100, 1.0), 6), 0.8) ELSE 0.75 END AS confidence
-    FROM ev CROSS JOIN roster)"""
+_EDGES = f"""WITH {EV}, {GAMES},
+    facts AS (SELECT game_id, printf('ge_%08d', event_id) AS event_id, CASE WHEN k % 3 = 0 THEN [user_id, game_id * 6 + (user_id + 1) % 6] ELSE [user_id] END AS povs, event_type = 'signup' OR k % 10 = 0 AS public,
+        round(least(value / 100, 1.0), 6) AS sure, s, e, user_id, k, event_type FROM gv WHERE event_type <> 'error'),
+    claims AS (SELECT game_id, printf('claim_%08d', event_id) AS event_id, CASE WHEN k % 2 = 0 THEN list_transform(range(0, 6), lambda i: game_id * 6 + i) ELSE [user_id] END AS heard,
+        round(least(value / 100, 1.0), 6) AS sure, s, e, user_id, k FROM gv WHERE event_type = 'error'),
+    edges AS (
+        SELECT event_id, player_id, CASE WHEN list_contains(povs, player_id) THEN 'direct_visual' WHEN public THEN 'public_ui' ELSE 'not_visible' END AS visibility,
+            CASE WHEN list_contains(povs, player_id) THEN sure WHEN public THEN least(0.8, sure) ELSE 0.75 END AS confidence FROM facts JOIN roster USING (game_id)
+        UNION ALL SELECT event_id, player_id, CASE WHEN list_contains(heard, player_id) THEN 'heard_claim' ELSE 'not_visible' END, sure FROM claims JOIN roster USING (game_id))"""
+
+_DAYS = f"""WITH {EV}, {GAMES}, c AS (SELECT game_id, max(e) AS cutoff FROM gv GROUP BY game_id, floor(s / 86400)),
+    p AS (SELECT r.game_id, r.player_id, cutoff, event_id, CASE WHEN s > cutoff THEN 'post_cutoff' WHEN event_type = 'signup' THEN 'public_ui' WHEN user_id = r.player_id AND event_type = 'error' THEN 'direct_audio' WHEN user_id = r.player_id THEN 'direct_visual'
+        WHEN event_type = 'error' AND k % 3 = 0 AND r.player_id = r.game_id * 6 + (user_id + 1) % 6 AND k % 2 = 0 THEN 'heard_claim' WHEN k % 5 = 0 THEN 'not_visible' ELSE 'unknown' END AS a
+        FROM roster r JOIN c USING (game_id) JOIN gv USING (game_id)),
+    q AS (SELECT *, a IN ('direct_visual', 'direct_audio', 'public_ui', 'heard_claim') AS known FROM p)"""
+
+_FROM_FIRST = f"""WITH RECURSIVE {EV}, t AS (SELECT DISTINCT event_type, s FROM ev),
+    nxt AS (SELECT event_type, s, min(s) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN {{within}}.5 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM t),
+    f AS (SELECT event_type, min(s) AS s FROM t GROUP BY event_type UNION ALL SELECT f.event_type, n FROM f JOIN nxt USING (event_type, s) WHERE n IS NOT NULL),
+    k AS (SELECT f.event_type, f.s, min(event_id) AS kept_id FROM f JOIN ev USING (event_type, s) GROUP BY f.event_type, f.s)
+    SELECT event_id, last_value(k.kept_id IGNORE NULLS) OVER (PARTITION BY ev.event_type ORDER BY ev.s RANGE UNBOUNDED PRECEDING) AS kept_id FROM ev LEFT JOIN k USING (event_type, s)"""
 
 ORACLE_SQL = {
-    "visibility_edges": _EDGES + " SELECT event_id, player_id, visibility, confidence FROM edges",
+    "visibility_edges": _EDGES + " SELECT 'vis_' || event_id || '_' || player_id AS edge_id, event_id, player_id, visibility, confidence, CAST(visibility <> 'not_visible' AS BIGINT) AS n_evidence FROM edges",
     "visibility_summary": _EDGES + " SELECT player_id, visibility, count(*) AS n_edges, round(avg(confidence), 6) AS mean_confidence FROM edges GROUP BY ALL",
-    "claim_event_range_links": f"""WITH {EV}, near AS (
-        SELECT c.event_id AS claim_id, c.user_id AS speaker, f.event_id, f.user_id,
-               row_number() OVER (PARTITION BY c.event_id ORDER BY f.s, f.event_id) AS rn
-        FROM ev c JOIN ev f ON c.event_type = 'error' AND f.event_type <> 'error' AND f.s <= c.e + 180 AND f.e >= c.s - 180
-             AND (c.user_id = f.user_id OR c.k % 10 = f.k % 10))
-        SELECT claim_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) AS world_event_ids,
-               CASE WHEN bool_or(speaker = user_id) THEN 'supported' ELSE 'unverified' END AS truth_status
-        FROM near WHERE rn <= 4 GROUP BY claim_id""",
+    "claim_event_range_links": _EDGES + """, said AS (SELECT *, CASE k % 4 WHEN 0 THEN '我没有杀人' WHEN 1 THEN 'seeninroom' || (k % 7) WHEN 2 THEN '投票' ELSE '...' END AS t FROM claims),
+        near AS (SELECT c.game_id, c.event_id AS claim_id, c.user_id AS speaker, c.heard, c.sure AS cs, f.sure AS fs, c.k AS ck, f.event_id, f.user_id AS actor, row_number() OVER (PARTITION BY c.event_id ORDER BY f.event_id) AS rn
+            FROM said c JOIN facts f ON c.game_id = f.game_id AND f.s <= c.e + 1800 AND f.e >= c.s - 1800
+             AND (f.user_id = c.user_id OR f.user_id = c.game_id * 6 + (c.user_id + 1) % 6 OR contains(c.t, 'room' || (f.k % 7)) OR (c.k % 4 = 0 AND f.k % 5 = 0))),
+        g AS (SELECT game_id, claim_id, any_value(heard) AS heard, string_agg(event_id, ',' ORDER BY event_id) AS world_event_ids, list(event_id) AS ids, any_value(ck) AS ck, bool_or(actor = speaker) AS acts, least(any_value(cs), max(fs)) AS confidence FROM near WHERE rn <= 4 GROUP BY game_id, claim_id),
+        t AS (SELECT *, CASE WHEN acts AND ck % 4 = 0 THEN 'contradicted' WHEN acts THEN 'supported' ELSE 'unverified' END AS truth_status_global FROM g),
+        w AS (SELECT claim_id, list(DISTINCT player_id) AS saw FROM (SELECT claim_id, unnest(ids) AS event_id FROM t) u JOIN edges USING (event_id) WHERE visibility = 'direct_visual' GROUP BY claim_id),
+        a AS (SELECT t.claim_id, string_agg(player_id || ':' || CASE WHEN list_contains(saw, player_id) THEN CASE WHEN truth_status_global = 'contradicted' THEN 'has_contradictory_visual_evidence' ELSE 'has_supporting_visual_evidence' END
+            WHEN list_contains(heard, player_id) THEN 'not_enough_information' ELSE 'unknown' END, ',' ORDER BY player_id) AS awareness FROM t JOIN roster USING (game_id) LEFT JOIN w ON w.claim_id = t.claim_id GROUP BY t.claim_id)
+        SELECT claim_id, world_event_ids, truth_status_global, confidence, truth_status_global = 'unverified' AS needs_human_review, awareness FROM t JOIN a USING (claim_id)""",
+    "cutoff_information_state": _DAYS + """ SELECT game_id || ':' || player_id || ':' || printf('%.3f', cutoff) AS information_state_id, player_id, cutoff AS cutoff_abs_sec, coalesce(string_agg(printf('n%08d', event_id), ',' ORDER BY event_id) FILTER (known), '') AS known_facts,
+        count(*) FILTER (known AND a <> 'public_ui') AS n_private, count(*) FILTER (a = 'public_ui') AS n_public, count(*) FILTER (a = 'heard_claim') AS n_heard, count(*) FILTER (NOT known) AS n_forbidden, count(DISTINCT event_id % 50) FILTER (known) AS n_evidence FROM q GROUP BY game_id, player_id, cutoff""",
+    "claim_dedup": _FROM_FIRST.format(within=900),
+    "smooth_runs": f"""WITH {EV}, l AS (SELECT user_id, event_id, CASE WHEN k % 11 = 0 THEN 'unknown' WHEN k % 4 = 0 THEN 'meeting' ELSE 'gameplay' END AS label FROM ev),
+        c AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER w THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+        r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+        n AS (SELECT user_id, run, any_value(label) AS rl, count(*) AS size FROM r GROUP BY user_id, run),
+        h AS (SELECT *, sum(size) OVER (PARTITION BY user_id ORDER BY run ROWS UNBOUNDED PRECEDING) >= 3 OR rl = 'unknown' AS settled FROM n),
+        j AS (SELECT user_id, coalesce(min(run) FILTER (settled), max(run)) AS head FROM h GROUP BY user_id),
+        m AS (SELECT h.*, head, CASE WHEN run = head OR (run > head AND (size >= 3 OR rl = 'unknown')) THEN rl END AS own FROM h JOIN j USING (user_id)),
+        o AS (SELECT *, CASE WHEN run < head THEN max(rl) FILTER (run = head) OVER (PARTITION BY user_id) ELSE last_value(own IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY run ROWS UNBOUNDED PRECEDING) END AS smoothed FROM m)
+        SELECT r.user_id, event_id, label, smoothed FROM r JOIN o USING (user_id, run)""",
+    "anchor_fusion": _FROM_FIRST.format(within=1200),
+    "boundary_scan": f"""WITH RECURSIVE {EV}, r AS (SELECT user_id, s, event_type, row_number() OVER (PARTITION BY user_id ORDER BY s, event_type) AS n FROM ev),
+        f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS opened, CAST(-1e18 AS DOUBLE) AS ready, CAST(0 AS BIGINT) AS done, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM r GROUP BY user_id
+            UNION ALL SELECT f.user_id, r.n, CASE WHEN s < ready THEN opened WHEN opened IS NULL AND event_type IN ('signup', 'view') THEN s WHEN opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN NULL ELSE opened END,
+                CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN s + 180 ELSE ready END,
+                done + CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN 1 ELSE 0 END,
+                CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN opened END, CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN s END
+                FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+        SELECT user_id, done - 1 AS episode, a AS start_sec, b AS end_sec FROM f WHERE a IS NOT NULL""",
     "asof_snapshot": f"""WITH {EV}, snaps AS (
         SELECT user_id, s AS snap_s, event_id AS snap_id, round(value, 2) AS snap_value,
                row_number() OVER (PARTITION BY user_id, s ORDER BY event_id) AS rn FROM ev WHERE event_type = 'purchase'),
@@ -319,10 +380,9 @@ ORACLE_SQL = {
         FROM ev c LEFT JOIN ev p ON p.event_type = 'view' AND p.s <= c.s AND p.e + 600 >= c.s + 5 WHERE c.event_type = 'click')
         SELECT event_id, parent_id FROM met WHERE rn = 1""",
     "band_join_reaction": f"""WITH {EV} SELECT c.event_id AS claim_id, r.event_id AS reply_id, r.s - c.e AS gap
-        FROM ev c JOIN ev r ON c.event_type = 'view' AND r.event_type = 'purchase' AND r.s - c.e BETWEEN 5 AND 300 AND c.user_id <> r.user_id
-        ORDER BY gap, claim_id, reply_id LIMIT 200""",
+        FROM ev c JOIN ev r ON c.event_type = 'view' AND r.event_type = 'purchase' AND r.s - c.e BETWEEN 5 AND 300 AND c.user_id <> r.user_id""",
     "chain_cluster_consensus": f"""WITH {EV}, g AS (
-        SELECT *, CASE WHEN s - lag(s) OVER w > 900 THEN 1 ELSE 0 END AS new FROM ev WHERE user_id < 40 WINDOW w AS (PARTITION BY event_type ORDER BY s)),
+        SELECT *, CASE WHEN s - lag(s) OVER w > 900 THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY s)),
         c AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY s ROWS UNBOUNDED PRECEDING) AS cluster FROM g),
         a AS (SELECT event_type, cluster, min(s) AS first, median(s) AS abs_sec, count(DISTINCT user_id) AS n_users, count(*) AS n_events FROM c GROUP BY ALL),
         n AS (SELECT *, row_number() OVER (ORDER BY first, event_type) - 1 AS boundary_index FROM a)
@@ -338,18 +398,13 @@ ORACLE_SQL = {
         en AS (SELECT st.user_id, st.s, min(b.s) AS stop FROM st JOIN b ON b.user_id = st.user_id AND b.event_type = 'error' AND b.s > st.s AND (st.nxt IS NULL OR b.s < st.nxt) GROUP BY ALL)
         SELECT st.user_id, episode_index, st.s AS abs_start_sec, coalesce(stop, nxt, 2592000.0) AS abs_end_sec FROM st LEFT JOIN en USING (user_id, s)""",
     "phase_chunks": f"""WITH {EV}, parts AS (
-        SELECT event_id, unnest([s, s + 35, s + 61]) AS a, unnest([s + 20, s + 60, e]) AS b, e FROM ev WHERE event_id % 7 = 0),
+        SELECT event_id, unnest([s, s + 35, s + 61]) AS a, unnest([s + 20, s + 60, e]) AS b, e FROM ev),
         ok AS (SELECT event_id, a, least(b, e) AS b FROM parts WHERE least(b, e) > a),
         n AS (SELECT *, unnest(range(0, CAST(ceil((b - a) / 15) AS BIGINT))) AS i FROM ok)
         SELECT event_id, a + i * 15 AS start_sec, least(b, a + (i + 1) * 15) AS end_sec FROM n""",
-    "sliding_windows": f"""WITH {EV}, t AS (SELECT event_id, s, s + 40 + event_id % 300 AS stop FROM ev WHERE event_id % 5 = 0),
+    "sliding_windows": f"""WITH {EV}, t AS (SELECT event_id, s, s + 40 + event_id % 300 AS stop FROM ev),
         n AS (SELECT *, unnest(range(0, greatest(CAST(ceil((stop - s - 10) / 80) AS BIGINT), 1))) AS window_no FROM t)
         SELECT event_id, window_no, s + window_no * 80 AS start_sec, least(stop, s + window_no * 80 + 90) AS end_sec FROM n""",
-    "cutoff_information_state": f"""WITH {EV}, {ROSTER}, nodes AS (SELECT * FROM ev WHERE event_id < 300),
-        p AS (SELECT r.player_id, c.e AS cutoff, n.event_id, n.s > c.e AS after, n.event_type = 'signup' AS public, n.user_id = r.player_id AS own
-              FROM (SELECT e FROM nodes WHERE event_id % 50 = 0) c CROSS JOIN roster r CROSS JOIN nodes n)
-        SELECT player_id, cutoff, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (NOT after AND (public OR own)), '') AS known_facts,
-               count(*) FILTER (after OR NOT (public OR own)) AS n_forbidden, count(*) FILTER (NOT after AND public) AS n_public FROM p GROUP BY player_id, cutoff""",
     "last_n_history": f"""WITH {EV}, r AS (
         SELECT c.event_id, i.event_id AS item, i.s, row_number() OVER (PARTITION BY c.event_id ORDER BY i.s DESC, i.event_id DESC) AS rn
         FROM ev c LEFT JOIN ev i ON i.user_id = c.user_id AND i.event_type IN ('view', 'click') AND i.s <= c.s WHERE c.event_type = 'error')
@@ -358,11 +413,11 @@ ORACLE_SQL = {
         lag(event_id) OVER w AS previous_phase_id, lead(event_id) OVER w AS next_phase_id FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)""",
     "previous_state": f"""WITH {EV} SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN round(value, 2) END IGNORE NULLS)
         OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM ev""",
-    "weighted_vote_tick": f"""WITH {EV}, w AS (SELECT event_type, s, e + 1800 AS e, greatest(0.1, (k % 8) / 8) AS w, row_number() OVER (ORDER BY s, event_id) AS seq FROM ev WHERE user_id < 20),
-        t AS (SELECT unnest(range(0, (SELECT CAST(ceil(max(e) / 3600) AS BIGINT) FROM w))) AS tick),
-        v AS (SELECT tick, event_type, sum(w) AS score, min(seq) AS first FROM t JOIN w ON s <= (tick + 0.5) * 3600 AND e > (tick + 0.5) * 3600 GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY score DESC, first) AS rn, sum(score) OVER (PARTITION BY tick) AS total FROM v)
-        SELECT tick, event_type, round(score / total, 3) AS share FROM r WHERE rn = 1""",
+    "weighted_vote_tick": f"""WITH {EV}, {GAMES}, w AS (SELECT game_id, event_type, s, e + 1800 AS e, greatest(0.1, (k % 8) / 8) AS w, row_number() OVER (PARTITION BY game_id ORDER BY s, event_id) AS seq FROM gv),
+        t AS (SELECT game_id, unnest(range(0, CAST(ceil(max(e) / 3600) AS BIGINT))) AS tick FROM w GROUP BY game_id),
+        v AS (SELECT t.game_id, tick, event_type, sum(w) AS score, min(seq) AS first FROM t JOIN w ON t.game_id = w.game_id AND s <= (tick + 0.5) * 3600 AND e > (tick + 0.5) * 3600 GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY game_id, tick ORDER BY score DESC, first) AS rn, sum(score) OVER (PARTITION BY game_id, tick) AS total FROM v)
+        SELECT game_id, tick, event_type, round(score / total, 3) AS share FROM r WHERE rn = 1""",
     "next_within_horizon": f"""WITH {EV}, m AS (
         SELECT c.event_id, n.event_id AS next_id, row_number() OVER (PARTITION BY c.event_id ORDER BY n.s, n.event_id) AS rn
         FROM ev c JOIN ev n ON c.event_type = 'purchase' AND n.s > c.e AND n.s <= c.e + 600 AND n.user_id <> c.user_id)
@@ -374,7 +429,7 @@ ORACLE_SQL = {
         SELECT grp, count(*) AS n_rows, count(*) >= 3 AND count(DISTINCT d) = 1 AND count(DISTINCT g) = 1 AS is_grid FROM d GROUP BY grp""",
     "first_state": f"""WITH {EV}, a AS (SELECT user_id, min(s) FILTER (event_type = 'purchase') AS after_at FROM ev GROUP BY user_id)
         SELECT user_id, max(s) FILTER (event_type = 'view' AND s < after_at) AS before_at, any_value(after_at) AS after_at FROM ev JOIN a USING (user_id) GROUP BY user_id""",
-    "sample_times": f"""WITH {EV}, t AS (SELECT event_id, s, e, unnest(range(0, CAST(floor((e - s) * 0.125) AS BIGINT) + 1)) AS i FROM ev WHERE event_id % 40 = 0),
+    "sample_times": f"""WITH {EV}, t AS (SELECT event_id, s, e, unnest(range(0, CAST(floor((e - s) * 0.125) AS BIGINT) + 1)) AS i FROM ev),
         u AS (SELECT event_id, s + i / 0.125 AS moment FROM t UNION SELECT event_id, e FROM t)
         SELECT event_id, count(*) AS n_samples, max(moment) AS last_at, sum(moment) AS sum_at FROM u GROUP BY event_id""",
     "timed_event_repair": f"""WITH {EV} SELECT event_id, event_id % 8 IN (0, 1, 2, 3, 6) AS ok,
@@ -394,7 +449,7 @@ ORACLE_SQL = {
     "keep_first_dedupe": f"WITH {EV} SELECT event_id, user_id, k FROM ev QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY s, event_id) = 1",
     "latest_attempt_dedupe": f"""WITH {EV}, a AS (SELECT user_id || '|' || (k % 5) AS task_key, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'skipped' ELSE 'ok' END AS status FROM ev)
         SELECT task_key, event_id, status FROM a QUALIFY row_number() OVER (PARTITION BY task_key ORDER BY status = 'ok' DESC, event_id DESC) = 1""",
-    "index_gaps": f"""WITH {EV}, u AS (SELECT DISTINCT user_id, k FROM ev WHERE user_id < 30),
+    "index_gaps": f"""WITH {EV}, u AS (SELECT DISTINCT user_id, k FROM ev),
         w AS (SELECT user_id, unnest(range(0, max(k) + 1)) AS k FROM u GROUP BY user_id) SELECT user_id, k FROM w EXCEPT SELECT user_id, k FROM u""",
     "sliced_rows": f"""WITH {EV}, n AS (SELECT event_id, s, row_number() OVER (ORDER BY s, event_id) - 1 AS p FROM ev WHERE event_type = 'click')
         SELECT event_id, s FROM n WHERE p >= 3 AND (p - 3) % 7 = 0 ORDER BY p LIMIT 50""",

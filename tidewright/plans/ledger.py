@@ -17,6 +17,10 @@ ACTION_TOKENS = ("杀", "刀", "尸体", "投", "右", "左", "上", "下", "任
 DENIAL_TOKENS = ("没有", "没去", "不是", "一直")
 RECENT_TOKENS = ("刚", "刚才", "上一轮")
 PUBLIC_PHASES = ("meeting", "final")
+NOT_PROBED = ("discussion", "meeting", "phase_transition", "gameplay_phase_transition", "scene_transition", "transition", "voting", "vote", "vote_result", "voting_result", "result", "game_result", "game_over", "game_start", "gameplay_start", "task", "task_completion", "unknown")
+PROBED_CLAIMS = ("location", "defense", "accusation", "sighting")
+IDLE_TALK = ("没用", "没有什么作用", "开玩笑", "哈哈")
+SEEDED_TYPES = ("body_report", "encounter", "interaction", "kill", "movement", "role_clue", "task", "task_ui")
 # End of fixed values.
 
 ANNOTATION = """game_id string, episode_id string, phase_id string, phase_type string, phase_index_global int, player_id string,
@@ -39,6 +43,19 @@ def _roster(players: DataFrame) -> Column:
     return F.array(*[F.lit(p) for p in players_array(players)])
 
 
+def with_roster(df: DataFrame, players: DataFrame, session: str = "game_id", name: str = "player_id") -> DataFrame:
+    """Each row with each player: of its own session, where `players` has that column, else of the one roster."""
+    own = players.select(*[c for c in (session,) if c in players.columns], F.col("player_id").alias(name)).distinct()
+    return df.join(own, session) if session in players.columns else joins.grid(df, own)
+
+
+def _with_roster_array(df: DataFrame, players: DataFrame, session: str = "game_id") -> DataFrame:
+    """Adds `_roster`, the sorted names of the row's session (a session holds a table's worth of players)."""
+    if session not in players.columns:
+        return df.withColumn("_roster", _roster(players))
+    return df.join(players.groupBy(session).agg(F.array_sort(F.collect_set("player_id")).alias("_roster")), session)
+
+
 def _if(flag: Column, value: Column) -> Column:
     return F.when(flag, F.array(F.coalesce(value, F.lit("")))).otherwise(F.array().cast("array<string>"))
 
@@ -141,13 +158,13 @@ def visibility_edges(events: DataFrame, claims: DataFrame, players: DataFrame) -
     seen = F.array_contains("source_povs", p)
     public = F.col("phase_type").isin(*PUBLIC_PHASES) | (F.size("public_evidence") > 0)
     none = F.array().cast("array<string>")
-    of_events = joins.grid(events, players.select("player_id")).select(
+    of_events = with_roster(events, players).select(
         "game_id", F.col("world_event_id").alias("event_id"), "player_id", F.col("abs_end_sec").alias("cutoff_abs_sec"),
         F.when(seen, "direct_visual").when(public, "public_ui").otherwise("not_visible").alias("visibility"), F.when(seen | public, F.array("world_event_id")).otherwise(none).alias("evidence_ids"),
         F.when(seen, F.col("certainty")).when(public, F.least(F.lit(0.8), F.col("certainty"))).otherwise(0.75).alias("confidence"),
     )
     heard = F.array_contains("heard_by", p)
-    of_claims = joins.grid(claims, players.select("player_id")).select(
+    of_claims = with_roster(claims, players).select(
         "game_id", F.col("claim_id").alias("event_id"), "player_id", F.col("abs_end_sec").alias("cutoff_abs_sec"), F.when(heard, "heard_claim").otherwise("not_visible").alias("visibility"),
         F.when(heard, F.array("claim_id")).otherwise(none).alias("evidence_ids"), F.col("certainty").alias("confidence"),
     )
@@ -179,9 +196,10 @@ def claim_truth_links(claims: DataFrame, events: DataFrame, edges: DataFrame, pl
         F.least(F.first("_cc"), F.max("_ec")).alias("confidence"),
     )
     denies = text.contains_any(text.normalized_text(F.col("_content")), DENIAL_TOKENS)
+    grouped = _with_roster_array(grouped, players)
     out = grouped.join(saw, ["game_id", "claim_id"]).withColumn("truth_status_global", F.when(F.col("_acts") & denies, "contradicted").when(F.col("_acts"), "supported").otherwise("unverified"))
     sight = F.when(F.col("truth_status_global") == "contradicted", "has_contradictory_visual_evidence").otherwise("has_supporting_visual_evidence")
-    aware = F.map_from_entries(F.transform(_roster(players), lambda p: F.struct(p, F.when(F.array_contains("_saw", p), sight).when(F.array_contains("_heard", p), "not_enough_information").otherwise("unknown"))))
+    aware = F.map_from_entries(F.transform("_roster", lambda p: F.struct(p, F.when(F.array_contains("_saw", p), sight).when(F.array_contains("_heard", p), "not_enough_information").otherwise("unknown"))))
     return out.select(
         F.concat_ws("_", F.lit("ctl"), "claim_id", F.get("world_event_ids", 0)).alias("claim_truth_link_id"), "game_id", "claim_id", "world_event_ids", "truth_status_global", aware.alias("local_awareness_by_player"),
         "confidence", F.col("truth_status_global").isin("ambiguous", "unverified").alias("needs_human_review"),
@@ -218,7 +236,7 @@ def probe_cutoffs(links: DataFrame, claims: DataFrame, events: DataFrame, player
     """Cutoffs one second after linked claims and three after events, for each player, once to a tenth of a second."""
     linked = links.select("game_id", "claim_id").join(claims.select("game_id", "claim_id", "abs_end_sec"), ["game_id", "claim_id"]).orderBy("claim_id").limit(from_each).select("game_id", (F.col("abs_end_sec") + 1).alias("cutoff_abs_sec"))
     after = events.orderBy("world_event_id").limit(from_each).select("game_id", (F.col("abs_end_sec") + 3).alias("cutoff_abs_sec"))
-    rows = joins.grid(linked.unionByName(after), players.select(F.col("player_id").alias("target_player")))
+    rows = with_roster(linked.unionByName(after), players, name="target_player")
     once = rows.withColumn("_r", F.bround("cutoff_abs_sec", 1)).groupBy("game_id", "target_player", "_r").agg(F.min("cutoff_abs_sec").alias("cutoff_abs_sec"))
     return once.drop("_r").orderBy("cutoff_abs_sec", "target_player").limit(most)
 
@@ -299,10 +317,9 @@ def other_player(source_povs: Column, target: Column, roster: Column) -> Column:
 
 def is_clean_event(players: Column) -> Column:
     """Worth a probe: private, not a transition or task, plainly described, sure enough, seen by roster players only."""
-    excluded = ("discussion", "meeting", "phase_transition", "gameplay_phase_transition", "scene_transition", "transition", "voting", "vote", "vote_result", "voting_result", "result", "game_result", "game_over", "game_start", "gameplay_start", "task", "task_completion", "unknown")
     described = ~text.contains_any(F.lower("description"), text.BAD_DESCRIPTION)
     seen = (F.size("source_povs") > 0) & F.forall("source_povs", lambda p: F.array_contains(players, p))
-    return ~F.col("phase_type").isin(*PUBLIC_PHASES) & ~F.col("event_type").isin(*excluded) & described & (F.col("certainty") >= 0.65) & ~F.col("needs_human_review") & seen & after_warmup()
+    return ~F.col("phase_type").isin(*PUBLIC_PHASES) & ~F.col("event_type").isin(*NOT_PROBED) & described & (F.col("certainty") >= 0.65) & ~F.col("needs_human_review") & seen & after_warmup()
 
 
 def phase_local_start(segment_ids: Column, start: Column) -> Column:
@@ -317,14 +334,13 @@ def after_warmup(seconds: float = 15.0) -> Column:
 
 
 def is_usable_claim(players: Column) -> Column:
-    good = F.col("claim_type").isin("location", "defense", "accusation", "sighting")
     final = F.exists("source_segment_ids", lambda s: F.contains(s, F.lit("_final_")))
-    return ~final & F.array_contains(players, F.col("speaker")) & good & (F.col("certainty") >= 0.55) & ~text.contains_any(F.col("content"), ("没用", "没有什么作用", "开玩笑", "哈哈")) & (F.length(text.stripped(F.col("content"))) >= 8)
+    return ~final & F.array_contains(players, F.col("speaker")) & F.col("claim_type").isin(*PROBED_CLAIMS) & (F.col("certainty") >= 0.55) & ~text.contains_any(F.col("content"), IDLE_TALK) & (F.length(text.stripped(F.col("content"))) >= 8)
 
 
 def diagnostic_event_allowed() -> Column:
     """Seeded events need a plausible length, certainty, type and description; others always pass."""
-    private = F.col("event_type").isin("body_report", "encounter", "interaction", "kill", "movement", "role_clue", "task", "task_ui")
+    private = F.col("event_type").isin(*SEEDED_TYPES)
     length = F.col("abs_end_sec") - F.col("abs_start_sec")
     return ~F.coalesce(F.col("gold_source") == "qwen_seed", F.lit(False)) | (length.between(0, 15) & (F.col("certainty") >= 0.6) & private & (F.length(text.stripped(F.col("description"))) >= 8))
 

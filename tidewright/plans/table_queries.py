@@ -26,7 +26,7 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id", text.short_text(t, 40).alias("short_text"), text.ellipsis_text(t, 30).alias("ellipsis_text"), F.length(text.normalized_text(t)).cast("bigint").alias("normalized_length"),
-        text.safe_id(F.substring(t, 1, 30)).alias("safe_id"), text.canonical_text(F.substring(t, 1, 50)).alias("canonical_text"),
+        F.md5(text.safe_id(t)).alias("safe_id"), F.md5(text.canonical_text(t)).alias("canonical_text"),
     )
 
 
@@ -65,17 +65,8 @@ def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leakage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages in documents: word 8-grams meet by hash, and whole passages are then compared.
-
-    The benchmark's first 8-gram of each passage is looked up among all 8-grams of documents, so no pair is tried that
-    doesn't share one; white space is one space on both sides.
-    """
-    flat = lambda c: text.stripped(F.regexp_replace(c, r"(?U)\s+", " "))
-    item = table(spark, sf_dir, "benchmark").select("item_id", flat(F.col("text")).alias("passage")).withColumn("g", F.array_join(F.slice(F.split("passage", " "), 1, 8), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", flat(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    grams = docs.where(F.size("w") >= 8).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " ")))).alias("h")).distinct()
-    maybe = grams.join(item.where(F.size(F.split("passage", " ")) >= 8).select("item_id", "passage", F.xxhash64("g").alias("h")), "h")
-    return maybe.join(docs.select("doc_id", "body"), "doc_id").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id")
+    """Benchmark passages, of any length, that documents contain as whole words."""
+    return checks.passages_in(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 def task_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +155,10 @@ def per_stratum_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    base = v.where("vec_id < 3").select(F.col("vec_id").alias("base_id"), F.col("v").alias("b"))
-    dot = F.aggregate(F.zip_with("v", "b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return joins.grid(v, base).select("vec_id", "base_id", F.round(dot, 4).alias("dot"))
+    """Every hundredth vector against all."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    base = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("base_id"), F.col("v").alias("b"))
+    return joins.grid(v, base).select("vec_id", "base_id", F.round(numbers.dot(F.col("v"), F.col("b")), 4).alias("dot"))
 
 
 def graded_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,15 +169,16 @@ def graded_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expand_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.array(F.col("o_custkey") + 1, F.col("o_custkey"), F.lit(-1).cast("bigint"), F.col("o_custkey") - 1).alias("ids"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.col("o_custkey") + 1, F.col("o_custkey"), F.lit(-1).cast("bigint"), F.col("o_custkey") - 1).alias("ids"))
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     out = joins.expand_ids(rows, "ids", cust, "c_custkey", "o_orderkey", "found")
     return out.select("o_orderkey", F.array_join(F.transform("found", lambda r: F.concat_ws(":", r["c_custkey"].cast("string"), r["c_mktsegment"])), ",").alias("found"))
 
 
 def cover_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 400")
-    reviews = table(spark, sf_dir, "lineitem").where("l_orderkey between 10 and 450 and l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    """Orders that aren't pending against reviews, which are the returned lines: missing, duplicate and unexpected ones."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    reviews = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return joins.cover_once(o, reviews, "o_orderkey")
 
 
@@ -297,8 +289,8 @@ ORACLE_SQL = {
     "text_scalars": r"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM documents)
         SELECT doc_id, CASE WHEN substr(regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g'), 1, 40) = '' THEN 'unknown' ELSE substr(regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g'), 1, 40) END AS short_text,
                CASE WHEN length(flat) > 30 THEN substr(flat, 1, 29) || '…' ELSE flat END AS ellipsis_text, length(regexp_replace(lower(text), '\s+', '', 'g')) AS normalized_length,
-               regexp_replace(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe_id,
-               lower(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 50), '["''“”‘’]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS canonical_text FROM d""",
+               md5(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS safe_id,
+               md5(lower(regexp_replace(regexp_replace(regexp_replace(text, '["''“”‘’]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))) AS canonical_text FROM d""",
     "enum_ladders": """WITH r AS (SELECT conv_id, turn, lower(['Vote', 'He said: Claim', 'a body', 'Task list', 'route-Move', 'meeting', 'nothing'][conv_id % 7 + 1]) AS w,
                [' Route ', 'death', 'has-contradictory visual evidence', 'TRUE', 'not enough info', 'Unknown', 'body'][turn % 7 + 1] AS l FROM conversations),
         n AS (SELECT *, translate(lower(trim(l)), '- ', '__') AS k FROM r)
@@ -310,7 +302,7 @@ ORACLE_SQL = {
     "json_fence_strip": """WITH b AS (SELECT conv_id, turn, '{"id": ' || conv_id || ', "turn": ' || turn || '}' AS body FROM conversations)
         SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'so ' || body || ' it is' ELSE body END AS stripped, conv_id AS parsed_id, true AS parse_ok FROM b""",
     "leakage_scan": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents), b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS passage FROM benchmark)
-        SELECT doc_id, item_id FROM d JOIN b ON contains(body, passage) WHERE len(string_split(passage, ' ')) >= 8""",
+        SELECT doc_id, item_id FROM d JOIN b ON passage <> '' AND contains(' ' || body || ' ', ' ' || passage || ' ')""",
     "task_grid": """WITH m(model, inputs) AS (VALUES ('mock-text', ['text']), ('mock-vision', ['text', 'image', 'video']), ('mock-omni', ['text', 'image', 'video', 'audio'])),
         k(modality, needs) AS (VALUES ('text', ['text']), ('video', ['text', 'video']), ('audio_video', ['text', 'video', 'audio']))
         SELECT model, modality, count(*) AS n_tasks, count(*) FILTER (list_has_all(inputs, needs)) AS n_supported, min(conv_id || '-' || turn || '|' || model || '|' || modality || '|v1') AS first_key
@@ -347,14 +339,14 @@ ORACLE_SQL = {
         t AS (SELECT *, rn <= 8 AS f FROM n ORDER BY NOT f, CASE WHEN f THEN rn END, CASE WHEN f THEN o_orderpriority END, o_totalprice DESC, o_orderkey LIMIT 60)
         SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY NOT f, CASE WHEN f THEN rn END, CASE WHEN f THEN o_orderpriority END, o_totalprice DESC, o_orderkey) - 1 AS position FROM t""",
     "per_stratum_topk": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 3",
-    "vector_dot": """SELECT v.vec_id, b.vec_id AS base_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 4) AS dot
-        FROM embeddings v CROSS JOIN embeddings b WHERE b.vec_id < 3""",
+    "vector_dot": """SELECT v.vec_id, b.vec_id AS base_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 4) + 0.0 AS dot
+        FROM embeddings v CROSS JOIN embeddings b WHERE b.vec_id % 100 = 0""",
     "graded_match": """WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), s AS (
         SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM f) THEN 'exact' WHEN (o_custkey, o_orderpriority) IN (SELECT o_custkey, o_orderpriority FROM f) THEN 'semantic'
                WHEN o_custkey IN (SELECT o_custkey FROM f) THEN 'loose' ELSE 'none' END AS status FROM orders) SELECT status, count(*) AS n_orders, min(o_orderkey) AS first_order FROM s GROUP BY status""",
-    "expand_ids": """WITH o AS (SELECT o_orderkey, unnest([o_custkey + 1, o_custkey, -1, o_custkey - 1]) AS c_custkey, unnest([1, 2, 3, 4]) AS pos FROM orders WHERE o_orderkey % 50 = 0)
+    "expand_ids": """WITH o AS (SELECT o_orderkey, unnest([o_custkey + 1, o_custkey, -1, o_custkey - 1]) AS c_custkey, unnest([1, 2, 3, 4]) AS pos FROM orders)
         SELECT o_orderkey, coalesce(string_agg(c_custkey || ':' || c_mktsegment, ',' ORDER BY pos) FILTER (c_mktsegment IS NOT NULL), '') AS found FROM o LEFT JOIN customer USING (c_custkey) GROUP BY o_orderkey""",
-    "cover_once": """WITH r AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_orderkey BETWEEN 10 AND 450 AND l_linenumber <= 2 GROUP BY 1), o AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey < 400),
+    "cover_once": """WITH r AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), o AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'),
         b AS (SELECT coalesce(o.k, r.k) AS o_orderkey, CASE WHEN o.k IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' END AS code FROM o FULL JOIN r ON o.k = r.k)
         SELECT o_orderkey, code FROM b WHERE code IS NOT NULL""",
     "number_words": """SELECT event_id, CAST([0.85, 0.35, 0.7, 1.0, 0.0, 0.5, 0.6, 0.5, 0.5, 0.5][event_id % 10 + 1] AS DOUBLE) AS certainty, CAST([0.0, 0.0, 0.7, 7.0, -1.0, 0.0, 0.0, 17.0, 90.0, 0.0][event_id % 10 + 1] AS DOUBLE) AS seconds,

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import answers, text
-from tidewright.operators import folds, joins
+from tidewright.operators import folds, joins, selection
+from tidewright.plans.ledger import with_roster
 
 # Event types.
 VISUAL_TYPES = ("movement", "encounter", "task", "task_ui", "interaction", "meeting", "vote", "kill", "body_report", "action_outcome")
@@ -77,7 +78,7 @@ def fuse(rows: DataFrame, episodes: DataFrame, tolerance: float = 1.5) -> DataFr
         F.count_if(is_audio).alias("_n_audio"), F.count_distinct(F.when(is_audio, F.col("player_id"))).alias("_ears"), F.bool_or(is_audio & F.col("text_verified")).alias("_verified"),
         F.bool_or(is_audio & F.coalesce("meeting_public", F.lit(False))).alias("_meeting"), F.collect_set(F.when(is_audio, F.col("player_id"))).alias("_ear_set"), flat_set(F.when(is_audio, F.col("heard_by")).otherwise(F.array().cast("array<string>"))).alias("_told"),
     )
-    nodes = nodes.withColumn("node_index", F.row_number().over(Window.orderBy("_turn")) - 1)  # nodes of one session
+    nodes = selection.with_position(nodes, ["_turn"], "node_index")
     admissible = F.when(F.col("_n_audio") > 0, (F.col("_ears") >= 2) | F.col("_verified"))
     meeting = (F.col("phase_type") == "meeting") & F.col("_meeting")
     none = F.array().cast("array<string>")
@@ -103,7 +104,7 @@ def access(player: Column, cutoff: Column) -> Column:
 def information_states(nodes: DataFrame, players: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
     """For each episode, player and cutoff (every node's end, unless given) the sorted ids known, public, heard, forbidden."""
     cutoffs = nodes.select("episode_id", F.col("abs_end_sec").alias("cutoff_abs_sec")).distinct() if cutoffs is None else cutoffs
-    asked = joins.grid(cutoffs, players.select("player_id")).withColumnRenamed("player_id", "subject")
+    asked = with_roster(cutoffs, players, "episode_id", "subject")
     pairs = asked.join(nodes, "episode_id").withColumn("_a", access(F.col("subject"), F.col("cutoff_abs_sec")))
     known, public = F.col("_a").isin("direct_visual", "direct_audio", "public_ui", "heard_claim"), F.col("_a") == "public_ui"
     ids = lambda flag: F.array_sort(F.collect_set(F.when(flag, F.col("trajectory_node_id"))))
@@ -119,7 +120,7 @@ def layer_evidence(states: DataFrame, nodes: DataFrame, players: DataFrame, laye
     rules = players.sparkSession.createDataFrame([(layer, t) for layer, types in layers.items() for t in types], "layer string, event_type string")
     typed = nodes.join(F.broadcast(rules), "event_type")  # a rule table of a few dozen rows
     s = states.select("information_state_id", "episode_id", F.col("player_id").alias("subject"), "cutoff_abs_sec", "available_evidence_ids")
-    pairs = joins.grid(s, players.select(F.col("player_id").alias("target"))).where("subject <> target").join(typed, "episode_id").where("abs_start_sec <= cutoff_abs_sec")
+    pairs = with_roster(s, players, "episode_id", "target").where("subject <> target").join(typed, "episode_id").where("abs_start_sec <= cutoff_abs_sec")
     own = F.when(F.col("event_type").isin(*PLAYER_CENTRIC), F.col("player_id"))
     about = F.array_contains("visible_players", F.col("target")) | F.array_contains("mentioned_players", F.col("target")) | F.coalesce(F.col("speaker_id") == F.col("target"), F.lit(False)) | F.coalesce(own == F.col("target"), F.lit(False))
     found = pairs.where(about).withColumn("_e", F.array_intersect("evidence_asset_ids", "available_evidence_ids")).where(F.size("_e") > 0)
