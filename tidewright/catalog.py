@@ -1,10 +1,9 @@
-"""Registry of the engine's named queries and their DuckDB twins."""
+"""The registry of named queries and their DuckDB twins, from the modules that hold them."""
 
 from __future__ import annotations
 
-from tidewright.plans import event_queries, table_queries
+from tidewright.plans import event_queries, payload_queries, table_queries
 
-_GROUPS = (event_queries, table_queries)
-
-QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
-ORACLE_SQL = {name: sql for group in _GROUPS for name, sql in group.ORACLE_SQL.items()}
+MODULES = (event_queries, table_queries, payload_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
