@@ -55,7 +55,7 @@ def ledger_tables(ev: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = ev.where("event_type <> 'error'").select(
         "game_id", F.format_string("ge_%08d", "event_id").alias("world_event_id"), *span, F.when(F.col("k") % 3 == 0, F.array(me, next_)).otherwise(F.array(me)).alias("source_povs"),
         F.when(F.col("event_type") == "signup", "meeting").otherwise("gameplay").alias("phase_type"), F.when(F.col("k") % 10 == 0, F.array(F.lit("board"))).otherwise(none).alias("public_evidence"),
-        F.array(me).alias("actors"), F.concat(F.lit("room"), F.col("k") % 7).alias("location"), F.concat(F.when(F.col("k") % 5 == 0, "杀 ").otherwise(""), F.col("event_type")).alias("description"),
+        "event_type", F.array(me).alias("actors"), F.concat(F.lit("room"), F.col("k") % 7).alias("location"), F.concat(F.when(F.col("k") % 5 == 0, "杀 ").otherwise(""), F.col("event_type")).alias("description"),
     )
     table_of_six = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("game_id") * 6 + i)
     said = F.when(F.col("k") % 4 == 0, "我没有杀人").when(F.col("k") % 4 == 1, F.concat(F.lit("seen in room"), F.col("k") % 7)).when(F.col("k") % 4 == 2, "投票").otherwise("...")
@@ -320,6 +320,13 @@ _EDGES = f"""WITH {EV}, {GAMES},
             CASE WHEN list_contains(povs, player_id) THEN sure WHEN public THEN least(0.8, sure) ELSE 0.75 END AS confidence FROM facts JOIN roster USING (game_id)
         UNION ALL SELECT event_id, player_id, CASE WHEN list_contains(heard, player_id) THEN 'heard_claim' ELSE 'not_visible' END, sure FROM claims JOIN roster USING (game_id))"""
 
+LINKS = _EDGES + """, said AS (SELECT *, CASE k % 4 WHEN 0 THEN '我没有杀人' WHEN 1 THEN 'seeninroom' || (k % 7) WHEN 2 THEN '投票' ELSE '...' END AS t FROM claims),
+        near AS (SELECT c.game_id, c.event_id AS claim_id, c.user_id AS speaker, c.heard, c.sure AS cs, f.sure AS fs, c.k AS ck, f.event_id, f.user_id AS actor, row_number() OVER (PARTITION BY c.event_id ORDER BY f.event_id) AS rn
+            FROM said c JOIN facts f ON c.game_id = f.game_id AND f.s <= c.e + 1800 AND f.e >= c.s - 1800
+             AND (f.user_id = c.user_id OR f.user_id = c.game_id * 6 + (c.user_id + 1) % 6 OR contains(c.t, 'room' || (f.k % 7)) OR (c.k % 4 = 0 AND f.k % 5 = 0))),
+        g AS (SELECT game_id, claim_id, any_value(heard) AS heard, string_agg(event_id, ',' ORDER BY event_id) AS world_event_ids, list(event_id) AS ids, any_value(ck) AS ck, bool_or(actor = speaker) AS acts, least(any_value(cs), max(fs)) AS confidence FROM near WHERE rn <= 4 GROUP BY game_id, claim_id),
+        t AS (SELECT *, CASE WHEN acts AND ck % 4 = 0 THEN 'contradicted' WHEN acts THEN 'supported' ELSE 'unverified' END AS truth_status_global FROM g)"""
+
 _DAYS = f"""WITH {EV}, {GAMES}, c AS (SELECT game_id, max(e) AS cutoff FROM gv GROUP BY game_id, floor(s / 86400)),
     p AS (SELECT r.game_id, r.player_id, cutoff, event_id, CASE WHEN s > cutoff THEN 'post_cutoff' WHEN event_type = 'signup' THEN 'public_ui' WHEN user_id = r.player_id AND event_type = 'error' THEN 'direct_audio' WHEN user_id = r.player_id THEN 'direct_visual'
         WHEN event_type = 'error' AND k % 3 = 0 AND r.player_id = r.game_id * 6 + (user_id + 1) % 6 AND k % 2 = 0 THEN 'heard_claim' WHEN k % 5 = 0 THEN 'not_visible' ELSE 'unknown' END AS a
@@ -335,12 +342,7 @@ _FROM_FIRST = f"""WITH RECURSIVE {EV}, t AS (SELECT DISTINCT event_type, s FROM
 ORACLE_SQL = {
     "visibility_edges": _EDGES + " SELECT 'vis_' || event_id || '_' || player_id AS edge_id, event_id, player_id, visibility, confidence, CAST(visibility <> 'not_visible' AS BIGINT) AS n_evidence FROM edges",
     "visibility_summary": _EDGES + " SELECT player_id, visibility, count(*) AS n_edges, round(avg(confidence), 6) AS mean_confidence FROM edges GROUP BY ALL",
-    "claim_event_range_links": _EDGES + """, said AS (SELECT *, CASE k % 4 WHEN 0 THEN '我没有杀人' WHEN 1 THEN 'seeninroom' || (k % 7) WHEN 2 THEN '投票' ELSE '...' END AS t FROM claims),
-        near AS (SELECT c.game_id, c.event_id AS claim_id, c.user_id AS speaker, c.heard, c.sure AS cs, f.sure AS fs, c.k AS ck, f.event_id, f.user_id AS actor, row_number() OVER (PARTITION BY c.event_id ORDER BY f.event_id) AS rn
-            FROM said c JOIN facts f ON c.game_id = f.game_id AND f.s <= c.e + 1800 AND f.e >= c.s - 1800
-             AND (f.user_id = c.user_id OR f.user_id = c.game_id * 6 + (c.user_id + 1) % 6 OR contains(c.t, 'room' || (f.k % 7)) OR (c.k % 4 = 0 AND f.k % 5 = 0))),
-        g AS (SELECT game_id, claim_id, any_value(heard) AS heard, string_agg(event_id, ',' ORDER BY event_id) AS world_event_ids, list(event_id) AS ids, any_value(ck) AS ck, bool_or(actor = speaker) AS acts, least(any_value(cs), max(fs)) AS confidence FROM near WHERE rn <= 4 GROUP BY game_id, claim_id),
-        t AS (SELECT *, CASE WHEN acts AND ck % 4 = 0 THEN 'contradicted' WHEN acts THEN 'supported' ELSE 'unverified' END AS truth_status_global FROM g),
+    "claim_event_range_links": LINKS + """,
         w AS (SELECT claim_id, list(DISTINCT player_id) AS saw FROM (SELECT claim_id, unnest(ids) AS event_id FROM t) u JOIN edges USING (event_id) WHERE visibility = 'direct_visual' GROUP BY claim_id),
         a AS (SELECT t.claim_id, string_agg(player_id || ':' || CASE WHEN list_contains(saw, player_id) THEN CASE WHEN truth_status_global = 'contradicted' THEN 'has_contradictory_visual_evidence' ELSE 'has_supporting_visual_evidence' END
             WHEN list_contains(heard, player_id) THEN 'not_enough_information' ELSE 'unknown' END, ',' ORDER BY player_id) AS awareness FROM t JOIN roster USING (game_id) LEFT JOIN w ON w.claim_id = t.claim_id GROUP BY t.claim_id)
