@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import answers
 from tidewright.operators import joins
+from tidewright.plans import normalise
 
 #: Name, adapter and inputs of example models; a registry is a small dimension table that callers extend.
 MODELS = (
@@ -109,3 +110,37 @@ def markdown_report(scores: DataFrame, order: Sequence[str], digits: int = 3, mo
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     return "\n".join([*lines, *["| " + " | ".join(cell(r[n]) for n in names) + " |" for r in rows]]) + "\n"
+
+
+def client_of(model: str, clients: dict[str, Callable[[str], str]]) -> Callable[[str], str]:
+    """The client that serves a model, by its whole name or the longest prefix that is known."""
+    for name in sorted(clients, key=len, reverse=True):
+        if model == name or model.startswith(name):
+            return clients[name]
+    raise ValueError(f"no client for {model}")
+
+
+def boundary_loop(clips: DataFrame, client: Callable[[str], str], accepts: Column, prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:
+    """(boundaries, errors) of clips: each answer's objects in their clip's frame; those that `accepts` refuses are left out.
+
+    clips: clip (struct), prompt."""
+    keyed = clips.withColumn("clip_id", F.col("clip.clip_id"))
+    items, errors = annotate(keyed, client, prompt)
+    rows = keyed.select("clip_id", "clip").join(items, "clip_id").withColumn("item", F.parse_json("item"))
+    return normalise.round_boundaries(rows).where(accepts), errors
+
+
+def sync_loop(videos: DataFrame, client: Callable[[str], str], known: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """Offsets of videos: those known with confidence stay, the others are asked for and put in their place.
+
+    videos: game_id, player_id, prompt; known: game_id, player_id, raw_start_sec, confidence."""
+    sure = known.where("confidence > 0")
+    left = videos.join(sure.select("game_id", "player_id"), ["game_id", "player_id"], "left_anti").withColumn("key", F.concat_ws("|", "game_id", "player_id"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame([(k, with_retry(client, p)[0]) for k, p in zip(rows["key"], rows[prompt])], columns=["key", "raw"])
+
+    asked = left.select("key", prompt).mapInPandas(ask, "key string, raw string").withColumn("item", F.try_parse_json(answers.strip_fences(F.col("raw"))))
+    got = normalise.sync_offsets(left.select("key", "game_id", "player_id").join(asked, "key")).where("ok")
+    return sure.select("game_id", "player_id", "raw_start_sec", "confidence").unionByName(got.select("game_id", "player_id", "raw_start_sec", "confidence"))
