@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.session import table
 
-from . import ann, bpe, exact_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
+from . import ann, bpe, common, exact_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
 from .wordcodes import Vocabulary
 
 
@@ -70,16 +71,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Writes a query's rows to the shared folder and deletes the scratch tables and files that they came from."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with common.recording([]) as paths:
+            found = query(spark, sf_dir)
+        kept = common.stage_table(found, query.__name__)
+        common.release(spark, paths)
+        return kept
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op2_packing": op2_packing,
-    "op3_exact_dedup": op3_exact_dedup,
-    "op4_token_shards": op4_token_shards,
+    "op1_substring_dedup": _tidy(op1_substring_dedup),
+    "op2_packing": _tidy(op2_packing),
+    "op3_exact_dedup": _tidy(op3_exact_dedup),
+    "op4_token_shards": _tidy(op4_token_shards),
     "op5_quality_classifier": op5_quality_classifier,
-    "op6_simhash_near_dedup": op6_simhash_near_dedup,
-    "op7_nearest_neighbours": op7_nearest_neighbours,
-    "op8_byte_bpe": op8_byte_bpe,
-    "op9_token_counts": op9_token_counts,
+    "op6_simhash_near_dedup": _tidy(op6_simhash_near_dedup),
+    "op7_nearest_neighbours": _tidy(op7_nearest_neighbours),
+    "op8_byte_bpe": _tidy(op8_byte_bpe),
+    "op9_token_counts": _tidy(op9_token_counts),
     "op10_url_filter": op10_url_filter,
     "pipeline": pipeline,
 }

@@ -214,7 +214,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, end_id: int, folder: str | No
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encoded = encode(source, vocabulary, "doc_id", "text", end_id, finish=ranged, columns="n_tokens long, ids binary, range int, hash long")
-    dealt = spread(encoded, len(bounds) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "hash", "ids")
+    dealt = encoded.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "hash", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pyarrow.fs.FileSystem.from_uri(folder)

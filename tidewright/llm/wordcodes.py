@@ -310,7 +310,7 @@ def _encode_buckets(words: DataFrame, vocabulary: Vocabulary, buckets: int) -> D
                 out.append(_join(pack(length, _planes(length)), pack(flat, _planes(flat))))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), b.column("path"), pa.array(out, pa.binary())], names=["block", "bucket", "path", "payload"])
 
-    return spread(words, buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _BLOCKS)
+    return words.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _BLOCKS)
 
 
 def packed_rows(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.Table:
