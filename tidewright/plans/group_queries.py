@@ -27,7 +27,7 @@ def route_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = games(spark, sf_dir)
     rows = ev.select(
         "event_id", _pick("gameplay", "gameplay", "meeting").alias("phase_type"), _pick("movement", "task", "kill", "gameplay").alias("event_type"), F.when(_k() % 5 == 0, F.array("user_id", F.col("user_id") + 1)).otherwise(F.array("user_id")).alias("source_povs"), (_k() % 11 == 0).alias("needs_human_review"),
-        (0.75 + (_k() % 4) / 8).alias("certainty"), _pick("baile 经过街道", "Gemini 在大厅 投票", "saoyi 去学校 声称", "nobody 街道", "saoyi 在公园").alias("description"), F.array(F.format_string("g_%06d_x", F.floor("s").cast("int") - (_k() % 40).cast("int"))).alias("source_segment_ids"), F.col("s").alias("abs_start_sec"),
+        (0.75 + (_k() % 4) / 8).alias("certainty"), _pick("baile 经过街道", "Gemini 在大厅 投票", "saoyi 去学校 声称", "nobody 街道", "saoyi 在公园").alias("description"), F.array(F.format_string("g_%06d_x", F.floor("s").cast("int") + 1000 - (_k() % 40).cast("int"))).alias("source_segment_ids"), (F.col("s") + 1000).alias("abs_start_sec"),
     )
     return rows.select("event_id", groups.is_route_event(_names()).alias("is_route"), ledger.phase_local_start(F.col("source_segment_ids"), F.col("abs_start_sec")).alias("local_start"), ledger.after_warmup().alias("warm"))
 
