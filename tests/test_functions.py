@@ -54,7 +54,7 @@ def test_overclaim_denials_lie_wholly_within_eight_characters(spark):
 
 def test_overclaims(spark):
     values = ["尸体旁的凶手是他", "有尸体，无法确认凶手", "凶手", "dead body, the Killer", "body; cannot name role", None]
-    assert one(spark, values, text.death_overclaim(V)) == [True, False, False, True, False, False]
+    assert one(spark, values, text.death_overclaim(V)) == [True, False, False, True, True, False]  # "cannot" begins twelve characters before "role"
     forbidden = F.array(F.lit("e9"))
     assert one(spark, ['{"a": "e9"}', "{}"], text.oracle_overclaim(V, F.lit("I clearly saw"), F.array().cast("array<string>"), F.lit(None).cast("boolean")), text.oracle_overclaim(V, F.lit(""), forbidden, F.lit(None).cast("boolean")), text.oracle_overclaim(V, F.lit(""), F.array().cast("array<string>"), F.lit(False))) == [(False, True, True), (False, False, True)]
 
