@@ -150,3 +150,15 @@ def test_mcnemar_and_gates(spark):
     assert (same.statistic, same.p_value) == (0.0, 1.0)
     rows = spark.createDataFrame([(True, "A", 50), (True, "B", 50), (False, "A", 50)], "ok boolean, a string, s int")
     assert [r[0] for r in rows.select(scoring.gated_score(F.col("ok"), F.col("a"), F.col("s"))).collect()] == [50, None, 0]
+
+
+def test_leading_objects():
+    cases = {
+        '[{"a": 1}, {"b": 2}, {"c":': ['{"a": 1}', '{"b": 2}'],
+        '[1, {"a": 1}, [{"x": 1}], {"b": "}]"}]': ['{"a": 1}', '{"b": "}]"}'],
+        '[{"a":1},,{"b":2}]': ['{"a": 1}', '{"b": 2}'],
+        '[{"a":1} junk {"b":2}]': ['{"a": 1}'],
+        '[{"a":1}, {bad}, {"b":2}]': ['{"a": 1}'],
+        '{"a":1}': [],
+    }
+    assert {t: answers.leading_objects(t) for t in cases} == cases

@@ -148,9 +148,9 @@ def evidence_ids(json_text: pd.Series) -> pd.Series:
     return json_text.map(lambda t: sorted(set(_walk(_loads(t), (), False))))
 
 
-def _objects(text: str, start: int) -> Iterator[tuple[int, int]]:
-    """Spans of top-level {...} after `start`, quotes and escapes respected."""
-    depth = begin = 0
+def _objects(text: str, start: int, flat: bool = False) -> Iterator[tuple[int, int]]:
+    """Spans of top-level {...} after `start`, quotes and escapes respected; `flat` leaves out those within brackets."""
+    depth = begin = brackets = 0
     quoted = escaped = False
     for at in range(start, len(text)):
         c = text[at]
@@ -158,11 +158,13 @@ def _objects(text: str, start: int) -> Iterator[tuple[int, int]]:
             quoted, escaped = not (c == '"' and not escaped), c == "\\" and not escaped
         elif c == '"':
             quoted = True
+        elif c in "[]" and not depth:
+            brackets += 1 if c == "[" else -1
         elif c == "{":
             begin, depth = (at if depth == 0 else begin), depth + 1
         elif c == "}" and depth:
             depth -= 1
-            if not depth:
+            if not depth and not (flat and brackets):
                 yield begin, at + 1
 
 
@@ -207,26 +209,25 @@ def recover_object(raw: pd.Series) -> pd.Series:
     return raw.map(first)
 
 
+def leading_objects(text: str | None) -> list[str]:
+    """Objects of an array's sound head: spans of objects in order, up to one that doesn't parse or that follows something that
+    is neither a comma nor a value."""
+    text, found, end = (text or "").strip(), [], 1
+    if not text.startswith("["):
+        return found
+    for a, b in _objects(text, 1, flat=True):
+        between, item = text[end:a].strip(" \n\r\t,"), _loads(text[a:b])
+        if item is None or (between and _loads(f"[{between}]") is None):
+            break
+        found.append(json.dumps(item, ensure_ascii=False))
+        end = b
+    return found
+
+
 @F.pandas_udf(_STRINGS)
 def recover_array(raw: pd.Series) -> pd.Series:
-    """Objects decoded one after another from the start of an array until something doesn't parse; null where none."""
-    decoder = json.JSONDecoder()
-
-    def read(text):
-        text, items = (text or "").strip(), []
-        at = 1
-        while text.startswith("["):
-            while at < len(text) and text[at] in " \n\r\t,":
-                at += 1
-            try:
-                item, at = decoder.raw_decode(text, at)
-            except ValueError:
-                break
-            if isinstance(item, dict):
-                items.append(json.dumps(item, ensure_ascii=False))
-        return items or None
-
-    return raw.map(read)
+    """The objects of an answer's array, as far as it is sound (`leading_objects`); null where there are none."""
+    return raw.map(lambda t: leading_objects(t) or None)
 
 
 @F.pandas_udf(T.StringType())
