@@ -253,3 +253,15 @@ ORACLE_SQL = {
         CAST(user_id AS VARCHAR) AS sources, CASE WHEN k % 7 <> 0 THEN floor(value) / 1024 ELSE 0.0 END AS confidence FROM p""",
     "cutoff_stamps": _P + " SELECT row_id, 'd' AS dataset, game_id, seg AS segment_id, seat AS target_player, d0 + 86400 AS cutoff_abs_sec FROM p",
 }
+
+#: Columns whose literals DuckDB would take for narrower types.
+for _name, _types in {
+    "utterance_rows": {"speaker_confidence": "DOUBLE", "n_claims": "BIGINT", "claim_certainty": "DOUBLE"},
+    "sync_rows": {"confidence": "DOUBLE"},
+    "fallback_events": {"certainty": "DOUBLE"},
+    "belief_state_rows": {"belief_confidence": "DOUBLE", "certainty": "DOUBLE"},
+    "compact_items": {"evidence_length": "BIGINT", "n_ids": "BIGINT"},
+    "phase_annotation_rows": {"n_trace": "BIGINT", "n_utterances": "BIGINT"},
+}.items():
+    _casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in _types.items())
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE_SQL[_name]}) AS q"

@@ -255,3 +255,10 @@ ORACLE_SQL = {
     "refined_bounds": _G + """, a AS (SELECT user_id, min(s) FILTER (k % 3 = 2) AS after_at FROM gv GROUP BY user_id) SELECT user_id, max(s) FILTER (k % 3 = 0 AND s < after_at) AS before_at, any_value(after_at) AS after_at FROM gv JOIN a USING (user_id) GROUP BY user_id""",
 }
 ORACLE_SQL["two_step_questions"] = "WITH z AS (" + ORACLE_SQL["aligned_export"] + ") SELECT trial_id || '_' || global_event_id || '_' || player_id AS video_id, printf('%.3f', event_timestamp) AS marked_at, 'A' AS correct_answer, 'a' AS answer FROM z WHERE skipped IS NULL"
+
+#: Columns whose literals DuckDB would take for narrower types.
+for _name, _types in {
+    "letter_scores": {"total": "BIGINT", "correct": "BIGINT"},
+}.items():
+    _casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in _types.items())
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE_SQL[_name]}) AS q"

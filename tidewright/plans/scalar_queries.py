@@ -228,3 +228,11 @@ ORACLE_SQL = {
         SELECT e.ep AS episode_id, u.player_id, coalesce(n, 0) AS anchor_count, round(m, 4) AS median_residual_sec, round(p, 4) AS p95_residual_sec, CASE WHEN coalesce(n, 0) < 2 THEN 'few_anchors' WHEN m > 120 THEN 'median_residual' WHEN p > 240 THEN 'p95_residual' END AS issue FROM ep e CROSS JOIN roster u LEFT JOIN t ON t.ep = e.ep AND t.user_id = u.player_id""",
     "key_lookups": _G + """, l AS (SELECT user_id, arg_max(k, event_id) AS lk FROM gv WHERE k % 2 = 0 GROUP BY user_id) SELECT event_id + 100000 AS event_id, gv.user_id, CASE WHEN k % 14 = 0 THEN -5 ELSE lk END AS last_k FROM gv LEFT JOIN l ON l.user_id = gv.user_id WHERE event_type <> 'view'""",
 }
+
+#: Columns whose literals DuckDB would take for narrower types.
+for _name, _types in {
+    "claim_scalars": {"cues": "BIGINT"},
+    "answer_texts": {"number": "DOUBLE"},
+}.items():
+    _casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in _types.items())
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE_SQL[_name]}) AS q"

@@ -141,3 +141,12 @@ ORACLE_SQL = {
     "sync_loop": _G + """ SELECT game_id, player_id, CASE WHEN player_id % 4 = 2 THEN 1.0 ELSE player_id + 0.5 END AS raw_start_sec, CASE WHEN player_id % 4 = 2 THEN 0.7 ELSE 0.9 END AS confidence FROM roster WHERE player_id % 4 = 2 OR player_id % 3 <> 0""",
     "boundary_loop": _G + """ SELECT 'c' || event_id AS clip_id, CASE WHEN k % 4 > 0 THEN CASE WHEN k >= 50 THEN 49.0 ELSE k END END AS aligned_start_sec, CASE WHEN k % 4 > 0 THEN 50.0 END AS aligned_end_sec, CASE WHEN k % 4 > 0 THEN k >= 50 END AS needs_review, CASE WHEN k % 4 > 0 THEN 'ok' ELSE 'error' END AS status FROM gv""",
 }
+
+#: Columns whose literals DuckDB would take for narrower types.
+for _name, _types in {
+    "release_round_trip": {"n_copied": "BIGINT", "n_issues": "BIGINT"},
+    "sync_loop": {"raw_start_sec": "DOUBLE", "confidence": "DOUBLE"},
+    "boundary_loop": {"aligned_start_sec": "DOUBLE", "aligned_end_sec": "DOUBLE"},
+}.items():
+    _casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in _types.items())
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE_SQL[_name]}) AS q"
