@@ -102,17 +102,27 @@ def access(player: Column, cutoff: Column) -> Column:
 
 
 def information_states(nodes: DataFrame, players: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
-    """For each episode, player and cutoff (every node's end, unless given) the sorted ids known, public, heard, forbidden."""
+    """For each episode, player and cutoff (every node's end, unless given) the sorted ids known, public, heard, forbidden.
+
+    How a player has a node doesn't change with the cutoff but for nodes to come, so only nodes that a player ever has meet the
+    cutoffs; forbidden ones are the episode's ids (an array made once for each episode) without those known.
+    """
     cutoffs = nodes.select("episode_id", F.col("abs_end_sec").alias("cutoff_abs_sec")).distinct() if cutoffs is None else cutoffs
     asked = with_roster(cutoffs, players, "episode_id", "subject")
-    pairs = asked.join(nodes, "episode_id").withColumn("_a", access(F.col("subject"), F.col("cutoff_abs_sec")))
-    known, public = F.col("_a").isin("direct_visual", "direct_audio", "public_ui", "heard_claim"), F.col("_a") == "public_ui"
+    had = with_roster(nodes, players, "episode_id", "subject").withColumn("_a", access(F.col("subject"), F.lit(float("inf"))))
+    had = had.where(F.col("_a").isin("direct_visual", "direct_audio", "public_ui", "heard_claim")).select("episode_id", "subject", "_a", "abs_start_sec", "trajectory_node_id", "evidence_asset_ids")
+    known = asked.join(had, ["episode_id", "subject"]).where("abs_start_sec <= cutoff_abs_sec")
     ids = lambda flag: F.array_sort(F.collect_set(F.when(flag, F.col("trajectory_node_id"))))
-    out = pairs.groupBy("episode_id", "subject", "cutoff_abs_sec").agg(
-        ids(known & ~public).alias("private_observations"), ids(public).alias("public_history"), ids(F.col("_a") == "heard_claim").alias("heard_claims"), ids(known).alias("known_facts"), ids(~known).alias("forbidden_events"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(known, F.col("evidence_asset_ids")))))).alias("available_evidence_ids"),
+    public = F.col("_a") == "public_ui"
+    out = known.groupBy("episode_id", "subject", "cutoff_abs_sec").agg(
+        ids(~public).alias("private_observations"), ids(public).alias("public_history"), ids(F.col("_a") == "heard_claim").alias("heard_claims"), ids(F.lit(True)).alias("known_facts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_asset_ids")))).alias("available_evidence_ids"),
     )
-    return out.withColumnRenamed("subject", "player_id").withColumn("information_state_id", F.format_string("%s:%s:%.3f", "episode_id", "player_id", "cutoff_abs_sec"))
+    every = nodes.groupBy("episode_id").agg(F.array_sort(F.collect_set("trajectory_node_id")).alias("_all"))
+    none = F.array().cast("array<string>")
+    states = asked.distinct().join(every, "episode_id").join(out, ["episode_id", "subject", "cutoff_abs_sec"], "left")
+    states = states.withColumns({c: F.coalesce(c, none) for c in ("private_observations", "public_history", "heard_claims", "known_facts", "available_evidence_ids")})
+    states = states.withColumn("forbidden_events", F.array_except("_all", "known_facts")).drop("_all")
+    return states.withColumnRenamed("subject", "player_id").withColumn("information_state_id", F.format_string("%s:%s:%.3f", "episode_id", "player_id", "cutoff_abs_sec"))
 
 
 def layer_evidence(states: DataFrame, nodes: DataFrame, players: DataFrame, layers: dict[str, tuple[str, ...]] = LAYERS) -> DataFrame:
