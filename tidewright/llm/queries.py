@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.session import table
 
-from . import ann, bpe, common, exact_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
+from . import ann, bpe, common, exact_dedup, line_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
 from .wordcodes import Vocabulary
 
 
@@ -65,6 +65,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"), min_documents=10, min_points=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": _tidy(op8_byte_bpe),
     "op9_token_counts": _tidy(op9_token_counts),
     "op10_url_filter": op10_url_filter,
+    "op11_line_dedup": _tidy(op11_line_dedup),
     "pipeline": pipeline,
 }
 
@@ -118,6 +124,15 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(list_filter(words, lambda w, i: NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
         FROM out
     """,
+    "op11_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos, len(lines) AS n_lines FROM d),
+        k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, any_value(n_lines) AS n_lines, count(*) FILTER (often.key IS NOT NULL) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (often.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN often USING (key) GROUP BY doc_id
+    """,
     "op3_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
