@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.session import table
 
-from . import ann, bpe, common, exact_dedup, line_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
+from . import ann, bpe, centroids, common, exact_dedup, line_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
 from .wordcodes import Vocabulary
 
 
@@ -70,6 +70,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.Clustering(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2:").report()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,10 +106,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": _tidy(op9_token_counts),
     "op10_url_filter": op10_url_filter,
     "op11_line_dedup": _tidy(op11_line_dedup),
+    "op13_centroid_clusters": _tidy(op13_centroid_clusters),
     "pipeline": pipeline,
 }
 
+def _rounds_sql(k: int, rounds: int) -> str:
+    """The twin of op13: each round a pair of common table expressions."""
+    away = "CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    parts = [
+        """v AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, x AS c FROM v ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min(struct_pack(d := d, cluster := cluster)) AS best FROM (SELECT vec_id, x, cluster, {away} AS d FROM v, c{r}) GROUP BY vec_id)")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT cluster, dim, sum(value) AS s, count(*) AS n FROM (SELECT best.cluster AS cluster, unnest(x) AS value, unnest(range(1, 65)) AS dim FROM a{r}) GROUP BY cluster, dim),
+            m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY dim) AS c FROM s{r} GROUP BY cluster),
+            c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))""")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, best.d AS distance,
+               CAST(sum(best.d) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON best.cluster = c{rounds}.cluster"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroid_clusters": _rounds_sql(40, 5),
     "op1_substring_dedup": r"""
         WITH d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
