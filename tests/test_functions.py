@@ -73,10 +73,20 @@ def test_evidence_gates(spark):
     assert one(spark, ["鹅鸭胜利", "胜利", "准备房 鹅胜利", "x", "鹅失败了"], text.accepts_end(V)) == [True, False, False, False, False]
     assert one(spark, ["鹅鹏 胜利", "x", None], text.result_label(V, F.lit("defeat"))) == ["鹈鹕胜利", "失败", "失败"]
     assert one(spark, ["¿que?", "mulher", "когда", "Sollte er", "est-ce", "bør", "hm"], text.language_of(F.lit(None).cast("string"), V)) == ["西班牙语", "葡萄牙语", "俄语", "德语", "法语", "丹麦语", "未知"]
+    assert one(spark, ["El hombre DEBERÍA hablar", "BØR han", "ЁЖ", "SOLL er", None], text.language_of(F.lit(" "), V)) == ["西班牙语", "丹麦语", "俄语", "德语", "未知"]
     assert one(spark, ["A. Ana said hi there", "B) nobody"], text.speaker_content(V, ["said", "asked"])) == [("ana", "said hi there", True), ("", "nobody", False)]
     assert one(spark, ["x\nB\n\n", "b is it"], text.last_line_letter(V)) == ["B", "b is it"]
 
 
+def test_means_round_halves_alike_in_any_order(spark):
+    mean = lambda rows, digits: spark.createDataFrame([(float(r),) if r is not None else (None,) for r in rows], "v double").agg(numbers.exact_mean(F.col("v"), digits)).first()[0]
+    assert mean([0.000001, 0.000002], 6) == 0.000002
+    assert mean([0.1, 0.2, None], 1) == 0.2 and mean([-0.1, -0.2], 1) == -0.1
+    assert mean([None], 6) is None
+    values = [0.3, 0.000001, 0.7, 0.1, 0.2, 0.6, 0.4, 0.5] * 40
+    assert len({mean(sorted(values, key=lambda v: (v * k) % 1), 6) for k in range(1, 6)}) == 1
+
+
 def test_numbers(spark):
     assert one(spark, ["high", "低", "2", "-1", "0.3", "?", None, "true"], numbers.certainty(V)) == [0.85, 0.35, 1.0, 0.0, 0.3, 0.5, 0.5, 1.0]
     assert one(spark, ["00:17:00", "1:05", "12", "", "x", "a:b"], numbers.protocol_seconds(V)) == [17.0, 65.0, 12.0, 0.0, 0.0, 0.0]

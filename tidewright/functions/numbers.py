@@ -55,6 +55,16 @@ def parse_bool(value: Column, default: bool = False) -> Column:
     return F.when(t.isin("1", "true", "yes", "y", "on"), True).when(t.isin("0", "false", "no", "n", "off"), False).otherwise(default)
 
 
+def exact_mean(value: Column, digits: int = 6) -> Column:
+    """Aggregate: the mean of values rounded to `digits`, itself rounded half up to as many; null of no rows.
+
+    Summed in integers, so neither the order of rows nor the rounding of a double decides a half.
+    """
+    units = F.round(value * 10**digits).cast("long")
+    twice, n = 2 * F.sum(units) + F.count(units), 2 * F.count(units)
+    return F.when(n > 0, F.call_function("div", twice - F.pmod(twice, n), n) / float(10**digits))
+
+
 def to_absolute(segment_start: Column, local: Column) -> Column:
     return segment_start + local
 

@@ -75,7 +75,7 @@ def visibility_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).groupBy("player_id", "visibility").agg(F.count("*").alias("n_edges"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return _edges(spark, sf_dir).groupBy("player_id", "visibility").agg(F.count("*").alias("n_edges"), numbers.exact_mean(F.col("confidence")).alias("mean_confidence"))
 
 
 def claim_event_range_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +341,7 @@ _FROM_FIRST = f"""WITH RECURSIVE {EV}, t AS (SELECT DISTINCT event_type, s FROM
 
 ORACLE_SQL = {
     "visibility_edges": _EDGES + " SELECT 'vis_' || event_id || '_' || player_id AS edge_id, event_id, player_id, visibility, confidence, CAST(visibility <> 'not_visible' AS BIGINT) AS n_evidence FROM edges",
-    "visibility_summary": _EDGES + " SELECT player_id, visibility, count(*) AS n_edges, round(avg(confidence), 6) AS mean_confidence FROM edges GROUP BY ALL",
+    "visibility_summary": _EDGES + " SELECT player_id, visibility, count(*) AS n_edges, (2 * sum(CAST(round(confidence * 1000000) AS BIGINT)) + count(*)) // (2 * count(*)) / 1000000 AS mean_confidence FROM edges GROUP BY ALL",
     "claim_event_range_links": LINKS + """,
         w AS (SELECT claim_id, list(DISTINCT player_id) AS saw FROM (SELECT claim_id, unnest(ids) AS event_id FROM t) u JOIN edges USING (event_id) WHERE visibility = 'direct_visual' GROUP BY claim_id),
         a AS (SELECT t.claim_id, string_agg(player_id || ':' || CASE WHEN list_contains(saw, player_id) THEN CASE WHEN truth_status_global = 'contradicted' THEN 'has_contradictory_visual_evidence' ELSE 'has_supporting_visual_evidence' END
@@ -464,6 +464,6 @@ ORACLE_SQL = {
                count(*) FILTER (status = 'error') AS n_errors, count(*) FILTER (status = 'skipped') AS n_skipped,
                round(coalesce(count(*) FILTER (status <> 'skipped' AND parse_ok) / nullif(count(*) FILTER (status <> 'skipped'), 0), 0.0), 6) AS parse_rate,
                round(coalesce(count(*) FILTER (status <> 'skipped' AND schema_ok) / nullif(count(*) FILTER (status <> 'skipped'), 0), 0.0), 6) AS schema_rate,
-               round(coalesce(avg(latency_sec) FILTER (status = 'ok'), 0.0), 6) AS mean_latency_sec
+               coalesce((2 * sum(CAST(round(latency_sec * 1000000) AS BIGINT)) FILTER (status = 'ok') + count(*) FILTER (status = 'ok')) // nullif(2 * count(*) FILTER (status = 'ok'), 0) / 1000000, 0.0) AS mean_latency_sec
         FROM r GROUP BY GROUPING SETS ((track), (track, probe))""",
 }

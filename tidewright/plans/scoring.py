@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.functions import answers, text
+from tidewright.functions import answers, numbers, text
 
 
 def rate(hit: Column, among: Column | None = None) -> Column:
@@ -32,7 +32,7 @@ def basic_metrics(df: DataFrame, key: Sequence[str], breakdown: str) -> DataFram
     out = named.groupingSets([[F.col(c) for c in s] for s in sets], *key, breakdown).agg(
         F.grouping(breakdown).alias("_g"), F.count("*").alias("n_rows"), F.count_if(tried).alias("attempted"), F.count_if(ok).alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_errors"),
         F.count_if(F.col("status") == "skipped").alias("n_skipped"), F.round(rate(F.col("parse_ok"), tried), 6).alias("parse_rate"), F.round(rate(F.col("schema_ok"), tried), 6).alias("schema_rate"),
-        F.round(F.coalesce(F.avg(F.when(ok, F.col("latency_sec"))), F.lit(0.0)), 6).alias("mean_latency_sec"),
+        F.coalesce(numbers.exact_mean(F.when(ok, F.col("latency_sec"))), F.lit(0.0)).alias("mean_latency_sec"),
     )
     return out.withColumn(breakdown, F.when(F.col("_g") == 1, "(all)").otherwise(F.col(breakdown))).drop("_g")
 
