@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.session import table
 
-from . import ann, bpe, centroids, common, exact_dedup, line_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
+from . import ann, bpe, centroids, common, exact_dedup, lexical, line_dedup, packing, quality, simhash, sstable, substring_dedup, token_counts, url_filter
 from .wordcodes import Vocabulary
 
 
@@ -70,6 +70,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.Clustering(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2:").report()
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": _tidy(op9_token_counts),
     "op10_url_filter": op10_url_filter,
     "op11_line_dedup": _tidy(op11_line_dedup),
+    "op12_lexical_search": _tidy(op12_lexical_search),
     "op13_centroid_clusters": _tidy(op13_centroid_clusters),
     "pipeline": pipeline,
 }
@@ -152,6 +157,24 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(list_filter(words, lambda w, i: NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
         FROM out
     """,
+    "op12_lexical_search": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        len AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+        all_docs AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM len),
+        df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        w AS (SELECT item_id, term, count(*) * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM q JOIN df USING (term), all_docs GROUP BY item_id, term, docs, df),
+        s AS (
+            SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+            FROM w JOIN p USING (term) JOIN len USING (doc_id), all_docs GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+    """,
     "op11_line_dedup": r"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos, len(lines) AS n_lines FROM d),
