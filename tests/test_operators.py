@@ -110,11 +110,72 @@ def test_merge_events_is_the_plain_fold(spark, partitions):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 20)), max_size=25))
-def test_merge_assignments(pairs):
+def test_merge_step(pairs):
     rows = sorted(((s, s + d) for s, d in pairs), key=lambda p: p[0])
-    out = folds.merge_assignments(np.array([s for s, _ in rows], float), np.array([e for _, e in rows], float))
+    out = folds.Merge()(list(range(len(rows))), [float(s) for s, _ in rows], [float(e) for _, e in rows])
     want = plain_merge([(i, "k", float(s), float(e)) for i, (s, e) in enumerate(rows)])
-    assert out.tolist() == [want[i] for i in range(len(rows))]
+    assert out == [want[i] for i in range(len(rows))]
+
+
+def dense(rng, n, long):
+    """Intervals that never pause: each key is one chain of live ones from first to last."""
+    return [(i, rng.choice("aab"), s, s + rng.randrange(*long)) for i in range(n) for s in [float(i // 3)]]
+
+
+@pytest.mark.parametrize("block_rows,partitions", [(7, 1), (16, 5), (1, 3), (4096, 2)])
+def test_merge_over_blocks_is_the_plain_fold(spark, block_rows, partitions):
+    rng = random.Random(block_rows)
+    rows = dense(rng, 240, (8, 40))
+    df = spark.createDataFrame(rows, "i int, k string, s double, e double").repartition(partitions)
+    assert {r.i: r.kept_id for r in folds.merge_events(df, ["k"], "s", "e", "i", ["s", "i"], block_rows=block_rows).collect()} == plain_merge(rows)
+
+
+def test_merge_keys_and_times_may_be_null(spark):
+    rows = [(0, None, 0.0, 9.0), (1, None, 1.0, 9.0), (2, "a", 1.0, 9.0), (3, "a", None, 9.0), (4, "a", 1.0, None), (5, "a", float("nan"), 1.0), (6, "a", 2.0, 9.0)]
+    df = spark.createDataFrame(rows, "i int, k string, s double, e double")
+    assert {r.i: r.kept_id for r in folds.merge_events(df, ["k"], "s", "e", "i", ["s", "i"], block_rows=2).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 2}
+    assert {r.i: r.kept_id for r in folds.merge_claims(df, ["k"], "s", "i", ["s", "i"], block_rows=2).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2, 5: 5, 6: 2}
+    assert folds.merge_events(df.limit(0), ["k"], "s", "e", "i", ["s", "i"]).count() == 0 and folds.merge_claims(df.limit(0), ["k"], "s", "i", ["s", "i"]).count() == 0
+
+
+def plain_first(rows, within):
+    """The fold, spelled out, for rows (i, key, time)."""
+    open_, out = {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in open_ or t - open_[k][0] > within:
+            open_[k] = (t, i)
+        out[i] = open_[k][1]
+    return out
+
+
+@pytest.mark.parametrize("block_rows,within", [(1, 3.0), (5, 3.0), (5, 40.0), (16, 0.3), (64, 1000.0)])
+@pytest.mark.parametrize("even", [True, False])
+def test_claims_over_blocks_are_the_plain_fold(spark, block_rows, within, even):
+    """Evenly spaced rows never forget where their groups began, so all maps have to be composed."""
+    rng = random.Random(3)
+    rows = [(i, "a" if i % 11 else "b", i * 0.1 if even else round(rng.uniform(0, 30), 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, k string, t double").repartition(3)
+    assert {r.i: r.kept_id for r in folds.merge_claims(df, ["k"], "t", "i", ["t", "i"], within, block_rows=block_rows).collect()} == plain_first(rows, within)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=40), st.integers(1, 8), st.sampled_from([0.1, 0.3, 0.7, 1.0, 2.5]), st.integers(0, 12))
+def test_composed_maps_give_the_open_group(times, size, within, earlier):
+    """Maps of neighbouring runs, composed in pairs, from any group open before them."""
+    s = sorted(t / 10 for t in times)
+    parts = [list(range(a, min(a + size, len(s)))) for a in range(0, len(s), size)]
+    maps = [folds.FirstMap.of([s[i] for i in p], p, within) for p in parts]
+    whole = maps[0]
+    for m in maps[1:]:
+        whole = m.after(whole)
+    tree = list(maps)
+    while len(tree) > 1:
+        tree = [b.after(a) if b else a for a, b in zip(tree[::2], [*tree[1::2], *[None] * (len(tree) % 2)])]
+    first = s[0] - earlier / 10
+    fold = folds.FromFirst(within)
+    fold.first, fold.id = first, -1
+    fold(list(range(len(s))), s)
+    assert whole(first, -1) == tree[0](first, -1) == (fold.first, fold.id)
 
 
 def test_claims_and_anchors_measure_from_the_first(spark):

@@ -1,42 +1,26 @@
 """Order-dependent folds: first match wins, and what is matched changes as rows join it.
 
-No relational rewrite exists for these in general, but each fold decomposes by a key outside of which nothing can match.
-Keys are first cut wherever no match can reach across (`gap_groups`), from one summary row for each key and ten minutes.
-Groups then stream through sorted partitions: a task holds one batch and the fold's open state (`_stream`), never a group.
+No relational rewrite exists for these in general. Sorted rows are packed into blocks of bounded size, and a block is folded from
+the state that the rows before it leave (`blocks`): by speculation for `merge_events`, by composed maps for `merge_claims`. Scans that keep
+little for each key stream through sorted partitions (`_stream`).
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import first_per
-
-
-def gap_groups(df: DataFrame, key: Sequence[str], start: str, end: str, reach: float, width: float = 600.0) -> DataFrame:
-    """`_group` numbers per key: rows of different groups are more than `reach` apart.
+from tidewright.scratch import Scratch
 
-    Cuts lie where a block of `width` seconds begins more than `reach` after all before it ended. They come from the least
-    start and largest end of each block, so no task sees a key's rows; a gap within a block isn't cut, which costs nothing
-    but size.
-    """
-    width = max(width, reach)
-    blocked = df.withColumn("_block", F.floor(F.col(start) / width))
-    blocks = blocked.groupBy(*key, "_block").agg(F.min(start).alias("_lo"), F.max(end).alias("_hi"))
-    w = Window.partitionBy(*key).orderBy("_block")
-    ended = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.coalesce((F.col("_lo") > ended + reach).cast("int"), F.lit(0))
-    groups = blocks.withColumn("_cut", cut).withColumn("_group", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"g.{k}")) for k in [*key, "_block"]]
-    on = same[0]
-    for one in same[1:]:
-        on = on & one
-    return blocked.alias("b").join(groups.alias("g"), on).select("b.*", "g._group").drop("_block")
+from .blocks import Blocks
+from .joins import first_per
 
 
 def _stream(df: DataFrame, key: Sequence[str], names: Sequence[str], order: Sequence[str], schema: str, fold: Callable[[], object]) -> DataFrame:
@@ -69,24 +53,6 @@ def _stream(df: DataFrame, key: Sequence[str], names: Sequence[str], order: Sequ
     return df.select(*names).repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
-class _Assign:
-    """Rows in order to the row that each joins: `row_id`, `kept_id`."""
-
-    def __init__(self, row_id: str, columns: Sequence[str], step: Callable[..., list]):
-        self.row_id, self.columns, self.step = row_id, columns, step
-
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows[self.row_id].to_numpy()
-        kept = self.step(ids.tolist(), *(rows[c].to_numpy(float).tolist() for c in self.columns))
-        return pd.DataFrame({self.row_id: ids, "kept_id": kept})
-
-
-def _assign(df: DataFrame, key: Sequence[str], columns: Sequence[str], order: Sequence[str], row_id: str, step: Callable[[], Callable[..., list]]) -> DataFrame:
-    kind = dict(df.dtypes)[row_id]
-    names = list(dict.fromkeys([*key, *order, *columns, row_id]))
-    return _stream(df, key, names, order, f"{row_id} {kind}, kept_id {kind}", lambda: _Assign(row_id, columns, step()))
-
-
 class Merge:
     """The first kept interval that each interval merges into, else itself; kept ones grow as they take others.
 
@@ -116,16 +82,187 @@ class Merge:
         return out
 
 
-def merge_assignments(start: np.ndarray, end: np.ndarray, edge_sec: float = 3.0, iou: float = 0.5) -> np.ndarray:
-    """`Merge` over one sequence of intervals in order of start: the position that each joins."""
-    return np.array(Merge(edge_sec, iou)(list(range(len(start))), np.asarray(start, float).tolist(), np.asarray(end, float).tolist()), np.int64)
+def _runs(block: dict) -> Iterator[tuple[int, int]]:
+    """Where each key's rows begin and end in a packed block."""
+    edges = [*block["cuts"], len(block["ids"])]
+    yield from zip(edges, edges[1:])
 
 
-def merge_events(df: DataFrame, key: Sequence[str], start: str, end: str, row_id: str, order: Sequence[str], edge_sec: float = 3.0, iou: float = 0.5) -> DataFrame:
-    """(row_id, kept_id) of events with equal keys that overlap or lie close, first match wins; `order` begins with `start`."""
-    # An interval overlaps a kept one by more than half the hull only if they meet; the other rule reaches `edge_sec`.
-    grouped = gap_groups(df, key, start, end, edge_sec)
-    return _assign(grouped, [*key, "_group"], [start, end], order, row_id, lambda: Merge(edge_sec, iou))
+def _timed(df: DataFrame, times: Sequence[str]) -> Column:
+    """Whether a row has all its times; one that lacks some keeps to itself."""
+    known = F.lit(True)
+    for t in times:
+        known = known & F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))
+    return known
+
+
+def merge_events(df: DataFrame, key: Sequence[str], start: str, end: str, row_id: str, order: Sequence[str], edge_sec: float = 3.0, iou: float = 0.5, block_rows: int = 8192) -> DataFrame:
+    """(row_id, kept_id) of events with equal keys that overlap or lie close, first match wins; `order` begins with `start`.
+
+    A row without one of its times keeps to itself. The state is the live intervals (`Merge`), which a block takes over from the one before by speculation: see `blocks`.
+    """
+    kind = df.schema[row_id].dataType.simpleString()
+
+    def merged(block: dict, entry: list) -> tuple[list, list]:
+        kept, fold = [], None
+        for a, b in _runs(block):
+            fold = Merge(edge_sec, iou)
+            fold.live = [[x["low"], x["high"], x["id"]] for x in entry] if not a else []
+            kept += fold(block["ids"][a:b], block["c0"][a:b], block["c1"][a:b])
+        return kept, [{"low": lo, "high": hi, "id": one} for lo, hi, one in fold.live]
+
+    with Scratch(df.sparkSession) as scratch:
+        known = _timed(df, [start, end])
+        packed = Blocks(scratch, df.where(known), key, order, [start, end], row_id, block_rows)
+        alive = lambda left, first: F.filter(left, lambda x: (x["high"] > first) | (x["low"] >= first - edge_sec))
+        entries = packed.speculate(lambda block, entry: merged(block, entry)[1], alive, f"struct<low: double, high: double, id: {kind}>")
+        found = packed.assigned(entries, lambda block, entry: merged(block, entry)[0], row_id)
+        return scratch.kept(found.unionByName(df.where(~known).select(row_id, F.col(row_id).alias("kept_id"))), "merged")
+
+
+class FirstMap:
+    """What a run of rows makes of the first row of the group that is open before it: a step function of that row's time.
+
+    at: times at which steps begin; `time` and `id` of the first row of the group open after the run, one more than `at`. A null
+    time stands for the group that was open before: no row of the run lies beyond its reach.
+    """
+
+    def __init__(self, at: list[float], time: list, ids: list):
+        self.at, self.time, self.id = at, time, ids
+
+    @classmethod
+    def of(cls, start: list[float], ids: list, within: float) -> FirstMap:
+        """The map of sorted rows: a group ends before the first row that begins more than `within` after its first."""
+        s = np.asarray(start, float)
+        after = np.searchsorted(s, s + within, side="right")
+        last, n = np.arange(len(s)), len(s)
+        for j in range(n - 1, -1, -1):
+            k = after[j]
+            while k < n and not s[k] - s[j] > within:  # sums and differences of doubles may round apart
+                k += 1
+            while k - 1 > j and s[k - 1] - s[j] > within:
+                k -= 1
+            if k < n:
+                last[j] = last[k]
+        # Row j opens a group for firsts before the least time from which it is within reach; rows of equal time share that.
+        far = s - s[0] > within  # a first is at most the first row's time, so these lie beyond any
+        heads, beyond = np.flatnonzero(np.append(True, s[1:] != s[:-1]) & ~far), np.flatnonzero(far)
+        reached = np.array([_reach(t, within) for t in s[heads].tolist()])
+        at, time, out = reached.tolist(), s[last[heads]].tolist(), [ids[j] for j in last[heads]]
+        if len(beyond):
+            return cls(at, [*time, float(s[last[beyond[0]]])], [*out, ids[last[beyond[0]]]])._short()
+        return cls(at, [*time, None], [*out, None])._short()
+
+    def _short(self) -> FirstMap:
+        keep = [i for i in range(len(self.at)) if (self.time[i], self.id[i]) != (self.time[i + 1], self.id[i + 1])]
+        return FirstMap([self.at[i] for i in keep], [*[self.time[i] for i in keep], self.time[-1]], [*[self.id[i] for i in keep], self.id[-1]])
+
+    def __call__(self, first: float, one: object) -> tuple[float, object]:
+        i = bisect.bisect_right(self.at, first)
+        return (first, one) if self.time[i] is None else (self.time[i], self.id[i])
+
+    def after(self, before: FirstMap) -> FirstMap:
+        """This map applied to what `before` gives."""
+        at, time, ids = list(before.at), [], []
+        for t, one in zip(before.time[:-1], before.id[:-1]):
+            t, one = self(t, one)
+            time.append(t)
+            ids.append(one)
+        if before.time[-1] is not None:
+            t, one = self(before.time[-1], before.id[-1])
+            return FirstMap(at, [*time, t], [*ids, one])._short()
+        # Only the last step hands a group through: there this map's own steps hold.
+        low = before.at[-1] if before.at else float("-inf")
+        i = bisect.bisect_right(self.at, low)
+        return FirstMap([*at, *self.at[i:]], [*time, *self.time[i:]], [*ids, *self.id[i:]])._short()
+
+    @property
+    def constant(self) -> bool:
+        return not self.at and self.time[0] is not None
+
+
+def _reach(t: float, within: float) -> float:
+    """The least first time from which a row at `t` isn't more than `within` away, by the arithmetic of the fold itself."""
+    low = high = t - within
+    step = np.spacing(max(abs(t), abs(within)))
+    while t - low <= within:
+        low -= step
+    while t - high > within:
+        high += step
+    while low < (middle := low + (high - low) / 2) < high:
+        low, high = (low, middle) if t - middle <= within else (middle, high)
+    return high
+
+
+_STEPS = "at array<double>, time array<double>"
+
+
+def _first_entries(packed: Blocks, within: float) -> DataFrame:
+    """(block, time, id): the first row of the group that is open before each block; blocks that begin a key have no row.
+
+    A block's map is composed with that of the block before it, then with that of the two before those, and so on, until it
+    no longer depends on what came before. Most maps don't from the start, since groups soon begin alike.
+    """
+    kind, scratch = packed.kind, packed.scratch
+    schema = f"block long, {_STEPS}, id array<{kind}>"
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                a, z = list(_runs(r))[-1]
+                m = FirstMap.of(r["c0"][a:z], r["ids"][a:z], within)
+                if a or not r["goes_on"]:  # the last key begins here: nothing is open before
+                    m = FirstMap([], *([x] for x in (m.time[0], m.id[0])))
+                yield _map_row(b, r["block"], m)
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield _map_row(b, r["block"], FirstMap(r["at"], r["time"], r["id"]).after(FirstMap(r["at_2"], r["time_2"], r["id_2"])))
+
+    def _map_row(b: pa.RecordBatch, block: int, m: FirstMap) -> pa.RecordBatch:
+        ids = b.schema.field("ids" if "ids" in b.schema.names else "id").type
+        return pa.RecordBatch.from_pylist([{"block": block, "at": m.at, "time": m.time, "id": m.id}], schema=pa.schema([("block", pa.int64()), ("at", pa.list_(pa.float64())), ("time", pa.list_(pa.float64())), ("id", ids)]))
+
+    # maps: block, the map, and the block whose map comes next (null once the map is constant).
+    done = (F.size("at") == 0) & F.get("time", F.lit(0)).isNotNull()
+    first = packed.rows.join(packed.chain.select("block", "goes_on"), "block").mapInArrow(own, schema)
+    maps = scratch.staged(first.join(packed.chain.select("block", "before"), "block").withColumn("before", F.when(~done, F.col("before"))), "maps_0")
+    for n in range(1, 64):
+        open_maps = maps.where("before is not null")
+        if open_maps.isEmpty():
+            break
+        inner = maps.select(F.col("block").alias("before"), *[F.col(c).alias(f"{c}_2") for c in ("at", "time", "id")], F.col("before").alias("before_2"))
+        met = open_maps.join(inner, "before")
+        step = met.select("block", "at", "time", "id", "at_2", "time_2", "id_2").mapInArrow(composed, schema).join(met.select("block", F.col("before_2").alias("before")), "block")
+        maps = scratch.staged(maps.where("before is null").unionByName(step.withColumn("before", F.when(~done, F.col("before")))), f"maps_{n}")
+    left = maps.select(F.col("block").alias("before"), F.get("time", F.lit(0)).alias("time"), F.get("id", F.lit(0)).alias("id"))
+    return packed.chain.where("goes_on").join(left, "before").select("block", "time", "id")
+
+
+def merge_claims(df: DataFrame, key: Sequence[str], start: str, row_id: str, order: Sequence[str], within: float = 3.0, block_rows: int = 8192) -> DataFrame:
+    """(row_id, kept_id): each row joins the open group of its key if the group's first row began within `within` seconds
+    before it; else it opens the next. `order` begins with `start`; a row without a time keeps to itself.
+
+    The state is the open group's first row. What a block makes of it is a step function (`FirstMap`), so states follow by composition.
+    """
+
+    def joined(block: dict, entry: list) -> list:
+        kept = []
+        for a, b in _runs(block):
+            fold = FromFirst(within)
+            if not a and entry:
+                fold.first, fold.id = entry[0]["time"], entry[0]["id"]
+            kept += fold(block["ids"][a:b], block["c0"][a:b])
+        return kept
+
+    with Scratch(df.sparkSession) as scratch:
+        known = _timed(df, [start])
+        packed = Blocks(scratch, df.where(known), key, order, [start], row_id, block_rows)
+        firsts = _first_entries(packed, within).select("block", F.array(F.struct("time", "id")).alias("entry"))
+        entries = packed.chain.select("block").join(firsts, "block", "left").withColumn("entry", F.coalesce("entry", F.array().cast(firsts.schema["entry"].dataType)))
+        found = packed.assigned(entries, joined, row_id)
+        return scratch.kept(found.unionByName(df.where(~known).select(row_id, F.col(row_id).alias("kept_id"))), "joined")
 
 
 class FromFirst:
@@ -143,11 +280,6 @@ class FromFirst:
         return out
 
 
-def merge_claims(df: DataFrame, key: Sequence[str], start: str, row_id: str, order: Sequence[str], within: float = 3.0) -> DataFrame:
-    """(row_id, kept_id): a claim joins the first kept claim of its key that starts within `within` seconds before it."""
-    return _assign(gap_groups(df, key, start, start, within), [*key, "_group"], [start], order, row_id, lambda: FromFirst(within))
-
-
 def fuse_by_anchor(df: DataFrame, key: Sequence[str], start: str, row_id: str, order: Sequence[str], tolerance: float = 1.5) -> DataFrame:
     """(row_id, kept_id): groups measured from their first row, not their last."""
     return merge_claims(df, key, start, row_id, order, tolerance)

@@ -349,6 +349,13 @@ ORACLE_SQL = {
         SELECT claim_id, world_event_ids, truth_status_global, confidence, truth_status_global = 'unverified' AS needs_human_review, awareness FROM t JOIN a USING (claim_id)""",
     "cutoff_information_state": _DAYS + """ SELECT game_id || ':' || player_id || ':' || printf('%.3f', cutoff) AS information_state_id, player_id, cutoff AS cutoff_abs_sec, coalesce(string_agg(printf('n%08d', event_id), ',' ORDER BY event_id) FILTER (known), '') AS known_facts,
         count(*) FILTER (known AND a <> 'public_ui') AS n_private, count(*) FILTER (a = 'public_ui') AS n_public, count(*) FILTER (a = 'heard_claim') AS n_heard, count(*) FILTER (NOT known) AS n_forbidden, count(DISTINCT event_id % 50) FILTER (known) AS n_evidence FROM q GROUP BY game_id, player_id, cutoff""",
+    "greedy_interval_dedup": f"""WITH RECURSIVE {EV}, r AS (SELECT event_type, event_id, s, e + 3600 AS e, row_number() OVER (PARTITION BY event_type ORDER BY s, event_id) AS n FROM ev),
+        f AS (SELECT event_type, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(lo DOUBLE, hi DOUBLE, id BIGINT)[]) AS live, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS kept_id FROM r GROUP BY event_type
+            UNION ALL SELECT event_type, n, CASE WHEN hit > 0 THEN list_transform(l, lambda x, i: CASE WHEN i = hit THEN struct_pack(lo := least(x.lo, s), hi := greatest(x.hi, e), id := x.id) ELSE x END)
+                ELSE list_append(l, struct_pack(lo := s, hi := e, id := event_id)) END, event_id, CASE WHEN hit > 0 THEN l[hit].id ELSE event_id END
+                FROM (SELECT *, coalesce(list_position(list_transform(l, lambda x: (abs(x.lo - s) <= 60 AND abs(x.hi - e) <= 60) OR (least(x.hi, e) - greatest(x.lo, s)) / (greatest(x.hi, e) - least(x.lo, s)) > 0.5), true), 0) AS hit
+                    FROM (SELECT r.*, list_filter(f.live, lambda x: x.hi > r.s OR x.lo >= r.s - 60) AS l FROM f JOIN r ON r.event_type = f.event_type AND r.n = f.n + 1)))
+        SELECT event_id, kept_id FROM f WHERE n > 0""",
     "claim_dedup": _FROM_FIRST.format(within=900),
     "smooth_runs": f"""WITH {EV}, l AS (SELECT user_id, event_id, CASE WHEN k % 11 = 0 THEN 'unknown' WHEN k % 4 = 0 THEN 'meeting' ELSE 'gameplay' END AS label FROM ev),
         c AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER w THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
