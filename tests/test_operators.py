@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.operators import folds, joins, selection, windows
+from tidewright.operators import folds, joins, matching, selection, windows
 
 
 def spans(rng, n, top=500.0):
@@ -258,14 +258,56 @@ def test_affine_fit_is_the_plain_fit(spark):
 def test_matching_and_leftovers(spark):
     anchor = spark.createDataFrame([("a", "win", 100.0, 0), ("a", "win", 105.0, 1), ("a", "loss", 50.0, 2)], "p string, label string, d double, idx int")
     clips = spark.createDataFrame([("b", "win", 104.0, 0), ("b", "win", 101.0, 1), ("b", "loss", 90.0, 2), ("c", "win", 99.0, 0), ("c", "win", 250.0, 1), ("b", "win", 251.0, 3)], "p string, label string, d double, idx int")
-    got = {(r.p, r.idx): r.anchor_idx for r in folds.match_to_anchor(clips, anchor, "p", "label", "d", "idx").collect()}
+    got = {(r.p, r.idx): r.anchor_idx for r in matching.match_to_anchor(clips, anchor, "p", "label", "d", "idx").collect()}
     assert got == {("b", 0): 1, ("b", 1): 0, ("c", 0): 0}
     rest = clips.join(spark.createDataFrame(list(got), "p string, idx int"), ["p", "idx"], "left_anti")
-    assert sorted((r.p, r.idx) for r in folds.cluster_leftovers(rest, "p", "label", "d", "idx").collect()) == [("b", 3), ("c", 1)]
+    assert sorted((r.p, r.idx) for r in matching.cluster_leftovers(rest, "p", "label", "d", "idx").collect()) == [("b", 3), ("c", 1)]
     games = spark.createDataFrame([(True, 0), (True, 4), (False, 9), (False, 2)], "anchored boolean, idx int")
     assert sorted((r.anchored, r.idx, r.timeline_index) for r in folds.timeline(games, "anchored", "idx").collect()) == [(False, 2, 5), (False, 9, 6), (True, 0, 0), (True, 4, 4)]
 
 
+def clip_rows(rng, n):
+    seen = {}
+    out = []
+    for _ in range(n):
+        g, p = rng.randrange(2), rng.choice("abcd")
+        seen[g, p] = seen.get((g, p), -1) + 1
+        out.append((g, p, rng.choice(["win", "loss"]), float(rng.randrange(100)), seen[g, p]))
+    return out
+
+
+@pytest.mark.parametrize("seed,n,tolerance", [(0, 120, 15.0), (1, 60, 40.0), (2, 40, 200.0), (3, 30, 0.0)])
+def test_matching_in_rounds_is_the_pass_in_order(spark, seed, n, tolerance):
+    rows = clip_rows(random.Random(seed), n)
+    anchors, clips = [r for r in rows if r[1] == "a"], [r for r in rows if r[1] != "a"]
+    schema = "g int, p string, label string, d double, idx int"
+    got = matching.match_to_anchor(spark.createDataFrame(clips, schema), spark.createDataFrame(anchors, schema), "p", "label", "d", "idx", tolerance, on=["g"])
+    pairs = sorted((abs(c[3] - a[3]), abs(c[4] - a[4]), c[4], a[4], c[0], c[1]) for c in clips for a in anchors if c[0] == a[0] and c[2] == a[2] and abs(c[3] - a[3]) <= tolerance)
+    clip_taken, anchor_taken, want = set(), set(), set()
+    for _, _, i, j, g, p in pairs:
+        if (g, p, i) not in clip_taken and (g, p, j) not in anchor_taken:
+            clip_taken.add((g, p, i))
+            anchor_taken.add((g, p, j))
+            want.add((g, p, i, j))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("seed,n,tolerance,least", [(0, 80, 10.0, 2), (1, 60, 4.0, 3), (2, 50, 30.0, 4), (3, 25, 5.0, 1)])
+def test_seed_clusters_in_rounds_are_the_pass_in_order(spark, seed, n, tolerance, least):
+    rows = clip_rows(random.Random(seed), n)
+    used, want = set(), set()
+    order = sorted(rows, key=lambda r: (r[1], r[4]))
+    for s in order:
+        near = [o for o in order if (o[0], o[2]) == (s[0], s[2]) and o not in used and o[1] != s[1] and abs(o[3] - s[3]) <= tolerance]
+        if s not in used and len(near) + 1 >= least:
+            for o in [s, *near]:
+                used.add(o)
+                want.add((o[0], o[2], o[1], o[4], s[1], s[4]))
+    got = matching.cluster_leftovers(spark.createDataFrame(rows, "g int, p string, label string, d double, idx int"), "p", "label", "d", "idx", tolerance, least, on=["g"])
+    assert got.columns == ["g", "label", "p", "idx", "seed_p", "seed_idx"]
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_ransac(spark):
     x = [0.0, 100.0, 200.0, 300.0]
     y = [10.0, 110.1, 210.2, 900.0]

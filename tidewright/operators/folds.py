@@ -307,50 +307,6 @@ def smooth_runs(df: DataFrame, key: Sequence[str], order: str, label: str, least
     return rows.join(runs.select(*key, "_run", "smoothed"), [*key, "_run"]).drop("_run")
 
 
-def match_to_anchor(clips: DataFrame, anchor: DataFrame, player: str, label: str, duration: str, idx: str, tolerance: float = 15.0) -> DataFrame:
-    """Greedy one-to-one matching of each player's clips to the anchor's: (player, idx, anchor_idx).
-
-    Pairs have equal labels and durations within the tolerance; the closest in duration, then in order, go first.
-    """
-    a = anchor.select(F.col(label), F.col(duration).alias("_ad"), F.col(idx).alias("anchor_idx"))
-    pairs = clips.join(a, label).withColumns({"_dd": F.abs(F.col(duration) - F.col("_ad")), "_do": F.abs(F.col(idx) - F.col("anchor_idx"))}).where(F.col("_dd") <= tolerance)
-    kinds = dict(clips.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_dd", "_do", idx, "anchor_idx"], kind="stable")
-        clip_taken, anchor_taken, out = set(), set(), []
-        for r in rows.itertuples(index=False):
-            c, g = getattr(r, idx), r.anchor_idx
-            if c not in clip_taken and g not in anchor_taken:
-                clip_taken.add(c)
-                anchor_taken.add(g)
-                out.append((getattr(r, player), c, g))
-        return pd.DataFrame(out, columns=[player, idx, "anchor_idx"])
-
-    return pairs.select(player, idx, "anchor_idx", "_dd", "_do").groupBy(player).applyInPandas(run, f"{player} {kinds[player]}, {idx} {kinds[idx]}, anchor_idx {kinds[idx]}")
-
-
-def cluster_leftovers(clips: DataFrame, player: str, label: str, duration: str, idx: str, tolerance: float = 15.0, least: int = 2) -> DataFrame:
-    """Seed clusters of unmatched clips of one label: a seed and all later unused ones of other players close in duration."""
-    kinds = dict(clips.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([player, idx], kind="stable").reset_index(drop=True)
-        used, cluster = np.zeros(len(rows), bool), np.full(len(rows), -1)
-        who, long = rows[player].to_numpy(), rows[duration].to_numpy(float)
-        for seed in range(len(rows)):
-            if used[seed]:
-                continue
-            own = ~used & (who != who[seed]) & (np.abs(long - long[seed]) <= tolerance)
-            own[seed] = True
-            if own.sum() >= least:
-                used |= own
-                cluster[own] = seed
-        return rows.assign(cluster=cluster)[[label, player, idx, "cluster"]].query("cluster >= 0")
-
-    return clips.select(label, player, idx, duration).groupBy(label).applyInPandas(run, f"{label} {kinds[label]}, {player} {kinds[player]}, {idx} {kinds[idx]}, cluster long")
-
-
 def timeline(groups: DataFrame, anchored: str, idx: str) -> DataFrame:
     """`timeline_index`: anchored groups keep their index, others follow after the largest, by their smallest member."""
     top = groups.where(anchored).agg(F.coalesce(F.max(idx), F.lit(-1)).alias("_top"))

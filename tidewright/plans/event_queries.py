@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import numbers
-from tidewright.operators import aggregates, folds, joins, selection, windows
+from tidewright.operators import aggregates, folds, joins, matching, selection, windows
 from tidewright.plans import ledger, trajectory
 from tidewright.session import table
 
@@ -288,6 +288,32 @@ def anchor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fuse_by_anchor(spans(spark, sf_dir), ["event_type"], "s", "event_id", ["s", "event_id"], tolerance=1200)
 
 
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as clips of a game: player, label, length and number within the player's."""
+    numbered = F.row_number().over(Window.partitionBy("player_id").orderBy("s", "event_id"))
+    return games(spark, sf_dir).select("game_id", F.col("user_id").alias("player_id"), F.col("event_type").alias("label"), (F.col("e") - F.col("s")).alias("duration"), "s", "event_id").withColumn("idx", numbered)
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clips of players other than their game's anchor (most clips, then the smaller player), the anchor's, and the matches."""
+    clips = _clips(spark, sf_dir)
+    sizes = clips.groupBy("game_id", "player_id").agg(F.count("*").alias("n"))
+    anchor = joins.first_per(sizes, ["game_id"], [F.desc("n"), "player_id"]).select("game_id", F.col("player_id").alias("anchor_id"))
+    rows = clips.join(anchor, "game_id")
+    others, anchors = rows.where("player_id <> anchor_id").drop("anchor_id"), rows.where("player_id = anchor_id").drop("anchor_id")
+    return others, anchors, matching.match_to_anchor(others, anchors, "player_id", "label", "duration", "idx", 15.0, on=["game_id"])
+
+
+def anchor_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir)[2]
+
+
+def leftover_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    others, _, found = _matched(spark, sf_dir)
+    rest = others.join(found, ["game_id", "player_id", "idx"], "left_anti")
+    return matching.cluster_leftovers(rest, "player_id", "label", "duration", "idx", 15.0, 2, on=["game_id"])
+
+
 def smooth_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spans(spark, sf_dir).withColumn("label", F.when(F.col("k") % 11 == 0, "unknown").when(F.col("k") % 4 == 0, "meeting").otherwise("gameplay"))
     return folds.smooth_runs(ev, ["user_id"], "event_id", "label", 3)
@@ -307,7 +333,7 @@ QUERIES = {f.__name__: f for f in (
     chain_cluster_consensus, phase_islands, phase_split, episode_build, phase_chunks, sliding_windows, cutoff_information_state, last_n_history,
     phase_enrich, previous_state, weighted_vote_tick, next_within_horizon, uniform_grid, first_state, sample_times, timed_event_repair,
     affine_fit_least_squares, stratified_quota_topk, keep_first_dedupe, latest_attempt_dedupe, index_gaps, sliced_rows, row_shards,
-    eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, smooth_runs, boundary_scan, affine_fit_ransac,
+    eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, anchor_matches, leftover_clusters, smooth_runs, boundary_scan, affine_fit_ransac,
 )}
 
 _EDGES = f"""WITH {EV}, {GAMES},
@@ -339,7 +365,25 @@ _FROM_FIRST = f"""WITH RECURSIVE {EV}, t AS (SELECT DISTINCT event_type, s FROM
     k AS (SELECT f.event_type, f.s, min(event_id) AS kept_id FROM f JOIN ev USING (event_type, s) GROUP BY f.event_type, f.s)
     SELECT event_id, last_value(k.kept_id IGNORE NULLS) OVER (PARTITION BY ev.event_type ORDER BY ev.s RANGE UNBOUNDED PRECEDING) AS kept_id FROM ev LEFT JOIN k USING (event_type, s)"""
 
+_MATCHES = f"""WITH RECURSIVE {EV}, {GAMES}, c AS (SELECT game_id, user_id AS player_id, event_type AS label, e - s AS duration, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS idx FROM gv),
+    a AS (SELECT game_id, arg_min(player_id, struct_pack(n := -n, p := player_id)) AS anchor_id FROM (SELECT game_id, player_id, count(*) AS n FROM c GROUP BY ALL) GROUP BY game_id),
+    p AS (SELECT x.game_id, x.player_id, x.idx, y.idx AS anchor_idx, row_number() OVER (PARTITION BY x.player_id ORDER BY abs(x.duration - y.duration), abs(x.idx - y.idx), x.idx, y.idx) AS n
+        FROM c x JOIN a USING (game_id) JOIN c y ON y.game_id = x.game_id AND y.player_id = anchor_id AND y.label = x.label AND abs(x.duration - y.duration) <= 15 WHERE x.player_id <> anchor_id),
+    t AS (SELECT player_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS mine, CAST([] AS BIGINT[]) AS theirs FROM p GROUP BY player_id
+        UNION ALL SELECT t.player_id, p.n, CASE WHEN list_contains(mine, idx) OR list_contains(theirs, anchor_idx) THEN mine ELSE list_append(mine, idx) END,
+            CASE WHEN list_contains(mine, idx) OR list_contains(theirs, anchor_idx) THEN theirs ELSE list_append(theirs, anchor_idx) END FROM t JOIN p ON p.player_id = t.player_id AND p.n = t.n + 1),
+    m AS (SELECT game_id, player_id, unnest(mine) AS idx, unnest(theirs) AS anchor_idx FROM (SELECT player_id, arg_max(mine, n) AS mine, arg_max(theirs, n) AS theirs FROM t GROUP BY player_id) JOIN (SELECT DISTINCT game_id, player_id FROM c) USING (player_id))"""
+
 ORACLE_SQL = {
+    "anchor_matches": _MATCHES + " SELECT * FROM m",
+    "leftover_clusters": _MATCHES + """, r AS (SELECT c.*, row_number() OVER (PARTITION BY c.game_id, label ORDER BY c.player_id, c.idx) AS k FROM c JOIN a USING (game_id) LEFT JOIN m USING (game_id, player_id, idx) WHERE player_id <> anchor_id AND anchor_idx IS NULL),
+        every AS (SELECT game_id, label, list(struct_pack(k := k, p := player_id, d := duration)) AS items FROM r GROUP BY game_id, label),
+        f AS (SELECT game_id, label, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS took FROM every
+            UNION ALL SELECT game_id, label, k, CASE WHEN len(near) > 0 THEN list_concat(used, near, [k]) ELSE used END, CASE WHEN len(near) > 0 THEN list_append(near, k) ELSE CAST([] AS BIGINT[]) END
+                FROM (SELECT r.game_id, r.label, r.k, f.used, CASE WHEN list_contains(f.used, r.k) THEN CAST([] AS BIGINT[]) ELSE list_transform(list_filter(items, lambda x: x.p <> r.player_id AND abs(x.d - r.duration) <= 15 AND NOT list_contains(f.used, x.k)), lambda x: x.k) END AS near
+                    FROM f JOIN r ON r.game_id = f.game_id AND r.label = f.label AND r.k = f.k + 1 JOIN every ON every.game_id = f.game_id AND every.label = f.label)),
+        g AS (SELECT game_id, label, k AS seed, unnest(took) AS k FROM f)
+        SELECT g.game_id, g.label, x.player_id, x.idx, y.player_id AS seed_player_id, y.idx AS seed_idx FROM g JOIN r x ON x.game_id = g.game_id AND x.label = g.label AND x.k = g.k JOIN r y ON y.game_id = g.game_id AND y.label = g.label AND y.k = g.seed""",
     "visibility_edges": _EDGES + " SELECT 'vis_' || event_id || '_' || player_id AS edge_id, event_id, player_id, visibility, confidence, CAST(visibility <> 'not_visible' AS BIGINT) AS n_evidence FROM edges",
     "visibility_summary": _EDGES + " SELECT player_id, visibility, count(*) AS n_edges, (2 * sum(CAST(round(confidence * 1000000) AS BIGINT)) + count(*)) // (2 * count(*)) / 1000000 AS mean_confidence FROM edges GROUP BY ALL",
     "claim_event_range_links": LINKS + """,
