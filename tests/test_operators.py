@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.operators import folds, joins, matching, selection, windows
+from tidewright.operators import accumulate, folds, joins, matching, selection, windows
 
 
 def spans(rng, n, top=500.0):
@@ -350,3 +350,13 @@ def test_select_distinct_capped(spark):
     rows = [(1, "e", "p", "x"), (2, "e", "p", "x"), (3, "e", "q", "x"), (4, "e", "r", "x"), (5, "f", "p", "x")]
     got = folds.select_distinct_capped(spark.createDataFrame(rows, "o int, ev string, who string, s string"), ["ev", "who"], ["o"], ["ev"], 2, 10)
     assert sorted(r.o for r in got.collect()) == [1, 3, 5]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 256])
+def test_running_sets_are_all_that_came_before(spark, chunk):
+    rng = random.Random(chunk)
+    states = [(g, k, float(rng.randrange(40))) for g in "ab" for k in "xyz" for _ in range(8)]
+    changes = [(rng.choice("abc"), rng.choice("xyw"), float(rng.randrange(50)), [rng.randrange(9) for _ in range(rng.randrange(3))], [i]) for i in range(150)] + [("a", "x", None, [99], [99])]
+    got = accumulate.running_sets(spark.createDataFrame(states, "g string, k string, t double"), spark.createDataFrame(changes, "g string, k string, t double, u array<int>, v array<int>"), ["g"], ["k"], "t", ["u", "v"], chunk)
+    rows = {(r.g, r.k, r.t): (r.u, r.v) for r in got.collect()}
+    assert rows == {(g, k, t): tuple(sorted({x for c in changes if c[:2] == (g, k) and c[2] is not None and c[2] <= t for x in c[i]}) for i in (3, 4)) for g, k, t in states} and got.count() == len(rows)

@@ -71,9 +71,9 @@ def nearest_interval(points: DataFrame, spans: DataFrame, at: str, span: tuple[s
     asked = points.select(*on, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(rows.schema["_item"].dataType).alias("_item"), F.lit(None).cast(rows.schema["_span"].dataType).alias("_span"), F.struct("*").alias("_point"))
     merged = rows.unionByName(asked)
     past = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    # Ahead: the first span after the point; ties in start go to the first by `order`, so those sort last before it.
-    ahead = Window.partitionBy(*on).orderBy("_t", F.desc("_side"), *[F.col(f"_span.{c}") for c in order]).rowsBetween(0, Window.unboundedFollowing)
-    found = merged.withColumns({"_before": F.max("_item").over(past)["_span"], "_after": F.first("_span", ignorenulls=True).over(ahead)}).where("_side = 1")
+    # Ahead: the first span after the point, carried from the back; of equal starts the first by `order` comes last there.
+    ahead = Window.partitionBy(*on).orderBy(F.desc("_t"), "_side", *[F.desc(f"_span.{c}") for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    found = merged.withColumns({"_before": F.max("_item").over(past)["_span"], "_after": F.last("_span", ignorenulls=True).over(ahead)}).where("_side = 1")
     distance = lambda s: F.greatest(F.col(f"{s}.{start}") - F.col("_t"), F.col("_t") - F.col(f"{s}.{end}"), F.lit(0.0))
     b, a = distance("_before"), distance("_after")
     best = F.when(F.col("_after").isNull() | (b <= a), F.col("_before")).otherwise(F.col("_after"))

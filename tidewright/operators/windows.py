@@ -49,7 +49,7 @@ def phases(boundaries: DataFrame, key: Sequence[str], at: str, state: Column, en
 def episodes(boundaries: DataFrame, key: Sequence[str], kind: str, at: str, starts: Sequence[str], ends: Sequence[str], session_end: Column) -> DataFrame:
     """From each start to the first end before the next start, else to the next start, else to the session's end."""
     marks = boundaries.withColumns({"_start": F.when(F.col(kind).isin(*starts), F.col(at)), "_end": F.when(F.col(kind).isin(*ends), F.col(at))})
-    later = Window.partitionBy(*key).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*key).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
     seen = marks.withColumns({"_next": F.min("_start").over(later), "_stop": F.min("_end").over(later), "_session": session_end}).where("_start is not null")
     stop = F.when(F.col("_next").isNull() | (F.col("_stop") < F.col("_next")), F.col("_stop"))
     out = seen.select(*key, F.col("_start").alias("abs_start_sec"), F.coalesce(stop, "_next", "_session").alias("abs_end_sec"))

@@ -175,6 +175,39 @@ def cutoff_information_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("information_state_id", "player_id", "cutoff_abs_sec", F.array_join("known_facts", ",").alias("known_facts"), n("private_observations").alias("n_private"), n("public_history").alias("n_public"), n("heard_claims").alias("n_heard"), n("forbidden_events").alias("n_forbidden"), n("available_evidence_ids").alias("n_evidence"))
 
 
+_TYPES = {"click": "movement", "view": "task", "purchase": "vote", "error": "claim", "signup": "meeting"}
+
+
+def _daily_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """States at the end of each day, the nodes with who is seen, named and speaking in them, and the players."""
+    ev = games(spark, sf_dir)
+    beside, across = (F.col("game_id") * 6 + (F.col("user_id") + n) % 6 for n in (1, 2))
+    none, kind = F.array().cast("array<bigint>"), F.lit("meeting")
+    for name, as_type in _TYPES.items():
+        kind = F.when(F.col("event_type") == name, as_type).otherwise(kind)
+    more = ev.select(
+        F.format_string("n%08d", "event_id").alias("trajectory_node_id"), F.col("user_id").alias("player_id"), kind.alias("event_type"), F.when(F.col("k") % 4 == 0, F.array(beside)).otherwise(none).alias("visible_players"),
+        F.when(F.col("k") % 7 < 2, F.array(across)).otherwise(none).alias("mentioned_players"), F.when(F.col("event_type") == "error", F.col("user_id")).alias("speaker_id"), F.lit("x").alias("location"),
+    )
+    nodes = trajectory_nodes(ev).join(more, "trajectory_node_id")
+    cutoffs = ev.groupBy("game_id", F.floor(F.col("s") / 86400)).agg(F.max("e").alias("cutoff_abs_sec")).select(F.col("game_id").alias("episode_id"), "cutoff_abs_sec")
+    players = roster(ev).withColumnRenamed("game_id", "episode_id")
+    return trajectory.information_states(nodes, players, cutoffs), nodes, players
+
+
+def layer_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a player can hold about another in each layer, at the end of each day."""
+    found = trajectory.layer_evidence(*_daily_states(spark, sf_dir))
+    return found.select("information_state_id", "subject", "target", "layer", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
+def tom_trial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial variants where the subject has evidence that the target lacks."""
+    states, nodes, players = _daily_states(spark, sf_dir)
+    found = trajectory.trials(trajectory.layer_evidence(states, nodes, players), states)
+    return found.select("trial_id", "variant", F.array_join("evidence_ids", ",").alias("evidence_ids"), "split")
+
+
 def last_n_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spans(spark, sf_dir)
     items = ev.where("event_type in ('view', 'click')").select("user_id", "s", F.format_string("%09d", "event_id").alias("item"))
@@ -330,7 +363,7 @@ def affine_fit_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     visibility_edges, visibility_summary, claim_event_range_links, asof_snapshot, nearest_interval, containment_parent, band_join_reaction,
-    chain_cluster_consensus, phase_islands, phase_split, episode_build, phase_chunks, sliding_windows, cutoff_information_state, last_n_history,
+    chain_cluster_consensus, phase_islands, phase_split, episode_build, phase_chunks, sliding_windows, cutoff_information_state, layer_evidence_rows, tom_trial_rows, last_n_history,
     phase_enrich, previous_state, weighted_vote_tick, next_within_horizon, uniform_grid, first_state, sample_times, timed_event_repair,
     affine_fit_least_squares, stratified_quota_topk, keep_first_dedupe, latest_attempt_dedupe, index_gaps, sliced_rows, row_shards,
     eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, anchor_matches, leftover_clusters, smooth_runs, boundary_scan, affine_fit_ransac,
@@ -374,7 +407,19 @@ _MATCHES = f"""WITH RECURSIVE {EV}, {GAMES}, c AS (SELECT game_id, user_id AS pl
             CASE WHEN list_contains(mine, idx) OR list_contains(theirs, anchor_idx) THEN theirs ELSE list_append(theirs, anchor_idx) END FROM t JOIN p ON p.player_id = t.player_id AND p.n = t.n + 1),
     m AS (SELECT game_id, player_id, unnest(mine) AS idx, unnest(theirs) AS anchor_idx FROM (SELECT player_id, arg_max(mine, n) AS mine, arg_max(theirs, n) AS theirs FROM t GROUP BY player_id) JOIN (SELECT DISTINCT game_id, player_id FROM c) USING (player_id))"""
 
+_LAYER_TYPES = " UNION ALL ".join(f"SELECT '{layer}' AS layer, '{name}' AS event_type" for layer, types in trajectory.LAYERS.items() for name, as_type in _TYPES.items() if as_type in types)
+_LAYERS = _DAYS + f""", av AS (SELECT DISTINCT game_id, player_id, cutoff, 'ev' || (event_id % 50) AS ev FROM q WHERE known),
+    about AS (SELECT DISTINCT game_id, event_id, s, layer, t AS target FROM (
+        SELECT game_id, event_id, s, event_type, CASE WHEN k % 4 = 0 THEN game_id * 6 + (user_id + 1) % 6 END AS t FROM gv UNION ALL SELECT game_id, event_id, s, event_type, CASE WHEN k % 7 < 2 THEN game_id * 6 + (user_id + 2) % 6 END FROM gv
+        UNION ALL SELECT game_id, event_id, s, event_type, CASE WHEN event_type IN ('error', 'click', 'view') THEN user_id END FROM gv) JOIN ({_LAYER_TYPES}) USING (event_type) JOIN roster r USING (game_id) WHERE t = r.player_id),
+    le AS (SELECT av.game_id, av.player_id AS subject, cutoff, target, layer, list_sort(list(DISTINCT ev)) AS evs FROM av JOIN about ON about.game_id = av.game_id AND about.s <= cutoff AND 'ev' || (about.event_id % 50) = ev AND target <> av.player_id GROUP BY ALL)"""
+
 ORACLE_SQL = {
+    "layer_evidence_rows": _LAYERS + " SELECT game_id || ':' || subject || ':' || printf('%.3f', cutoff) AS information_state_id, subject, target, layer, array_to_string(evs, ',') AS evidence_ids FROM le",
+    "tom_trial_rows": _LAYERS + """, th AS (SELECT game_id, player_id AS target, cutoff, list(ev) AS theirs FROM av GROUP BY ALL),
+        lo AS (SELECT game_id || ':' || subject || ':' || printf('%.3f', cutoff) || ':' || target || ':' || layer AS g, list_sort(list_filter(evs[1:4], lambda x: NOT list_contains(coalesce(theirs, []), x))) AS evs FROM le LEFT JOIN th USING (game_id, target, cutoff))
+        SELECT g || ':' || v AS trial_id, v AS variant, array_to_string(evs, ',') AS evidence_ids, CASE WHEN h < 7 THEN 'train' WHEN h < 9 THEN 'dev' ELSE 'test' END AS split
+        FROM (SELECT *, CAST('0x' || substr(sha256(g), 1, 8) AS UBIGINT) % 10 AS h FROM lo WHERE len(evs) > 0), (SELECT unnest(['A', 'B', 'C', 'D']) AS v)""",
     "anchor_matches": _MATCHES + " SELECT * FROM m",
     "leftover_clusters": _MATCHES + """, r AS (SELECT c.*, row_number() OVER (PARTITION BY c.game_id, label ORDER BY c.player_id, c.idx) AS k FROM c JOIN a USING (game_id) LEFT JOIN m USING (game_id, player_id, idx) WHERE player_id <> anchor_id AND anchor_idx IS NULL),
         every AS (SELECT game_id, label, list(struct_pack(k := k, p := player_id, d := duration)) AS items FROM r GROUP BY game_id, label),

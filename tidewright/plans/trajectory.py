@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import answers, text
-from tidewright.operators import folds, joins, selection
+from tidewright.operators import accumulate, folds, joins, selection
 from tidewright.plans.ledger import with_roster
 
 # Event types.
@@ -101,40 +101,73 @@ def access(player: Column, cutoff: Column) -> Column:
     )
 
 
+def _numbered(rows: DataFrame, item: str, number: str) -> tuple[DataFrame, DataFrame]:
+    """(episode_id, item, number) with items numbered in their order within the episode, and (episode_id, all of them as an array)."""
+    every = rows.where(F.col(item).isNotNull()).groupBy("episode_id").agg(F.array_sort(F.collect_set(item)).alias(f"{item}_all"))
+    return every.select("episode_id", F.posexplode(f"{item}_all").alias(number, item)), every
+
+
+def _had(nodes: DataFrame, players: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each player ever has: (episode_id, subject, access, at, node, evidence as numbers), and the ids behind the numbers.
+
+    How a player has a node doesn't change with the cutoff but for nodes to come, so it is settled once for each node and player.
+    """
+    place, ids = _numbered(nodes, "trajectory_node_id", "node")
+    each = nodes.select("episode_id", "trajectory_node_id", F.explode("evidence_asset_ids").alias("evidence_id")).distinct()
+    mark, evidence_ids = _numbered(each, "evidence_id", "mark")
+    marks = each.join(mark, ["episode_id", "evidence_id"]).groupBy("episode_id", "trajectory_node_id").agg(F.collect_set("mark").alias("evidence"))
+    had = with_roster(nodes, players, "episode_id", "subject").withColumn("access", access(F.col("subject"), F.lit(float("inf"))))
+    had = had.where(F.col("access").isin("direct_visual", "direct_audio", "public_ui", "heard_claim")).select("episode_id", "subject", "access", F.col("abs_start_sec").alias("cutoff_abs_sec"), "trajectory_node_id")
+    had = had.join(place, ["episode_id", "trajectory_node_id"]).join(marks, ["episode_id", "trajectory_node_id"], "left")
+    return had.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<int>"))).drop("trajectory_node_id"), ids, evidence_ids
+
+
 def information_states(nodes: DataFrame, players: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
     """For each episode, player and cutoff (every node's end, unless given) the sorted ids known, public, heard, forbidden.
 
-    How a player has a node doesn't change with the cutoff but for nodes to come, so only nodes that a player ever has meet the
-    cutoffs; forbidden ones are the episode's ids (an array made once for each episode) without those known.
+    Nodes and evidence go by number within their episode. What a player has grows with the cutoff and is carried along by
+    `running_sets`; ids are put in at the end, and forbidden ones are the numbers left over.
     """
     cutoffs = nodes.select("episode_id", F.col("abs_end_sec").alias("cutoff_abs_sec")).distinct() if cutoffs is None else cutoffs
-    asked = with_roster(cutoffs, players, "episode_id", "subject")
-    had = with_roster(nodes, players, "episode_id", "subject").withColumn("_a", access(F.col("subject"), F.lit(float("inf"))))
-    had = had.where(F.col("_a").isin("direct_visual", "direct_audio", "public_ui", "heard_claim")).select("episode_id", "subject", "_a", "abs_start_sec", "trajectory_node_id", "evidence_asset_ids")
-    known = asked.join(had, ["episode_id", "subject"]).where("abs_start_sec <= cutoff_abs_sec")
-    ids = lambda flag: F.array_sort(F.collect_set(F.when(flag, F.col("trajectory_node_id"))))
-    public = F.col("_a") == "public_ui"
-    out = known.groupBy("episode_id", "subject", "cutoff_abs_sec").agg(
-        ids(~public).alias("private_observations"), ids(public).alias("public_history"), ids(F.col("_a") == "heard_claim").alias("heard_claims"), ids(F.lit(True)).alias("known_facts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_asset_ids")))).alias("available_evidence_ids"),
+    had, ids, evidence_ids = _had(nodes, players)
+    one = lambda flag: F.when(flag, F.array("node")).otherwise(F.array().cast("array<int>"))
+    public = F.col("access") == "public_ui"
+    changes = had.select("episode_id", "subject", "cutoff_abs_sec", one(~public).alias("private_observations"), one(public).alias("public_history"), one(F.col("access") == "heard_claim").alias("heard_claims"), F.array("node").alias("known_facts"), F.col("evidence").alias("available_evidence_ids"))
+    sets = ("private_observations", "public_history", "heard_claims", "known_facts", "available_evidence_ids")
+    asked = with_roster(cutoffs, players, "episode_id", "subject").where("cutoff_abs_sec is not null")
+    states = accumulate.running_sets(asked, changes, ["episode_id"], ["subject"], "cutoff_abs_sec", sets).join(ids, "episode_id").join(evidence_ids, "episode_id", "left")
+    named = lambda numbers, names: F.transform(numbers, lambda i: F.get(F.col(names), i))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("trajectory_node_id_all") - 1), F.col("known_facts"))
+    states = states.select(
+        "episode_id", F.col("subject").alias("player_id"), "cutoff_abs_sec", *[named(F.col(c), "trajectory_node_id_all").alias(c) for c in sets[:4]], named(F.col("available_evidence_ids"), "evidence_id_all").alias("available_evidence_ids"), named(rest, "trajectory_node_id_all").alias("forbidden_events"),
     )
-    every = nodes.groupBy("episode_id").agg(F.array_sort(F.collect_set("trajectory_node_id")).alias("_all"))
-    none = F.array().cast("array<string>")
-    states = asked.distinct().join(every, "episode_id").join(out, ["episode_id", "subject", "cutoff_abs_sec"], "left")
-    states = states.withColumns({c: F.coalesce(c, none) for c in ("private_observations", "public_history", "heard_claims", "known_facts", "available_evidence_ids")})
-    states = states.withColumn("forbidden_events", F.array_except("_all", "known_facts")).drop("_all")
-    return states.withColumnRenamed("subject", "player_id").withColumn("information_state_id", F.format_string("%s:%s:%.3f", "episode_id", "player_id", "cutoff_abs_sec"))
+    return states.withColumn("information_state_id", F.format_string("%s:%s:%.3f", "episode_id", "player_id", "cutoff_abs_sec"))
 
 
 def layer_evidence(states: DataFrame, nodes: DataFrame, players: DataFrame, layers: dict[str, tuple[str, ...]] = LAYERS) -> DataFrame:
-    """Evidence of each (state, target, layer): of the layer's types, before the cutoff, open to the subject, about the target."""
+    """Evidence of each (state, target, layer): of the layer's types, before the cutoff, open to the subject, about the target.
+
+    `states` are those of `information_states` for these nodes and players. A piece of evidence counts from the first cutoff at
+    which the subject has it and a node of the layer about the target bears it, so lists grow along a subject's states.
+    """
     rules = players.sparkSession.createDataFrame([(layer, t) for layer, types in layers.items() for t in types], "layer string, event_type string")
-    typed = nodes.join(F.broadcast(rules), "event_type")  # a rule table of a few dozen rows
-    s = states.select("information_state_id", "episode_id", F.col("player_id").alias("subject"), "cutoff_abs_sec", "available_evidence_ids")
-    pairs = with_roster(s, players, "episode_id", "target").where("subject <> target").join(typed, "episode_id").where("abs_start_sec <= cutoff_abs_sec")
+    had, _, evidence_ids = _had(nodes, players)
+    mark = evidence_ids.select("episode_id", F.posexplode("evidence_id_all").alias("mark", "evidence_id"))
     own = F.when(F.col("event_type").isin(*PLAYER_CENTRIC), F.col("player_id"))
-    about = F.array_contains("visible_players", F.col("target")) | F.array_contains("mentioned_players", F.col("target")) | F.coalesce(F.col("speaker_id") == F.col("target"), F.lit(False)) | F.coalesce(own == F.col("target"), F.lit(False))
-    found = pairs.where(about).withColumn("_e", F.array_intersect("evidence_asset_ids", "available_evidence_ids")).where(F.size("_e") > 0)
-    return found.groupBy("information_state_id", "subject", "target", "layer", "cutoff_abs_sec").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_e")))).alias("evidence_ids"))
+    about = F.explode(F.array_distinct(F.array_compact(F.concat(F.coalesce("visible_players", F.array()), F.coalesce("mentioned_players", F.array()), F.array(F.col("speaker_id"), own)))))
+    typed = nodes.join(F.broadcast(rules), "event_type")  # a rule table of a few dozen rows
+    facts = typed.select("episode_id", "layer", about.alias("target"), "abs_start_sec", "evidence_asset_ids").select("episode_id", "layer", "target", "abs_start_sec", F.explode("evidence_asset_ids").alias("evidence_id"))
+    facts = facts.join(mark, ["episode_id", "evidence_id"]).groupBy("episode_id", "layer", "target", "mark").agg(F.min("abs_start_sec").alias("borne"))
+    listed = players.select(*[c for c in ("episode_id",) if c in players.columns], F.col("player_id").alias("target")).distinct()
+    facts = facts.join(listed, listed.columns, "left_semi")
+    has = had.select("episode_id", "subject", "cutoff_abs_sec", F.explode("evidence").alias("mark")).groupBy("episode_id", "subject", "mark").agg(F.min("cutoff_abs_sec").alias("had"))
+    changes = facts.join(has, ["episode_id", "mark"]).where("subject <> target").select("episode_id", "subject", "target", "layer", F.greatest("borne", "had").alias("cutoff_abs_sec"), F.array("mark").alias("evidence_ids"))
+    asked = states.select("information_state_id", "episode_id", F.col("player_id").alias("subject"), "cutoff_abs_sec")
+    since = changes.groupBy("episode_id", "subject", "target", "layer").agg(F.min("cutoff_abs_sec").alias("since"))
+    grid = asked.join(since, ["episode_id", "subject"]).where("cutoff_abs_sec >= since")
+    found = accumulate.running_sets(grid, changes, ["episode_id"], ["subject", "target", "layer"], "cutoff_abs_sec", ["evidence_ids"])
+    found = found.join(evidence_ids, "episode_id").withColumn("evidence_ids", F.transform("evidence_ids", lambda i: F.get(F.col("evidence_id_all"), i)))
+    return found.join(asked, ["episode_id", "subject", "cutoff_abs_sec"]).select("information_state_id", "subject", "target", "layer", "cutoff_abs_sec", "evidence_ids")
 
 
 def subject_only(evidence: Column, target_available: Column) -> Column:
@@ -146,11 +179,11 @@ def next_behaviour(asks: DataFrame, nodes: DataFrame, row_id: str, horizon: floa
     """The first node after each cutoff that involves the target: event type, place, evidence."""
     who = F.explode(F.array_distinct(F.array_compact(F.concat(F.array("player_id", "speaker_id"), "visible_players"))))
     involved = nodes.select("episode_id", who.alias("target"), F.col("abs_start_sec").alias("_ns"), F.col("event_type").alias("next_event_type"), F.coalesce("location", F.lit("unknown")).alias("next_location"), F.col("evidence_asset_ids").alias("future_evidence_ids"), "trajectory_node_id")
-    first = Window.partitionBy("episode_id", "target").orderBy("_t", F.desc("_side"), "trajectory_node_id").rowsBetween(1, Window.unboundedFollowing)
+    first = Window.partitionBy("episode_id", "target").orderBy(F.desc("_t"), "_side", F.desc("trajectory_node_id")).rowsBetween(Window.unboundedPreceding, -1)
     item = F.struct("_ns", "next_event_type", "next_location", "future_evidence_ids")
     rows = involved.select("episode_id", "target", F.col("_ns").alias("_t"), F.lit(0).alias("_side"), "trajectory_node_id", item.alias("_item"), F.lit(None).cast(asks.schema[row_id].dataType).alias(row_id))
     ask = asks.select("episode_id", "target", F.col("cutoff_abs_sec").alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast("string").alias("trajectory_node_id"), F.lit(None).cast(rows.schema["_item"].dataType).alias("_item"), row_id)
-    found = rows.unionByName(ask).withColumn("_next", F.first("_item", ignorenulls=True).over(first)).where("_side = -1 and _next is not null")
+    found = rows.unionByName(ask).withColumn("_next", F.last("_item", ignorenulls=True).over(first)).where("_side = -1 and _next is not null")
     return found.where(F.col("_next._ns") - F.col("_t") <= horizon).select(row_id, "_next.next_event_type", "_next.next_location", "_next.future_evidence_ids")
 
 
