@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.operators import accumulate, folds, joins, matching, selection, windows
+from tidewright.operators import accumulate, folds, joins, matching, patterns, selection, windows
 
 
 def spans(rng, n, top=500.0):
@@ -360,3 +360,34 @@ def test_running_sets_are_all_that_came_before(spark, chunk):
     got = accumulate.running_sets(spark.createDataFrame(states, "g string, k string, t double"), spark.createDataFrame(changes, "g string, k string, t double, u array<int>, v array<int>"), ["g"], ["k"], "t", ["u", "v"], chunk)
     rows = {(r.g, r.k, r.t): (r.u, r.v) for r in got.collect()}
     assert rows == {(g, k, t): tuple(sorted({x for c in changes if c[:2] == (g, k) and c[2] is not None and c[2] <= t for x in c[i]}) for i in (3, 4)) for g, k, t in states} and got.count() == len(rows)
+
+
+WORDY = ["a b", "a", "b a b", "the end of the day and the beginning of it all", "the end of the day and the beginning", "ü é", "z" * 40, "nowhere", "a b a b a b a b a b a b", "x" * 2_200_000]
+
+
+def pattern_texts(rng):
+    texts = [" ".join(rng.choice(["a", "b", "c", "ü", "é", "the", "end"]) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    texts += ["say the end of the day and the beginning of it all again", "the end of the day and the beginning of it all", "the end of the day and the beginning of it", None, "", "a", "zz " + "z" * 40 + "z", "z" * 40, "a b " * 200 + "a", "y " + "x" * 2_200_000]
+    return list(enumerate(texts)) + [(0, "a b"), (None, "ü é")]
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_patterns_are_found_as_by_looking_for_each(spark, words):
+    rng = random.Random(6)
+    texts = pattern_texts(rng)
+    marks = [(i, p) for i, p in enumerate([*WORDY, None, "", "a b"])] + [(50 + i, "".join(rng.choice("ab ü") for _ in range(n)).strip() or "b") for i, n in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31])]
+    got = patterns.found_in(spark.createDataFrame(texts, "id int, body string").repartition(3), "body", spark.createDataFrame(marks, "mark int, p string"), "p", words=words)
+    pad = (lambda t: f" {t} ") if words else str
+    want = sorted((repr(i), m) for i, t in texts for m, p in marks if t is not None and p and pad(p) in pad(t))
+    assert sorted((repr(r.id), r.mark) for r in got.collect()) == want
+
+
+def test_a_full_bitmap_passes_more_and_finds_the_same(spark, monkeypatch):
+    """Spans that share a bit with an anchor are told apart by hash and text."""
+    texts, marks = [(i, f"t{i} and t{i + 1} or {i * 7}") for i in range(300)], [(i, f"t{i} and t{i + 1}") for i in range(0, 300, 3)]
+    wanted = np.full(patterns._BITS // 8, 255, np.uint8)
+    monkeypatch.setattr(patterns, "_bitmap", lambda marks: wanted)
+    got = patterns.found_in(spark.createDataFrame(texts, "id int, body string"), "body", spark.createDataFrame(marks, "mark int, p string"), "p", words=True)
+    assert sorted((r.id, r.mark) for r in got.collect()) == [(i, i) for i in range(0, 300, 3)]
+    none = patterns.found_in(spark.createDataFrame(texts, "id int, body string"), "body", spark.createDataFrame([], "mark int, p string"), "p")
+    assert none.count() == 0 and none.columns == ["id", "mark"]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text
-from tidewright.operators import joins, windows
+from tidewright.operators import joins, patterns, windows
 
 ISSUE = ("check", "code", "key", "detail")
 
@@ -62,44 +62,20 @@ def id_sets(check: str, sides: dict[str, DataFrame], key: str) -> DataFrame:
     return odd.select(F.lit(check).alias("check"), F.lit("id_mismatch").alias("code"), F.col(key).cast("string").alias("key"), lacking.alias("detail"))
 
 
-def leak_scan(lines: DataFrame, check: str, key: str, body: str, patterns: Sequence[str]) -> DataFrame:
-    """Each pattern that a public line contains."""
-    hits = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(F.col(body), p))
-    return lines.select(F.lit(check).alias("check"), F.lit("public_leak").alias("code"), F.col(key).cast("string").alias("key"), F.explode(hits).alias("detail"))
-
-
-def passages_in(docs: DataFrame, doc_id: str, body: str, items: DataFrame, item_id: str, passage: str, most: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id): passages that a document contains as a sequence of whole words; white space is one space on both sides.
-
-    A passage is looked up by its first eight words, or all of them if it has fewer, among the word sequences of that length
-    of each document. Up to `most` passages their hashes are broadcast (8 MB), so a document's own hashes are held against
-    them before anything is shuffled; beyond that hashes meet in a join. Hits are then compared as text.
-    """
-    flat = lambda c: text.stripped(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
-    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    keys = items.select(F.col(item_id).alias("item_id"), flat(F.col(passage)).alias("passage")).where("passage <> ''")
-    keys = keys.withColumn("n", F.least(F.lit(8), F.size(F.split("passage", " "))))
-    keys = keys.withColumn("h", F.xxhash64("n", F.slice(hashed(F.split("passage", " ")), F.lit(1), F.col("n"))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), flat(F.col(body)).alias("body")).withColumn("w", hashed(F.split("body", " ")))
-    lengths = sorted(r[0] for r in keys.select("n").distinct().collect())  # eight at most
-    few = keys.limit(most + 1).count() <= most
-    parts = []
-    for n in lengths:
-        own = keys.where(F.col("n") == n)
-        length = F.lit(n)
-        grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(length, F.slice("w", i, length)))  # noqa: B023
-        each = rows.where(F.size("w") >= n)
-        if few:
-            known = F.broadcast(own.agg(F.collect_set("h").alias("known")))
-            each = each.crossJoin(known).select("doc_id", "body", F.explode(F.array_intersect(grams, F.col("known"))).alias("h"))
-            parts.append(each.join(own, "h"))
-        else:
-            met = each.select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(own, "h")
-            parts.append(met.join(rows.select("doc_id", "body"), "doc_id").select("h", "doc_id", "body", "item_id", "passage", "n"))
-    if not parts:
-        return rows.join(keys, F.lit(False)).select("doc_id", "item_id")
-    space = F.lit(" ")
-    return reduce(DataFrame.unionByName, parts).where(F.contains(F.concat(space, "body", space), F.concat(space, "passage", space))).select("doc_id", "item_id").distinct()
+def leak_scan(lines: DataFrame, check: str, key: str, body: str, marks: Sequence[str] | DataFrame) -> DataFrame:
+    """Each mark that a public line contains, an issue each. marks: texts, or a table with a column `mark`."""
+    if not isinstance(marks, DataFrame):
+        marks = lines.sparkSession.createDataFrame([(m,) for m in marks], "mark string")
+    found = patterns.found_in(lines.select(F.col(key).cast("string").alias("key"), F.col(body).alias("body")), "body", marks.select(F.col("mark").alias("detail"), "mark").distinct(), "mark")
+    return found.select(F.lit(check).alias("check"), F.lit("public_leak").alias("code"), "key", "detail")
+
+
+def passages_in(docs: DataFrame, doc_id: str, body: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """(doc_id, item_id): passages that a document contains as a sequence of whole words; white space is one space on both sides."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    keys = items.select(F.col(item_id).alias("item_id"), flat(F.col(passage)).alias("passage"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), flat(F.col(body)).alias("body"))
+    return patterns.found_in(rows, "body", keys, "passage", words=True).distinct()
 
 
 def timed_evidence(df: DataFrame, key: str) -> DataFrame:

@@ -69,6 +69,14 @@ def leakage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.passages_in(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def public_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks - heads and tails of benchmark passages, cut anywhere - that turns of conversations and documents contain."""
+    items = table(spark, sf_dir, "benchmark").select(F.explode(F.array(F.substring("text", 1, 9), F.expr("right(text, 14)"), F.expr("substring(text, 20, 5)"), F.expr("substring(text, 40, 2)"))).alias("mark"))
+    said = table(spark, sf_dir, "conversations").select(F.format_string("turn %d %d", "conv_id", "turn").alias("key"), "text")
+    lines = said.unionByName(table(spark, sf_dir, "documents").select(F.format_string("document %d", "doc_id").alias("key"), "text"))
+    return checks.leak_scan(lines, "public", "key", "text", items)
+
+
 def task_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("trial_id"))
     planned = evaluation.plan(tasks, evaluation.registry(spark), evaluation.modalities(spark), "v1")
@@ -273,7 +281,7 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    hash_split, id_reconciliation, text_scalars, enum_ladders, choice_extraction, json_fence_strip, json_recover, leakage_scan, task_grid, antijoin_resume,
+    hash_split, id_reconciliation, text_scalars, enum_ladders, choice_extraction, json_fence_strip, json_recover, leakage_scan, public_leaks, task_grid, antijoin_resume,
     diagnostic_pivot_scores, agentic_composite, mcnemar_pairs, split_accuracy, issue_report, round_robin_topk, per_stratum_topk, vector_dot, graded_match,
     expand_ids, cover_once, number_words, pricing_summary, segment_revenue, nation_rollup, cube_status, order_ranks, customers_without_orders, priority_sets,
     value_counts, missing_roles, stream_chunk_counts, session_windows,
@@ -303,6 +311,9 @@ ORACLE_SQL = {
         SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'so ' || body || ' it is' ELSE body END AS stripped, conv_id AS parsed_id, true AS parse_ok FROM b""",
     "leakage_scan": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents), b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS passage FROM benchmark)
         SELECT doc_id, item_id FROM d JOIN b ON passage <> '' AND contains(' ' || body || ' ', ' ' || passage || ' ')""",
+    "public_leaks": """WITH m AS (SELECT DISTINCT unnest([substring(text, 1, 9), right(text, 14), substring(text, 20, 5), substring(text, 40, 2)]) AS detail FROM benchmark),
+        l AS (SELECT printf('turn %d %d', conv_id, turn) AS key, text FROM conversations UNION ALL SELECT printf('document %d', doc_id), text FROM documents)
+        SELECT 'public' AS check, 'public_leak' AS code, key, detail FROM l JOIN m ON contains(text, detail) WHERE detail <> ''""",
     "task_grid": """WITH m(model, inputs) AS (VALUES ('mock-text', ['text']), ('mock-vision', ['text', 'image', 'video']), ('mock-omni', ['text', 'image', 'video', 'audio'])),
         k(modality, needs) AS (VALUES ('text', ['text']), ('video', ['text', 'video']), ('audio_video', ['text', 'video', 'audio']))
         SELECT model, modality, count(*) AS n_tasks, count(*) FILTER (list_has_all(inputs, needs)) AS n_supported, min(conv_id || '-' || turn || '|' || model || '|' || modality || '|v1') AS first_key
