@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.operators import accumulate, folds, joins, matching, patterns, selection, windows
+from tidewright.operators import accumulate, folds, joins, matching, patterns, selection, sweep, windows
 
 
 def spans(rng, n, top=500.0):
@@ -391,3 +391,30 @@ def test_a_full_bitmap_passes_more_and_finds_the_same(spark, monkeypatch):
     assert sorted((r.id, r.mark) for r in got.collect()) == [(i, i) for i in range(0, 300, 3)]
     none = patterns.found_in(spark.createDataFrame(texts, "id int, body string"), "body", spark.createDataFrame([], "mark int, p string"), "p")
     assert none.count() == 0 and none.columns == ["id", "mark"]
+
+
+@pytest.mark.parametrize("block_rows,beyond", [(1, False), (7, True), (16, False), (4096, True)])
+def test_containment_by_sweep_is_the_nested_loop(spark, block_rows, beyond):
+    rng = random.Random(block_rows)
+    spans_ = [(i, rng.choice(["a", "a", "b", None]), float(s), float(s + rng.choice([0, 1, 3, 10, 90]))) for i in range(160) for s in [rng.randrange(60)]]
+    spans_ += [(900, "a", None, 5.0), (901, "a", 5.0, None), (902, "a", 9.0, 3.0), (903, "a", float("nan"), float("nan"))]
+    kids, parents = spans_[::2], spans_[1::2]
+    c, p = spark.createDataFrame(kids, "c int, k string, cs double, ce double").repartition(3), spark.createDataFrame(parents, "p int, k string, ps double, pe double").repartition(2)
+    got = {r.c: r.p for r in sweep.first_containing(c, p, ("cs", "ce"), ("ps", "pe"), ["k"], "c", "p", [F.col("pe") - F.col("ps"), F.col("ps")], beyond, block_rows).collect()}
+    whole = lambda s, e: s is not None and e is not None and s <= e
+    want = {}
+    for i, k, s, e in kids:
+        inside = [(pe - ps, ps, q) for q, pk, ps, pe in parents if pk == k and whole(ps, pe) and whole(s, e) and ps <= s and (pe > e if beyond else pe >= e)]
+        if inside:
+            want[i] = min(inside)[2]
+    assert got == want
+
+
+def test_ten_thousand_parents_over_one_child(spark):
+    """All parents of a key are open at once, over many blocks; rows stay parents and children."""
+    parents = spark.range(10_000).select(F.col("id").alias("p"), F.lit("k").alias("k"), (F.col("id") % 97).cast("double").alias("ps"), (F.lit(20_000.0) + F.col("id") % 991).alias("pe"))
+    kids = spark.createDataFrame([(1, "k", 500.0, 600.0), (2, "k", 96.0, 20_990.0), (3, "k", 95.0, 20_991.0), (4, "j", 1.0, 2.0)], "c int, k string, cs double, ce double")
+    got = joins.containment_join(kids, parents, ("cs", "ce"), ("ps", "pe"), ["k"], "c", "p", [F.col("pe") - F.col("ps")])
+    rows = [(r["p"], r["ps"], r["pe"]) for r in parents.collect()]
+    best = lambda s, e: min(((pe - ps, p) for p, ps, pe in rows if ps <= s and pe >= e), default=(None, None))[1]
+    assert {r.c: r.p for r in got.collect()} == {1: best(500.0, 600.0), 2: best(96.0, 20_990.0), 3: None, 4: None}

@@ -2,11 +2,12 @@
 
 `pack` range-partitions rows by key and order and packs each partition's sorted rows into blocks of a bounded number, one row
 of arrays each; a block may hold many keys, and a key many blocks. A fold then is a map over blocks once the state is known
-with which each block begins. That state comes from the block before - where it ends with the same key - in one of two ways:
+with which each block begins. That state comes from the block before - where it ends with the same key - in one of three ways:
 
 * `speculate`: each block is folded from no state; a block is folded again from what the one before leaves only while that
   differs from what it was folded from. States of first-match folds are short-lived, so most blocks settle in the second
   round whatever the size. A round folds changed blocks alone and hands on states, not rows.
+* `scan`: where what blocks leave adds up, sums of neighbours are added by doubling.
 * maps: where a block's effect is a small function of the state it begins with, functions of neighbours are composed by
   doubling, in a number of rounds that is the logarithm of the number of blocks at most (`folds.merge_claims`).
 
@@ -122,6 +123,36 @@ class Blocks:
             again = folded(changed)
             found = self.scratch.staged(found.join(changed.select("block"), "block", "left_anti").unionByName(again), f"states_{n}")
 
+    def scan(self, leave: Callable[[dict], list], merge: Callable[[list, list, float], list], state: str) -> DataFrame:
+        """(block, entry): the state with which each block begins, an array<`state`>, where states add up.
+
+        `leave` gives what a block's rows leave by themselves, `merge` adds what earlier rows left to what later ones did, given the last
+        row's c0. Sums over runs of blocks are doubled in length until each reaches back to where its key begins.
+        """
+        kind = f"array<{state}>"
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [{"block": r["block"], "state": leave(r), "last": r["c0"][-1], "open": r["goes_on"] and len(r["cuts"]) == 1} for r in b.to_pylist()]
+                yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("block", pa.int64()), ("state", b.schema.field("none").type), ("last", pa.float64()), ("open", pa.bool_())]))
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [{"block": r["block"], "state": merge(r["state_2"], r["state"], r["last"]), "last": r["last"], "before": r["before_2"]} for r in b.to_pylist()]
+                yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("block", pa.int64()), ("state", b.schema.field("state").type), ("last", pa.float64()), ("before", pa.int64())]))
+
+        first = self.rows.join(self.chain.select("block", "goes_on"), "block").withColumn("none", F.array().cast(kind)).mapInArrow(own, f"block long, state {kind}, last double, open boolean")
+        sums = self.scratch.staged(first.join(self.chain.select("block", "before"), "block").select("block", "state", "last", F.when(F.col("open"), F.col("before")).alias("before")), "sums_0")
+        for n in range(1, 64):
+            open_sums = sums.where("before is not null")
+            if open_sums.isEmpty():
+                break
+            earlier = sums.select(F.col("block").alias("before"), F.col("state").alias("state_2"), F.col("before").alias("before_2"))
+            step = open_sums.join(earlier, "before").select("block", "state", "last", "state_2", "before_2").mapInArrow(added, f"block long, state {kind}, last double, before long")
+            sums = self.scratch.staged(sums.where("before is null").unionByName(step), f"sums_{n}")
+        left = self.chain.where("goes_on").join(sums.select(F.col("block").alias("before"), F.col("state").alias("entry")), "before").select("block", "entry")
+        return self.chain.select("block").join(left, "block", "left").withColumn("entry", F.coalesce("entry", F.array().cast(kind)))
+
     def assigned(self, entries: DataFrame, fold: Callable[[dict, list], list], row_id: str) -> DataFrame:
         """(row_id, kept_id) of all rows, folded from each block's entry; `fold` gives the id that each row joins."""
         kind = self.kind

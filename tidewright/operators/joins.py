@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweep import first_containing
+
 
 def _buckets(start: Column, end: Column, width: float) -> Column:
     first, last = F.floor(start / width).cast("long"), F.floor(end / width).cast("long")
@@ -81,19 +83,16 @@ def nearest_interval(points: DataFrame, spans: DataFrame, at: str, span: tuple[s
     return found.select(*[F.col("_point")[c].alias(c) for c in points.columns], *[F.col("_best")[c].alias(c) for c in values], F.when(F.col("_best").isNotNull(), F.greatest(F.col("_best")[start] - F.col("_t"), F.col("_t") - F.col("_best")[end], F.lit(0.0))).alias("distance"))
 
 
-def containment_join(children: DataFrame, parents: DataFrame, child_span: tuple[str, str], parent_span: tuple[str, str], on: Sequence[str], child_id: str, prefer: Sequence[Column], width: float) -> DataFrame:
-    """Each child with the first parent by `prefer` that contains it (nulls, if none does)."""
-    met = range_join(children, parents, child_span, parent_span, width, on)
-    inside = met.where((F.col(parent_span[0]) <= F.col(child_span[0])) & (F.col(parent_span[1]) >= F.col(child_span[1])))
-    extra = [c for c in parents.columns if c not in on]
-    best = inside.withColumn("_rank", F.row_number().over(Window.partitionBy(child_id).orderBy(*prefer))).where("_rank = 1")
-    return children.join(best.select(child_id, *extra), child_id, "left")
+def containment_join(children: DataFrame, parents: DataFrame, child_span: tuple[str, str], parent_span: tuple[str, str], on: Sequence[str], child_id: str, parent_id: str, prefer: Sequence[Column]) -> DataFrame:
+    """Each child with the first parent by `prefer`, then by id, that contains it (nulls, if none does): see `sweep`."""
+    found = first_containing(children, parents, child_span, parent_span, on, child_id, parent_id, prefer)
+    return children.join(found, child_id, "left").join(parents.drop(*on), parent_id, "left")
 
 
-def point_in_interval(points: DataFrame, spans: DataFrame, at: str, span: tuple[str, str], on: Sequence[str], point_id: str, order: Sequence[str], width: float) -> DataFrame:
-    """Each point with the first span by `order` that has start <= point < end; points without one are dropped."""
-    met = range_join(points, spans, (at, at), span, width, on).where(F.col(at) < F.col(span[1]))
-    return met.withColumn("_rank", F.row_number().over(Window.partitionBy(point_id).orderBy(*order))).where("_rank = 1").drop("_rank")
+def point_in_interval(points: DataFrame, spans: DataFrame, at: str, span: tuple[str, str], on: Sequence[str], point_id: str, span_id: str, order: Sequence[str]) -> DataFrame:
+    """Each point with the first span by `order`, then by id, that has start <= point < end; points without one are dropped."""
+    found = first_containing(points, spans, (at, at), span, on, point_id, span_id, [F.col(c) for c in order], beyond=True)
+    return points.join(found, point_id).join(spans.drop(*on), span_id)
 
 
 def band_join(left: DataFrame, right: DataFrame, left_end: str, right_start: str, least: float, most: float, on: Sequence[str] = ()) -> DataFrame:

@@ -104,8 +104,16 @@ def containment_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spans(spark, sf_dir)
     kids = ev.where("event_type = 'click'").select("event_id", F.col("s").alias("cs"), (F.col("s") + 5).alias("ce"))
     big = ev.where("event_type = 'view'").select(F.col("event_id").alias("parent_id"), F.col("s").alias("ps"), (F.col("e") + 600).alias("pe"))
-    narrow = [F.col("pe") - F.col("ps"), F.col("parent_id")]
-    return joins.containment_join(kids, big, ("cs", "ce"), ("ps", "pe"), [], "event_id", narrow, 720.0).select("event_id", "parent_id")
+    return joins.containment_join(kids, big, ("cs", "ce"), ("ps", "pe"), [], "event_id", "parent_id", [F.col("pe") - F.col("ps")]).select("event_id", "parent_id")
+
+
+def place_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrowest span of the same game that each event's start lies in, its end left out; wide spans lie over all of a day."""
+    ev = games(spark, sf_dir)
+    wide = F.when(F.col("k") % 10 == 0, 86400.0).when(F.col("k") % 3 == 0, 3600.0).otherwise(60.0)
+    held = ev.where("event_type <> 'click'").select("game_id", F.col("event_id").alias("span_id"), F.col("s").alias("ps"), (F.col("s") + wide).alias("pe")).withColumn("length", F.col("pe") - F.col("ps"))
+    points = ev.select("game_id", "event_id", (F.col("s") + 60).alias("at"))
+    return joins.point_in_interval(points, held, "at", ("ps", "pe"), ["game_id"], "event_id", "span_id", ["length"]).select("event_id", "span_id")
 
 
 def band_join_reaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +370,7 @@ def affine_fit_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    visibility_edges, visibility_summary, claim_event_range_links, asof_snapshot, nearest_interval, containment_parent, band_join_reaction,
+    visibility_edges, visibility_summary, claim_event_range_links, asof_snapshot, nearest_interval, containment_parent, place_of_events, band_join_reaction,
     chain_cluster_consensus, phase_islands, phase_split, episode_build, phase_chunks, sliding_windows, cutoff_information_state, layer_evidence_rows, tom_trial_rows, last_n_history,
     phase_enrich, previous_state, weighted_vote_tick, next_within_horizon, uniform_grid, first_state, sample_times, timed_event_repair,
     affine_fit_least_squares, stratified_quota_topk, keep_first_dedupe, latest_attempt_dedupe, index_gaps, sliced_rows, row_shards,
@@ -477,6 +485,9 @@ ORACLE_SQL = {
         SELECT c.event_id, p.event_id AS parent_id, row_number() OVER (PARTITION BY c.event_id ORDER BY p.e + 600 - p.s, p.event_id) AS rn
         FROM ev c LEFT JOIN ev p ON p.event_type = 'view' AND p.s <= c.s AND p.e + 600 >= c.s + 5 WHERE c.event_type = 'click')
         SELECT event_id, parent_id FROM met WHERE rn = 1""",
+    "place_of_events": f"""WITH {EV}, {GAMES}, p AS (SELECT game_id, event_id AS span_id, s AS ps, s + CASE WHEN k % 10 = 0 THEN 86400 WHEN k % 3 = 0 THEN 3600 ELSE 60 END AS pe FROM gv WHERE event_type <> 'click'),
+        m AS (SELECT event_id, span_id, row_number() OVER (PARTITION BY event_id ORDER BY pe - ps, span_id) AS rn FROM gv JOIN p ON p.game_id = gv.game_id AND ps <= s + 60 AND pe > s + 60)
+        SELECT event_id, span_id FROM m WHERE rn = 1""",
     "band_join_reaction": f"""WITH {EV} SELECT c.event_id AS claim_id, r.event_id AS reply_id, r.s - c.e AS gap
         FROM ev c JOIN ev r ON c.event_type = 'view' AND r.event_type = 'purchase' AND r.s - c.e BETWEEN 5 AND 300 AND c.user_id <> r.user_id""",
     "chain_cluster_consensus": f"""WITH {EV}, g AS (

@@ -86,7 +86,7 @@ def fuse(rows: DataFrame, episodes: DataFrame, tolerance: float = 1.5) -> DataFr
     heard = F.array_sort(F.array_union("_ear_set", F.when(meeting, F.col("_told")).otherwise(none)))
     nodes = nodes.withColumns({"public_ui": public, "global_fact": public, "audio_admissible": admissible, "meeting_public": meeting, "heard_by": F.when(admissible, heard).otherwise(none), "utterance": F.when(admissible, F.col("utterance")), "speaker_id": F.when(admissible, F.col("speaker_id"))})
     spans = episodes.select(F.col("episode_id"), F.col("abs_start_sec").alias("_es"), F.col("abs_end_sec").alias("_ee"))
-    placed = joins.point_in_interval(nodes.withColumn("_at", F.col("_turn.start_sec")), spans, "_at", ("_es", "_ee"), [], "node_index", ["_es"], 600.0)
+    placed = joins.point_in_interval(nodes.withColumn("_at", F.col("_turn.start_sec")), spans, "_at", ("_es", "_ee"), [], "node_index", "episode_id", ["_es"])
     return placed.withColumn("trajectory_node_id", F.format_string("%s_node_%05d", "episode_id", "node_index")).drop("_turn", "kept_id", "_public", "_n_audio", "_ears", "_verified", "_meeting", "_ear_set", "_told", "_at", "_es", "_ee")
 
 
