@@ -418,3 +418,27 @@ def test_ten_thousand_parents_over_one_child(spark):
     rows = [(r["p"], r["ps"], r["pe"]) for r in parents.collect()]
     best = lambda s, e: min(((pe - ps, p) for p, ps, pe in rows if ps <= s and pe >= e), default=(None, None))[1]
     assert {r.c: r.p for r in got.collect()} == {1: best(500.0, 600.0), 2: best(96.0, 20_990.0), 3: None, 4: None}
+
+
+@pytest.mark.parametrize("horizon", [0.5, 3.0, 50.0])
+def test_next_of_another_owner_is_the_nested_loop(spark, horizon):
+    rng = random.Random(int(horizon))
+    asks = [(i, rng.choice("gh"), float(rng.randrange(40)), rng.choice(["a", "b", None])) for i in range(60)] + [(99, "g", None, "a")]
+    later = [(i, rng.choice("gh"), float(rng.randrange(45)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(80)] + [(98, "g", None, "b")]
+    l, r = spark.createDataFrame(asks, "i int, g string, t double, who string"), spark.createDataFrame(later, "j int, g string, u double, whose string")  # noqa: E741
+    got = {x.i: x.j for x in joins.next_other(l, r, "t", "u", "who", "whose", horizon, ["g"], ["j"]).collect()}
+    want = {}
+    for i, g, t, who in asks:
+        near = [(u, j) for j, h, u, whose in later if h == g and t is not None and u is not None and t < u <= t + horizon and whose != who]
+        if near:
+            want[i] = min(near)[1]
+    assert got == want
+
+
+def test_next_join_is_the_nested_loop(spark):
+    rng = random.Random(8)
+    asks = [(i, rng.choice("ghz"), float(rng.randrange(30))) for i in range(50)] + [(99, "g", None)]
+    later = [(i, rng.choice("gh"), float(rng.randrange(30))) for i in range(40)] + [(98, "g", None)]
+    l, r = spark.createDataFrame(asks, "i int, g string, t double"), spark.createDataFrame(later, "j int, g string, u double")  # noqa: E741
+    got = {x.i: x.j for x in joins.next_join(l, r, "t", "u", ["g"], ["j"]).collect()}
+    assert got == {i: min(((u, j) for j, h, u in later if h == g and t is not None and u is not None and u > t), default=(None, None))[1] for i, g, t in asks}

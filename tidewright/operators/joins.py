@@ -54,6 +54,44 @@ def asof_join(left: DataFrame, right: DataFrame, at: str, right_at: str, on: Seq
     return joined.select(*[F.col("_left")[c].alias(c) for c in left.columns], *[F.col("_right")[c].alias(c) for c in values])
 
 
+def next_join(left: DataFrame, right: DataFrame, at: str, right_at: str, on: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Each left row with the first right row after it, by time and then `order`; unmatched rows keep nulls.
+
+    Both sides are merged in one sort from the back, along which the last right row is carried: no pairs.
+    """
+    values = [c for c in right.columns if c not in on]
+    item = F.struct(*[F.col(c) for c in values])
+    r = right.select(*on, F.col(right_at).alias("_t"), F.lit(1).alias("_side"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], item.alias("_right"))
+    l = left.select(*on, F.col(at).alias("_t"), F.lit(0).alias("_side"), F.struct("*").alias("_left"))  # noqa: E741
+    back = Window.partitionBy(*on).orderBy(F.desc("_t"), "_side", *[F.desc(f"_o{i}") for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    joined = r.where("_t is not null").unionByName(l, allowMissingColumns=True).withColumn("_right", F.last("_right", ignorenulls=True).over(back)).where("_side = 0")
+    joined = joined.withColumn("_right", F.when(F.col("_t").isNotNull(), F.col("_right")))
+    return joined.select(*[F.col("_left")[c].alias(c) for c in left.columns], *[F.col("_right")[c].alias(c) for c in values])
+
+
+def next_other(left: DataFrame, right: DataFrame, at: str, right_at: str, owner: str, right_owner: str, horizon: float, on: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """Each left row with the first right row, by time and then `order`, that comes after it, at most `horizon` later, and has another
+    owner; left rows without one are dropped. Null owners are like no other and like each other.
+
+    Whatever owner is excluded, one of two right rows is the answer: the nearest, or the nearest whose owner isn't that one's. Both are carried from the
+    back, within buckets of the horizon's length in which a right row appears twice at most: its own and the one before.
+    """
+    values = [c for c in right.columns if c not in on]
+    bucket = F.floor(F.col(right_at) / horizon)
+    r = right.where(F.col(right_at).isNotNull()).select(*on, F.explode(F.array(bucket, bucket - 1)).alias("_b"), F.col(right_at).alias("_t"), F.lit(1).alias("_side"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(F.col(right_owner).alias("_who"), *values).alias("_near"))
+    l = left.where(F.col(at).isNotNull()).select(*on, F.floor(F.col(at) / horizon).alias("_b"), F.col(at).alias("_t"), F.lit(0).alias("_side"), F.col(owner).alias("_mine"), F.struct(*left.columns).alias("_left"))  # noqa: E741
+    backwards = Window.partitionBy(*on, "_b").orderBy(F.desc("_t"), "_side", *[F.desc(f"_o{i}") for i in range(len(order))])
+    so_far = backwards.rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(l, allowMissingColumns=True)
+    # The right row nearest so far before this row; where its owner differs from this right row's, it is the nearest of another.
+    both = both.withColumn("_last", F.last("_near", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1)))
+    both = both.withColumn("_turn", F.when((F.col("_side") == 1) & F.col("_last").isNotNull() & ~F.col("_last._who").eqNullSafe(F.col("_near._who")), F.col("_last")))
+    both = both.withColumns({"_one": F.last("_near", ignorenulls=True).over(so_far), "_two": F.last("_turn", ignorenulls=True).over(so_far)}).where("_side = 0")
+    found = both.withColumn("_found", F.when(~F.col("_one._who").eqNullSafe(F.col("_mine")), F.col("_one")).otherwise(F.col("_two")))
+    found = found.where(F.col("_found").isNotNull() & (F.col(f"_found.{right_at}") - F.col("_t") <= horizon))
+    return found.select(*[F.col("_left")[c].alias(c) for c in left.columns], *[F.col("_found")[c].alias(c) for c in values])
+
+
 def previous_state(df: DataFrame, key: Sequence[str], order: Sequence[str], state: str, out: str = "previous") -> DataFrame:
     """The nearest earlier non-null state of each row's key."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

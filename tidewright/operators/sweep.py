@@ -48,7 +48,7 @@ def first_containing(children: DataFrame, parents: DataFrame, child_span: tuple[
     """(child_id, parent_id): for each child the first parent by `rank`, then by id, of equal `on` columns that begins with it or before and
     ends with it or after (after it alone, if `beyond`). Children without one have no row.
 
-    Ranks are numbers of the parent's columns; ids are unique and not null. Spans with a null or NaN end, or that end before they begin,
+    Ranks are numbers of the parent's columns; ids are unique and not null; null keys are equal to each other. Spans with a null or NaN end, or that end before they begin,
     hold nothing and lie in nothing.
     """
     ranks = [f"_r{i}" for i in range(len(rank))]

@@ -135,13 +135,6 @@ def uniform_grid(df: DataFrame, key: Sequence[str], start: str, end: str) -> Dat
     return out.select(*key, "n_rows", ((F.col("n_rows") >= 3) & (F.col("_nd") == 1) & (F.col("_ng") == 1)).alias("is_grid"))
 
 
-def next_within(df: DataFrame, events: DataFrame, at: str, event_at: str, horizon: float, row_id: str, on: Sequence[str] = (), where: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
-    """The first event after `at` and within the horizon that meets a condition; rows without one are dropped."""
-    met = range_join(df.withColumn("_to", F.col(at) + horizon), events, (at, "_to"), (event_at, event_at), horizon, on).where(F.col(event_at) > F.col(at))
-    met = met.where(where) if where is not None else met
-    return met.withColumn("_rank", F.row_number().over(Window.partitionBy(row_id).orderBy(event_at, *order))).where("_rank = 1").drop("_rank", "_to")
-
-
 def enrich_phases(df: DataFrame, key: Sequence[str], kind: str, order: str, phase_id: str) -> DataFrame:
     """Index, round number within the kind, and ids before and after."""
     w = Window.partitionBy(*key).orderBy(order)

@@ -245,7 +245,7 @@ def next_within_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spans(spark, sf_dir)
     asks = ev.where("event_type = 'purchase'").select("event_id", "user_id", F.col("e").alias("cutoff"))
     later = ev.select(F.col("event_id").alias("next_id"), F.col("user_id").alias("next_user"), F.col("s").alias("next_s"))
-    found = windows.next_within(asks, later, "cutoff", "next_s", 600.0, "event_id", where=F.col("user_id") != F.col("next_user"), order=["next_id"])
+    found = joins.next_other(asks, later, "cutoff", "next_s", "user_id", "next_user", 600.0, order=["next_id"])
     return found.select("event_id", "next_id")
 
 

@@ -152,7 +152,7 @@ def structured_gold(rows: DataFrame, nodes: DataFrame, row_id: str) -> DataFrame
     )
     involved = n.select("episode_id", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("player_id", "speaker_id"), "visible_players")))).alias("target"), "trajectory_node_id", "abs_start_sec", "event_type", "location", "evidence_asset_ids")
     asked = rows.where("layer = 'intent_and_action_prediction'").select(row_id, "episode_id", "target", F.col("cutoff_abs_sec").alias("_cut"))
-    after = asked.join(involved, ["episode_id", "target"]).where(F.col("abs_start_sec") > F.col("_cut")).groupBy(row_id).agg(F.min_by(F.struct("event_type", "location", "evidence_asset_ids"), turn).alias("_next"))
+    after = joins.next_join(asked, involved, "_cut", "abs_start_sec", ["episode_id", "target"], ["trajectory_node_id"]).where("trajectory_node_id is not null").select(row_id, F.struct("event_type", "location", "evidence_asset_ids").alias("_next"))
     out = rows.join(found, row_id, "left").join(after, row_id, "left")
     layer = F.col("layer")
     said = layer.isin("belief_and_false_belief", "stance_trust_and_agreement") & F.col("_said").isNotNull()
