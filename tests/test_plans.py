@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.plans import checks, evaluation, ledger, scoring, stages, trajectory
+from tidewright.sources.commits import CommitLog
 
 PLAYERS = ("ana", "bo", "cy")
 
@@ -183,6 +184,12 @@ def test_stage_runner(spark, tmp_path):
         other.run()
     with pytest.raises(ValueError):
         run.run(to_stage="third")
+    with pytest.raises(ValueError):
+        run.run(from_stage="second", to_stage="first")
+    waiting = stages.StageRunner(spark, str(tmp_path / "w"), {"n": 2}, [("first", first), ("second", None), ("third", first)])
+    assert waiting.run() == ["first"] and waiting.status() == {"first": "complete", "second": "pending"}
+    with pytest.raises(ValueError):
+        waiting.output("third")
 
 
 def test_append_once(spark, tmp_path):
@@ -190,7 +197,7 @@ def test_append_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     assert stages.append_once(rows, path, "id") == 2 and stages.append_once(rows, path, "id") == 0
     assert stages.append_once(spark.createDataFrame([(2, "z"), (3, "c")], "id int, v string"), path, "id") == 1
-    assert sorted(spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sorted(CommitLog(spark, path).read().collect()) == [(1, "a"), (2, "b"), (3, "c")]
 
 
 def test_evaluation_run(spark):

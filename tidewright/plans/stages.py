@@ -1,7 +1,8 @@
 """Stages with resume: an ordered list of functions DataFrame -> DataFrame, a table for each output, a state log.
 
-A stage's output is a Parquet table; the state log is appended once the table is whole. A run begins after the last stage
-that is complete under the same configuration hash, and refuses to go on under another one.
+A stage's output is a table of commits (`sources.commits`): readers see the last whole one, also while a stage runs again. The state log is
+appended once the output is committed. A run begins after the last stage that is complete under the same configuration
+hash, and refuses to go on under another one. A stage without a function is pending, and the run ends before it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.sources.commits import CommitLog
+
 STATE = "stage string, status string, config_hash string, time_unix double, detail string"
 
 
@@ -22,7 +25,7 @@ def config_hash(config: dict) -> str:
 
 
 class StageRunner:
-    def __init__(self, spark: SparkSession, folder: str, config: dict, stages: Sequence[tuple[str, Callable[[SparkSession, dict[str, DataFrame], dict], DataFrame]]]):
+    def __init__(self, spark: SparkSession, folder: str, config: dict, stages: Sequence[tuple[str, Callable[[SparkSession, dict[str, DataFrame], dict], DataFrame] | None]]):
         self.spark, self.folder, self.config, self.stages = spark, folder.rstrip("/"), config, list(stages)
         self.hash = config_hash(config)
 
@@ -45,7 +48,10 @@ class StageRunner:
         return {r["stage"]: r["status"] for r in rows}
 
     def output(self, stage: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{stage}")
+        found = CommitLog(self.spark, f"{self.folder}/{stage}").read()
+        if found is None:
+            raise ValueError(f"no output of stage: {stage}")
+        return found
 
     def run(self, resume: bool = True, from_stage: str | None = None, to_stage: str | None = None) -> list[str]:
         """Runs what isn't complete; the names of the stages that ran."""
@@ -53,6 +59,8 @@ class StageRunner:
         for name in (from_stage, to_stage):
             if name is not None and name not in names:
                 raise ValueError(f"unknown stage: {name}")
+        if from_stage and to_stage and names.index(from_stage) > names.index(to_stage):
+            raise ValueError("from_stage must not come after to_stage")
         known = {r["config_hash"] for r in self.log().select("config_hash").distinct().limit(2).collect()}
         if resume and known - {self.hash}:
             raise ValueError("the run folder belongs to another configuration")
@@ -63,10 +71,13 @@ class StageRunner:
         for i, (name, stage) in enumerate(self.stages[: last + 1]):
             if i < first or (name in done and not (from_stage and i >= first)):
                 continue
+            if stage is None:
+                self.note(name, "pending", "no function")
+                break
             self.note(name, "running")
             try:
                 before = {n: self.output(n) for n in names[:i]}
-                stage(self.spark, before, self.config).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+                CommitLog(self.spark, f"{self.folder}/{name}").overwrite(stage(self.spark, before, self.config))
             except Exception as error:
                 self.note(name, "failed", str(error)[:500])
                 raise
@@ -76,16 +87,5 @@ class StageRunner:
 
 
 def append_once(rows: DataFrame, path: str, key: str) -> int:
-    """Appends rows whose key the table at `path` lacks, so that a repeated batch adds nothing; the number of rows added."""
-    spark = rows.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        rows = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    rows = rows.persist()
-    try:
-        n = rows.count()
-        if n:
-            rows.write.mode("append").parquet(path)
-        return n
-    finally:
-        rows.unpersist()
+    """Appends rows whose key the table at `path` lacks, so that a repeated batch adds nothing, also with other writers at work."""
+    return CommitLog(rows.sparkSession, path).append_once(rows, key)

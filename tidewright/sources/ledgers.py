@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import answers, payload
 from tidewright.operators import joins
 from tidewright.sources import files
+from tidewright.sources.commits import put_file
 
 # The tables of a ledger, and defaults of a run's configuration.
 LEDGER = ("world_events", "claims", "phase_events", "visibility_edges", "belief_memory_snapshots", "claim_truth_links", "canonical_event_map")
@@ -87,18 +87,8 @@ def config_tables(spark: SparkSession, config: dict[str, object]) -> tuple[DataF
 
 
 def write_json(spark: SparkSession, value: object, path: str) -> None:
-    """One object as a JSON file, put in place by a rename, so that readers see the old one or the new one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
-    system = target.getFileSystem(conf)
-    sink = system.create(part, True)
-    try:
-        sink.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True).encode()))
-    finally:
-        sink.close()
-    system.delete(target, False)
-    if not system.rename(part, target):
-        raise OSError(f"{path} couldn't be put in place")
+    """One object as a JSON file, put in place in one step: readers see the old one or the new one."""
+    put_file(spark, path, json.dumps(value, ensure_ascii=False, sort_keys=True).encode(), replace=True)
 
 
 def copy_tree(spark: SparkSession, source: str, target: str, ignore: Sequence[str] = ()) -> DataFrame:
