@@ -341,7 +341,8 @@ def test_selection(spark):
     a = spark.createDataFrame([("g1", "x"), ("g2", "y")], "id string, sem string")
     b = spark.createDataFrame([("g1", "z"), ("g3", "x")], "id string, sem string")
     assert sorted((r.id, r.original_id) for r in selection.union_passes([a, b], ["sem"], "id", ["sem"]).collect()) == [("g1", "g1"), ("g1_2", "g1"), ("g2", "g2")]
-    assert folds.collision_safe(["a", "a", "a", "b"], ["s", "s", "s", "s"]) == ["a", "a_s", "a_s_2", "b"]
+    same = selection.safe_ids(spark.createDataFrame([(i, x, "s") for i, x in enumerate("aaab")], "o int, id string, s string"), "id", ["o"], "s")
+    assert [r.id for r in same.orderBy("o").collect()] == ["a", "a_s", "a_s_2", "b"]
     opts = spark.createDataFrame([(["x", "y", "x", "z"], "z")], "o array<string>, c string")
     assert tuple(opts.select(selection.options_without_repeats(F.col("o"), F.col("c"))).first()[0]) == (["x", "y", "z"], "C")
 
@@ -442,3 +443,52 @@ def test_next_join_is_the_nested_loop(spark):
     l, r = spark.createDataFrame(asks, "i int, g string, t double"), spark.createDataFrame(later, "j int, g string, u double")  # noqa: E741
     got = {x.i: x.j for x in joins.next_join(l, r, "t", "u", ["g"], ["j"]).collect()}
     assert got == {i: min(((u, j) for j, h, u in later if h == g and t is not None and u is not None and u > t), default=(None, None))[1] for i, g, t in asks}
+
+
+def plain_ids(rows):
+    """The pass, spelled out, for rows (order, scope, id, suffix)."""
+    used, out = {}, {}
+    for o, scope, one, suffix in sorted(rows):
+        known = used.setdefault(scope, set())
+        base, n, name = (one if suffix is None else f"{one}_{suffix}"), 2, one
+        if name in known and suffix is not None:
+            name = base
+        while name in known:
+            name, n = f"{base}_{n}", n + 1
+        known.add(name)
+        out[o] = name
+    return out
+
+
+@pytest.mark.parametrize("suffixes", [["s"], ["s", "2", "s_2"], [None], [None, "2"]])
+def test_safe_ids_are_those_of_the_pass_in_order(spark, suffixes):
+    """Given ids look like names that are made: a_2, a_s, a_s_2."""
+    rng = random.Random(len(suffixes))
+    rows = [(i, rng.choice("pq"), rng.choice(["a", "a", "a", "a_s", "a_2", "a_s_2", "a_2_2", "b"]), rng.choice(suffixes)) for i in range(160)]
+    df = spark.createDataFrame(rows, "o int, scope string, id string, s string").repartition(3)
+    got = {r.o: r.id for r in selection.safe_ids(df, "id", ["o"], "s", ["scope"]).collect()}
+    assert got == plain_ids(rows)
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 500])
+def test_quotas_and_turns_by_plain_loops(spark, limit):
+    rng = random.Random(limit)
+    rows = [(i, rng.choice("abcz"), rng.randrange(12), rng.randrange(50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "o int, t string, key int, score int").repartition(4)
+    strata, shares = ["b", "a", "c"], {"a": 0.1, "b": 0.3, "c": 0.02}
+    seq, turns = {}, []
+    for o, t, key, score in rows:
+        if t in strata:
+            seq[t] = seq.get(t, 0) + 1
+            turns.append((seq[t] > max(1, int(limit * shares[t])), strata.index(t), seq[t], o, key))
+    once, seen = [], set()
+    for *_, o, key in sorted(turns):
+        if key not in seen:
+            seen.add(key)
+            once.append(o)
+    assert [r.o for r in selection.quota_then_fill(df, "t", strata, shares, limit, ["o"], ["key"]).collect()] == once[:limit]
+    k = max(1, min(8, limit // 5))
+    best = sorted(rows, key=lambda r: (-r[3], r[0]))
+    first = sorted((n, strata.index(t), r[0]) for t in strata for n, r in enumerate([r for r in best if r[1] == t][:k]))
+    heads = [o for _, _, o in first]
+    assert [r.o for r in selection.round_robin(df, "t", strata, "score", limit, ["o"]).orderBy("position").collect()] == (heads + [r[0] for r in best if r[0] not in heads])[:limit]

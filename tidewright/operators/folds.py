@@ -401,19 +401,6 @@ def affine_fit(df: DataFrame, key: str, x: str, y: str, order: str, threshold: f
     return fit.join(stats, "k").select(F.col("k").alias(key), "scale", "offset", "anchor_count", "inlier_count", "median_residual_sec", "p95_residual_sec")
 
 
-def collision_safe(ids: list[str], suffixes: list[str]) -> list[str]:
-    """Ids in order; one that is taken gets its suffix, then _2, _3, ..."""
-    used, out = set(), []
-    for one, suffix in zip(ids, suffixes):
-        name = one if one not in used else f"{one}_{suffix}"
-        base, n = name, 2
-        while name in used:
-            name, n = f"{base}_{n}", n + 1
-        used.add(name)
-        out.append(name)
-    return out
-
-
 def select_distinct_capped(df: DataFrame, key: Sequence[str], order: Sequence[str], cap_key: Sequence[str], cap: int, limit: int) -> DataFrame:
     """In order: the first row of each key, at most `cap` of them for each cap key, `limit` in all. Keys hold the cap key's columns."""
     return first_per(first_per(df, key, order), cap_key, order, cap).orderBy(*order).limit(limit)

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.scratch import staged
+from tidewright.scratch import Scratch, staged
 
 from .joins import first_per
 
+_MOST_TAKEN = 100_000  # rows of an order that one task may number
+
 
 def slice_rows(df: DataFrame, order: Sequence[str], skip: int = 0, stride: int = 1, limit: int | None = None) -> DataFrame:
     """Rows skip, skip + stride, ... of an order; `limit` of them at most. Filters go before, so positions are of what is left.
@@ -19,9 +21,14 @@ def slice_rows(df: DataFrame, order: Sequence[str], skip: int = 0, stride: int =
     """
     if skip < 0 or stride < 1:
         raise ValueError("skip must be 0 or more and stride 1 or more")
-    numbered = with_position(df, order).where((F.col("_pos") >= skip) & ((F.col("_pos") - skip) % stride == 0))
-    out = numbered if limit is None else numbered.where(F.col("_pos") < skip + stride * limit)
-    return out.drop("_pos")
+    stop = None if limit is None else skip + stride * limit
+    if stop is not None and stop <= _MOST_TAKEN:  # the first rows of the order are enough, and few
+        first = df.orderBy(*order).limit(stop)
+        numbered = first.withColumn("_pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        numbered = with_position(df, order)
+    out = numbered.where((F.col("_pos") >= skip) & ((F.col("_pos") - skip) % stride == 0))
+    return (out if stop is None else out.where(F.col("_pos") < stop)).drop("_pos")
 
 
 def with_position(df: DataFrame, order: Sequence[str], out: str = "_pos") -> DataFrame:
@@ -41,17 +48,25 @@ def quota_then_fill(df: DataFrame, stratum: str, strata: Sequence[str], shares:
     Each stratum's first max(1, limit * share) rows are looked at before duplicates are removed, so a duplicate there uses
     up quota.
     """
-    rank = F.lit(len(strata))
-    quota = F.lit(0)
+    quotas = {name: max(1, int(limit * shares[name])) for name in strata}
+    rank, quota = F.lit(len(strata)), F.lit(0)
     for i, name in enumerate(strata):
         rank = F.when(F.col(stratum) == name, i).otherwise(rank)
-        quota = F.when(F.col(stratum) == name, max(1, int(limit * shares[name]))).otherwise(quota)
+        quota = F.when(F.col(stratum) == name, quotas[name]).otherwise(quota)
     rows = df.withColumns({"_r": rank, "_q": quota}).where(F.col("_r") < len(strata))
-    rows = rows.withColumn("_seq", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    rows = rows.withColumn("_phase", (F.col("_seq") > F.col("_q")).cast("int"))
-    turn = ["_phase", "_r", "_seq"]
-    once = first_per(rows, key, turn)
-    return once.orderBy(*turn).limit(limit).drop("_r", "_q", "_seq", "_phase")
+    # A rank below a constant keeps that many rows of a stratum in each partition before anything is shuffled.
+    numbered = rows.withColumn("_seq", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_seq") <= max(quotas.values()))
+    head = first_per(numbered.where(F.col("_seq") <= F.col("_q")).drop("_seq"), key, ["_r", *order])
+    used = head.select(*[F.col(k).alias(f"_u{i}") for i, k in enumerate(key)])
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_u{i}"))
+    left = rows.join(used, same, "left_anti")
+    columns = F.struct(*[F.col(c) for c in left.columns])
+    once = left.groupBy(*key).agg(F.min_by(columns, F.struct("_r", *order)).alias("_row")).select("_row.*")  # in partial aggregates
+    fill = once.orderBy("_r", *order).limit(limit)
+    both = head.withColumn("_phase", F.lit(0)).unionByName(fill.withColumn("_phase", F.lit(1)))
+    return both.orderBy("_phase", "_r", *order).limit(limit).drop("_r", "_q", "_phase")
 
 
 def round_robin(df: DataFrame, stratum: str, strata: Sequence[str], score: str, limit: int, order: Sequence[str], each: int | None = None) -> DataFrame:
@@ -60,11 +75,15 @@ def round_robin(df: DataFrame, stratum: str, strata: Sequence[str], score: str,
     place = F.lit(len(strata))
     for i, name in enumerate(strata):
         place = F.when(F.col(stratum) == name, i).otherwise(place)
-    ranked = df.withColumns({"_s": place, "_n": F.row_number().over(Window.partitionBy(stratum).orderBy(F.desc(score), *order))})
-    first = (F.col("_n") <= k) & (F.col("_s") < len(strata))
-    turn = [(~first).cast("int").alias("a"), F.when(first, F.col("_n")), F.when(first, F.col("_s")), F.desc(score), *[F.col(c) for c in order]]
-    top = ranked.orderBy(*turn).limit(limit)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*turn)) - 1).drop("_s", "_n")  # `limit` rows
+    best = [F.desc(score), *[F.col(c) for c in order]]
+    number = F.row_number().over(Window.partitionBy(stratum).orderBy(*best))
+    first = df.withColumn("_s", place).where(F.col("_s") < len(strata)).withColumn("_n", number).where(F.col("_n") <= k)
+    # The best of all rows hold each stratum's best in order, so their numbers among these are their numbers among all.
+    top = df.orderBy(*best).limit(limit + k * len(strata)).withColumns({"_s": place, "_n": number})
+    rest = top.where((F.col("_n") > k) | (F.col("_s") == len(strata))).orderBy(*best).limit(limit)
+    both = first.withColumn("_a", F.lit(0)).unionByName(rest.withColumn("_a", F.lit(1)))
+    turn = ["_a", F.when(F.col("_a") == 0, F.col("_n")), F.when(F.col("_a") == 0, F.col("_s")), *best]
+    return both.orderBy(*turn).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*turn)) - 1).drop("_s", "_n", "_a")  # `limit` rows
 
 
 def top_items(values: Column, fields: Sequence[str], n: int) -> Column:
@@ -128,8 +147,38 @@ def union_passes(passes: Sequence[DataFrame], semantic: Sequence[str], row_id: s
         p = p.withColumn("_pass", F.lit(i))
         every = p if every is None else every.unionByName(p, allowMissingColumns=True)
     once = first_per(every, semantic, ["_pass", *order])
-    n = F.row_number().over(Window.partitionBy(row_id).orderBy("_pass", *order))
-    return once.withColumns({"original_id": F.col(row_id), "_n": n}).withColumn(row_id, F.when(F.col("_n") > 1, F.concat(row_id, F.lit("_"), F.col("_n"))).otherwise(F.col(row_id))).drop("_n", "_pass")
+    return safe_ids(once.withColumn("original_id", F.col(row_id)), row_id, ["_pass", *order]).drop("_pass")
+
+
+def safe_ids(df: DataFrame, row_id: str, order: Sequence[str], suffix: str | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """`row_id` made unique within `scope`, as by a pass in a total order: an id that is taken gets its row's suffix, then `_2`, `_3`, ...
+    after that; without a suffix `_2`, `_3`, ... at once. Names so made are taken for later rows, whether made or given.
+
+    Each row proposes its next name; of those with one name the first in order stands, the others go on to their next. That ends
+    where the pass does, since every name prefers the same rows. Rows of equal id and suffix take names in order, so
+    they skip ahead by their rank, and rounds are few. Order and scope columns aren't null; a null id stays null.
+    """
+    at = F.struct(*[F.col(c) for c in order])
+    tail = F.col(suffix).cast("string") if suffix else F.lit(None).cast("string")
+    rows = df.select(*scope, F.col(row_id).cast("string").alias("_id"), tail.alias("_suffix"), at.alias("_at"))
+    ahead = Window.partitionBy(*scope, "_id", "_suffix").orderBy("_at")
+    base = F.concat_ws("_", "_id", "_suffix")
+    extra = F.col("_try") + F.when(F.col("_suffix").isNull(), 1).otherwise(0)
+    name = F.when(F.col("_try") == 0, F.col("_id")).when(extra == 1, base).otherwise(F.concat(base, F.lit("_"), extra.cast("string")))
+    with Scratch(df.sparkSession) as scratch:
+        tries = scratch.staged(rows.withColumn("_try", F.lit(0).cast("long")), "tries_0")
+        for n in range(1, 1 << 30):
+            place = F.row_number().over(ahead)
+            tries = tries.withColumn("_gap", F.col("_try") - place).withColumn("_try", place + F.max("_gap").over(ahead.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+            named = scratch.staged(tries.withColumn("_name", name), f"names_{n}")
+            taken = named.groupBy(*scope, "_name").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+            if taken.isEmpty():
+                break
+            met = named.join(taken, [*scope, "_name"], "left")
+            lost = F.col("_first").isNotNull() & (F.col("_at") != F.col("_first"))
+            tries = scratch.staged(met.select(*scope, "_id", "_suffix", "_at", (F.col("_try") + lost.cast("int")).alias("_try")), f"tries_{n}")
+        final = scratch.kept(named.select(*scope, "_at", "_name"), "ids")
+    return df.withColumn("_at", at).join(final, [*scope, "_at"]).withColumn(row_id, F.col("_name")).drop("_at", "_name").select(df.columns)
 
 
 def missing_from(df: DataFrame, key: str, values: str, roster: Column) -> DataFrame:

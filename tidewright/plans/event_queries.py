@@ -304,6 +304,13 @@ def sliced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.slice_rows(spans(spark, sf_dir).where("event_type = 'click'"), ["s", "event_id"], skip=3, stride=7, limit=50).select("event_id", "s")
 
 
+def safe_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of few values made unique within each game; some are given in the form of names that are made."""
+    ev = games(spark, sf_dir)
+    given = F.concat(F.lit("ge_"), (F.col("k") % 3).cast("string"), F.when(F.col("k") % 7 == 0, F.concat(F.lit("_"), "event_type")).when(F.col("k") % 11 == 0, "_click_2").otherwise(""))
+    return selection.safe_ids(ev.select("game_id", "event_id", "s", given.alias("safe_id"), "event_type"), "safe_id", ["s", "event_id"], "event_type", ["game_id"]).select("event_id", "safe_id")
+
+
 def row_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = selection.shards(spans(spark, sf_dir), ["s", "event_id"], 64)
     return sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), F.min("event_id").alias("first_id"))
@@ -373,7 +380,7 @@ QUERIES = {f.__name__: f for f in (
     visibility_edges, visibility_summary, claim_event_range_links, asof_snapshot, nearest_interval, containment_parent, place_of_events, band_join_reaction,
     chain_cluster_consensus, phase_islands, phase_split, episode_build, phase_chunks, sliding_windows, cutoff_information_state, layer_evidence_rows, tom_trial_rows, last_n_history,
     phase_enrich, previous_state, weighted_vote_tick, next_within_horizon, uniform_grid, first_state, sample_times, timed_event_repair,
-    affine_fit_least_squares, stratified_quota_topk, keep_first_dedupe, latest_attempt_dedupe, index_gaps, sliced_rows, row_shards,
+    affine_fit_least_squares, stratified_quota_topk, keep_first_dedupe, latest_attempt_dedupe, index_gaps, sliced_rows, safe_event_ids, row_shards,
     eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, anchor_matches, leftover_clusters, smooth_runs, boundary_scan, affine_fit_ransac,
 )}
 
@@ -562,6 +569,11 @@ ORACLE_SQL = {
         w AS (SELECT user_id, unnest(range(0, max(k) + 1)) AS k FROM u GROUP BY user_id) SELECT user_id, k FROM w EXCEPT SELECT user_id, k FROM u""",
     "sliced_rows": f"""WITH {EV}, n AS (SELECT event_id, s, row_number() OVER (ORDER BY s, event_id) - 1 AS p FROM ev WHERE event_type = 'click')
         SELECT event_id, s FROM n WHERE p >= 3 AND (p - 3) % 7 = 0 ORDER BY p LIMIT 50""",
+    "safe_event_ids": f"""WITH RECURSIVE {EV}, {GAMES}, r AS (SELECT game_id, event_id, 'ge_' || (k % 3) || CASE WHEN k % 7 = 0 THEN '_' || event_type WHEN k % 11 = 0 THEN '_click_2' ELSE '' END AS id, event_type AS suffix, row_number() OVER (PARTITION BY game_id ORDER BY s, event_id) AS n FROM gv),
+        f AS (SELECT game_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS safe_id, CAST([] AS VARCHAR[]) AS used FROM r GROUP BY game_id
+            UNION ALL SELECT game_id, n, event_id, name, list_append(used, name) FROM (SELECT r.*, used, list_filter(list_concat([id, id || '_' || suffix], list_transform(range(2, r.n + 2), lambda i: id || '_' || suffix || '_' || i)), lambda x: NOT list_contains(used, x))[1] AS name
+                FROM f JOIN r ON r.game_id = f.game_id AND r.n = f.n + 1))
+        SELECT event_id, safe_id FROM f WHERE n > 0""",
     "row_shards": f"""WITH {EV}, n AS (SELECT event_id, (row_number() OVER (ORDER BY s, event_id) - 1) // 64 AS shard FROM ev)
         SELECT shard, count(*) AS n_rows, min(event_id) AS first_id FROM n GROUP BY shard""",
     "eval_metrics_rollup": f"""WITH {EV}, r AS (
