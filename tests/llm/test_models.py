@@ -53,6 +53,33 @@ def test_quality_votes_match_a_plain_loop():
         assert got[i] == pytest.approx(sum(w * l for w, (_, l) in zip(weights, sims)) / sum(weights), abs=0.05)
 
 
+def test_equal_similarities_go_to_the_first_labelled_texts():
+    """Copies of few texts under other labels: the k-th place is contested, and smaller places win."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc dd", "E!!", "ff.", "|"], 12)) for _ in range(6)]
+    copies = [texts[i % 6] for i in range(300)]
+    labels = rng.integers(0, 2, 300).astype(float)
+    model = quality.LatentVotes(quality.term_counts(pa.array(copies)), labels, dims=20)
+    for n, text in enumerate(texts):
+        counts = quality.term_counts(pa.array([text]))
+        own = np.flatnonzero([c == text for c in copies])[:15]  # fifty equal copies, of which the first fifteen vote alike
+        others = [c for c in texts if c != text]
+        assert len(others) == 5 and model.score(counts)[0] == pytest.approx(labels[own].mean(), abs=1e-9)
+
+
+def test_votes_are_those_of_a_stable_sort():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc"], 3)) for _ in range(400)]
+    counts = quality.term_counts(pa.array(texts))
+    model = quality.LatentVotes(counts, (np.arange(400) % 3 == 0).astype(float), dims=8)
+    vectors = np.round(model._unit(model._weighted(counts) @ model.space) @ model.vectors.T, 9)
+    got = model.score(counts, block=400)
+    for i in range(0, 400, 7):
+        best = np.argsort(-vectors[i], kind="stable")[:15]
+        weight = np.exp(model.sharpness * (vectors[i][best] - vectors[i].max()))
+        assert got[i] == pytest.approx((weight * model.labels[best]).sum() / weight.sum(), abs=1e-8)
+
+
 def brute_nearest(rows, every, k):
     usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v and len(v) == 6 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}

@@ -12,7 +12,7 @@ corpus: 3,000 x 64 and 3,072 x 64 numbers of 8 bytes, 3 MB.
 Contract of `score`: one row per input row.
 * texts of any length are counted whole; a long text is a batch of its own.
 * null and empty texts have no terms, are like no labelled text, and score the labelled set's mean label.
-* scores lie in 0 to 1; equal texts score equally; ties among neighbours go to the labelled text of smaller id order.
+* scores lie in 0 to 1; equal texts score equally; ties among neighbours go to the labelled text of id that comes first as text order.
 * labels of null value or id, or outside 0 and 1, don't train; of several labels of an id the least counts; without any labelled text every score is 0.5.
 * repeated rows each give a row; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -113,7 +113,11 @@ class LatentVotes:
             rows = has[a : a + block]
             # Rounded, so that a text's neighbours don't depend on the texts beside it in a batch.
             cosine = np.round(self._unit(self._weighted(counts[rows]) @ self.space) @ self.vectors.T, 9)
-            best = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+            over, even = cosine > least, cosine == least
+            # All that lie over the k-th, and of those equal to it the first.
+            taken = over | (even & (np.cumsum(even, axis=1) <= k - over.sum(axis=1, keepdims=True)))
+            best = np.nonzero(taken)[1].reshape(-1, k)
             near = np.take_along_axis(cosine, best, axis=1).astype(float)
             weight = np.exp(self.sharpness * (near - near.max(axis=1, keepdims=True)))
             out[rows] = np.round((weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1), 9)
