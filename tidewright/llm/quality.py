@@ -12,7 +12,7 @@ corpus: 3,000 x 64 and 3,072 x 64 numbers of 8 bytes, 3 MB.
 Contract of `score`: one row per input row.
 * texts of any length are counted whole; a long text is a batch of its own.
 * null and empty texts have no terms, are like no labelled text, and score the labelled set's mean label.
-* scores lie in 0 to 1; equal texts score equally; ties among neighbours go to the labelled text of id that comes first as text order.
+* scores lie in 0 to 1; equal texts score equally; ties among neighbours go to the labelled text whose id comes first as text.
 * labels of null value or id, or outside 0 and 1, don't train; of several labels of an id the least counts; without any labelled text every score is 0.5.
 * repeated rows each give a row; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
