@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import signals
-from tidewright.operators import aggregates
+from tidewright.operators import aggregates, series
 from tidewright.plans import review
 
 
@@ -60,3 +60,37 @@ def test_aggregates(spark):
     assert {r.k: r.n for r in aggregates.summed([aggregates.count_by(df, "k").withColumnRenamed("n", "n")] * 2, "k", "n").collect()} == {"a": 4, "unknown": 2}
     clips = spark.createDataFrame([("g", 0.0, "bo", "f2"), ("g", 0.0, "ana", "f1")], "g string, s double, p string, f string")
     assert [m.p for m in aggregates.segment_assembly(clips, ["g", "s"], "p", ["f"]).first().members] == ["ana", "bo"]
+
+
+def sampled(spark, arrays, drop=()):
+    rows = [(k, i, float(v)) for k, a in arrays.items() for i, v in enumerate(a) if i not in drop]
+    return spark.createDataFrame(rows, "k string, at long, value double").repartition(3)
+
+
+@pytest.mark.parametrize("size", [8, 32, 256])
+def test_blocks_correlate_as_one_transform(spark, size):
+    """Both sides longer than a block, shorter than one, equal in length, and a query that is too long."""
+    rng = np.random.default_rng(size)
+    search = {"a": rng.normal(size=500), "b": rng.normal(size=100), "c": rng.normal(size=40), "d": rng.normal(size=9), "e": np.zeros(50), "f": np.append(np.zeros(200), rng.normal(size=60))}
+    query = {"a": search["a"][277:377] * 2, "b": search["b"][93:100], "c": search["c"], "d": rng.normal(size=30), "e": rng.normal(size=5), "f": search["f"][210:250]}
+    got = {r.k: (r.position, r.score) for r in series.correlate(sampled(spark, search, drop=(3,)), sampled(spark, query), ["k"], size=size).collect()}
+    for k in search:
+        gap = search[k].copy()
+        gap[3] = 0
+        position, score = signals.best_offset(gap, query[k])
+        assert got[k] == ((0 if k == "e" else position), pytest.approx(score, abs=1e-6))
+    assert got["a"] == (277, pytest.approx(1.0)) and got["d"] == (-1, 0.0) and len(got) == 6
+
+
+def test_envelopes_and_anchors_of_long_series(spark):
+    rng = np.random.default_rng(1)
+    samples = rng.normal(size=1003)
+    e = series.envelope(sampled(spark, {"a": samples}), ["k"], "at", "value", 10).orderBy("at").collect()
+    assert [r.value for r in e] == pytest.approx(signals.envelope_of(samples, 10).tolist())
+    reference = rng.normal(size=900)
+    target = np.append(rng.normal(size=25), reference)[:880]
+    found = series.local_anchors(sampled(spark, {"p": reference}), sampled(spark, {"p": target}), ["k"], 10.0, 20.0, 8.0, 6.0, size=64).orderBy("reference_sec").collect()
+    arrays = spark.createDataFrame([("p", reference.tolist(), target.tolist())], "k string, a array<double>, b array<double>")
+    want = signals.local_anchors(arrays, "k", "a", "b", 10.0, 20.0, 8.0, 6.0).orderBy("reference_sec").collect()
+    assert [tuple(r)[:3] for r in found] == [tuple(r)[:3] for r in want] and len(found) > 3
+    assert [r.score for r in found] == pytest.approx([r.score for r in want])

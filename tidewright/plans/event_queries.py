@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import numbers
-from tidewright.operators import aggregates, folds, joins, matching, selection, windows
+from tidewright.operators import aggregates, folds, joins, matching, selection, series, windows
 from tidewright.plans import ledger, trajectory
 from tidewright.session import table
 
@@ -336,6 +336,16 @@ def anchor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fuse_by_anchor(spans(spark, sf_dir), ["event_type"], "s", "event_id", ["s", "event_id"], tolerance=1200)
 
 
+def matching_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the hourly counts of errors of five days fit those of each kind of event best."""
+    ev = spans(spark, sf_dir)
+    hour = F.floor(F.col("s") / 3600)
+    counts = ev.groupBy("event_type", hour.alias("at")).agg(F.count("*").alias("value"))
+    piece = ev.where("event_type = 'error' and s >= 864000 and s < 1296000").groupBy((hour - 240).alias("at")).agg(F.count("*").alias("value"))
+    kinds = counts.select("event_type").distinct()
+    return series.correlate(counts, joins.grid(piece, kinds), ["event_type"], size=64).select("event_type", "position", F.round("score", 6).alias("score"))
+
+
 def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as clips of a game: player, label, length and number within the player's."""
     numbered = F.row_number().over(Window.partitionBy("player_id").orderBy("s", "event_id"))
@@ -381,7 +391,7 @@ QUERIES = {f.__name__: f for f in (
     chain_cluster_consensus, phase_islands, phase_split, episode_build, phase_chunks, sliding_windows, cutoff_information_state, layer_evidence_rows, tom_trial_rows, last_n_history,
     phase_enrich, previous_state, weighted_vote_tick, next_within_horizon, uniform_grid, first_state, sample_times, timed_event_repair,
     affine_fit_least_squares, stratified_quota_topk, keep_first_dedupe, latest_attempt_dedupe, index_gaps, sliced_rows, safe_event_ids, row_shards,
-    eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, anchor_matches, leftover_clusters, smooth_runs, boundary_scan, affine_fit_ransac,
+    eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, anchor_matches, leftover_clusters, matching_hours, smooth_runs, boundary_scan, affine_fit_ransac,
 )}
 
 _EDGES = f"""WITH {EV}, {GAMES},
@@ -435,6 +445,11 @@ ORACLE_SQL = {
         lo AS (SELECT game_id || ':' || subject || ':' || printf('%.3f', cutoff) || ':' || target || ':' || layer AS g, list_sort(list_filter(evs[1:4], lambda x: NOT list_contains(coalesce(theirs, []), x))) AS evs FROM le LEFT JOIN th USING (game_id, target, cutoff))
         SELECT g || ':' || v AS trial_id, v AS variant, array_to_string(evs, ',') AS evidence_ids, CASE WHEN h < 7 THEN 'train' WHEN h < 9 THEN 'dev' ELSE 'test' END AS split
         FROM (SELECT *, CAST('0x' || substr(sha256(g), 1, 8) AS UBIGINT) % 10 AS h FROM lo WHERE len(evs) > 0), (SELECT unnest(['A', 'B', 'C', 'D']) AS v)""",
+    "matching_hours": f"""WITH {EV}, c AS (SELECT event_type, CAST(floor(s / 3600) AS BIGINT) AS h, count(*) AS v FROM ev GROUP BY ALL), n AS (SELECT event_type, max(h) + 1 AS n FROM c GROUP BY event_type),
+        q AS (SELECT h - 240 AS j, v AS w FROM c WHERE event_type = 'error' AND h >= 240 AND h < 360), m AS (SELECT max(j) + 1 AS m, sqrt(sum(w * w)) AS norm FROM q),
+        p AS (SELECT c.event_type, h - j AS position, sum(v * w) AS total FROM c, q, n, m WHERE n.event_type = c.event_type AND h - j BETWEEN 0 AND n - m GROUP BY c.event_type, h - j),
+        b AS (SELECT event_type, arg_max(position, struct_pack(t := total, p := -position)) AS position, max(total) AS total FROM p GROUP BY event_type)
+        SELECT b.event_type, b.position, round(any_value(total) / (sqrt(sum(v * v)) * any_value(norm)), 6) AS score FROM b, c, m WHERE c.event_type = b.event_type AND h >= b.position AND h < b.position + m GROUP BY b.event_type, b.position""",
     "anchor_matches": _MATCHES + " SELECT * FROM m",
     "leftover_clusters": _MATCHES + """, r AS (SELECT c.*, row_number() OVER (PARTITION BY c.game_id, label ORDER BY c.player_id, c.idx) AS k FROM c JOIN a USING (game_id) LEFT JOIN m USING (game_id, player_id, idx) WHERE player_id <> anchor_id AND anchor_idx IS NULL),
         every AS (SELECT game_id, label, list(struct_pack(k := k, p := player_id, d := duration)) AS items FROM r GROUP BY game_id, label),
