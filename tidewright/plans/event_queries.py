@@ -7,6 +7,7 @@ users play in one game, so games follow from users and every event belongs to on
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from tidewright.functions import numbers
 from tidewright.operators import aggregates, folds, joins, matching, selection, series, windows
 from tidewright.plans import ledger, trajectory
+from tidewright.scratch import shared_dir
 from tidewright.session import table
+from tidewright.streaming import ordered, twins
 
 _START = datetime.datetime(2024, 1, 1)
 
@@ -381,6 +384,19 @@ def boundary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.boundary_scan(spans(spark, sf_dir), "user_id", "s", "event_type", ["signup", "view"], ["error", "purchase"])
 
 
+def stream_boundary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same episodes by a stream: six files by time, where a tenth of each file's rows come one file late, and a last row that closes."""
+    root = f"{shared_dir(spark)}/tidewright-{uuid.uuid4().hex}"
+    late = (F.col("event_id") % 10 == 0).cast("int")
+    ev = spans(spark, sf_dir).select("user_id", F.timestamp_seconds("s").alias("ts"), "s", "event_type", (F.floor(F.col("s") / 518400) + late).alias("file"))
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.timestamp_seconds(F.lit(4e9)).alias("ts"), F.lit(0.0).alias("s"), F.lit("click").alias("event_type"))
+    for i in range(6):
+        ev.where(F.col("file") == i if i < 5 else F.col("file") >= i).drop("file").coalesce(1).write.parquet(f"{root}/in/{i}")
+    last.write.parquet(f"{root}/in/6")
+    found = ordered.boundary_scan(twins.read_events(spark, f"{root}/in/*", last.schema), "user_id", "ts", "s", "event_type", ["signup", "view"], ["error", "purchase"], "12 days")
+    return twins.run_to_table(found, f"{root}/table", f"{root}/checkpoint")
+
+
 def affine_fit_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spans(spark, sf_dir).withColumn("raw", F.col("s") * 1.001 + 5 + F.when(F.col("k") % 7 == 0, 40).otherwise(F.col("k") % 3))
     return folds.affine_fit(ev, "user_id", "s", "raw", "event_id")
@@ -391,7 +407,7 @@ QUERIES = {f.__name__: f for f in (
     chain_cluster_consensus, phase_islands, phase_split, episode_build, phase_chunks, sliding_windows, cutoff_information_state, layer_evidence_rows, tom_trial_rows, last_n_history,
     phase_enrich, previous_state, weighted_vote_tick, next_within_horizon, uniform_grid, first_state, sample_times, timed_event_repair,
     affine_fit_least_squares, stratified_quota_topk, keep_first_dedupe, latest_attempt_dedupe, index_gaps, sliced_rows, safe_event_ids, row_shards,
-    eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, anchor_matches, leftover_clusters, matching_hours, smooth_runs, boundary_scan, affine_fit_ransac,
+    eval_metrics_rollup, greedy_interval_dedup, claim_dedup, anchor_fusion, anchor_matches, leftover_clusters, matching_hours, smooth_runs, boundary_scan, stream_boundary_scan, affine_fit_ransac,
 )}
 
 _EDGES = f"""WITH {EV}, {GAMES},
@@ -494,6 +510,14 @@ ORACLE_SQL = {
                 CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN opened END, CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN s END
                 FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
         SELECT user_id, done - 1 AS episode, a AS start_sec, b AS end_sec FROM f WHERE a IS NOT NULL""",
+    "stream_boundary_scan": f"""WITH RECURSIVE {EV}, r AS (SELECT user_id, s, event_type, row_number() OVER (PARTITION BY user_id ORDER BY s, event_type) AS n FROM ev),
+        f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS opened, CAST(-1e18 AS DOUBLE) AS ready, CAST(0 AS BIGINT) AS done, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM r GROUP BY user_id
+            UNION ALL SELECT f.user_id, r.n, CASE WHEN s < ready THEN opened WHEN opened IS NULL AND event_type IN ('signup', 'view') THEN s WHEN opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN NULL ELSE opened END,
+                CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN s + 180 ELSE ready END,
+                done + CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN 1 ELSE 0 END,
+                CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN opened END, CASE WHEN s >= ready AND opened IS NOT NULL AND event_type IN ('error', 'purchase') AND s - opened >= 300 THEN s END
+                FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+        SELECT user_id, done - 1 AS episode, a AS start_sec, b AS end_sec FROM f WHERE a IS NOT NULL""",
     "asof_snapshot": f"""WITH {EV}, snaps AS (
         SELECT user_id, s AS snap_s, event_id AS snap_id, round(value, 2) AS snap_value,
                row_number() OVER (PARTITION BY user_id, s ORDER BY event_id) AS rn FROM ev WHERE event_type = 'purchase'),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import answers, numbers, text
 from tidewright.operators import joins, selection
 from tidewright.plans import checks, evaluation, scoring
+from tidewright.scratch import shared_dir
 from tidewright.session import table
 
 FENCE = "```"
@@ -258,16 +261,15 @@ def missing_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six-hour windows by a streaming query that reads what is there and stops; the sink's table is the result."""
+    """Six-hour windows by a streaming query that reads what is there and stops; each batch's result is a commit of the table."""
     from tidewright.streaming import twins
 
     schema = table(spark, sf_dir, "events").schema
     stream = twins.read_events(spark, f"{sf_dir}/events.parquet*", schema)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     counted = twins.chunk_counts(stream, "ts", "6 hours", "1 day", ["event_type"])
-    import uuid
-
-    out = twins.run_to_memory(counted, f"chunks_{uuid.uuid4().hex}", mode="complete")
+    root = f"{shared_dir(spark)}/tidewright-{uuid.uuid4().hex}"
+    out = twins.run_complete(counted, f"{root}/table", f"{root}/checkpoint")
     return out.select((F.unix_seconds("window_start")).alias("window_start"), "event_type", "n_events")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewright.sources.commits import CommitLog
+
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -37,6 +39,34 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: st
     return df.sparkSession.table(name)
 
 
+def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a streaming plan in append mode over what is there now, into Parquet files at `path`, each row once; the table so far.
+
+    State with timers needs the RocksDB store, which is set for the time of the run.
+    """
+    conf, provider = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(provider)
+    conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+        conf.set(provider, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregation in complete mode over what is there now; each batch's result replaces the one before at `path`, as a commit."""
+    log = CommitLog(df.sparkSession, path)
+    query = df.writeStream.outputMode("complete").foreachBatch(lambda batch, _: log.overwrite(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return log.read()
+
+
 def append_sink(path: str, key: str):
     """For foreachBatch: appends rows whose key the table lacks, so that a batch that runs twice adds nothing."""
     from tidewright.plans.stages import append_once
