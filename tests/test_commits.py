@@ -1,9 +1,10 @@
+import hashlib
 import threading
 
 import pytest
 
-from tidewright.plans import stages
-from tidewright.sources import ledgers
+from tidewright.plans import evaluation, stages
+from tidewright.sources import files, ledgers
 from tidewright.sources.commits import CommitLog, put_file, read_file
 
 SCHEMA = "id int, who string"
@@ -86,3 +87,28 @@ def test_a_stage_that_fails_on_a_second_run_leaves_its_output(spark, tmp_path):
     with pytest.raises(Exception, match="late"):
         run.run(from_stage="only")
     assert run.output("only").count() == 3 and run.status() == {"only": "failed"}
+
+
+def test_tree_hash(spark, tmp_path):
+    root = tmp_path / "tree é"
+    for name, text in {"a/x.json": "1", "a-b/y.json": "22", "a/_private": "3", ".hidden": "4", "z z.txt": "", "a/b/c/d.txt": "x" * 9_000_000}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    want = hashlib.sha256()
+    for child in sorted(p for p in root.rglob("*") if p.is_file()):
+        want.update(child.relative_to(root).as_posix().encode() + b"\0" + hashlib.sha256(child.read_bytes()).hexdigest().encode() + b"\n")
+    assert files.tree_hash(spark, str(root)).first()[0] == want.hexdigest()
+    (root / "a" / "._x.json").write_bytes(b"finder metadata")
+    assert files.tree_hash(spark, str(root)).first()[0] == want.hexdigest()
+    (root / "a" / "x.json").write_text("2")
+    assert files.tree_hash(spark, str(root)).first()[0] != want.hexdigest()
+    assert files.tree_hash(spark, str(root / "a-b" / "y.json")).first()[0] == hashlib.sha256(b"22").hexdigest()
+    (tmp_path / "empty").mkdir()
+    assert files.tree_hash(spark, str(tmp_path / "empty")).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_reports_are_whole_or_refused(spark):
+    scores = spark.range(12).selectExpr("id AS n", "id / 3 AS score")
+    assert evaluation.markdown_report(scores, ["n"], most=12).count("\n") == 14
+    with pytest.raises(ValueError):
+        evaluation.markdown_report(scores, ["n"], most=11)

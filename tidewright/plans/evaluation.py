@@ -104,8 +104,10 @@ def reprocess(errors: DataFrame, key: str = "clip_id") -> DataFrame:
 
 
 def markdown_report(scores: DataFrame, order: Sequence[str], digits: int = 3, most: int = 1000) -> str:
-    """A Markdown table of at most `most` score rows."""
-    rows = scores.orderBy(*order).limit(most).collect()
+    """A Markdown table of all score rows; more than `most` of them are an error, since a report is read as a whole."""
+    rows = scores.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     names = scores.columns
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]

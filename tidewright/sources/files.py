@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -9,6 +10,8 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +127,44 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def tree_hash(spark: SparkSession, path: str) -> DataFrame:
+    """One row, sha256: of a file, its hash; of a folder, the hash of a line for each file in order of path - name below the folder, a zero
+    byte, the file's hash. Files that a Finder leaves (`._...`) don't count; other hidden ones do.
+
+    Names are listed by the driver, contents are hashed in tasks, a few MB at a time; what comes together is a line a file.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root, found, files = system.makeQualified(root), [], system.listFiles(root, True)
+    single = system.getFileStatus(root).isFile()
+    while files.hasNext():
+        there = files.next().getPath()
+        name = root.toUri().relativize(there.toUri()).getPath()
+        if single or not there.getName().startswith("._"):
+            found.append((re.sub("^file:/(?!/)", "file:///", there.toUri().toASCIIString()), name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for uri in b.column("uri").to_pylist():
+                source, name = pyarrow.fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with source.open_input_stream(name) as reader:
+                    while block := reader.read(4 << 20):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(out, pa.string())], names=["name", "sha256"])
+
+    listed = spark.createDataFrame(found, "uri string, name string").repartition(max(1, min(len(found), 2000)), "uri")
+    hashed = listed.mapInArrow(run, "name string, sha256 string")
+    if single:
+        return hashed.select("sha256")
+    line = F.concat("name", F.lit("\0"), "sha256", F.lit("\n"))
+    lines = F.array_sort(F.collect_list(F.struct(F.split("name", "/").alias("parts"), line.alias("line"))))
+    return hashed.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("sha256"))
+
+
 def manifest_issues(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Files missing, unexpected or changed."""
     e = expected.select("path", F.col("sha256").alias("_want"))
