@@ -126,21 +126,21 @@ def information_states(nodes: DataFrame, players: DataFrame, cutoffs: DataFrame
     """For each episode, player and cutoff (every node's end, unless given) the sorted ids known, public, heard, forbidden.
 
     Nodes and evidence go by number within their episode. What a player has grows with the cutoff and is carried along by
-    `running_sets`; ids are put in at the end, and forbidden ones are the numbers left over.
+    `running_sets`; ids are put in at the end, and forbidden ones are those of the episode that are left over.
     """
     cutoffs = nodes.select("episode_id", F.col("abs_end_sec").alias("cutoff_abs_sec")).distinct() if cutoffs is None else cutoffs
     had, ids, evidence_ids = _had(nodes, players)
     one = lambda flag: F.when(flag, F.array("node")).otherwise(F.array().cast("array<int>"))
     public = F.col("access") == "public_ui"
-    changes = had.select("episode_id", "subject", "cutoff_abs_sec", one(~public).alias("private_observations"), one(public).alias("public_history"), one(F.col("access") == "heard_claim").alias("heard_claims"), F.array("node").alias("known_facts"), F.col("evidence").alias("available_evidence_ids"))
-    sets = ("private_observations", "public_history", "heard_claims", "known_facts", "available_evidence_ids")
+    changes = had.select("episode_id", "subject", "cutoff_abs_sec", one(~public).alias("private_observations"), one(public).alias("public_history"), one(F.col("access") == "heard_claim").alias("heard_claims"), F.col("evidence").alias("available_evidence_ids"))
+    sets = ("private_observations", "public_history", "heard_claims", "available_evidence_ids")
     asked = with_roster(cutoffs, players, "episode_id", "subject").where("cutoff_abs_sec is not null")
     states = accumulate.running_sets(asked, changes, ["episode_id"], ["subject"], "cutoff_abs_sec", sets).join(ids, "episode_id").join(evidence_ids, "episode_id", "left")
     named = lambda numbers, names: F.transform(numbers, lambda i: F.get(F.col(names), i))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("trajectory_node_id_all") - 1), F.col("known_facts"))
     states = states.select(
-        "episode_id", F.col("subject").alias("player_id"), "cutoff_abs_sec", *[named(F.col(c), "trajectory_node_id_all").alias(c) for c in sets[:4]], named(F.col("available_evidence_ids"), "evidence_id_all").alias("available_evidence_ids"), named(rest, "trajectory_node_id_all").alias("forbidden_events"),
+        "episode_id", F.col("subject").alias("player_id"), "cutoff_abs_sec", *[named(F.col(c), "trajectory_node_id_all").alias(c) for c in sets[:3]], named(F.col("available_evidence_ids"), "evidence_id_all").alias("available_evidence_ids"), F.col("trajectory_node_id_all").alias("_all"),
     )
+    states = states.withColumn("known_facts", F.sort_array(F.array_union("private_observations", "public_history"))).withColumn("forbidden_events", F.array_except("_all", "known_facts")).drop("_all")
     return states.withColumn("information_state_id", F.format_string("%s:%s:%.3f", "episode_id", "player_id", "cutoff_abs_sec"))
 
 
