@@ -42,6 +42,16 @@ def with_position(df: DataFrame, order: Sequence[str], out: str = "_pos") -> Dat
     return local.join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.col("_rank")).drop("_part", "_rank", "_base")
 
 
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Adds each row's number within its key, from 1, in a total order; a hot key is as many tasks as its rows fill."""
+    placed = with_position(df, [*key, *order], "_at")
+    first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min("_at").alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(first, same).withColumn(out, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *[f"_k{i}" for i, _ in enumerate(key)])
+
+
 def quota_then_fill(df: DataFrame, stratum: str, strata: Sequence[str], shares: dict[str, float], limit: int, order: Sequence[str], key: Sequence[str]) -> DataFrame:
     """A minimum from each stratum in the strata's order, then the rest in that order, `limit` in all, keys once.
 

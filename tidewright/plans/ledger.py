@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import numbers, text
 from tidewright.operators import folds, joins, selection
+from tidewright.scratch import staged
 
 # Words that matter when a claim is held against events.
 ACTION_TOKENS = ("杀", "刀", "尸体", "投", "右", "左", "上", "下", "任务")
@@ -62,12 +63,11 @@ def _if(flag: Column, value: Column) -> Column:
 
 def candidate_events(annotations: DataFrame, players: DataFrame, path: str = "path") -> DataFrame:
     """One row an observation, numbered over all files in path order; evidence goes to the column of its source type."""
-    rows = annotations.select("*", F.posexplode("observations").alias("_pos", "o"))
-    n = F.row_number().over(Window.partitionBy("game_id").orderBy(path, "_pos"))
+    rows = _with_roster_array(annotations.select("*", F.posexplode("observations").alias("_pos", "o")), players)
     has = lambda kind: F.coalesce(F.array_contains("o.source_types", kind), F.lit(False))
-    actor = F.when(F.array_contains(_roster(players), F.col("o.actor")), F.array("o.actor")).otherwise(F.array().cast("array<string>"))
+    actor = F.when(F.array_contains("_roster", F.col("o.actor")), F.array("o.actor")).otherwise(F.array().cast("array<string>"))
     inferred = F.coalesce(F.col("o.inferred_belief_text"), F.lit(""))
-    return rows.withColumn("n", n).select(
+    return selection.numbered(rows, ["game_id"], [path, "_pos"], "n").select(
         F.format_string("%s_%s_le_%06d", "phase_id", "player_id", "n").alias("local_event_id"), "game_id", F.array("phase_id").alias("source_segment_ids"), F.array("player_id").alias("source_povs"),
         F.col("o.abs_start_sec").alias("abs_start_sec"), F.col("o.abs_end_sec").alias("abs_end_sec"), "phase_type", F.coalesce("o.event_type", F.lit("other")).alias("event_type"), actor.alias("actors"),
         F.array().cast("array<string>").alias("patients"), F.coalesce("o.location", F.lit("unknown")).alias("location"), F.coalesce("o.description", F.lit("")).alias("description"),
@@ -79,11 +79,11 @@ def candidate_events(annotations: DataFrame, players: DataFrame, path: str = "pa
 
 def candidate_claims(annotations: DataFrame, players: DataFrame, path: str = "path") -> DataFrame:
     """One row an utterance with text; heard by all in public phases, else by the one whose view it is."""
-    roster = _roster(players)
-    rows = annotations.select("*", F.posexplode("utterances").alias("_pos", "u"))
+    roster = F.col("_roster")
+    rows = _with_roster_array(annotations.select("*", F.posexplode("utterances").alias("_pos", "u")), players)
     filled = lambda c: F.when(text.stripped(c) != "", text.stripped(c))
     said = F.coalesce(*[filled(F.col(f"u.{k}")) for k in ("claim_text", "transcript", "text", "content")])
-    rows = rows.withColumn("said", said).where("said is not null").withColumn("n", F.row_number().over(Window.partitionBy("game_id").orderBy(path, "_pos")))
+    rows = selection.numbered(rows.withColumn("said", said).where("said is not null"), ["game_id"], [path, "_pos"], "n")
     speaker = F.when(F.array_contains(roster, F.col("u.speaker")), F.col("u.speaker")).otherwise("unknown")
     kind = text.infer_claim_type(F.col("said"))
     return rows.withColumns({"speaker": speaker, "claim_type": kind}).select(
@@ -97,7 +97,7 @@ def candidate_claims(annotations: DataFrame, players: DataFrame, path: str = "pa
 
 
 def _number(df: DataFrame, key: str, order: Sequence[str], pattern: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.format_string(pattern, F.row_number().over(Window.partitionBy(key).orderBy(*order))))
+    return selection.numbered(df, [key], order, "_n").withColumn(out, F.format_string(pattern, "_n")).drop("_n")
 
 
 def _ordered_union(column: str) -> Column:
@@ -233,12 +233,17 @@ def belief_snapshots(events: DataFrame, claims: DataFrame, edges: DataFrame, cut
 
 
 def probe_cutoffs(links: DataFrame, claims: DataFrame, events: DataFrame, players: DataFrame, from_each: int = 200, most: int = 360) -> DataFrame:
-    """Cutoffs one second after linked claims and three after events, for each player, once to a tenth of a second."""
-    linked = links.select("game_id", "claim_id").join(claims.select("game_id", "claim_id", "abs_end_sec"), ["game_id", "claim_id"]).orderBy("claim_id").limit(from_each).select("game_id", (F.col("abs_end_sec") + 1).alias("cutoff_abs_sec"))
-    after = events.orderBy("world_event_id").limit(from_each).select("game_id", (F.col("abs_end_sec") + 3).alias("cutoff_abs_sec"))
-    rows = with_roster(linked.unionByName(after), players, name="target_player")
+    """Cutoffs one second after linked claims, for each player, and three after events, for those who didn't see them; once to a tenth of a second.
+
+    The bounds are those of one game's ledger: its first `from_each` links and events, and its first `most` cutoffs.
+    """
+    told = joins.first_per(links.select("game_id", "claim_id"), ["game_id"], ["claim_id"], from_each)
+    linked = told.join(claims.select("game_id", "claim_id", "abs_end_sec"), ["game_id", "claim_id"]).select("game_id", (F.col("abs_end_sec") + 1).alias("cutoff_abs_sec"), F.array().cast("array<string>").alias("_saw"))
+    first = joins.first_per(events.select("game_id", "world_event_id", "abs_end_sec", "source_povs"), ["game_id"], ["world_event_id"], from_each)
+    after = first.select("game_id", (F.col("abs_end_sec") + 3).alias("cutoff_abs_sec"), F.col("source_povs").alias("_saw"))
+    rows = with_roster(linked.unionByName(after), players, name="target_player").where(~F.array_contains("_saw", F.col("target_player")))
     once = rows.withColumn("_r", F.bround("cutoff_abs_sec", 1)).groupBy("game_id", "target_player", "_r").agg(F.min("cutoff_abs_sec").alias("cutoff_abs_sec"))
-    return once.drop("_r").orderBy("cutoff_abs_sec", "target_player").limit(most)
+    return joins.first_per(once.drop("_r"), ["game_id"], ["cutoff_abs_sec", "target_player"], most)
 
 
 def build_ledger(annotations: DataFrame, players: DataFrame, path: str = "path") -> dict[str, DataFrame]:
@@ -246,7 +251,7 @@ def build_ledger(annotations: DataFrame, players: DataFrame, path: str = "path")
     events, event_map = canonical_events(candidate_events(annotations, players, path))
     claims, _ = canonical_claims(candidate_claims(annotations, players, path))
     edges = visibility_edges(events, claims, players)
-    links = claim_truth_links(claims, events, edges, players)
+    links = staged(claim_truth_links(claims, events, edges, players), "links")
     snapshots = belief_snapshots(events, claims, edges, probe_cutoffs(links, claims, events, players))
     return {"world_events": events, "claims": claims, "phase_events": phase_events(annotations, path), "visibility_edges": edges, "belief_memory_snapshots": snapshots, "claim_truth_links": links, "canonical_event_map": event_map}
 
@@ -278,7 +283,7 @@ def probe_candidates(ledger: dict[str, DataFrame]) -> DataFrame:
 
 def select_probe_groups(ledger: dict[str, DataFrame], limit: int = 240) -> DataFrame:
     """Quota for each template, then fill in template order; one group for each template, event and target."""
-    rows = selection.quota_then_fill(probe_candidates(ledger), "template", TEMPLATES, SHARES, limit, ["abs_start_sec", "world_event_id", "target_player"], ["template", "game_id", "world_event_id", "target_player"])
+    rows = selection.quota_then_fill(probe_candidates(ledger), "template", TEMPLATES, SHARES, limit, ["abs_start_sec", "world_event_id", "target_player", "game_id"], ["template", "game_id", "world_event_id", "target_player"])
     return rows.withColumn("probe_group_id", F.concat_ws("_", "game_id", F.lit("pg"), "template", "world_event_id", "target_player"))
 
 
