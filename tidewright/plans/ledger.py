@@ -232,8 +232,9 @@ def belief_snapshots(events: DataFrame, claims: DataFrame, edges: DataFrame, cut
     )
 
 
-def probe_cutoffs(links: DataFrame, claims: DataFrame, events: DataFrame, players: DataFrame, from_each: int = 200, most: int = 360) -> DataFrame:
-    """Cutoffs one second after linked claims, for each player, and three after events, for those who didn't see them; once to a tenth of a second.
+def probe_cutoffs(links: DataFrame, claims: DataFrame, events: DataFrame, players: DataFrame, from_each: int = 200, most: int = 360, viewers: bool = True) -> DataFrame:
+    """Cutoffs one second after linked claims and three after events, for each player, once to a tenth of a second; without `viewers`, after
+    events only for those who didn't see them.
 
     The bounds are those of one game's ledger: its first `from_each` links and events, and its first `most` cutoffs.
     """
@@ -241,18 +242,19 @@ def probe_cutoffs(links: DataFrame, claims: DataFrame, events: DataFrame, player
     linked = told.join(claims.select("game_id", "claim_id", "abs_end_sec"), ["game_id", "claim_id"]).select("game_id", (F.col("abs_end_sec") + 1).alias("cutoff_abs_sec"), F.array().cast("array<string>").alias("_saw"))
     first = joins.first_per(events.select("game_id", "world_event_id", "abs_end_sec", "source_povs"), ["game_id"], ["world_event_id"], from_each)
     after = first.select("game_id", (F.col("abs_end_sec") + 3).alias("cutoff_abs_sec"), F.col("source_povs").alias("_saw"))
-    rows = with_roster(linked.unionByName(after), players, name="target_player").where(~F.array_contains("_saw", F.col("target_player")))
+    rows = with_roster(linked.unionByName(after), players, name="target_player")
+    rows = rows if viewers else rows.where(~F.array_contains("_saw", F.col("target_player")))
     once = rows.withColumn("_r", F.bround("cutoff_abs_sec", 1)).groupBy("game_id", "target_player", "_r").agg(F.min("cutoff_abs_sec").alias("cutoff_abs_sec"))
     return joins.first_per(once.drop("_r"), ["game_id"], ["cutoff_abs_sec", "target_player"], most)
 
 
-def build_ledger(annotations: DataFrame, players: DataFrame, path: str = "path") -> dict[str, DataFrame]:
-    """The seven tables of the ledger."""
+def build_ledger(annotations: DataFrame, players: DataFrame, path: str = "path", viewers: bool = True) -> dict[str, DataFrame]:
+    """The seven tables of the ledger; `viewers` as in `probe_cutoffs`."""
     events, event_map = canonical_events(candidate_events(annotations, players, path))
     claims, _ = canonical_claims(candidate_claims(annotations, players, path))
     edges = visibility_edges(events, claims, players)
     links = staged(claim_truth_links(claims, events, edges, players), "links")
-    snapshots = belief_snapshots(events, claims, edges, probe_cutoffs(links, claims, events, players))
+    snapshots = belief_snapshots(events, claims, edges, probe_cutoffs(links, claims, events, players, viewers=viewers))
     return {"world_events": events, "claims": claims, "phase_events": phase_events(annotations, path), "visibility_edges": edges, "belief_memory_snapshots": snapshots, "claim_truth_links": links, "canonical_event_map": event_map}
 
 

@@ -57,7 +57,7 @@ def _annotations(ev: DataFrame) -> DataFrame:
 
 def _ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ev = games(spark, sf_dir)
-    return ledger.build_ledger(_annotations(ev), roster(ev).withColumn("player_id", _name(F.col("player_id"))))
+    return ledger.build_ledger(_annotations(ev), roster(ev).withColumn("player_id", _name(F.col("player_id"))), viewers=False)
 
 
 def _joined(*columns: str) -> list[Column]:
