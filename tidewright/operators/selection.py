@@ -31,6 +31,24 @@ def slice_rows(df: DataFrame, order: Sequence[str], skip: int = 0, stride: int =
     return (out if stop is None else out.where(F.col("_pos") < stop)).drop("_pos")
 
 
+def povs_of(segments: DataFrame, player: str | None = None, keep: Sequence[str] = ("segment_id",), povs: str = "povs", roster: Sequence[str] | None = None) -> DataFrame:
+    """One row a view of each segment, of one player if given; views of others go before anything is exploded.
+
+    A player outside `roster` is refused. Segments of null or no views give no rows.
+    """
+    if player is not None and roster is not None and player not in roster:
+        raise ValueError(f"unknown player {player!r}")
+    wanted = F.col(povs) if player is None else F.filter(povs, lambda p: p["player_id"] == player)
+    return segments.select(*keep, F.inline(wanted))
+
+
+def clips_of(clips: DataFrame, order: Sequence[str], game: object = None, player: object = None, limit: int | None = None) -> DataFrame:
+    """Clips of a game and a player, where given; the first `limit` of them in order."""
+    for column, value in (("game_id", game), ("player_id", player)):
+        clips = clips if value is None else clips.where(F.col(column) == value)
+    return clips if limit is None else clips.orderBy(*order).limit(limit)
+
+
 def with_position(df: DataFrame, order: Sequence[str], out: str = "_pos") -> DataFrame:
     """Adds the position of each row in a total order, from 0."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

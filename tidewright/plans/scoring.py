@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions import answers, numbers, text
+from tidewright.operators import joins, selection
 
 
 def rate(hit: Column, among: Column | None = None) -> Column:
@@ -24,19 +25,53 @@ def mean_of(flag: Column) -> Column:
     return F.avg(flag.cast("int"))
 
 
+def _metrics() -> list[Column]:
+    """Counts and rates of attempts; a row without a status was tried, an answer without a latency took none."""
+    status = F.coalesce("status", F.lit(""))
+    tried, ok = status != "skipped", status == "ok"
+    return [
+        F.count("*").alias("n_rows"), F.count_if(tried).alias("attempted"), F.count_if(ok).alias("n_ok"), F.count_if(status == "error").alias("n_errors"),
+        F.count_if(status == "skipped").alias("n_skipped"), F.round(rate(F.col("parse_ok"), tried), 6).alias("parse_rate"), F.round(rate(F.col("schema_ok"), tried), 6).alias("schema_rate"),
+        F.coalesce(numbers.exact_mean(F.when(ok, F.coalesce("latency_sec", F.lit(0.0)))), F.lit(0.0)).alias("mean_latency_sec"),
+    ]
+
+
+def _known(column: str) -> Column:
+    return F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit("unknown")).alias(column)
+
+
 def basic_metrics(df: DataFrame, key: Sequence[str], breakdown: str) -> DataFrame:
     """Counts and rates for each key and, in the same pass, for each value of `breakdown` ("(all)" is the total)."""
-    tried, ok = F.col("status") != "skipped", F.col("status") == "ok"
-    named = df.withColumn(breakdown, F.coalesce(F.nullif(F.col(breakdown).cast("string"), F.lit("")), F.lit("unknown")))
+    named = df.withColumn(breakdown, _known(breakdown))
     sets = [[*key], [*key, breakdown]]
-    out = named.groupingSets([[F.col(c) for c in s] for s in sets], *key, breakdown).agg(
-        F.grouping(breakdown).alias("_g"), F.count("*").alias("n_rows"), F.count_if(tried).alias("attempted"), F.count_if(ok).alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_errors"),
-        F.count_if(F.col("status") == "skipped").alias("n_skipped"), F.round(rate(F.col("parse_ok"), tried), 6).alias("parse_rate"), F.round(rate(F.col("schema_ok"), tried), 6).alias("schema_rate"),
-        F.coalesce(numbers.exact_mean(F.when(ok, F.col("latency_sec"))), F.lit(0.0)).alias("mean_latency_sec"),
-    )
+    out = named.groupingSets([[F.col(c) for c in s] for s in sets], *key, breakdown).agg(F.grouping(breakdown).alias("_g"), *_metrics())
     return out.withColumn(breakdown, F.when(F.col("_g") == 1, "(all)").otherwise(F.col(breakdown))).drop("_g")
 
 
+def evaluation_report(attempts: DataFrame, gold: DataFrame, generators: Sequence[str] = ()) -> DataFrame:
+    """Metrics of each (track, model, modality): level "all", and in the same pass by probe_type and by gold_source.
+
+    attempts: task_key, seq, track, model, modality, trial_id, probe_type, gold_source, status, parse_ok, schema_ok, latency_sec. Those
+    without a key are left out; of the rest the latest of each key counts, but a good one isn't replaced by a bad one.
+    gold: track, trial_id, seq, gold_source, nested_source - the held-back rows of the tracks that have some; the last of a trial counts, and what
+    its nested gold says goes first. Attempts of those tracks take their source from it, others keep their own. Null or blank names
+    are "unknown". same_model: whether a model took part in making the data.
+    """
+    last = joins.first_per(gold.where("trial_id is not null"), ["track", "trial_id"], [F.desc("seq")]).select("track", "trial_id", F.coalesce("nested_source", "gold_source").alias("_source"))
+    tracks = gold.select("track").distinct().withColumn("_held_back", F.lit(True))
+    latest = selection.latest_attempt(attempts.where("task_key <> ''"), "task_key", "status", "seq")
+    rows = latest.join(last, ["track", "trial_id"], "left").join(tracks, "track", "left")
+    source = F.when(F.col("_held_back"), F.col("_source")).otherwise(F.col("gold_source"))
+    key, parts = ["track", "model", "modality"], ["probe_type", "gold_source"]
+    named = rows.withColumn("gold_source", source).withColumns({c: _known(c) for c in parts})
+    sets = [key, *[[*key, c] for c in parts]]
+    out = named.groupingSets([[F.col(c) for c in s] for s in sets], *key, *parts).agg(*[F.grouping(c).alias(f"_{c}") for c in parts], *_metrics())
+    level, name = F.lit("all"), F.lit("")
+    for c in parts:
+        level, name = F.when(F.col(f"_{c}") == 0, c).otherwise(level), F.when(F.col(f"_{c}") == 0, F.col(c)).otherwise(name)
+    return out.withColumns({"level": level, "name": name, "same_model": F.coalesce(F.col("model").isin(*generators), F.lit(False)) if generators else F.lit(False)}).drop(*parts, *[f"_{c}" for c in parts])
+
+
 LETTERS = ("A", "B", "C", "D")
 TRUTH_KEYS = ("claim_truth_global", "global_claim_truth", "truth_status_global", "claim_global_truth")
 LOCAL_KEYS = ("claim_awareness_local_target", "local_claim_awareness", "target_claim_awareness", "target_can_know_claim_truth", "target_has_evidence_for_claim_truth")
