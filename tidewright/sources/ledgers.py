@@ -91,11 +91,20 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
     put_file(spark, path, json.dumps(value, ensure_ascii=False, sort_keys=True).encode(), replace=True)
 
 
-def copy_tree(spark: SparkSession, source: str, target: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """Every file below `source` but those with an ignored name on their way, copied by tasks: (path, target, bytes)."""
-    root = source.rstrip("/")
-    names = F.split(F.substring_index("path", f"{root.split('://')[-1].split(':', 1)[-1]}/", -1), "/")
-    listed = files.listing(spark, source).where(~F.exists(names, lambda n: n.isin(*ignore)) if ignore else F.lit(True))
+def _below(path: Column, source: str) -> Column:
+    """The names from the folder `source` to a file in it."""
+    return F.split(F.substring_index(path, f"{source.rstrip('/').split('://')[-1].split(':', 1)[-1]}/", -1), "/")
+
+
+def _ignored(names: Column, ignore: Sequence[str]) -> Column:
+    return F.exists(names, lambda n: n.isin(*ignore)) if ignore else F.lit(False)
+
+
+def copy_tree(spark: SparkSession, source: str, target: str, ignore: Sequence[str] = (), leave: str | None = None) -> DataFrame:
+    """Every file below `source` but those with an ignored name on their way or with the ending `leave`, copied by tasks when read: (path, target, bytes)."""
+    names = _below(F.col("path"), source)
+    listed = files.listing(spark, source).where(~_ignored(names, ignore))
+    listed = listed if leave is None else listed.where(~F.col("path").endswith(leave))
     listed = listed.select("path", F.concat(F.lit(target.rstrip("/") + "/"), F.array_join(names, "/")).alias("target"), F.col("length").alias("bytes"))
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +146,9 @@ def model_verified(line: Column) -> Column:
 
 def build_release(spark: SparkSession, source: str, target: str, ignore: Sequence[str] = ()) -> DataFrame:
     """A release from another: JSON lines with their provenance rewritten, other files copied, and the manifest of what is there."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(source)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(source).where(~_ignored(_below(F.col("_metadata.file_path"), source), ignore))
     lines.where(F.trim("value") != "").select(model_verified(F.col("value")).alias("value")).write.mode("overwrite").text(f"{target}/public")
-    copy_tree(spark, source, f"{target}/assets", ignore).where(~F.col("path").endswith(".jsonl")).write.format("noop").mode("overwrite").save()
+    copy_tree(spark, source, f"{target}/assets", ignore, leave=".jsonl").write.format("noop").mode("overwrite").save()
     return files.manifest(spark, target)
 
 
