@@ -19,3 +19,9 @@ def test_vote_ticks_join_nothing(spark):
     got = windows.vote_ticks(df, ["k"], "l", df.w, ("s", "e"), 10.0, ["i"])
     assert {(r.k, r.tick): (r.l, r.share) for r in got.collect()} == {("g", 0): ("a", 1.0), ("g", 1): ("b", 0.5), ("g", 2): ("b", 0.5), ("g", 3): ("a", 1.0), ("h", 0): ("c", 1.0)}
     assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_global_ids_of_more_than_six_digits(tmp_path):
+    con = _events(tmp_path, "SELECT i, i // 10, i % 60, 'click', 1.0, i % 100 FROM range(1000005) AS t(i)")
+    found = con.sql(f"SELECT count(*), count(DISTINCT global_event_id), max(global_event_id) FILTER (length(global_event_id) > 9) FROM ({payload_queries.ORACLE_SQL['global_fold_rows']})").fetchall()
+    assert found == [(1000005, 1000005, "ge_1000005")]

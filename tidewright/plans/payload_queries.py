@@ -249,7 +249,7 @@ ORACLE_SQL = {
         o AS (SELECT *, CASE WHEN b <= a THEN least(86400.0, a + 1) ELSE b END AS x FROM n), f AS (SELECT *, CASE WHEN x <= a THEN greatest(0.0, x - 1) ELSE a END AS st, CAST([0.9, 0.5, 0.5, 0.5][k % 4 + 1] AS DOUBLE) AS confidence, CASE WHEN k % 3 = 0 THEN 'meeting' ELSE 'unknown' END AS phase_type FROM o)
         SELECT row_id, seg || '_' || seat || '_phasewin_' || idx AS window_event_id, st AS local_start_sec, x AS local_end_sec, d0 + st AS abs_start_sec, phase_type, CASE WHEN k % 2 = 0 THEN 'baile' ELSE '' END AS visible, confidence, CASE WHEN k % 2 = 0 THEN 'unknown' ELSE 'hall' END AS location, k % 3 = 0 AS public_result, phase_type = 'unknown' OR confidence < 0.55 AS needs_human_review FROM f""",
     "meeting_utterance_rows": _P + """ SELECT row_id AS clip_id, user_id AS speaker_id, CASE WHEN k % 4 = 0 THEN '会议开始 ' ELSE '有人说话 ' END || k AS text, event_type AS speech_act, CASE WHEN k % 7 <> 0 THEN floor(value) / 1024 ELSE 0.0 END AS confidence, CAST(user_id + 1 AS VARCHAR) AS mentioned FROM p WHERE k % 2 = 0""",
-    "global_fold_rows": _P + """ SELECT 'ge_' || lpad(CAST(row_number() OVER (ORDER BY s, event_id) AS VARCHAR), 6, '0') AS global_event_id, row_id AS clip_id, CASE WHEN k % 3 = 0 THEN least(CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR)) || ',' || greatest(CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR)) ELSE CAST(user_id + 1 AS VARCHAR) END AS involved,
+    "global_fold_rows": _P + """ SELECT printf('ge_%06d', row_number() OVER (ORDER BY s, event_id)) AS global_event_id, row_id AS clip_id, CASE WHEN k % 3 = 0 THEN least(CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR)) || ',' || greatest(CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR)) ELSE CAST(user_id + 1 AS VARCHAR) END AS involved,
         CAST(user_id AS VARCHAR) AS sources, CASE WHEN k % 7 <> 0 THEN floor(value) / 1024 ELSE 0.0 END AS confidence FROM p""",
     "cutoff_stamps": _P + " SELECT row_id, 'd' AS dataset, game_id, seg AS segment_id, seat AS target_player, d0 + 86400 AS cutoff_abs_sec FROM p",
 }
