@@ -25,3 +25,10 @@ def test_global_ids_of_more_than_six_digits(tmp_path):
     con = _events(tmp_path, "SELECT i, i // 10, i % 60, 'click', 1.0, i % 100 FROM range(1000005) AS t(i)")
     found = con.sql(f"SELECT count(*), count(DISTINCT global_event_id), max(global_event_id) FILTER (length(global_event_id) > 9) FROM ({payload_queries.ORACLE_SQL['global_fold_rows']})").fetchall()
     assert found == [(1000005, 1000005, "ge_1000005")]
+
+
+def test_timed_events_that_are_local_and_absolute(spark, tmp_path):
+    con = _events(tmp_path, "SELECT i, i // 3, i % 5, 'view', 1.0, i % 7 FROM range(400) AS t(i)")
+    got = [tuple(r) for r in event_queries.timed_event_repair(spark, str(tmp_path)).collect()]
+    want = con.sql(event_queries.ORACLE_SQL["timed_event_repair"]).fetchall()
+    assert sorted(got) == sorted(want) and len({r[2] for r in got if r[0] % 8 == 1}) == 2
