@@ -1,8 +1,13 @@
 """Steps that only larger tables or odd ids bring out: plans, counts and twins."""
 
+import random
+
 import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from tidewright.operators import windows
+from tidewright.operators import folds, windows
 from tidewright.plans import event_queries, payload_queries
 
 
@@ -32,3 +37,20 @@ def test_timed_events_that_are_local_and_absolute(spark, tmp_path):
     got = [tuple(r) for r in event_queries.timed_event_repair(spark, str(tmp_path)).collect()]
     want = con.sql(event_queries.ORACLE_SQL["timed_event_repair"]).fetchall()
     assert sorted(got) == sorted(want) and len({r[2] for r in got if r[0] % 8 == 1}) == 2
+
+
+def test_affine_fit_in_blocks(spark):
+    """Blocks that cut keys, keys of one and two rows, and lines that no pair gives."""
+    rng = random.Random(5)
+    rows = [(k, x, 1.002 * x + 3 + rng.uniform(-1.9, 1.9) if rng.random() < 0.8 else rng.uniform(0, 900), 1000 * j + i) for j, (k, n) in enumerate([("a", 230), ("b", 1), ("c", 2), ("d", 3), ("e", 61)]) for i in range(n) for x in [rng.uniform(0, 900)]]
+    df = spark.createDataFrame([*rows, ("a", None, 1.0, 7), (None, 1.0, 1.0, 8), *[("f", 2.0, float(i), 9000 + i) for i in range(9)]], "k string, x double, y double, i int").repartition(5)
+    whole = {r.k: r for r in folds.affine_fit(df, "k", "x", "y", "i").collect()}
+    cut = {r.k: r for r in folds.affine_fit(df, "k", "x", "y", "i", block_rows=7).collect()}
+    hashes = {r.i: r.h for r in df.select("i", F.xxhash64("i").alias("h")).collect()}
+    for k in "abcdef":
+        own = [r for r in rows if r[0] == k]
+        ranks = folds.draw_order(np.array([hashes[r[3]] for r in own], np.int64), 200, 0)
+        want = folds.inlier_fit([r[1] for r in own], [r[2] for r in own], [tuple(np.argsort(ranks[:, t], kind="stable")[:2]) for t in range(200)] if len(own) > 1 else [])
+        assert (k in whole) == (k in cut) == (want is not None)
+        for got in (whole, cut) if want else ():
+            assert {c: pytest.approx(got[k][c]) for c in want} == want

@@ -8,6 +8,7 @@ little for each key stream through sorted partitions (`_stream`).
 from __future__ import annotations
 
 import bisect
+import itertools
 import random
 from collections.abc import Callable, Iterator, Sequence
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewright.scratch import Scratch
 
-from .blocks import Blocks
+from .blocks import Blocks, differs, rows_of
 from .joins import first_per
 
 
@@ -350,55 +351,121 @@ def draw_order(hashes: np.ndarray, rounds: int, seed: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D) >> np.uint64(1)
 
 
-def _by_key(batch: pd.DataFrame, key: str) -> Iterator[tuple[object, pd.DataFrame]]:
-    yield from batch.groupby(key, sort=False)
+def _two_least(ranks: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank, x and y of the two rows of least rank in each round (column), the lesser first; a missing one has the greatest rank and no point."""
+    rounds = np.arange(ranks.shape[1])
+    if len(ranks) == 1:
+        ranks, x, y = (np.concatenate([v, np.full((1, *v.shape[1:]), fill, v.dtype)]) for v, fill in ((ranks, np.iinfo(np.int64).max), (x, np.nan), (y, np.nan)))
+    first = ranks.argmin(axis=0)
+    least = ranks[first, rounds]
+    ranks[first, rounds] = np.iinfo(np.int64).max
+    second = ranks.argmin(axis=0)
+    second = np.where(second == first, (first + 1) % len(ranks), second)  # all others have the greatest rank
+    per_round = (lambda v, i: v[i]) if x.ndim == 1 else (lambda v, i: v[i, rounds])
+    return np.stack([least, ranks[second, rounds]]), np.stack([per_round(x, first), per_round(x, second)]), np.stack([per_round(y, first), per_round(y, second)])
 
 
-def affine_fit(df: DataFrame, key: str, x: str, y: str, order: str, threshold: float = 2.0, rounds: int = 200, seed: int = 0, scales=(0.95, 1.05)) -> DataFrame:
+def _numbers(values: pa.Array, i: int) -> np.ndarray:
+    return values[i].values.to_numpy(zero_copy_only=False)
+
+
+def _folded(batches: Iterator[pa.RecordBatch], made: Callable[[pa.RecordBatch, int], tuple], merged: Callable[[tuple, tuple], tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What `made` gives for each row, merged while rows of one `k` follow each other: few rows a key and task."""
+    held, state, out = None, None, []
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    for b in batches:
+        for i, k in enumerate(b.column("k").to_pylist()):
+            new = made(b, i)
+            if state is not None and k == held:
+                state = merged(state, new)
+                continue
+            if state is not None:
+                out.append((held, *[np.ravel(v) for v in state]))
+            if len(out) >= 256:
+                yield batch(out)
+                out = []
+            held, state = k, new
+    if state is not None:
+        yield batch([*out, (held, *[np.ravel(v) for v in state])])
+
+
+def affine_fit(df: DataFrame, key: str, x: str, y: str, order: str, threshold: float = 2.0, rounds: int = 200, seed: int = 0, scales=(0.95, 1.05), block_rows: int = 4096) -> DataFrame:
     """A RANSAC fit for each key; keys without a fit are dropped.
 
-    Pairs are drawn by hash, lines are counted and the fit is made in partial aggregates: tasks hold a batch and `rounds`
-    numbers for each of its keys, and no task sees all rows of a key. Rows with null x or y take no part.
+    Pairs are drawn by hash. Rows lie in blocks of one key, `block_rows` at most; a block gives its two least rows of each round, and later
+    how many of its rows lie near each line, and what blocks give is merged in the tasks before it is shuffled. Lines meet blocks, not rows,
+    and no task sees all rows of a key. Rows with null x or y take no part.
     """
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.xxhash64(order).alias("h")).where("k is not null and x is not null and y is not null")
+    highest = np.iinfo(np.int64).max
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in rows_of(batches, block_rows):
+            cuts = np.append(np.flatnonzero(differs(t.column("k").combine_chunks())), t.num_rows)
+            cut = lambda c: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), t.column(c).combine_chunks())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([t.column("k").combine_chunks().take(pa.array(cuts[:-1])), cut("x"), cut("y"), cut("h")], names=["k", "x", "y", "h"])
+
+    def draw(b: pa.RecordBatch, i: int) -> tuple:
+        return _two_least(draw_order(_numbers(b.column("h"), i), rounds, seed).astype(np.int64), _numbers(b.column("x"), i), _numbers(b.column("y"), i))
+
+    def lesser(one: tuple, other: tuple) -> tuple:
+        return _two_least(*[np.concatenate([a, b]) for a, b in zip(one, other)])
 
-    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, own in _by_key(batch, "k"):
-                ranks = draw_order(own["h"].to_numpy(), rounds, seed)
-                two = np.argsort(ranks, axis=0, kind="stable")[:2]
-                n = len(two)
-                at = two.T.ravel()
-                yield pd.DataFrame({"k": k, "round": np.repeat(np.arange(rounds), n), "rank": np.take_along_axis(ranks, two, axis=0).T.ravel().astype(np.int64), "x": own["x"].to_numpy()[at], "y": own["y"].to_numpy()[at]})
-
-    drawn = rows.mapInPandas(least, f"k {kind}, round int, rank long, x double, y double")
-    first = first_per(drawn, ["k", "round"], ["rank"], 2)
-    pair = first.groupBy("k", "round").agg(F.min_by(F.struct("x", "y"), "rank").alias("a"), F.max_by(F.struct("x", "y"), "rank").alias("b"), F.count("*").alias("n")).where("n = 2")
-    slope = (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))
-    lines = pair.where(F.abs(F.col("b.x") - F.col("a.x")) >= 1e-9).withColumn("slope", slope).where(F.col("slope").between(*scales))
-    lines = lines.withColumn("cut", F.col("a.y") - F.col("slope") * F.col("a.x")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("round", "slope", "cut"))).alias("lines"))  # `rounds` at most
-
-    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, own in _by_key(batch, "k"):
-                known = own["lines"].iloc[0]
-                number, slopes, cuts = (np.array([r[f] for r in known]) for f in ("round", "slope", "cut"))
-                near = np.abs(own["y"].to_numpy()[:, None] - (slopes * own["x"].to_numpy()[:, None] + cuts)) <= threshold
-                yield pd.DataFrame({"k": k, "round": number, "slope": slopes, "cut": cuts, "n": near.sum(axis=0), "rows": len(own)})
-
-    counted = rows.join(lines, "k").select("k", "x", "y", "lines").mapInPandas(votes, f"k {kind}, round int, slope double, cut double, n long, rows long")
-    total = counted.groupBy("k", "round").agg(F.first("slope").alias("slope"), F.first("cut").alias("cut"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    best = total.groupBy("k").agg(F.max_by(F.struct("slope", "cut", "rows"), F.struct("n", -F.col("round"))).alias("l"), F.max("n").alias("n")).where("n >= 3")
-    near = rows.join(best.select("k", "l"), "k").where(F.abs(F.col("y") - (F.col("l.slope") * F.col("x") + F.col("l.cut"))) <= threshold)
-    fit = near.groupBy("k").agg(F.regr_slope("y", "x").alias("scale"), F.regr_intercept("y", "x").alias("offset"), F.count("*").alias("inlier_count"), F.first("l.rows").alias("anchor_count"), F.var_pop("x").alias("spread"))
-    fit = fit.where(F.col("spread") * F.col("inlier_count") > 1e-9)
-    left = near.join(fit.select("k", "scale", "offset", "inlier_count"), "k").select("k", "inlier_count", F.abs(F.col("y") - (F.col("scale") * F.col("x") + F.col("offset"))).alias("r"))
-    ranked = left.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("r")) - 1)
-    half = (F.col("i") == F.floor((F.col("inlier_count") - 1) / 2)) | (F.col("i") == F.floor(F.col("inlier_count") / 2))
-    late = F.col("i") == F.least(F.col("inlier_count") - 1, F.floor(F.col("inlier_count") * 0.95))
-    stats = ranked.groupBy("k").agg(F.avg(F.when(half, F.col("r"))).alias("median_residual_sec"), F.max(F.when(late, F.col("r"))).alias("p95_residual_sec"))
-    return fit.join(stats, "k").select(F.col("k").alias(key), "scale", "offset", "anchor_count", "inlier_count", "median_residual_sec", "p95_residual_sec")
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = pa.schema([("k", b.schema.field("k").type), ("rank", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.float64()))])
+            break
+        else:
+            return
+        yield from _folded(itertools.chain([b], batches), draw, lesser, kept)
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                rank, px, py = _two_least(*[c.flatten().to_numpy(zero_copy_only=False).reshape(-1, rounds).copy() for c in b.column("parts")[i].values.flatten()])
+                with np.errstate(all="ignore"):
+                    slope = (py[1] - py[0]) / (px[1] - px[0])
+                    fits = (rank[1] < highest) & (np.abs(px[1] - px[0]) >= 1e-9) & (slope >= scales[0]) & (slope <= scales[1])
+                    out.append((slope[fits], (py[0] - slope * px[0])[fits]))
+            yield pa.RecordBatch.from_arrays([b.column("k"), *[pa.array([o[j] for o in out], pa.list_(pa.float64())) for j in (0, 1)]], names=["k", "slope", "cut"])
+
+    def near_lines(b: pa.RecordBatch, i: int) -> tuple:
+        slope, cut, px, py = (_numbers(b.column(c), i) for c in ("slope", "cut", "x", "y"))
+        return ((np.abs(py[:, None] - (slope * px[:, None] + cut)) <= threshold).sum(axis=0), np.array([len(px)]))
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = pa.schema([("k", b.schema.field("k").type), ("n", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))])
+            break
+        else:
+            return
+        yield from _folded(itertools.chain([b], batches), near_lines, lambda one, other: tuple(u + v for u, v in zip(one, other)), kept)
+
+    with Scratch(df.sparkSession) as scratch:
+        packed = rows.repartitionByRange("k", "h").sortWithinPartitions("k").mapInArrow(pack, f"k {kind}, x array<double>, y array<double>, h array<long>")
+        blocks = scratch.staged(packed, "blocks")
+        parts = blocks.mapInArrow(drawn, f"k {kind}, rank array<long>, x array<double>, y array<double>").groupBy("k").agg(F.collect_list(F.struct("rank", "x", "y")).alias("parts"))  # a part a task
+        lines = scratch.staged(parts.mapInArrow(through, f"k {kind}, slope array<double>, cut array<double>").where(F.size("slope") > 0), "lines")
+        votes = blocks.select("k", "x", "y").join(lines, "k").mapInArrow(voted, f"k {kind}, n array<long>, rows array<long>")
+        total = votes.groupBy("k").agg(F.collect_list("n").alias("ns"), F.sum(F.get("rows", F.lit(0))).alias("rows"))
+        summed = F.aggregate(F.slice("ns", 2, F.size("ns")), F.get("ns", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda u, v: u + v))
+        total = total.select("k", "rows", summed.alias("n")).withColumn("most", F.array_max("n")).where("most >= 3").withColumn("at", (F.array_position("n", F.col("most")) - 1).cast("int"))
+        best = scratch.staged(lines.join(total, "k").select("k", F.struct(F.get("slope", "at").alias("slope"), F.get("cut", "at").alias("cut"), "rows").alias("l")), "best")
+        points = blocks.join(best, "k").select("k", "l", F.inline(F.arrays_zip("x", "y")))
+        near = points.where(F.abs(F.col("y") - (F.col("l.slope") * F.col("x") + F.col("l.cut"))) <= threshold)
+        fit = near.groupBy("k").agg(F.regr_slope("y", "x").alias("scale"), F.regr_intercept("y", "x").alias("offset"), F.count("*").alias("inlier_count"), F.first("l.rows").alias("anchor_count"), F.var_pop("x").alias("spread"))
+        fit = scratch.staged(fit.where(F.col("spread") * F.col("inlier_count") > 1e-9), "fit")
+        left = near.join(fit.select("k", "scale", "offset", "inlier_count"), "k").select("k", "inlier_count", F.abs(F.col("y") - (F.col("scale") * F.col("x") + F.col("offset"))).alias("r"))
+        ranked = left.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("r")) - 1)
+        half = (F.col("i") == F.floor((F.col("inlier_count") - 1) / 2)) | (F.col("i") == F.floor(F.col("inlier_count") / 2))
+        late = F.col("i") == F.least(F.col("inlier_count") - 1, F.floor(F.col("inlier_count") * 0.95))
+        stats = ranked.groupBy("k").agg(F.avg(F.when(half, F.col("r"))).alias("median_residual_sec"), F.max(F.when(late, F.col("r"))).alias("p95_residual_sec"))
+        return scratch.kept(fit.join(stats, "k").select(F.col("k").alias(key), "scale", "offset", "anchor_count", "inlier_count", "median_residual_sec", "p95_residual_sec"), "fits")
 
 
 def select_distinct_capped(df: DataFrame, key: Sequence[str], order: Sequence[str], cap_key: Sequence[str], cap: int, limit: int) -> DataFrame:
