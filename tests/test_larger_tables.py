@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import folds, windows
-from tidewright.plans import event_queries, payload_queries
+from tidewright.plans import event_queries, payload_queries, seed_queries, seeds
 
 
 def _events(folder, rows):
@@ -54,3 +54,12 @@ def test_affine_fit_in_blocks(spark):
         assert (k in whole) == (k in cut) == (want is not None)
         for got in (whole, cut) if want else ():
             assert {c: pytest.approx(got[k][c]) for c in want} == want
+
+
+def test_snapshots_are_counted_without_being_made(spark, sf):
+    events = spark.createDataFrame([("g", 40.0), ("g", 3.0), ("h", 40.5), ("i", -20.0), ("j", -25.0), ("l", 0.0), ("m", None), (None, 9.0)], "game_id string, abs_end_sec double").withColumns({"world_event_id": F.lit("w"), "source_povs": F.array(F.lit("p"))})
+    said = events.select("game_id", "abs_end_sec", F.lit("c").alias("claim_id"))
+    for players in (spark.createDataFrame([(g, p) for g in "ghijlm" for p in "pq"] + [("g", "p"), ("x", "p")], "game_id string, player_id string"), spark.createDataFrame([("p",), ("q",), ("p",)], "player_id string")):
+        made = {r.game_id: r["count"] for r in seeds.snapshots(events, said, players).groupBy("game_id").count().collect()}
+        assert {r.game_id: r.n_rows for r in seeds.snapshot_counts(events, players).collect()} == made and made["h"] == 14
+    assert "Generate" not in seed_queries.seed_ledger_counts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
