@@ -6,12 +6,13 @@ was busy with. Scratch tables of a stage are deleted when the next stage begins,
 
 quality_classifier   drops documents that score under 0.3; trained on labelled rows outside the held-out fold
 exact_dedup          keeps one document of each group of texts that are equal but for white space
-simhash_near_dedup   sets of five-word shingles, Jaccard similarity of 0.8 or more; the smallest doc_id of each component stays
+simhash_near_dedup   SimHash links of five-word shingles and MinHash bands name pairs; those of a Jaccard similarity of 0.8 or more link;
+                     the smallest doc_id of each component stays
 substring_dedup      50-word windows that also start in a document of smaller doc_id go; documents stay
 packing              sequences of 2,048 tokens; doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
 
-The third stage goes by whole shingle sets, not by fingerprints: `tidewright.llm.jaccard` shares its shingles, hashes and
-components with the SimHash operator, whose 64 bits can't tell pairs of 0.8 from pairs of 0.6 (see the README).
+The third stage takes its first pairs from the SimHash operator's links (fingerprints within four bits) and checks them by whole shingle
+sets. 64 bits can't tell pairs of 0.8 from pairs of 0.6 (see the README), so bands of minima name what lies further apart.
 
 Every stage: null text counts as empty; rows of null id take part and go last among ties; of rows repeated with equal id and text
 one stays from exact_dedup on; texts of any length are read whole; extra columns stay, whatever their names (`packing` returns

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.llm import jaccard
 from tidewright.operators import folds, windows
 from tidewright.plans import event_queries, payload_queries, seed_queries, seeds
 
@@ -63,3 +64,16 @@ def test_snapshots_are_counted_without_being_made(spark, sf):
         made = {r.game_id: r["count"] for r in seeds.snapshots(events, said, players).groupBy("game_id").count().collect()}
         assert {r.game_id: r.n_rows for r in seeds.snapshot_counts(events, players).collect()} == made and made["h"] == 14
     assert "Generate" not in seed_queries.seed_ledger_counts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_simhash_names_pairs_of_the_pipelines_near_dedup(spark):
+    """Texts whose fingerprints lie within four bits are pairs before any band is looked at; copies of a set are one node."""
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(900)}" for _ in range(700)]
+    texts = [" ".join(long), " ".join([*long[:350], "new", *long[351:]]), " ".join(f"v{rng.randrange(900)}" for _ in range(700)), " ".join(long)]
+    rows = jaccard.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    of = {r.doc_id: (r.node, r.fp) for r in rows.collect()}
+    assert (of[0][1] ^ of[1][1]).bit_count() <= 4 and of[0] == of[3]
+    pairs = jaccard.by_fingerprint(rows.dropDuplicates(["node"])).collect()
+    assert {tuple(r) for r in pairs} == {tuple(sorted((of[0][0], of[1][0])))}
+    assert pairs and {r.doc_id for r in jaccard.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()} == {0, 2}

@@ -2,7 +2,8 @@
 
 1. `sketches`: for each row a hash of its set of shingle hashes (its *node*), the set's size, MinHash keys of `BANDS` bands of
    `BAND_ROWS` minima, and two bits of each minimum. Nothing is shuffled. Rows of equal sets are one node from here on.
-2. Nodes that share a band meet in its bucket. First each is paired with the least node there; near copies have that in common
+2. SimHash names pairs first: nodes whose fingerprints lie within four bits, by `simhash.links` (`by_fingerprint`). What lies further apart
+   and is alike still comes from the bands: nodes that share a band meet in its bucket. There each is paired with the least node there; near copies have that in common
    in most of their buckets, so a group of them makes a few pairs a member.
 3. `likely` pairs - whose sizes and sketches don't rule the similarity out - are compared: the whole texts of these nodes alone
    are read again, and a pair is an edge only if its whole sets have the similarity asked for.
@@ -11,9 +12,9 @@
 5. Within a family the nodes that aren't of its largest component are compared with all, by whole sets, in pairs of parts of
    bounded size, each a group of its own. A pair of parts emits the edges that join components, never all pairs.
 
-Bands and sketches decide only which pairs are compared. At similarity 0.8 a pair shares no band with probability 5e-8
+Fingerprints, bands and sketches decide only which pairs are compared. At similarity 0.8 a pair shares no band with probability 5e-8
 ((1 - 0.8**4)**32), and differs in more than 40 of 128 two-bit minima (19 are expected) with one of about 5e-6; less above.
-64-bit fingerprints can't do this: at 0.8 they lie about 10 bits apart.
+64-bit fingerprints alone can't do this: at 0.8 they lie about 10 bits apart, so they name the closest pairs and the bands the rest.
 
 Contract of `near_duplicates`: one row per input row.
 * null text counts as empty; rows without words are alike; fewer words than a shingle: one shingle of all words.
@@ -33,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table, text_or_empty
-from .simhash import components, keep_least, shingle_hashes
+from .simhash import components, keep_least, majority_bits, shingle_hashes
+from .simhash import links as simhash_links
 from .textarrays import chunks, mixed, text_bytes
 
 BANDS, BAND_ROWS = 32, 4
@@ -70,8 +72,10 @@ def minima(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Sets:
     """The shingle sets of a batch of texts, one after another, and the node of each."""
 
-    def __init__(self, texts: pa.Array, shingle: int, seed: int):
-        self.hashes, self.count = shingle_sets(*shingle_hashes(*text_bytes(texts), shingle, seed))
+    def __init__(self, texts: pa.Array, shingle: int, seed: int, simhash: bool = False):
+        every, n = shingle_hashes(*text_bytes(texts), shingle, seed)
+        self.fp = majority_bits(every, n) if simhash else None
+        self.hashes, self.count = shingle_sets(every, n)
         self.edges = np.append(0, np.cumsum(self.count))
         view = memoryview(np.ascontiguousarray(self.hashes)).cast("B")
         self.bytes = [view[8 * x : 8 * y] for x, y in zip(self.edges[:-1].tolist(), self.edges[1:].tolist())]
@@ -83,11 +87,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, text_key, node (hash of the set), n (its size), keys, s0 to s3, one row per input row."""
+    """doc_id, text_key, node (hash of the set), n (its size), keys, s0 to s3, fp (SimHash fingerprint), one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 1 << 19):
-            sets = Sets(b.column("text"), shingle, seed)
+            sets = Sets(b.column("text"), shingle, seed, simhash=True)
             has = sets.count > 0
             keys, own = minima(sets.hashes, sets.edges[:-1][has])
             sketch = np.zeros((len(has), len(_SKETCH)), np.uint64)
@@ -95,11 +99,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             offsets = pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32))
             columns = [b.column("doc_id"), b.column("text_key"), pa.array(sets.nodes), pa.array(sets.count.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))]
             columns += [pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(len(_SKETCH))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "keys", *_SKETCH])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets.fp.view(np.int64))], names=["doc_id", "text_key", "node", "n", "keys", *_SKETCH, "fp"])
 
     rows = _texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, node long, n long, keys array<bigint>, " + ", ".join(f"{s} long" for s in _SKETCH))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, node long, n long, keys array<bigint>, " + ", ".join(f"{s} long" for s in _SKETCH) + ", fp long")
 
 
 def _suffixed(nodes: DataFrame, suffix: str) -> DataFrame:
@@ -149,6 +153,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: fl
     return stage_table(met.select("a", "b", "one", "other").mapInArrow(compare, "a long, b long"), "edges")
 
 
+def by_fingerprint(nodes: DataFrame, bits: int = 4) -> DataFrame:
+    """(a, b), a < b: pairs of nodes that SimHash links: each with the least of its fingerprint, and those least along the links of `simhash.links`."""
+    least = stage_table(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "fingerprints")
+    same = nodes.join(least, "fp").select(F.col("lead").alias("one"), F.col("node").alias("other"))
+    linked = simhash_links(least.select("fp"), bits).distinct()
+    linked = linked.join(least.select(F.col("fp").alias("a"), F.col("lead").alias("one")), "a").join(least.select(F.col("fp").alias("b"), F.col("lead").alias("other")), "b")
+    pairs = same.unionByName(linked.select("one", "other")).where("one <> other")
+    return pairs.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
+
+
 def links(rows: DataFrame, texts: DataFrame, threshold: float, shingle: int, seed: int) -> DataFrame:
     """(node, root) of the components that pairs of this similarity connect; nodes without a pair don't occur."""
     nodes = stage_table(rows.dropDuplicates(["node"]), "nodes")
@@ -157,7 +171,8 @@ def links(rows: DataFrame, texts: DataFrame, threshold: float, shingle: int, see
     sent = nodes.select("node", F.explode("keys").alias("key"))
     buckets = stage_table(sent.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last"), "buckets")
     met = stage_table(sent.join(buckets, "key"), "met")
-    first = stage_table(met.where("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    banded = met.where("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    first = stage_table(by_fingerprint(nodes).unionByName(banded).distinct(), "pairs")
     likely = first.join(x, F.col("a") == F.col("node_x")).join(y, F.col("b") == F.col("node_y")).where(_likely(threshold)).select("a", "b")
     edges = verified(stage_table(likely, "likely"), nodes, texts, threshold, shingle, seed)
     found = components(edges)
