@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import jaccard
-from tidewright.operators import folds, windows
+from tidewright.operators import folds, selection, windows
 from tidewright.plans import event_queries, payload_queries, seed_queries, seeds
 
 
@@ -77,3 +77,15 @@ def test_simhash_names_pairs_of_the_pipelines_near_dedup(spark):
     pairs = jaccard.by_fingerprint(rows.dropDuplicates(["node"])).collect()
     assert {tuple(r) for r in pairs} == {tuple(sorted((of[0][0], of[1][0])))}
     assert pairs and {r.doc_id for r in jaccard.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()} == {0, 2}
+
+
+def test_numbers_come_without_a_second_shuffle(spark):
+    """The rows of a numbered table are shuffled by its order alone; keys' first positions are a small table."""
+    df = spark.range(5000).select((F.col("id") % 7).alias("k"), (F.col("id") * 37 % 5000).alias("at"), F.lit("wide").alias("text"))
+    got = selection.numbered(df, ["k"], ["at"], "n")
+    rows = got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" not in plan and "SortMergeJoin" not in plan
+    for k in range(7):
+        own = sorted((r.at, r.n) for r in rows if r.k == k)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))

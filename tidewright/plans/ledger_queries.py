@@ -55,9 +55,14 @@ def _annotations(ev: DataFrame) -> DataFrame:
     )
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Annotations and players."""
     ev = games(spark, sf_dir)
-    return ledger.build_ledger(_annotations(ev), roster(ev).withColumn("player_id", _name(F.col("player_id"))), viewers=False)
+    return _annotations(ev), roster(ev).withColumn("player_id", _name(F.col("player_id")))
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return ledger.build_ledger(*_parts(spark, sf_dir), viewers=False)
 
 
 def _joined(*columns: str) -> list[Column]:
@@ -67,12 +72,12 @@ def _joined(*columns: str) -> list[Column]:
 def ledger_world_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of all views merged into world events."""
     lists = _joined("actors", "source_povs", "source_segment_ids", "direct_visual_evidence", "direct_audio_evidence", "public_evidence", "inferred_fields", "duplicate_local_event_ids")
-    return _ledger(spark, sf_dir)["world_events"].select("game_id", "world_event_id", "abs_start_sec", "abs_end_sec", "phase_type", "event_type", "location", "description", "certainty", "needs_human_review", *lists)
+    return ledger.canonical_events(ledger.candidate_events(*_parts(spark, sf_dir)))[0].select("game_id", "world_event_id", "abs_start_sec", "abs_end_sec", "phase_type", "event_type", "location", "description", "certainty", "needs_human_review", *lists)
 
 
 def ledger_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances of all views merged into claims."""
-    return _ledger(spark, sf_dir)["claims"].select("game_id", "claim_id", "abs_start_sec", "abs_end_sec", "speaker", "claim_type", "content", "normalized_content", "time_referred", "strategic_role", "certainty", "needs_human_review", *_joined("heard_by", "target_entities", "source_segment_ids"))
+    return ledger.canonical_claims(ledger.candidate_claims(*_parts(spark, sf_dir)))[0].select("game_id", "claim_id", "abs_start_sec", "abs_end_sec", "speaker", "claim_type", "content", "normalized_content", "time_referred", "strategic_role", "certainty", "needs_human_review", *_joined("heard_by", "target_entities", "source_segment_ids"))
 
 
 def ledger_truth_links(spark: SparkSession, sf_dir: str) -> DataFrame:
