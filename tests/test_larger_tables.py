@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import jaccard
-from tidewright.operators import folds, selection, windows
-from tidewright.plans import event_queries, payload_queries, seed_queries, seeds
+from tidewright.operators import folds, joins, selection, windows
+from tidewright.plans import event_queries, ledger, payload_queries, seed_queries, seeds
 
 
 def _events(folder, rows):
@@ -89,3 +89,14 @@ def test_numbers_come_without_a_second_shuffle(spark):
     for k in range(7):
         own = sorted((r.at, r.n) for r in rows if r.k == k)
         assert [n for _, n in own] == list(range(1, len(own) + 1))
+
+
+def test_long_events_lie_in_few_buckets_of_truth_links(spark, monkeypatch):
+    widths, join = [], joins.range_join
+    monkeypatch.setattr(joins, "range_join", lambda *a, **k: widths.append(a[4]) or join(*a, **k))
+    events = spark.createDataFrame([("g", "ge_1", ["ana"], "hall", "walks", 0.0, 14400.0, 0.9), ("g", "ge_2", ["bo"], "hall", "walks", 20000.0, 20010.0, 0.9)], "game_id string, world_event_id string, actors array<string>, location string, description string, abs_start_sec double, abs_end_sec double, certainty double")
+    claims = spark.createDataFrame([("g", f"c{i}", "ana", ["bo"], "I was there", "i was there", at, at + 5, 0.8, []) for i, at in enumerate((100.0, 14570.0, 14590.0, 20005.0))], "game_id string, claim_id string, speaker string, heard_by array<string>, content string, normalized_content string, abs_start_sec double, abs_end_sec double, certainty double, target_entities array<string>")
+    edges = spark.createDataFrame([("g", "ge_1", "bo", "direct_visual")], "game_id string, event_id string, player_id string, visibility string")
+    got = ledger.claim_truth_links(claims, events, edges, spark.createDataFrame([("g", "ana"), ("g", "bo")], "game_id string, player_id string"))
+    assert {(r.claim_id, tuple(r.world_event_ids)) for r in got.collect()} == {("c0", ("ge_1",)), ("c1", ("ge_1",))}
+    assert 14400 / widths[0] <= 4
