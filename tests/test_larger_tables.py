@@ -100,3 +100,31 @@ def test_long_events_lie_in_few_buckets_of_truth_links(spark, monkeypatch):
     got = ledger.claim_truth_links(claims, events, edges, spark.createDataFrame([("g", "ana"), ("g", "bo")], "game_id string, player_id string"))
     assert {(r.claim_id, tuple(r.world_event_ids)) for r in got.collect()} == {("c0", ("ge_1",)), ("c1", ("ge_1",))}
     assert 14400 / widths[0] <= 4
+
+
+def test_numbered_items_leave_their_lists_behind(spark, monkeypatch):
+    """A file of a whole day holds many items; none of them carries the others along when it is numbered."""
+    seen, numbered = [], selection.numbered
+    monkeypatch.setattr(selection, "numbered", lambda df, *a: seen.append(df.columns) or numbered(df, *a))
+    observed = [(float(i), i + 1.0, "task", "ana", "hall", "works", ["direct_visual_observation"], "e", "", "", "0.9", False) for i in range(3)]
+    uttered = [(float(i), i + 1.0, "ana", "I saw bo", None, None, None, "0.9", False) for i in range(3)]
+    rows = spark.createDataFrame([("g", "e", "p_0_9", "gameplay", 0, v, 0.0, 9.0, observed, uttered, f"g/{v}") for v in ("ana", "bo")], ledger.ANNOTATION + ", path string")
+    players = spark.createDataFrame([("g", "ana"), ("g", "bo")], "game_id string, player_id string")
+    events, claims = ledger.candidate_events(rows, players).collect(), ledger.candidate_claims(rows, players).collect()
+    assert sorted(r.seq for r in events) == sorted(r.seq for r in claims) == [1, 2, 3, 4, 5, 6]
+    assert all(r.actors == ["ana"] for r in events) and all(r.target_entities == ["bo"] for r in claims)
+    assert len(seen) == 2 and not {"observations", "utterances", "_roster"} & {c for cs in seen for c in cs}
+
+
+def test_snapshot_sets_come_together_where_rows_meet(spark):
+    events = spark.createDataFrame([("g", "ge_1", 5.0), ("g", "ge_2", 20.0)], "game_id string, world_event_id string, abs_start_sec double")
+    claims = spark.createDataFrame([("g", "c1", 6.0)], "game_id string, claim_id string, abs_start_sec double")
+    edges = spark.createDataFrame([("g", "ge_1", "ana", "direct_visual"), ("g", "ge_2", "ana", "public_ui"), ("g", "c1", "ana", "heard_claim"), ("g", "ge_1", "bo", "not_visible")], "game_id string, event_id string, player_id string, visibility string")
+    cutoffs = spark.createDataFrame([("g", "ana", 1.0), ("g", "ana", 6.0), ("g", "ana", 30.0), ("g", "bo", 30.0), ("g", "bo", 30.0), ("h", "cy", 3.0)], "game_id string, target_player string, cutoff_abs_sec double")
+    got = ledger.belief_snapshots(events, claims, edges, cutoffs)
+    rows = {(r.target_player, r.cutoff_abs_sec): (r.private_observations, r.public_history, r.heard_claims, r.forbidden_event_ids, r.available_evidence_ids) for r in got.collect()}
+    assert got.count() == 5 and rows["ana", 1.0] == rows["cy", 3.0] == ([], [], [], [], []) and rows["bo", 30.0] == ([], [], [], ["ge_1"], [])
+    assert rows["ana", 6.0] == (["obs_ana_ge_1"], ["c1"], ["c1"], [], ["c1", "obs_ana_ge_1"])
+    assert rows["ana", 30.0] == (["obs_ana_ge_1", "obs_ana_ge_2"], ["c1", "obs_ana_ge_2"], ["c1"], [], ["c1", "obs_ana_ge_1", "obs_ana_ge_2"])
+    keys = [p.split(")")[0] for p in got._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+    assert keys and not any("cutoff_abs_sec" in k for k in keys)
