@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewright.llm import jaccard
 from tidewright.operators import folds, joins, selection, windows
 from tidewright.plans import event_queries, ledger, payload_queries, seed_queries, seeds
+from tidewright.scratch import Scratch
 
 
 def _events(folder, rows):
@@ -128,3 +129,14 @@ def test_snapshot_sets_come_together_where_rows_meet(spark):
     assert rows["ana", 30.0] == (["obs_ana_ge_1", "obs_ana_ge_2"], ["c1", "obs_ana_ge_2"], ["c1"], [], ["c1", "obs_ana_ge_1", "obs_ana_ge_2"])
     keys = [p.split(")")[0] for p in got._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
     assert keys and not any("cutoff_abs_sec" in k for k in keys)
+
+
+def test_dense_events_take_few_rounds(spark, monkeypatch):
+    """Events that outlast thousands of rows: each block waits for the one before, so blocks are long; a round reads changed blocks alone."""
+    names, stage = [], Scratch.staged
+    monkeypatch.setattr(Scratch, "staged", lambda self, df, name: names.append(name) or stage(self, df, name))
+    df = spark.range(50000).select(F.lit("k").alias("k"), F.col("id").alias("i"), (F.col("id") * 0.36).alias("s"), (F.col("id") * 0.36 + 3700 + F.col("id") % 90).alias("e"))
+    rows = [(r.i, r.s, r.e) for r in df.orderBy("s").collect()]
+    got = {r.i: r.kept_id for r in folds.merge_events(df, ["k"], "s", "e", "i", ["s", "i"], edge_sec=60).collect()}
+    assert got == dict(zip([r[0] for r in rows], folds.Merge(60)(*map(list, zip(*rows)))))
+    assert 1 < len(set(got.values())) and sum(n.startswith("states_") for n in names) <= 4

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from tidewright.scratch import Scratch
 
+_FEW = 200  # numbers of blocks that a filter may name
+
 
 def differs(column: pa.Array) -> np.ndarray:
     """Whether each value differs from the one before it, nulls being equal to each other; true for the first."""
@@ -52,6 +54,12 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def each(b: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows as dicts, made one at a time: a row is a block, and a batch may hold hundreds."""
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 class Blocks:
     """Packed blocks of `df` in the shared folder.
 
@@ -104,23 +112,25 @@ class Blocks:
 
         def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for r in b.to_pylist():
+                for r in each(b):
                     out = {"block": r["block"], "entry": r["entry"], "exit": fold(r, r["entry"])}
                     yield pa.RecordBatch.from_pylist([out], schema=pa.schema([("block", pa.int64()), ("entry", b.schema.field("entry").type), ("exit", b.schema.field("entry").type)]))
 
-        def folded(entries: DataFrame) -> DataFrame:
-            return self.rows.join(entries, "block").mapInArrow(leave, f"block long, entry {kind}, exit {kind}")
+        def folded(entries: DataFrame, rows: DataFrame) -> DataFrame:
+            return rows.join(entries, "block").mapInArrow(leave, f"block long, entry {kind}, exit {kind}")
 
         none = F.array().cast(kind)
         # Blocks that no other follows leave a state for nobody, but settle like the rest.
-        found = self.scratch.staged(folded(self.chain.select("block", none.alias("entry"))), "states_0")
+        found = self.scratch.staged(folded(self.chain.select("block", none.alias("entry")), self.rows), "states_0")
         for n in range(1, 1 << 30):
             left = found.select(F.col("block").alias("before"), F.col("exit").alias("left"))
             due = self.chain.where("goes_on").join(left, "before").select("block", enter(F.col("left"), F.col("first")).alias("due"))
             changed = self.scratch.staged(found.join(due, "block").where(F.col("due") != F.col("entry")).select("block", F.col("due").alias("entry")), f"changed_{n}")
-            if changed.isEmpty():
+            few = [r.block for r in changed.select("block").limit(_FEW + 1).collect()]
+            if not few:
                 return found.select("block", "entry")
-            again = folded(changed)
+            # A state that runs on from block to block changes a few of them a round; named in a filter, the other files aren't read.
+            again = folded(changed, self.rows.where(F.col("block").isin(few)) if len(few) <= _FEW else self.rows)
             found = self.scratch.staged(found.join(changed.select("block"), "block", "left_anti").unionByName(again), f"states_{n}")
 
     def scan(self, leave: Callable[[dict], list], merge: Callable[[list, list, float], list], state: str) -> DataFrame:
@@ -133,12 +143,12 @@ class Blocks:
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                made = [{"block": r["block"], "state": leave(r), "last": r["c0"][-1], "open": r["goes_on"] and len(r["cuts"]) == 1} for r in b.to_pylist()]
+                made = [{"block": r["block"], "state": leave(r), "last": r["c0"][-1], "open": r["goes_on"] and len(r["cuts"]) == 1} for r in each(b)]
                 yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("block", pa.int64()), ("state", b.schema.field("none").type), ("last", pa.float64()), ("open", pa.bool_())]))
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                made = [{"block": r["block"], "state": merge(r["state_2"], r["state"], r["last"]), "last": r["last"], "before": r["before_2"]} for r in b.to_pylist()]
+                made = [{"block": r["block"], "state": merge(r["state_2"], r["state"], r["last"]), "last": r["last"], "before": r["before_2"]} for r in each(b)]
                 yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("block", pa.int64()), ("state", b.schema.field("state").type), ("last", pa.float64()), ("before", pa.int64())]))
 
         first = self.rows.join(self.chain.select("block", "goes_on"), "block").withColumn("none", F.array().cast(kind)).mapInArrow(own, f"block long, state {kind}, last double, open boolean")
@@ -160,7 +170,7 @@ class Blocks:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column("ids")
-                for i, r in enumerate(b.to_pylist()):
+                for i, r in enumerate(each(b)):
                     yield pa.RecordBatch.from_arrays([ids[i].values, pa.array(fold(r, r["entry"]), ids.type.value_type)], names=["id", "kept"])
 
         rows = self.rows.join(entries, "block")

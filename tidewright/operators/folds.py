@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewright.scratch import Scratch
 
-from .blocks import Blocks, differs, rows_of
+from .blocks import Blocks, differs, each, rows_of
 from .joins import first_per
 
 
@@ -97,10 +97,12 @@ def _timed(df: DataFrame, times: Sequence[str]) -> Column:
     return known
 
 
-def merge_events(df: DataFrame, key: Sequence[str], start: str, end: str, row_id: str, order: Sequence[str], edge_sec: float = 3.0, iou: float = 0.5, block_rows: int = 8192) -> DataFrame:
+def merge_events(df: DataFrame, key: Sequence[str], start: str, end: str, row_id: str, order: Sequence[str], edge_sec: float = 3.0, iou: float = 0.5, block_rows: int = 262_144) -> DataFrame:
     """(row_id, kept_id) of events with equal keys that overlap or lie close, first match wins; `order` begins with `start`.
 
     A row without one of its times keeps to itself. The state is the live intervals (`Merge`), which a block takes over from the one before by speculation: see `blocks`.
+    Where events lie so close that a block is shorter than they are, each block waits for the one before it, and a round costs far more than the
+    rows folded in it: so blocks are long (some 30 MB as Python numbers), and rounds few.
     """
     kind = df.schema[row_id].dataType.simpleString()
 
@@ -209,7 +211,7 @@ def _first_entries(packed: Blocks, within: float) -> DataFrame:
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in each(b):
                 a, z = list(_runs(r))[-1]
                 m = FirstMap.of(r["c0"][a:z], r["ids"][a:z], within)
                 if a or not r["goes_on"]:  # the last key begins here: nothing is open before
@@ -218,7 +220,7 @@ def _first_entries(packed: Blocks, within: float) -> DataFrame:
 
     def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in each(b):
                 yield _map_row(b, r["block"], FirstMap(r["at"], r["time"], r["id"]).after(FirstMap(r["at_2"], r["time_2"], r["id_2"])))
 
     def _map_row(b: pa.RecordBatch, block: int, m: FirstMap) -> pa.RecordBatch:
