@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions import numbers
 from tidewright.llm import jaccard
 from tidewright.operators import folds, joins, selection, windows
-from tidewright.plans import event_queries, ledger, payload_queries, seed_queries, seeds
+from tidewright.plans import event_queries, ledger, payload_queries, seed_queries, seeds, table_queries
 from tidewright.scratch import Scratch
 
 
@@ -140,3 +141,14 @@ def test_dense_events_take_few_rounds(spark, monkeypatch):
     got = {r.i: r.kept_id for r in folds.merge_events(df, ["k"], "s", "e", "i", ["s", "i"], edge_sec=60).collect()}
     assert got == dict(zip([r[0] for r in rows], folds.Merge(60)(*map(list, zip(*rows)))))
     assert 1 < len(set(got.values())) and sum(n.startswith("states_") for n in names) <= 4
+
+
+def test_dots_of_blocks_are_those_of_pairs(spark, sf):
+    rng = random.Random(8)
+    rows = [(i, [None, [1.0, None], [], [0.5] * 5][i] if i < 4 else [rng.uniform(-9, 9) for _ in range(7)]) for i in range(40)]
+    a = spark.createDataFrame(rows, "a int, v array<float>")
+    b = a.select(F.col("a").alias("b"), F.col("v").alias("w"))
+    got = joins.dots(a, b, "a", "b", "v", "w", block_rows=9)
+    want = {(r.a, r.b): r.dot for r in joins.grid(a, b).select("a", "b", numbers.dot(F.col("v"), F.col("w")).alias("dot")).collect()}
+    assert {(r.a, r.b): r.dot for r in got.collect()} == want and len(want) == 1600
+    assert "MapInArrow" in table_queries.vector_dot(spark, sf)._jdf.queryExecution().executedPlan().toString()
