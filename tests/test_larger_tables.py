@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import numbers
 from tidewright.llm import jaccard
 from tidewright.operators import folds, joins, selection, windows
-from tidewright.plans import event_queries, ledger, payload_queries, seed_queries, seeds, table_queries
+from tidewright.plans import event_queries, ledger, payload_queries, seed_queries, seeds, table_queries, trajectory
 from tidewright.scratch import Scratch
 
 
@@ -152,3 +152,49 @@ def test_dots_of_blocks_are_those_of_pairs(spark, sf):
     want = {(r.a, r.b): r.dot for r in joins.grid(a, b).select("a", "b", numbers.dot(F.col("v"), F.col("w")).alias("dot")).collect()}
     assert {(r.a, r.b): r.dot for r in got.collect()} == want and len(want) == 1600
     assert "MapInArrow" in table_queries.vector_dot(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def _nodes(spark):
+    """Nodes of two episodes with sights, words and public facts, some without a time or after the last cutoff; players; cutoffs."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        who, audio = rng.choice("abc"), rng.random() < 0.4
+        at = None if i == 7 else 500.0 if i % 20 == 19 else float(rng.randrange(40))
+        rows.append(("xy"[i % 2], f"n{i:03d}", at, [who], rng.random() < 0.1, False, "audio" if audio else "visual", None, [rng.choice("abc")], True, [f"e{rng.randrange(9)}"], who, rng.choice(["task", "vote", "claim", "kill"]), [rng.choice("abcz")], [], who if audio else None))
+    nodes = spark.createDataFrame(rows, "episode_id string, trajectory_node_id string, abs_start_sec double, source_povs array<string>, public_ui boolean, global_fact boolean, modality string, utterance string, heard_by array<string>, audio_admissible boolean, evidence_asset_ids array<string>, player_id string, event_type string, visible_players array<string>, mentioned_players array<string>, speaker_id string")
+    players = spark.createDataFrame([(e, p) for e in "xy" for p in "abc"], "episode_id string, player_id string")
+    return rows, nodes, players, spark.createDataFrame([(e, float(t)) for e in "xy" for t in range(0, 45, 3)], "episode_id string, cutoff_abs_sec double")
+
+
+def test_layer_evidence_is_made_where_it_comes_out(spark):
+    """As by a plain loop, where a node without a time leaves it to the other side's; states are made of lists, which alone are shuffled."""
+    rows, nodes, players, cutoffs = _nodes(spark)
+    found = trajectory.layer_evidence(trajectory.state_keys(players, cutoffs), nodes, players, chunk=2)
+    got = {(r.information_state_id, r.target, r.layer): r.evidence_ids for r in found.collect()}
+    want = {}
+    for e, subject, target, (layer, types) in [(e, s, p, x) for e in "xy" for s in "abc" for p in "abc" if p != s for x in trajectory.LAYERS.items()]:
+        has = [(r[10][0], r[2]) for r in rows if r[0] == e and (r[4] or subject in r[3] or subject in r[8])]
+        bears = [(r[10][0], r[2]) for r in rows if r[0] == e and r[12] in types and target in {*r[13], r[15], r[11] if r[12] in trajectory.PLAYER_CENTRIC else None}]
+        since = {}
+        for one in {i for i, _ in has} & {i for i, _ in bears}:
+            times = [min(own) for side in (has, bears) if (own := [at for i, at in side if i == one and at is not None])]
+            if times:
+                since[one] = max(times)
+        for t in range(0, 45, 3):
+            if ids := sorted(i for i, at in since.items() if at <= t):
+                want[f"{e}:{subject}:{t:.3f}", target, layer] = ids
+    assert got == want and got
+    keys = [p.split(")")[0] for p in found._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+    assert keys and not any("target" in k and "cutoff_abs_sec" in k for k in keys) and "evidence_id_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_states_of_evidence_are_those_of_information_states(spark):
+    _, nodes, players, cutoffs = _nodes(spark)
+    full = trajectory.information_states(nodes, players, cutoffs)
+    slim = trajectory.evidence_states(nodes, players, cutoffs, chunk=4)
+    as_dict = lambda df: {r.information_state_id: (r.player_id, r.cutoff_abs_sec, r.available_evidence_ids) for r in df.collect()}
+    assert as_dict(slim) == as_dict(full) and len(as_dict(slim)) == 90
+    evidence = trajectory.layer_evidence(full, nodes, players)
+    rows = lambda df: sorted((r.trial_id, r.evidence_ids) for r in df.collect())
+    assert rows(trajectory.trials(evidence, slim)) == rows(trajectory.trials(evidence, full)) != []

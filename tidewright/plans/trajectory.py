@@ -141,33 +141,73 @@ def information_states(nodes: DataFrame, players: DataFrame, cutoffs: DataFrame
         "episode_id", F.col("subject").alias("player_id"), "cutoff_abs_sec", *[named(F.col(c), "trajectory_node_id_all").alias(c) for c in sets[:3]], named(F.col("available_evidence_ids"), "evidence_id_all").alias("available_evidence_ids"), F.col("trajectory_node_id_all").alias("_all"),
     )
     states = states.withColumn("known_facts", F.sort_array(F.array_union("private_observations", "public_history"))).withColumn("forbidden_events", F.array_except("_all", "known_facts")).drop("_all")
-    return states.withColumn("information_state_id", F.format_string("%s:%s:%.3f", "episode_id", "player_id", "cutoff_abs_sec"))
+    return states.withColumn("information_state_id", _state_id())
 
 
-def layer_evidence(states: DataFrame, nodes: DataFrame, players: DataFrame, layers: dict[str, tuple[str, ...]] = LAYERS) -> DataFrame:
+def state_keys(players: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """(information_state_id, episode_id, player_id, cutoff_abs_sec) of the `information_states` at these cutoffs, without what is in them."""
+    keys = with_roster(cutoffs, players, "episode_id", "player_id").where("cutoff_abs_sec is not null").select("episode_id", "player_id", "cutoff_abs_sec").distinct()
+    return keys.withColumn("information_state_id", _state_id())
+
+
+def _state_id() -> Column:
+    return F.format_string("%s:%s:%.3f", "episode_id", "player_id", "cutoff_abs_sec")
+
+
+def _stepped(nodes: DataFrame, keys: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes with `_step`, the number of the first cutoff of their episode that isn't before them (null without a start; nodes after all
+    cutoffs go), and (episode_id, player_id, `_last`, `_asked`): a player's states by chunks of `chunk` cutoffs."""
+    steps = keys.select("episode_id", "cutoff_abs_sec").distinct().where("cutoff_abs_sec is not null")
+    steps = steps.withColumn("_step", F.row_number().over(Window.partitionBy("episode_id").orderBy("cutoff_abs_sec")) - 1)
+    first = accumulate.first_step(nodes.select("episode_id", F.col("abs_start_sec").alias("cutoff_abs_sec")), steps, ["episode_id"], "cutoff_abs_sec", "_step")
+    numbered = nodes.join(first.withColumnRenamed("cutoff_abs_sec", "abs_start_sec"), ["episode_id", "abs_start_sec"], "left").where("_step is not null or abs_start_sec is null")
+    asked = keys.select("episode_id", "player_id", "cutoff_abs_sec", "information_state_id").join(steps, ["episode_id", "cutoff_abs_sec"])
+    asked = asked.groupBy("episode_id", "player_id", F.floor(F.col("_step") / chunk)).agg(F.max("_step").alias("_last"), F.collect_list(F.struct("_step", "cutoff_abs_sec", "information_state_id")).alias("_asked"))
+    return numbered, asked.select("episode_id", "player_id", "_last", "_asked")
+
+
+def _held(numbered: DataFrame, players: DataFrame) -> DataFrame:
+    """(episode_id, subject, evidence_id, had): the first step at which a player has a piece of evidence, null without a time."""
+    rows = numbered.select("episode_id", "_step", "abs_start_sec", "source_povs", "public_ui", "modality", "utterance", "heard_by", "audio_admissible", "global_fact", "evidence_asset_ids")
+    had = with_roster(rows, players, "episode_id", "subject").where(access(F.col("subject"), F.lit(float("inf"))).isin("direct_visual", "direct_audio", "public_ui", "heard_claim"))
+    had = had.select("episode_id", "subject", "_step", F.explode("evidence_asset_ids").alias("evidence_id")).where("evidence_id is not null")
+    return had.groupBy("episode_id", "subject", "evidence_id").agg(F.min("_step").alias("had"))
+
+
+def _by_state(lists: str) -> Column:
+    """The ids of a list of (evidence_id, step) in order of id that count by the step of `_state`."""
+    return F.transform(F.filter(lists, lambda x: x["step"] <= F.col("_state._step")), lambda x: x["evidence_id"])
+
+
+def evidence_states(nodes: DataFrame, players: DataFrame, cutoffs: DataFrame, chunk: int = 256) -> DataFrame:
+    """(information_state_id, player_id, cutoff_abs_sec, available_evidence_ids) as in `information_states`, for uses that need nothing else
+    of a state. Episodes without nodes have states with nothing in them.
+    """
+    numbered, asked = _stepped(nodes, state_keys(players, cutoffs), chunk)
+    held = _held(numbered, players).where("had is not null").groupBy("episode_id", F.col("subject").alias("player_id")).agg(F.array_sort(F.collect_list(F.struct("evidence_id", F.col("had").alias("step")))).alias("_held"))
+    each = asked.join(held, ["episode_id", "player_id"], "left").select("player_id", "_held", F.explode("_asked").alias("_state"))
+    return each.select("_state.information_state_id", "player_id", "_state.cutoff_abs_sec", F.coalesce(_by_state("_held"), F.array().cast("array<string>")).alias("available_evidence_ids"))
+
+
+def layer_evidence(states: DataFrame, nodes: DataFrame, players: DataFrame, layers: dict[str, tuple[str, ...]] = LAYERS, chunk: int = 256) -> DataFrame:
     """Evidence of each (state, target, layer): of the layer's types, before the cutoff, open to the subject, about the target.
 
-    `states` are those of `information_states` for these nodes and players. A piece of evidence counts from the first cutoff at
-    which the subject has it and a node of the layer about the target bears it, so lists grow along a subject's states.
+    `states` are those of `information_states` for these nodes and players, or their `state_keys`. A piece of evidence counts from the first
+    cutoff at which the subject has it and a node of the layer about the target bears it. So a subject, target and layer have one list of
+    ids, each with the number of that cutoff, and its states are made of it where they come out: no row of a state is shuffled.
     """
     rules = players.sparkSession.createDataFrame([(layer, t) for layer, types in layers.items() for t in types], "layer string, event_type string")
-    had, _, evidence_ids = _had(nodes, players)
-    mark = evidence_ids.select("episode_id", F.posexplode("evidence_id_all").alias("mark", "evidence_id"))
+    numbered, asked = _stepped(nodes, states, chunk)
     own = F.when(F.col("event_type").isin(*PLAYER_CENTRIC), F.col("player_id"))
     about = F.explode(F.array_distinct(F.array_compact(F.concat(F.coalesce("visible_players", F.array()), F.coalesce("mentioned_players", F.array()), F.array(F.col("speaker_id"), own)))))
-    typed = nodes.join(F.broadcast(rules), "event_type")  # a rule table of a few dozen rows
-    facts = typed.select("episode_id", "layer", about.alias("target"), "abs_start_sec", "evidence_asset_ids").select("episode_id", "layer", "target", "abs_start_sec", F.explode("evidence_asset_ids").alias("evidence_id"))
-    facts = facts.join(mark, ["episode_id", "evidence_id"]).groupBy("episode_id", "layer", "target", "mark").agg(F.min("abs_start_sec").alias("borne"))
+    typed = numbered.select("episode_id", "event_type", about.alias("target"), "_step", "evidence_asset_ids").join(F.broadcast(rules), "event_type")  # a rule table of a few dozen rows
+    facts = typed.select("episode_id", "layer", "target", "_step", F.explode("evidence_asset_ids").alias("evidence_id")).where("evidence_id is not null").groupBy("episode_id", "layer", "target", "evidence_id").agg(F.min("_step").alias("borne"))
     listed = players.select(*[c for c in ("episode_id",) if c in players.columns], F.col("player_id").alias("target")).distinct()
     facts = facts.join(listed, listed.columns, "left_semi")
-    has = had.select("episode_id", "subject", "cutoff_abs_sec", F.explode("evidence").alias("mark")).groupBy("episode_id", "subject", "mark").agg(F.min("cutoff_abs_sec").alias("had"))
-    changes = facts.join(has, ["episode_id", "mark"]).where("subject <> target").select("episode_id", "subject", "target", "layer", F.greatest("borne", "had").alias("cutoff_abs_sec"), F.array("mark").alias("evidence_ids"))
-    asked = states.select("information_state_id", "episode_id", F.col("player_id").alias("subject"), "cutoff_abs_sec")
-    since = changes.groupBy("episode_id", "subject", "target", "layer").agg(F.min("cutoff_abs_sec").alias("since"))
-    grid = asked.join(since, ["episode_id", "subject"]).where("cutoff_abs_sec >= since")
-    found = accumulate.running_sets(grid, changes, ["episode_id"], ["subject", "target", "layer"], "cutoff_abs_sec", ["evidence_ids"])
-    found = found.join(evidence_ids, "episode_id").withColumn("evidence_ids", F.transform("evidence_ids", lambda i: F.get(F.col("evidence_id_all"), i)))
-    return found.join(asked, ["episode_id", "subject", "cutoff_abs_sec"]).select("information_state_id", "subject", "target", "layer", "cutoff_abs_sec", "evidence_ids")
+    changes = facts.join(_held(numbered, players), ["episode_id", "evidence_id"]).where("subject <> target").withColumn("step", F.greatest("borne", "had")).where("step is not null")
+    lists = changes.groupBy("episode_id", F.col("subject").alias("player_id"), "target", "layer").agg(F.min("step").alias("_since"), F.array_sort(F.collect_list(F.struct("evidence_id", "step"))).alias("_list"))
+    each = lists.join(asked, ["episode_id", "player_id"]).where("_last >= _since").select(F.col("player_id").alias("subject"), "target", "layer", "_list", "_since", F.explode("_asked").alias("_state")).where("_state._step >= _since")
+    return each.select("_state.information_state_id", "subject", "target", "layer", "_state.cutoff_abs_sec", _by_state("_list").alias("evidence_ids"))
 
 
 def subject_only(evidence: Column, target_available: Column) -> Column:
@@ -190,8 +230,9 @@ def next_behaviour(asks: DataFrame, nodes: DataFrame, row_id: str, horizon: floa
 def trials(evidence: DataFrame, states: DataFrame, most: int = 4) -> DataFrame:
     """Four variants a group where evidence remains: the first `most` items, then without what the target has; with a split."""
     target = states.select(F.col("player_id").alias("target"), "cutoff_abs_sec", F.split_part("information_state_id", F.lit(":"), F.lit(1)).alias("episode_id"), F.col("available_evidence_ids").alias("_theirs"))
-    rows = evidence.withColumn("episode_id", F.split_part("information_state_id", F.lit(":"), F.lit(1))).join(target, ["episode_id", "target", "cutoff_abs_sec"])
-    rows = rows.withColumn("evidence_ids", subject_only(F.slice("evidence_ids", 1, most), F.col("_theirs"))).where(F.size("evidence_ids") > 0)
+    rows = evidence.withColumns({"episode_id": F.split_part("information_state_id", F.lit(":"), F.lit(1)), "evidence_ids": F.slice("evidence_ids", 1, most)})  # what is left out doesn't move
+    rows = rows.join(target, ["episode_id", "target", "cutoff_abs_sec"])
+    rows = rows.withColumn("evidence_ids", subject_only(F.col("evidence_ids"), F.col("_theirs"))).where(F.size("evidence_ids") > 0)
     group = F.concat_ws(":", "information_state_id", "target", "layer")
     rows = rows.withColumn("probe_group_id", group).withColumn("split", answers.split_of(F.col("probe_group_id")))
     return rows.drop("_theirs").withColumn("variant", F.explode(F.array(*[F.lit(v) for v in "ABCD"]))).withColumn("trial_id", F.concat_ws(":", "probe_group_id", "variant"))
