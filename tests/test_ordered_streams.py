@@ -62,3 +62,20 @@ def test_keys_that_rest_are_forgotten(spark, tmp_path):
     found = ordered.carry_forward(stream(spark, path), "user_id", "ts", "t", "400 seconds", idle_sec=1000)
     got = sorted((r.user_id, r.t, r.seen_before, r.last_before) for r in twins.run_to_table(found, str(tmp_path / "out"), str(tmp_path / "check")).where("user_id < 99").collect())
     assert got == [(1, 10.0, 0, None), (1, 20.0, 1, 10.0), (1, 5000.0, 0, None), (2, 30.0, 0, None), (2, 900.0, 1, 30.0), (2, 1200.0, 2, 900.0)]
+
+
+def test_keys_share_the_state_of_a_bucket(spark, tmp_path, monkeypatch):
+    """Many keys, one of them null, in two buckets: the state is called for by buckets, and each key has its own scan and its own end."""
+    path, groups = str(tmp_path / "in"), []
+    monkeypatch.setattr(ordered.OrderedScan, "__init__", lambda self, *a, init=ordered.OrderedScan.__init__: groups.append(a[0]) or init(self, *a))
+    at = lambda s: START + datetime.timedelta(seconds=s)
+    keys = [None, *range(40)]
+    put(spark, path, "0", [(k, at(20 + t), 20.0 + t, "x") for k in keys for t in (7, 0)])
+    put(spark, path, "1", [(k, at(900), 900.0, "x") for k in keys if k is None or k % 2])
+    put(spark, path, "2", [(k, at(1400), 1400.0, "x") for k in keys])
+    put(spark, path, "3", END)
+    found = ordered.carry_forward(stream(spark, path), "user_id", "ts", "t", "400 seconds", idle_sec=1000, buckets=2)
+    got = {(r.user_id, r.t): (r.seen_before, r.last_before) for r in twins.run_to_table(found, str(tmp_path / "out"), str(tmp_path / "check")).where("user_id is null or user_id < 99").collect()}
+    odd = lambda k: k is None or k % 2
+    assert got == {(k, t): v for k in keys for t, v in [(20.0, (0, None)), (27.0, (1, 20.0)), *([(900.0, (2, 27.0)), (1400.0, (3, 900.0))] if odd(k) else [(1400.0, (0, None))])]}
+    assert groups == [["own_key", "ts", "ts_2", "t"]] and found.schema["user_id"].dataType.simpleString() == "int"
