@@ -198,3 +198,15 @@ def test_states_of_evidence_are_those_of_information_states(spark):
     evidence = trajectory.layer_evidence(full, nodes, players)
     rows = lambda df: sorted((r.trial_id, r.evidence_ids) for r in df.collect())
     assert rows(trajectory.trials(evidence, slim)) == rows(trajectory.trials(evidence, full)) != []
+
+
+def test_snapshots_are_sorted_in_many_parts_and_numbered_before_they_hold_lists(spark):
+    events = spark.createDataFrame([("g", ["a"], 5.0, "w1"), ("g", ["b"], 12.0, "w2"), ("g", ["a", "b"], 25.0, "w3")], "game_id string, source_povs array<string>, abs_end_sec double, world_event_id string")
+    said = spark.createDataFrame([("g", 11.0, "c1")], "game_id string, abs_end_sec double, claim_id string")
+    found = seeds.snapshots(events, said, spark.createDataFrame([("g", "a"), ("g", "b")], "game_id string, player_id string"))
+    got = {r.snapshot_id: (r.cutoff_abs_sec, r.private_observations, r.forbidden_event_ids, r.heard_claims, r.available_evidence_ids) for r in found.collect()}
+    assert len(got) == 10 and got["seed_mem_a_000003"] == (20.0, ["w1"], ["w2"], ["c1"], ["w1", "c1"])
+    assert got["seed_mem_b_000004"] == (25.0, ["w2", "w3"], ["w1"], ["c1"], ["w2", "w3", "c1"]) and got["seed_mem_a_000001"] == (0.0, [], [], [], [])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("target_player#") and plan.count(", 256), REPARTITION_BY_NUM") >= 2
+    assert not any("target_player" in line for line in plan.splitlines() if "row_number()" in line)
