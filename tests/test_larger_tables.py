@@ -5,12 +5,13 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidewright.functions import numbers
 from tidewright.llm import jaccard
 from tidewright.operators import folds, joins, selection, windows
-from tidewright.plans import event_queries, ledger, payload_queries, seed_queries, seeds, table_queries, trajectory
+from tidewright.plans import evaluation, event_queries, ledger, payload_queries, seed_queries, seeds, table_queries, trajectory
 from tidewright.scratch import Scratch
 
 
@@ -210,3 +211,18 @@ def test_snapshots_are_sorted_in_many_parts_and_numbered_before_they_hold_lists(
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("target_player#") and plan.count(", 256), REPARTITION_BY_NUM") >= 2
     assert not any("target_player" in line for line in plan.splitlines() if "row_number()" in line)
+
+
+def test_clips_are_asked_once_and_by_many_tasks(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def client(prompt):
+        with open(log, "a") as f:
+            f.write(f"{prompt} {TaskContext.get().partitionId()}\n")
+        return "[]" if prompt.endswith("3") else '[{"a": 1}, {"a": 2'
+
+    clips = spark.range(40).coalesce(1).select(F.format_string("c%d", "id").alias("clip_id"), F.format_string("p%d", "id").alias("prompt"))
+    events, errors = evaluation.annotate(clips, client)
+    assert (events.count(), errors.count()) == (36, 4)
+    asked = [line.split() for line in open(log)]
+    assert sorted(p for p, _ in asked) == sorted(f"p{i}" for i in range(40)) and len({n for _, n in asked}) > 4

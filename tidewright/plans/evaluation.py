@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import answers
 from tidewright.operators import joins
 from tidewright.plans import normalise
+from tidewright.scratch import staged
 
 #: Name, adapter and inputs of example models; a registry is a small dimension table that callers extend.
 MODELS = (
@@ -86,15 +87,18 @@ def run(tasks: DataFrame, client: Callable[[str], str] = mock_client, wanted: Se
     return every.withColumns({"parse_ok": ok, "schema_ok": ok & answers.schema_matches(F.to_json("_p.parsed"), F.array(*[F.lit(w) for w in wanted]))}).drop("_p")
 
 
-def annotate(clips: DataFrame, client: Callable[[str], str], prompt: str = "prompt", key: str = "clip_id") -> tuple[DataFrame, DataFrame]:
-    """(events, errors): objects of each answer's array, recovered where it was cut short; clips whose answer has none."""
+def annotate(clips: DataFrame, client: Callable[[str], str], prompt: str = "prompt", key: str = "clip_id", parts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(events, errors): objects of each answer's array, recovered where it was cut short; clips whose answer has none.
+
+    Clips are dealt to `parts` tasks, since a prompt stands for much work, and each is asked once: answers are written before they are read twice.
+    """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield pd.DataFrame([(k, *with_retry(client, p)[:2]) for k, p in zip(rows[key], rows[prompt])], columns=[key, "raw", "error"])
 
-    asked = clips.select(key, prompt).mapInPandas(ask, f"{key} {dict(clips.dtypes)[key]}, raw string, error string")
-    parsed = asked.withColumn("items", answers.recover_array(answers.strip_fences(F.col("raw"))))
+    asked = clips.select(key, prompt).repartition(parts, key).mapInPandas(ask, f"{key} {dict(clips.dtypes)[key]}, raw string, error string")
+    parsed = staged(asked.withColumn("items", answers.recover_array(answers.strip_fences(F.col("raw")))), "answers")
     return parsed.select(key, F.explode("items").alias("item")), parsed.where("items is null").select(key, "raw", F.coalesce("error", F.lit("no objects in the answer")).alias("error"))
 
 
