@@ -226,3 +226,9 @@ def test_clips_are_asked_once_and_by_many_tasks(spark, tmp_path):
     assert (events.count(), errors.count()) == (36, 4)
     asked = [line.split() for line in open(log)]
     assert sorted(p for p, _ in asked) == sorted(f"p{i}" for i in range(40)) and len({n for _, n in asked}) > 4
+
+
+def test_fallback_events_make_an_annotation_once_a_row(spark, sf):
+    """A filter on the item was moved below it, and made it and its numbers some forty times."""
+    plan = payload_queries.fallback_events(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1 and plan.count("parseJson") == 1

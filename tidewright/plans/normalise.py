@@ -250,11 +250,14 @@ def fallback_trace(rows: DataFrame) -> DataFrame:
     evidence = F.coalesce(inner("$.player_status.death_evidence"), inner("$.private_memory[0].evidence"), F.lit("empty gameplay trace; the status event requires review"))
     end = F.least("duration_sec", F.lit(5.0))
     dead = F.coalesce(inner("$.player_status.alive_state") == "dead", F.lit(False))
-    return rows.where(F.coalesce(empty, F.lit(True))).withColumns({
+    made = {
         "local_start_sec": F.lit(0.0), "local_end_sec": F.round(end, 3), "abs_start_sec": F.round("aligned_start_sec", 3), "abs_end_sec": F.round(F.col("aligned_start_sec") + end, 3),
         "event_type": F.when(dead, "spectator_or_status_observation").otherwise("visible_gameplay_status"), "actor": F.coalesce("player_id", F.lit("unknown")), "location": F.lit("unknown"),
         "description": F.coalesce(inner("$.private_memory[0].description"), evidence), "evidence": evidence, "certainty": F.lit(0.45), "needs_human_review": F.lit(True),
-    })
+    }
+    # Not a filter: that moves below the item, and there makes it anew for each field that it looks at.
+    one = F.when(F.coalesce(empty, F.lit(True)), F.array(F.struct(*[c.alias(name) for name, c in made.items()])))
+    return rows.select(*[c for c in rows.columns if c not in made], F.inline(one))
 
 
 def leakage_risk(value: Column) -> Column:
