@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import numbers
 from tidewright.llm import jaccard
-from tidewright.operators import folds, joins, selection, windows
+from tidewright.operators import folds, joins, matching, selection, windows
 from tidewright.plans import evaluation, event_queries, ledger, payload_queries, seed_queries, seeds, table_queries, trajectory
 from tidewright.scratch import Scratch
 
@@ -232,3 +232,26 @@ def test_fallback_events_make_an_annotation_once_a_row(spark, sf):
     """A filter on the item was moved below it, and made it and its numbers some forty times."""
     plan = payload_queries.fallback_events(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("get_json_object") == 1 and plan.count("parseJson") == 1
+
+
+def _rounds(monkeypatch):
+    """Plans of the tables that `matching` writes round by round, by name."""
+    plans, write = {}, Scratch.staged
+    monkeypatch.setattr(Scratch, "staged", lambda self, df, name: plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}) or write(self, df, name))
+    return plans
+
+
+def test_a_round_of_greedy_matches_moves_its_edges_without_joins(spark, monkeypatch):
+    """Equal edges count once, null ends not at all; each round read its edges five times, for minima of both ends and joins with them."""
+    plans, rng = _rounds(monkeypatch), random.Random(4)
+    edges = [(rng.randrange(12), rng.randrange(12), float(rng.randrange(5))) for _ in range(90)]
+    rows = spark.createDataFrame([*edges, *edges[:9], (None, 1, 0.0), (1, None, 0.0)], "l int, r int, d double")
+    want, left, right = set(), set(), set()
+    for a, b, _ in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if a not in left and b not in right:
+            want.add((a, b))
+            left.add(a)
+            right.add(b)
+    got = [tuple(r) for r in matching.greedy_match(rows, ["l"], ["r"], ["d"]).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "edges_2" in plans and not any("Join" in p for p in plans.values())

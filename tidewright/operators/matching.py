@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.scratch import Scratch
@@ -24,26 +24,32 @@ def greedy_match(edges: DataFrame, left: Sequence[str], right: Sequence[str], or
     """The edges that a pass in `order` takes, one at most for each left and each right end. Columns: left, right.
 
     In each round the edges that are the best of both their ends are taken, and all others of those ends go. Edges that are
-    equal in their ends and order count once; null ends match nothing.
+    equal in their ends and order count once; null ends match nothing. A round moves the edges left twice, to their right ends and to their left ones.
     """
-    ends, n = list(dict.fromkeys([*left, *right])), len(order)
-    named = edges.select(*ends, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"e{i}") for i, c in enumerate(ends)]).alias("_at"))
+    ends = list(dict.fromkeys([*left, *right]))
+    named = edges.select(*[F.col(c).alias(f"e{i}") for i, c in enumerate(ends)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    total = [*[f"o{i}" for i, _ in enumerate(order)], *[f"e{i}" for i, _ in enumerate(ends)]]
+    by_left, by_right = (Window.partitionBy(*[f"e{ends.index(c)}" for c in side]).orderBy(*total) for side in (left, right))
+    every = (Window.unboundedPreceding, Window.unboundedFollowing)
+    best = F.rank().over(by_left) == 1  # equal edges are all first
+    for i, _ in enumerate(ends):
+        named = named.where(F.col(f"e{i}").isNotNull())
     with Scratch(edges.sparkSession) as scratch:
-        for c in ends:
-            named = named.where(F.col(c).isNotNull())
-        left_over = scratch.staged(named.distinct(), "edges_0")
-        taken = scratch.staged(left_over.limit(0).select(*ends), "taken_0")
-        for round_ in range(1, 1 << 30):
+        found = scratch.staged(named.withColumns({"best": best, "taken": F.lit(False)}), "edges_0")
+        matched = []
+        for n in range(1, 1 << 30):
+            left_over = found.where("not taken")
             if left_over.isEmpty():
                 break
-            best = left_over
-            for side in (left, right):
-                best = best.join(left_over.groupBy(*side).agg(F.min("_at").alias("_best")), list(side)).where(F.col("_at") == F.col("_best")).drop("_best")
-            best = scratch.staged(best.select(*ends), f"best_{round_}")
-            taken = taken.unionByName(best)
-            rest = left_over.join(best.select(*left), list(left), "left_anti").join(best.select(*right), list(right), "left_anti")
-            left_over = scratch.staged(rest, f"edges_{round_}")
-        return scratch.kept(taken, "matched")
+            met = left_over.withColumn("taken", F.col("best") & (F.rank().over(by_right) == 1)).withColumn("gone", F.max("taken").over(by_right.rowsBetween(*every)))
+            met = met.withColumn("gone", F.col("gone") | F.max("taken").over(by_left.rowsBetween(*every))).where("taken or not gone")
+            # Taken edges stay for the result; as no other edge of their ends does, they don't stand before one.
+            found = scratch.staged(met.drop("gone").withColumn("best", best), f"edges_{n}")
+            matched.append(found.where("taken"))
+        taken = named.limit(0)
+        for part in matched:
+            taken = taken.unionByName(part.drop("best", "taken"))
+        return scratch.kept(taken.select(*[F.col(f"e{i}").alias(c) for i, c in enumerate(ends)]).distinct(), "matched")
 
 
 def seed_clusters(items: DataFrame, item: Sequence[str], edges: DataFrame, least: int = 2) -> DataFrame:
