@@ -255,3 +255,21 @@ def test_a_round_of_greedy_matches_moves_its_edges_without_joins(spark, monkeypa
     got = [tuple(r) for r in matching.greedy_match(rows, ["l"], ["r"], ["d"]).collect()]
     assert set(got) == want and len(got) == len(want)
     assert "edges_2" in plans and not any("Join" in p for p in plans.values())
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_a_round_of_seed_clusters_moves_its_links_without_joins(spark, monkeypatch, least):
+    """What items know of their neighbours and what leaves was joined to the links some seven times a round."""
+    plans, rng = _rounds(monkeypatch), random.Random(least)
+    pairs = {tuple(sorted(rng.sample(range(70), 2))) for _ in range(95)}
+    near = {i: {b for p in pairs if i in p for b in p if b != i} for i in range(70)}
+    want = {}
+    for i in range(70):
+        free = near[i] - want.keys()
+        if i not in want and len(free) + 1 >= least:
+            want |= {j: i for j in (i, *free)}
+    items = spark.createDataFrame([(i,) for i in range(70)], "i int")
+    edges = spark.createDataFrame([(a, b) for p in pairs for a, b in (p, p[::-1])], "i int, _i int")
+    got = [tuple(r) for r in matching.seed_clusters(items, ["i"], edges, least).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert "links_2" in plans and not any("Join" in p for name, p in plans.items() if name != "found")

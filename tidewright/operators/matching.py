@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewright.scratch import Scratch
@@ -57,35 +57,41 @@ def seed_clusters(items: DataFrame, item: Sequence[str], edges: DataFrame, least
     itself they are `least` or more.
 
     edges: `item` and, as `_<name>`, that of a neighbour, both ways. An item is decided once no undecided one before it lies
-    within two steps: then none can take it or a neighbour of its any more.
+    within two steps: then none can take it or a neighbour of its any more. What an item's neighbours know of theirs comes in windows over either end of
+    the links, which hold both ways: a round moves the links left three times.
     """
-    other, name = [f"_{c}" for c in item], F.struct(*[F.col(c) for c in item])
-    there = F.struct(*[F.col(f"_{c}").alias(c) for c in item])
+    name, there = F.struct(*[F.col(c) for c in item]), F.struct(*[F.col(f"_{c}").alias(c) for c in item])
+    of_a, of_b = Window.partitionBy("a"), Window.partitionBy("b")
+    untried = lambda end: F.when(~F.col(f"tried_{end}"), F.col(end))
+
+    def seeds(end: str, near: str, of: WindowSpec) -> dict[str, Column]:
+        first = F.coalesce(F.min(near).over(of) == F.col(end), F.lit(False)) & ~F.col(f"tried_{end}")
+        return {f"first_{end}": first, f"seed_{end}": first & (F.count("*").over(of) + 1 >= least)}
+
     with Scratch(items.sparkSession) as scratch:
-        links = scratch.staged(edges.select(name.alias("a"), there.alias("b")).distinct(), "links_0")
-        if least > 1:  # an item without neighbours is in no cluster
-            free = scratch.staged(links.select(F.col("a").alias("v")).distinct().withColumn("tried", F.lit(False)), "free_0")
-        else:
-            free = scratch.staged(items.select(name.alias("v")).distinct().withColumn("tried", F.lit(False)), "free_0")
-        found = scratch.staged(free.limit(0).select("v", F.col("v").alias("seed")), "found_0")
+        links = edges.select(name.alias("a"), there.alias("b")).distinct().withColumns({"tried_a": F.lit(False), "tried_b": F.lit(False), "seed": F.lit(None).cast(items.select(name.alias("v")).schema["v"].dataType)})
+        links = scratch.staged(links.withColumn("near", F.least("a", F.min("b").over(of_a))), "links_0")
+        found = links.limit(0).select(F.col("a").alias("v"), "seed")
         for n in range(1, 1 << 30):
-            if free.where("not tried").isEmpty():
+            free = links.where("seed is null")
+            if free.where("not tried_a").isEmpty():
                 break
-            own = free.select("v", F.when(~F.col("tried"), F.col("v")).alias("m"))
-            for _ in range(2):  # the least undecided item within one step, then two
-                near = links.join(own.select(F.col("v").alias("b"), "m"), "b").groupBy(F.col("a").alias("v")).agg(F.min("m").alias("near"))
-                own = own.join(near, "v", "left").select("v", F.least("m", "near").alias("m"))
-            first = scratch.staged(own.where(F.col("v") == F.col("m")).select("v"), f"first_{n}")
-            met = links.join(first.select(F.col("v").alias("a")), "a", "left_semi")
-            size = met.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n"))
-            seeds = first.join(size, "v", "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select("v")
-            members = met.join(seeds.select(F.col("v").alias("a")), "a", "left_semi").select(F.col("b").alias("v"), F.col("a").alias("seed"))
-            members = scratch.staged(members.unionByName(seeds.select("v", F.col("v").alias("seed"))), f"members_{n}")
-            found = found.unionByName(members)
-            gone = members.select("v")
-            free = free.join(gone, "v", "left_anti").join(first.withColumn("now", F.lit(True)), "v", "left").select("v", (F.col("tried") | F.coalesce("now", F.lit(False))).alias("tried"))
-            links = scratch.staged(links.join(gone.select(F.col("v").alias("a")), "a", "left_anti").join(gone.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b"), f"links_{n}")
-            free = scratch.staged(free, f"free_{n}")
+            # The least undecided item within one step of an end, then two.
+            met = free.withColumns({**seeds("b", "near", of_b), "near_b": F.least(untried("b"), F.min(untried("a")).over(of_b))})
+            met = met.withColumns({**seeds("a", "near_b", of_a), "of_a": F.max(F.when(F.col("seed_b"), F.col("b"))).over(of_a), "least_b": F.min("b").over(of_a)})
+            taken_b = F.col("seed_b") | F.max("seed_a").over(of_b)
+            stays = ~F.col("seed_a") & F.col("of_a").isNull() & ~F.col("taken_b")
+            # One row tells of each item that a cluster takes: its link to the seed, a seed's to its least neighbour.
+            seed = F.when(F.col("seed_a") & (F.col("b") == F.col("least_b")), F.col("a")).when(F.col("seed_b"), F.col("b"))
+            met = met.withColumn("taken_b", taken_b).withColumns({"stays": stays, "seed": seed, "tried_a": F.col("tried_a") | F.col("first_a"), "tried_b": F.col("tried_b") | F.col("first_b")})
+            near = F.least(untried("b"), F.min(F.when(F.col("stays"), untried("a"))).over(of_b))
+            # Ends change places, so that what an end knows by now is known where its links lie.
+            turned = met.withColumn("near", near).where("stays or seed is not null").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("tried_b").alias("tried_a"), F.col("tried_a").alias("tried_b"), "seed", "near")
+            links = scratch.staged(turned, f"links_{n}")
+            found = found.unionByName(links.where("seed is not null").select(F.col("b").alias("v"), "seed"))
+        if least <= 1:  # what has no neighbours left is a cluster of its own
+            alone = items.select(name.alias("v")).distinct().join(scratch.staged(found, "found"), "v", "left_anti")
+            found = found.unionByName(alone.select("v", F.col("v").alias("seed")))
         return scratch.kept(found.select("v.*", *[F.col(f"seed.{c}").alias(f"seed_{c}") for c in item]), "clusters")
 
 
