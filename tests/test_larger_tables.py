@@ -1,16 +1,18 @@
 """Steps that only larger tables or odd ids bring out: plans, counts and twins."""
 
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidewright.functions import numbers
 from tidewright.llm import jaccard
-from tidewright.operators import folds, joins, matching, selection, windows
+from tidewright.operators import folds, joins, matching, patterns, selection, windows
 from tidewright.plans import evaluation, event_queries, ledger, payload_queries, seed_queries, seeds, table_queries, trajectory
 from tidewright.scratch import Scratch
 
@@ -273,3 +275,22 @@ def test_a_round_of_seed_clusters_moves_its_links_without_joins(spark, monkeypat
     got = [tuple(r) for r in matching.seed_clusters(items, ["i"], edges, least).collect()]
     assert dict(got) == want and len(got) == len(want)
     assert "links_2" in plans and not any("Join" in p for name, p in plans.items() if name != "found")
+
+
+def test_bytes_are_scanned_in_runs_that_a_cache_holds():
+    """Places near the ends of runs and texts; a scan took a megabyte of places at a time, each with a start, an end and a sum of its own for each size."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefgh ", k=n)) for n in (patterns._RUN - 3, 7, 0, 2 * patterns._RUN + 5, 1_000_000)]
+    marks = ["ab", texts[0][-5:], texts[3][patterns._RUN - 4 : patterns._RUN + 12], texts[4][-16:], "nowhere at all..", "q"]
+    size, h = patterns.anchors(pa.array(marks), False)
+    wanted = np.zeros(patterns._BITS // 8, np.uint8)
+    for bit in (h % np.uint64(patterns._BITS)).tolist():
+        wanted[bit >> 3] |= 1 << (bit & 7)
+    tracemalloc.start()
+    row, found = patterns.places(pa.array(texts), False, sorted(set(size.tolist())), wanted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    code = dict(zip(h.view(np.int64).tolist(), zip(marks, size.tolist())))
+    got = {(i, code[v][0]) for i, v in zip(row.tolist(), found.tolist()) if v in code}
+    assert got == {(i, m) for i, t in enumerate(texts) for m, n in code.values() if m.encode()[:n].decode() in t}
+    assert peak < 20e6

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ _BITS = 1 << 24
 _WORDS = 8
 _BYTES = (16, 8, 4, 2, 1)
 _PIECE = 1 << 20
+_RUN = 1 << 16  # places whose hashes a core's cache holds
 _FACTOR = 0xD6E8FEB86659FD93
 _STEPS = np.multiply.accumulate(np.full(_PIECE + 1, _FACTOR, np.uint64))
 _BACK = np.multiply.accumulate(np.full(_PIECE + 1, pow(_FACTOR, -1, 1 << 64), np.uint64))
@@ -52,9 +54,26 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         s, e = start[done:upto] - low, end[done:upto] - low
         out[done:upto] = (sums[e] - sums[s]) * _BACK[s]
         done = upto
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(32)
+    return _mixed(out)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _byte_hashes(data: np.ndarray, sizes: Sequence[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Size, first place and hashes of the spans of each size that begin at a run of places: `_hashes` of them, from one running sum for all sizes."""
+    for at in range(0, len(data), _RUN):
+        part = data[at : at + _RUN + max(sizes) - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _STEPS[: len(part)], out=sums[1:])
+        for n in sizes:
+            count = min(_RUN, len(part) - n + 1)
+            if count > 0:
+                yield n, at, _mixed((sums[n : n + count] - sums[:count]) * _BACK[:count])
 
 
 def _word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,26 +109,30 @@ def places(texts: pa.Array, words: bool, sizes: Sequence[int], wanted: np.ndarra
     data, offsets = flat_bytes(texts)
     rows, found = [], []
 
-    def keep(start: np.ndarray, end: np.ndarray) -> None:
-        h = _hashes(data, start, end)
-        bit = (h % np.uint64(_BITS)).astype(np.int64)
-        hit = np.flatnonzero((wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-        owner = np.searchsorted(offsets, start[hit], side="right") - 1
-        inside = end[hit] <= offsets[owner + 1]  # a span of two texts is none
+    def keep(h: np.ndarray, start: np.ndarray | int, end: np.ndarray | int) -> None:
+        bit = h & np.uint64(_BITS - 1)
+        hit = np.flatnonzero((wanted[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+        first, last = (hit + start, hit + end) if isinstance(start, int) else (start[hit], end[hit])
+        owner = np.searchsorted(offsets, first, side="right") - 1
+        inside = last <= offsets[owner + 1]  # a span of two texts is none
         rows.append(owner[inside])
         found.append(h[hit[inside]])
 
     if words:
         s, e, _ = _word_spans(data, offsets)
-    for n in sizes:
-        count = (len(s) if words else len(data)) - n + 1
-        for at in range(0, count, _PIECE):
-            start = s[at : min(count, at + _PIECE)] if words else np.arange(at, min(count, at + _PIECE))
-            keep(start, e[at + n - 1 : at + n - 1 + len(start)] if words else start + n)
+        for n in sizes:
+            count = len(s) - n + 1
+            for at in range(0, count, _PIECE):
+                start = s[at : min(count, at + _PIECE)]
+                end = e[at + n - 1 : at + n - 1 + len(start)]
+                keep(_hashes(data, start, end), start, end)
+    elif sizes:
+        for n, at, h in _byte_hashes(data, sizes):
+            keep(h, at, at + n)
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known, code = np.unique(np.concatenate(found).view(np.int64), return_inverse=True)
-    both = np.unique(np.concatenate(rows) * max(1, len(known)) + code)
+    code, known = pd.factorize(np.concatenate(found).view(np.int64))  # by hashing: a place in two may be a hit, and few differ
+    both = np.sort(pd.unique(np.concatenate(rows) * max(1, len(known)) + code))
     return both // max(1, len(known)), known[both % max(1, len(known))]
 
 
