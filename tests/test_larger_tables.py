@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import numbers
 from tidewright.llm import jaccard
-from tidewright.operators import folds, joins, matching, patterns, selection, windows
+from tidewright.operators import blocks, folds, joins, matching, patterns, selection, windows
 from tidewright.plans import evaluation, event_queries, ledger, payload_queries, seed_queries, seeds, table_queries, trajectory
 from tidewright.scratch import Scratch
 
@@ -294,3 +294,12 @@ def test_bytes_are_scanned_in_runs_that_a_cache_holds():
     got = {(i, code[v][0]) for i, v in zip(row.tolist(), found.tolist()) if v in code}
     assert got == {(i, m) for i, t in enumerate(texts) for m, n in code.values() if m.encode()[:n].decode() in t}
     assert peak < 20e6
+
+
+def test_blocks_are_dealt_to_tasks_however_few_files_hold_them(spark):
+    """All blocks of a split of the files, or of a partition of their size, came to Python in one batch."""
+    df = spark.range(9000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("s"), "id")
+    with Scratch(spark) as scratch:
+        packed = blocks.Blocks(scratch, df, ["k"], ["s"], ["s"], "id", block_rows=4)
+        held = packed.rows.groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count"), F.sum("count")).first()
+        assert held[2] == packed.chain.count() >= 2250 and held[0] >= 64 and held[1] <= 3 * blocks._SHARE

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tidewright.scratch import Scratch
 
 _FEW = 200  # numbers of blocks that a filter may name
+_SHARE, _TASKS = 32, 64  # blocks a task, once there are more than so many tasks' worth
 
 
 def differs(column: pa.Array) -> np.ndarray:
@@ -92,7 +93,9 @@ class Blocks:
         types = {k: rows.schema[k].dataType.simpleString() for k in keys}
         schema = "part int, block long, " + "".join(f"{end}_{k} {types[k]}, " for end in ("first", "last") for k in keys) + f"cuts array<int>, ids array<{self.kind}>" + "".join(f", c{i} array<double>" for i in range(n))
         packed = scratch.staged(sorted_rows.mapInArrow(run, schema), "blocks")
-        self.rows = packed.select("block", "cuts", "ids", *[f"c{i}" for i in range(n)])
+        # A task's blocks may reach Python in one batch, so they are dealt out: a split of the files, or a partition put together by its size, holds too many.
+        count = packed.count()
+        self.rows = packed.select("block", "cuts", "ids", *[f"c{i}" for i in range(n)]).repartition(max(1, min(count, max(_TASKS, -(-count // _SHARE)))), "block")
         ends = packed.select("part", "block", F.struct(*[F.col(f"first_{k}") for k in keys]).alias("head"), F.struct(*[F.col(f"last_{k}").alias(f"first_{k}") for k in keys]).alias("tail"), F.get("c0", F.lit(0)).alias("first"))
         # Within a partition blocks are numbered; a partition's first follows the last of the nearest one before that has rows.
         last = ends.groupBy("part").agg(F.max("block").alias("block"))
