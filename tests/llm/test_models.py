@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import ann, queries, quality, url_filter
 
@@ -116,6 +117,39 @@ def test_nearest_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_index_sends_the_driver_no_vectors(spark, monkeypatch):
+    """With more tasks the driver gets no more: results of all tasks stay under a limit that vectors of a few would pass."""
+    n, dim = 3000, 32
+    item = lambda i: F.sin(F.col("id") * 7 + i).cast("float")
+    df = spark.range(0, n, 1, 24).select(F.col("id").alias("vec_id"), F.array(*[item(i) for i in range(dim)]).alias("embedding"))
+    got = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: got.append(rows := collect(self)) or rows)
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "512k")
+    try:
+        index = ann.OneBitIndex(df, sample_rows=1000)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert sum(len(x) for x in got) <= dim + 1
+    x = np.float32(np.sin(np.arange(n)[:, None] * 7 + np.arange(dim)[None, :])).astype(float)
+    assert index.rows == n and np.abs(index.centre - x.mean(axis=0)).max() < 0.15
+    whole = ann.OneBitIndex(df, sample_rows=n)
+    assert whole.centre == pytest.approx(x.mean(axis=0), abs=1e-12)
+
+
+def test_centre_of_few_or_equal_ids(spark):
+    """Ids that the sample misses leave the origin, and the neighbours stay those of brute force."""
+    rng = np.random.default_rng(3)
+    rows = [(i // 40, [float(x) for x in np.float32(rng.normal(size=6) + 2)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for sample in (0, 1, 200):
+        index = ann.OneBitIndex(df, sample_rows=sample, block_rows=64)
+        assert np.isfinite(index.centre).all() and (sample or not index.centre.any())
+        got = index.search(index.vectors.where("vec_id = 0"), k=200)
+        assert got.select("vec_id").distinct().count() == 4 and got.count() > 0
+
+
 def test_recall_on_the_table(spark, sf):
     got = queries.op7_nearest_neighbours(spark, sf).collect()
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
