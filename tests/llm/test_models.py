@@ -150,6 +150,39 @@ def test_centre_of_few_or_equal_ids(spark):
         assert got.select("vec_id").distinct().count() == 4 and got.count() > 0
 
 
+def test_queries_meet_groups_of_blocks(spark, monkeypatch):
+    """Blocks of queries are sent to groups of blocks, without a broadcast, and full groups of any size find the same."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 570, [float(x) for x in (np.float32(v) if i % 2 else v)]) for i, v in enumerate(rng.normal(size=(600, 5)))]  # some need double precision, and some ids two rows
+    rows += [(1000 + i, rows[i][1]) for i in range(60)]
+    index = ann.OneBitIndex(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=16)
+    dealt, spread = [], ann.spread
+    monkeypatch.setattr(ann, "spread", lambda df, *a: dealt.append(df) or spread(df, *a))
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    want = None
+    for size, groups in ((1, 42), (4, 11), (64, 4)):
+        dealt.clear()
+        found = index.search(index.vectors.where("vec_id % 5 = 0"), k=7, epsilon=50.0, query_rows=40, group_blocks=size)
+        plan = found._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert dealt[0].count() == groups * dealt[0].select("q_block").distinct().count()
+        got = sorted(map(tuple, found.collect()))
+        assert got == (want := want or got)
+    of = {}
+    for i, v in rows:
+        of.setdefault(i, []).append(np.array(v))
+    assert {r[0] for r in got} == {i for i in of if i % 5 == 0}
+    for q in {r[0] for r in got if len(of[r[0]]) == 1}:
+        best = sorted((-float((v * of[q][0]).sum()), i) for i in of if i != q for v in of[i])[:7]
+        assert [(r[2], -r[3]) for r in got if r[0] == q] == [(i, s) for s, i in best]
+
+
+@pytest.mark.parametrize("dim", [1, 3])
+def test_vectors_are_packed_without_loss(dim):
+    for x in (np.float32([[0.1] * dim, [-3.0] * dim]).astype(float), np.array([[0.1] * dim, [2.0] * dim]), np.array([[1e300] * dim, [1e-300] * dim])):
+        assert (ann._unpacked(ann._packed(x), 2, dim) == x).all()
+
+
 def test_recall_on_the_table(spark, sf):
     got = queries.op7_nearest_neighbours(spark, sf).collect()
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}

@@ -5,9 +5,10 @@ into bits, with its length and the cosine between it and its signs. From these a
 estimate and an error bound; candidates whose upper bound reaches the k-th largest lower bound are scored exactly.
 
 `build` packs codes, correction scalars and original vectors into blocks of `block_rows` rows, as a table in the shared
-folder. `search` sends each block of queries to every block of codes - the work a scan of all codes for a stated query set
-takes - one pair of blocks a row, so that a task holds two blocks at a time. Each pair keeps the best k a query; Spark's
-limited window keeps k a task before the shuffle, and k a query after it.
+folder. `search` sends each block of queries to every group of blocks of codes, where it meets them one pair of blocks a
+row - the work a scan of all codes for a stated query set takes. A group is `group_blocks` blocks at most, and fewer while
+groups are fewer than four a core: what queries are sent grows with the groups, so with the table until groups are full. A
+block of queries keeps the best k a query of a group; Spark's limited window keeps k a query after the shuffle.
 
 The centre is the mean of some `sample_rows` vectors whose ids hash low (the origin where none does), summed where they are; it
 affects how tight the bounds are, not which rows are indexed.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import spread, stage_table
 
 _BLOCK = "block long, dim int, ids binary, codes binary, scalars binary, vectors binary"
 
@@ -49,6 +50,17 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(finite).where(F.exists("vec", lambda x: x != 0))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Vectors in single precision where that changes none of them, else in double."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return (single if (single == x).all() else x.astype(np.float64)).tobytes()
+
+
+def _unpacked(vectors: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(vectors, np.float32 if len(vectors) == 4 * rows * dim else np.float64).reshape(rows, dim).astype(np.float64)
+
+
 def _pack(rows: DataFrame, blocks: int, encode) -> DataFrame:
     """Rows dealt by id into `blocks` blocks, each at most `block_rows` or so long, each packed into one row."""
 
@@ -104,42 +116,61 @@ class OneBitIndex:
             turned = (away / np.where(length > 0, length, 1)[:, None]) @ turn
             aligned = np.abs(turned).sum(axis=1) / np.sqrt(dim)  # cosine between a vector and its signs
             scalars = np.stack([length, np.where(length > 0, aligned, 1.0), x @ centre]).astype(np.float64)
-            return {"codes": np.packbits(turned > 0, axis=1).tobytes(), "scalars": scalars.tobytes(), "vectors": x.astype(np.float64).tobytes()}
+            return {"codes": np.packbits(turned > 0, axis=1).tobytes(), "scalars": scalars.tobytes(), "vectors": _packed(x)}
 
         self.n_blocks = max(1, -(-self.rows // block_rows))
         self.blocks = stage_table(_pack(self.vectors, self.n_blocks, encode), "codes")
 
-    def search(self, queries: DataFrame, k: int = 20, epsilon: float = 2.4, query_rows: int = 1024) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 20, epsilon: float = 2.4, query_rows: int = 1024, group_blocks: int = 64) -> DataFrame:
         """query_id, rank, vec_id, score for usable `queries` (vec_id, vec) of the index's dimension."""
         if self.blocks is None:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         queries = queries.where(F.size("vec") == self.dim)
         count = queries.count()
         n_queries = max(1, -(-count // query_rows))
-        asked = _pack(queries, n_queries, lambda x: {"codes": b"", "scalars": b"", "vectors": x.astype(np.float64).tobytes()})
-        # A stated query set against all blocks: a row for each pair of blocks, keyed by the block of codes.
-        to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.n_blocks - 1).cast("long")))
-        sent = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), to.alias("block"))
-        pairs = sent.join(self.blocks, "block")
+        asked = _pack(queries, n_queries, lambda x: {"codes": b"", "scalars": b"", "vectors": _packed(x)})
+        # A stated query set against all blocks: a row for each pair of blocks, keyed by the group of blocks of codes.
+        groups = max(-(-self.n_blocks // group_blocks), min(self.n_blocks, 4 * self.spark.sparkContext.defaultParallelism))
+        to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+        sent = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), to.alias("group"))
+        coded = self.blocks.withColumn("group", F.col("block") % groups)
+        # Merged, since a broadcast would go through the driver; more partitions than groups, so that few hold two.
+        pairs = spread(sent, 4 * groups, "group").join(spread(coded, 4 * groups, "group").hint("merge"), "group")
         centre, turn, dim = self.centre, self.turn, self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, best = None, []
             for batch in batches:
                 for r in range(batch.num_rows):
                     blob = lambda name: batch.column(name)[r].as_py()  # noqa: E731, B023
                     found = _scan(blob("q_ids"), blob("q_vectors"), blob("ids"), blob("codes"), blob("scalars"), blob("vectors"), centre, turn, dim, k, epsilon)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+                    if at == (blob("group"), blob("q_block")):
+                        best = _best(best, found, k)
+                        continue
+                    if at:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "vec_id", "score"])
+                    at, best = (blob("group"), blob("q_block")), found
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "vec_id", "score"])
 
         best = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _best(some: tuple, more: tuple, k: int) -> tuple:
+    """The best k a query of both: query ids, ids, scores."""
+    q, cand, score = (np.concatenate(x) for x in zip(some, more))
+    order = np.lexsort((cand, -score, q))
+    first = np.flatnonzero(np.diff(q[order], prepend=q[order[:1]] - 1))
+    taken = order[np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < k]
+    return q[taken], cand[taken], score[taken]
+
+
 def _scan(q_ids: bytes, q_vectors: bytes, ids: bytes, codes: bytes, scalars: bytes, vectors: bytes, centre: np.ndarray, turn: np.ndarray, dim: int, k: int, epsilon: float):
     """The best k candidates of one block for each query of one block: query ids, ids, scores."""
     q_id, cand = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-    q = np.frombuffer(q_vectors, np.float64).reshape(-1, dim)
-    x = np.frombuffer(vectors, np.float64).reshape(-1, dim)
+    q, x = _unpacked(q_vectors, len(q_id), dim), _unpacked(vectors, len(cand), dim)
     length, aligned, with_centre = np.frombuffer(scalars, np.float64).reshape(3, -1)
     bits = np.unpackbits(np.frombuffer(codes, np.uint8).reshape(len(cand), -1), axis=1, count=dim)
     signs = ((2.0 * bits - 1) / np.sqrt(dim)).astype(np.float32)
